@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, simhash
+from . import decontaminate, line_dedup, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_decontaminate": decontaminate.query,
     "op6_simhash_near_dedup": simhash.query,
     "op8_line_dedup": line_dedup.query,
 }
-ORACLE: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE}
+ORACLE: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
