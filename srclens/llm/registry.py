@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, simhash
+from . import decontaminate, line_dedup, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": quality.query,
     "op5_decontaminate": decontaminate.query,
     "op6_simhash_near_dedup": simhash.query,
     "op8_line_dedup": line_dedup.query,
