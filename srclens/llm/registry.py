@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, passages, quality, simhash, suffix_dedup
+from . import decontaminate, line_dedup, passages, quality, simhash, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.query,
     "op5_decontaminate": decontaminate.query,
     "op6_simhash_near_dedup": simhash.query,
+    "op7_warc": warc.query,
     "op8_line_dedup": line_dedup.query,
     "op9_substring_dedup": passages.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
 }
-ORACLE: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+ORACLE: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE, "op7_warc": warc.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
