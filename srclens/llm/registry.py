@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, line_dedup, passages, quality, simhash, suffix_dedup, warc
+from . import decontaminate, embedding_dedup, html_extract, line_dedup, passages, quality, simhash, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.query,
+    "op2_embedding_near_dedup": embedding_dedup.query,
     "op3_html_extraction": html_extract.query,
     "op5_decontaminate": decontaminate.query,
     "op6_simhash_near_dedup": simhash.query,
