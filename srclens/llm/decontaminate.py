@@ -251,6 +251,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.select("doc", *KEY, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without the texts that hold a window of the benchmark."""
+    gone = contamination(docs, benchmark, id_col, text_col, **options).where("n_hit > 0").select(*KEY).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit("second"), text_col).alias("t2"))
+    return rows.join(gone, KEY, "left_anti").select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select(

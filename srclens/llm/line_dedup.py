@@ -128,6 +128,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumn("lines", lines).select("doc", "text64", F.size("lines").cast("long").alias("n_lines"), "n_dropped", text.alias("kept"))
 
 
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with the repeated lines gone from the text; rows and other columns stay, a text that loses nothing stays as it is."""
+    drops = dropped_lines(docs, id_col, text_col, **options)
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text64"), F.struct("*").alias("row")).join(drops, ["doc", "text64"], "left")
+    kept = F.filter(split_lines(F.col("row")[text_col]), lambda x, i: ~F.coalesce(F.get("drops", i), F.lit(False)))
+    text = F.when(F.col("drops").isNull(), F.col("row")[text_col]).otherwise(F.array_join(kept, "\n"))
+    return rows.select(F.col("row").withField(text_col, text).alias("row")).select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(F.col("doc").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

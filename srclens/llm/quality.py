@@ -72,6 +72,12 @@ def score_column(rows: DataFrame, model: bytenet.Params, text_col: str, out: str
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
+def accepted(docs: DataFrame, model: bytenet.Params, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """docs that score ``least`` or more, with their own columns."""
+    rows = docs.select(F.col(text_col).alias("text"), F.struct("*").alias("row"))
+    return score_column(rows, model, "text").where(F.col("score") >= least).select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = scores(docs, fit(docs, labels))

@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, html_extract, line_dedup, passages, quality, simhash, suffix_dedup, warc
+import corpus_pipeline
+
+from . import decontaminate, embedding_dedup, html_extract, line_dedup, mixing, passages, quality, simhash, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": quality.query,
     "op2_embedding_near_dedup": embedding_dedup.query,
     "op3_html_extraction": html_extract.query,
+    "op4_mixing": mixing.query,
     "op5_decontaminate": decontaminate.query,
     "op6_simhash_near_dedup": simhash.query,
     "op7_warc": warc.query,
     "op8_line_dedup": line_dedup.query,
     "op9_substring_dedup": passages.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLE: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE, "op7_warc": warc.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+ORACLE: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op7_warc": warc.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
