@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .queries import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-FLAGSHIP = "lines_scan"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+FLAGSHIP = "rule_groups"
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
