@@ -204,8 +204,8 @@ def count_links(members: DataFrame, cosine: float, kind: str) -> DataFrame:
     other = blocks.select("component", *(F.col(c).alias(f"{c}2") for c in ("block", "low", "high", "copies")))
     met = blocks.join(other, "component").where((F.greatest("low", "low2") - F.least("high", "high2")) <= limit + SLACK)
     sure = F.col("high") + F.col("high2") <= limit - SLACK
-    all_of = met.where(sure).groupBy("component", "block").agg(F.sum("copies2").alias("n"))
-    certain = rows.join(all_of, ["component", "block"]).select("key", (F.col("n") - F.col("copies")).alias("n"))
+    all_of = met.where(sure).groupBy("component", "block").agg(F.sum("copies2").alias("n"), F.bool_or(F.col("block") == F.col("block2")).alias("own"))
+    certain = rows.join(all_of, ["component", "block"]).select("key", (F.col("n") - F.when(F.col("own"), F.col("copies")).otherwise(0)).alias("n"))
     some = met.where(~sure).select("component", "block", "block2")
     one = rows.join(some, ["component", "block"]).select("component", "block", "block2", F.lit(0).alias("side"), "key", "copies", "data")
     two = rows.withColumnRenamed("block", "block2").join(some, ["component", "block2"]).select("component", "block", "block2", F.lit(1).alias("side"), "key", "copies", "data")
