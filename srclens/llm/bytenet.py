@@ -33,8 +33,8 @@ def init(seed: int) -> Params:
 
 
 def pack(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts end to end, each padded with zero bytes to whole halves, one at least; and the first half of each."""
-    halves = np.array([max(1, -(-len(t) // HALF)) for t in texts], np.int64)
+    """Texts end to end, each padded with STEP zero bytes at least to whole halves; and the first half of each."""
+    halves = np.array([-(-(len(t) + STEP) // HALF) for t in texts], np.int64)
     first = np.concatenate([[0], np.cumsum(halves)])
     data = np.zeros(first[-1] * HALF + WIDTH, np.uint8)
     for t, at in zip(texts, first[:-1] * HALF, strict=True):
@@ -50,9 +50,11 @@ def unfold(p: Params, data: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(x, (n, WIDTH * DIM), (STEP * DIM * s, s))
 
 
-def conv(p: Params, data: np.ndarray) -> np.ndarray:
-    """(halves, SLOTS, FILTERS)"""
-    return (np.ascontiguousarray(unfold(p, data)) @ p["w"] + p["b"]).reshape(-1, SLOTS, FILTERS)
+def conv(p: Params, data: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """(halves, SLOTS, FILTERS).  last: the last half of each text, whose last step sees padding and not the next text."""
+    z = (np.ascontiguousarray(unfold(p, data)) @ p["w"] + p["b"]).reshape(-1, SLOTS, FILTERS)
+    z[last, -1] = p["b"]
+    return z
 
 
 def head(p: Params, high: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,18 +77,19 @@ def pool(m: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 def score(p: Params, texts: list[np.ndarray]) -> np.ndarray:
     """Probability of label 1 for each text, all of it; memory follows SEGMENT and one row of FILTERS a half."""
     data, first = pack(texts)
-    m = np.empty((first[-1], FILTERS), np.float32)
+    m, last = np.empty((first[-1], FILTERS), np.float32), first[1:] - 1
     for at in range(0, first[-1] * HALF, SEGMENT):
         end = min(at + SEGMENT, first[-1] * HALF)
-        conv(p, data[at : end + WIDTH]).max(axis=1, out=m[at // HALF : end // HALF])
-    # a filter's last step in a text may read the next text's first bytes: the zero padding keeps them apart but for texts of whole halves
+        a, b = at // HALF, end // HALF
+        inside = last[(last >= a) & (last < b)] - a
+        conv(p, data[at : end + WIDTH], inside).max(axis=1, out=m[a:b])
     _, _, high, mean = pool(m, first)
     return head(p, high, mean)[2].astype(np.float64)
 
 
 def gradients(p: Params, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> tuple[float, Params]:
     data, first = pack(texts)
-    z = conv(p, data)
+    z = conv(p, data, first[1:] - 1)
     best = z.argmax(axis=1)
     m = np.take_along_axis(z, best[:, None], 1)[:, 0]
     chunk, won, high, mean = pool(m, first)
@@ -109,6 +112,8 @@ def gradients(p: Params, texts: list[np.ndarray], y: np.ndarray, weight: np.ndar
     half, filt = np.nonzero(dm)
     d = dm[half, filt]
     step = half * SLOTS + best[half, filt]
+    padding = np.isin(step, first[1:] * SLOTS - 1)
+    d = np.where(padding, 0, d)
     seen = unfold(p, data)[step]
     order = np.argsort(filt, kind="stable")
     dw = np.zeros((FILTERS, WIDTH * DIM), np.float32)

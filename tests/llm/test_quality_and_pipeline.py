@@ -15,20 +15,21 @@ def as_bytes(*texts):
 
 
 def test_gradients():
+    r = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in bytenet.init(3).items()}
-    texts, y, w = as_bytes("some text " * 40, "", "###", "x" * 300), np.array([1, 0, 0, 1]), np.ones(4)
+    p["b"] = r.normal(0, 0.2, len(p["b"]))  # away from the kink at 0
+    texts = [r.integers(1, 256, n).astype(np.uint8) for n in (700, 130, 5, 0, 256)]
+    y, w, step = np.array([1, 0, 0, 1, 1]), np.ones(5), 1e-5
     _, g = bytenet.gradients(p, texts, y, w)
-    r = np.random.default_rng(0)
     for k in p:
         for _ in range(6):
-            i = tuple(r.integers(0, n) for n in p[k].shape) if k != "e" else (int(r.choice(list(b"some tx#"))), int(r.integers(0, bytenet.DIM)))
-            old, step = p[k][i], 1e-5
-            p[k][i] = old + step
-            up, _ = bytenet.gradients(p, texts, y, w)
-            p[k][i] = old - step
-            down, _ = bytenet.gradients(p, texts, y, w)
+            i = tuple(r.integers(0, n) for n in p[k].shape) if k != "e" else (int(texts[0][r.integers(0, 700)]), int(r.integers(0, bytenet.DIM)))
+            old, ends = p[k][i], []
+            for d in (step, -step):
+                p[k][i] = old + d
+                ends.append(bytenet.gradients(p, texts, y, w)[0])
             p[k][i] = old
-            assert abs((up - down) / (2 * step) - g[k][i]) < 1e-4 + 0.02 * abs(g[k][i])
+            assert abs((ends[0] - ends[1]) / (2 * step) - g[k][i]) < 5e-4 + 0.02 * abs(g[k][i])
 
 
 def test_scores_do_not_depend_on_neighbours():
