@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import facts, lexer, lines, makefile, relate, report, rules
+from ..operators import facts, lexer, lines, makefile, relate, report, rules, transforms
 from ..sources import files, logs
 from . import fixtures
 
@@ -217,6 +217,43 @@ def q_folders(spark, d):
     return files.folders(spark.read.parquet(f"{d}/pages.parquet").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path")))
 
 
+def _ranges(spark):
+    return spark.createDataFrame(fixtures.RANGES, "path string, start long, end long, name string")
+
+
+def _edits(spark):
+    return spark.createDataFrame(fixtures.EDITS, "path string, start long, end long, replacement string")
+
+
+def q_range_owner(spark, d):
+    return relate.owner(spark.createDataFrame(fixtures.POINTS, "path string, start long"), _ranges(spark)).withColumnRenamed("start", "place")
+
+
+def q_interval_overlap(spark, d):
+    return relate.overlaps(_ranges(spark).select("path", "start", "end"), _edits(spark).select("path", "start", "end"))
+
+
+def q_merged_ranges(spark, d):
+    return relate.merge_ranges(_ranges(spark).select("path", "start", "end")).withColumnsRenamed({"start": "first", "end": "last"})
+
+
+def q_edit_conflicts(spark, d):
+    return relate.edit_conflicts(_edits(spark)).select("path", F.col("start").alias("first"), F.col("end").alias("last"))
+
+
+def q_offset_remap(spark, d):
+    return relate.remap(spark.createDataFrame([("a", 2), ("a", 4), ("a", 9), ("b", 8)], "path string, offset long"), _edits(spark).where("start <> 1")).withColumnsRenamed({"offset": "old"})
+
+
+def q_official_merge(spark, d):
+    n, o = (spark.createDataFrame(x, "path string, rule_id string, start long") for x in (fixtures.NATIVE, fixtures.OFFICIAL))
+    return relate.official_merge(n, o).select("path", "rule_id", F.col("start").alias("place"), "source")
+
+
+def q_c_rewrites(spark, d):
+    return transforms.fixed(fixtures.files(spark, fixtures.MESSY_C)).select("path", "content", "changed")
+
+
 def values(names: str, *rows: tuple) -> str:
     cell = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"{v}::BIGINT" if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({names})"
@@ -264,6 +301,13 @@ ORACLE = {
     "heading_jumps": "WITH h AS (SELECT page_id AS path, unnest(regexp_extract_all(html, '<h([1-6])', 1))::INT AS level, unnest(range(len(regexp_extract_all(html, '<h([1-6])', 1)))) AS line FROM pages), j AS (SELECT *, level > lag(level) OVER (PARTITION BY path ORDER BY line) + 1 AS jump FROM h) SELECT path, count(*) AS n_headings, count(*) FILTER (WHERE jump) AS n_jumps FROM j GROUP BY path",
     "latest_before": "WITH p AS (SELECT DISTINCT user_id, ts AS asked FROM events WHERE event_type = 'purchase') SELECT user_id, asked, (SELECT max(ts) FROM events e WHERE e.user_id = p.user_id AND event_type = 'click' AND ts < asked) AS latest FROM p",
     "not_used": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "range_owner": values("path, place, owner", ("a", 4, "f"), ("a", 5, "g"), ("a", 8999, "g"), ("a", 9000, None), ("b", 3, "h")),
+    "interval_overlap": values("path, a_start, a_end, b_start, b_end", ("a", 0, 5, 0, 2), ("a", 0, 5, 1, 3)),
+    "merged_ranges": values("path, first, last", ("a", 0, 9000), ("b", 2, 4)),
+    "edit_conflicts": values("path, first, last", ("a", 1, 3), ("a", 5, 5)),
+    "offset_remap": values("path, old, new", ("a", 2, 3), ("a", 4, 5), ("a", 9, 12), ("b", 8, 8)),
+    "official_merge": values("path, rule_id, place, source", ("a", "R", 1, "official"), ("a", "R", 2, "native"), ("a", "S", 9, "official")),
+    "c_rewrites": "SELECT 'messy.c' AS path, '" + fixtures.CLEAN_C["messy.c"].replace("'", "''") + "' AS content, true AS changed",
     "c_tokens": values("path, md5, n_unknown", *((p, __import__("hashlib").md5(t.encode()).hexdigest(), 0) for p, t in fixtures.C_FILES.items())),
     "c_too_many_functions": values("path, line, message", ("src/six.c", 26, "f5")),
     "c_function_limits": values("path, rule_id, message", ("src/lib.c", "TOO_MANY_ARGS", "many: 5 > 4"), ("src/lib.c", "TOO_MANY_VARS_FUNC", "many: 6 > 5")),
