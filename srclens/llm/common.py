@@ -11,13 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: By application: the folder of our own where the session names none, as in tests.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
+    """The folder that driver and executors share; one of our own only where the session names none and all is on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="srclens-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="srclens-")
+    return _OWN[app]
 
 
 def hadoop_path(spark: SparkSession, path: str):
