@@ -34,7 +34,7 @@ from .suffix_sort import suffix_array
 
 WIDTH, GRAM = 400, 128
 #: Bytes sorted at a time, and in one anchor at most.
-SORT_BYTES = 1 << 22
+SORT_BYTES = 1 << 20
 _SECOND = 0xC2B2AE3D27D4EB4F | 1
 RANGES = "anchor long, content long, ranges array<struct<a: long, b: long>>, one array<long>, two array<long>"
 
