@@ -5,12 +5,13 @@
    and their vocabulary are fixed-size tables.
 2. A pass over the documents counts the vocabulary's words in the corpus.
 3. A second pass stores the postings (term, text, position) of the ``RARE``
-   rarest terms of any window.
+   rarest terms of any window.  Those of a window's rarest term hold the terms
+   around them, as far as a window reaches.
 4. Each window starts from its rarest term's postings, shifted by the term's
    offset, and intersects them with the shifted postings of its next rarest
    terms: equality joins on (term, text, position).
-5. What is left is compared with the words of the text, and covered words are
-   counted.
+5. What is left is compared term by term with what its posting holds, and
+   covered words are counted.  Texts are never shuffled.
 
 Texts are keyed by a 128-bit hash of their content, so copies share postings.
 
@@ -27,14 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Workspace
+from .repeats import one_per_text
 
 BLOCK_BYTES = 8 << 20
-RARE = 3
+RARE = 2
 #: Bytes of a text that are cut into words at a time.
 CHUNK = 1 << 21
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -71,19 +73,15 @@ class Windows:
                 window = tuple(ids[i : i + n])
                 self.items.add((self.windows.setdefault(window, len(self.windows)), item))
 
-    def seeds(self, counts: Counter) -> list[tuple[int, int, list[int], list[int]]]:
-        """(window, length, terms, offsets): the rarest terms first, each term once."""
+    def seeds(self, counts: Counter) -> list[tuple[int, int, list[int], list[int], list[int]]]:
+        """(window, length, terms, offsets, ids): the rarest terms first, each term once; all terms in order."""
         out = []
         for window, w in self.windows.items():
             first = {t: i for i, t in reversed(list(enumerate(window)))}
             rare = sorted(first, key=lambda t: (counts[t], first[t]))[:RARE]
-            out.append((w, len(window), rare, [first[t] for t in rare]))
+            out.append((w, len(window), rare, [first[t] for t in rare], list(window)))
         return out
 
-    def text(self) -> list[tuple[int, bytes]]:
-        words = list(self.vocabulary)
-        return [(w, b" ".join(words[t] for t in window)) for window, w in self.windows.items()]
-
 
 def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> Iterator[Windows]:
     """Streams the items to the driver, a bounded block at a time."""
@@ -135,38 +133,72 @@ def count_terms(rows: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
     return rows.mapInArrow(run, T.StructType(fields))
 
 
-def postings(rows: DataFrame, terms: dict[bytes, int]) -> DataFrame:
-    """(term, t1, t2, pos): where each of the terms stands."""
+def postings(rows: DataFrame, vocabulary: dict[bytes, int], rare: set[int], first: set[int], reach: int) -> DataFrame:
+    """(term, t1, t2, pos, around): where each of the rare terms stands.
+
+    around: for terms in first the vocabulary ids of the reach words before,
+    the word itself and the reach words behind it, -1 for words of no window
+    and beyond the text; null for other terms.
+    """
+    kinds = np.zeros(len(vocabulary) + 1, np.int8)  # the last is for -1
+    kinds[list(rare)] = 1
+    kinds[list(first)] = 2
+
+    def of_text(text: bytes | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(position, id, around) in pieces; a piece waits for the reach words behind it."""
+        get, ids, start, done = vocabulary.get, np.zeros(0, np.int32), 0, 0
+
+        def ready(end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            at = done - start + np.flatnonzero(kinds[ids[done - start : end - start]])
+            edge = np.full(reach, -1, np.int32)
+            around = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, ids, edge]), 2 * reach + 1)
+            return at + start, ids[at], around[at]
+
+        for _, words in words_of(text):
+            ids = np.concatenate([ids, np.fromiter((get(w, -1) for w in words), np.int32, len(words))])
+            end = start + len(ids) - reach
+            if end > done:
+                yield ready(end)
+                keep = max(start, end - reach)
+                ids, start, done = ids[keep - start :], keep, end
+        if start + len(ids) > done:
+            yield ready(start + len(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = terms.get
         for b in batches:
             t1, t2 = b.column(1).to_numpy(), b.column(2).to_numpy()
-            found: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-            for i, text in enumerate(b.column(3)):
-                for base, words in words_of(text.as_py()):
-                    ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-                    at = np.flatnonzero(ids >= 0)
-                    found.append((i, len(at), ids[at], at + base))
-            of = np.repeat([f[0] for f in found], [f[1] for f in found]).astype(np.int64)
-            term, pos = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (term, t1[of], t2[of], pos)], ["term", "t1", "t2", "pos"])
-
-    return rows.mapInArrow(run, "term long, t1 long, t2 long, pos long")
-
-
-def intersect(index: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(window, size, t1, t2, start) where every seed term of a window stands at its offset.
-
-    index: (term, t1, t2, pos).  seeds: (window, size, terms, offsets), the rarest term first.
+            found = [(i, *part) for i, text in enumerate(b.column(3)) for part in of_text(text.as_py())]
+            of = np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)
+            pos, term = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]).astype(np.int64) for k in (1, 2))
+            around = np.concatenate([f[3] for f in found] or [np.zeros((0, 2 * reach + 1), np.int32)])
+            for kind in (1, 2):
+                at = np.flatnonzero(kinds[term] == kind)
+                near_ = pa.nulls(len(at), pa.list_(pa.int32()))
+                if kind == 2:
+                    near_ = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * (2 * reach + 1), pa.int32()), pa.array(around[at].ravel(), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (term[at], t1[of[at]], t2[of[at]], pos[at])), near_], ["term", "t1", "t2", "pos", "around"])
+
+    return rows.mapInArrow(run, "term long, t1 long, t2 long, pos long, around array<int>")
+
+
+def intersect(index: DataFrame, seeds: DataFrame, reach: int, few_terms: bool = True) -> DataFrame:
+    """(window, size, t1, t2, start) where a window stands.
+
+    index: (term, t1, t2, pos, around).  seeds: (window, size, terms, offsets,
+    ids), the rarest term first.  few_terms: whether a window may have fewer
+    terms than are intersected.
     """
-    first = seeds.select("window", "size", "terms", "offsets", F.col("terms")[0].alias("term"), F.col("offsets")[0].alias("shift"))
-    found = index.join(first, "term").select("window", "size", "terms", "offsets", *KEY, (F.col("pos") - F.col("shift")).alias("start")).where("start >= 0").distinct()
-    for k in range(1, RARE):
-        more = found.where(F.size("terms") > k).select("*", F.col("terms")[k].alias("term"), (F.col("start") + F.col("offsets")[k]).alias("pos"))
-        kept = more.join(index, ["term", "pos", *KEY], "left_semi").select(found.columns)
-        found = kept.unionAll(found.where(F.size("terms") <= k))
-    return found.select("window", "size", *KEY, "start")
+    seed = [seeds.where(F.size("terms") > k).select("window", "size", F.col("terms")[k].alias("term"), F.col("offsets")[k].alias("shift")) for k in range(RARE)]
+    first = seed[0].join(seeds.select("window", "ids"), "window")
+    found = index.where("around is not null").join(F.broadcast(first), "term").where("pos >= shift")  # BLOCK_BYTES bounds the seeds
+    same = F.slice("around", (reach + 1 - F.col("shift")).cast("int"), F.col("size").cast("int")) == F.col("ids")
+    found = found.select("window", "size", *KEY, (F.col("pos") - F.col("shift")).alias("start"), same.alias("same"))
+    for later in seed[1:]:
+        # a window of fewer terms has none left to intersect
+        more = found.join(F.broadcast(later.drop("size")), "window", "left").withColumn("pos", F.col("start") + F.col("shift"))
+        kept = more.where("term is not null").join(index.select("term", "pos", *KEY), ["term", "pos", *KEY], "left_semi")
+        found = kept.unionByName(more.where("term is null")).select(found.columns) if few_terms else kept.select(found.columns)
+    return found.where("same").drop("same").dropDuplicates()
 
 
 def near(index: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
@@ -185,36 +217,12 @@ def near(index: DataFrame, seeds: DataFrame, reach: int) -> DataFrame:
     return found.select("window", *KEY, "pos")
 
 
-def verify(texts: DataFrame) -> DataFrame:
-    """texts: (t1, t2, text, found array<struct<start, size, words, window>>).  Returns (t1, t2, n_hit, windows) for those that hold one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for t1, t2, text, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found.sort(key=lambda f: f["start"])
-                longest = max(f["size"] for f in found)
-                i, hits, windows, covered, held, split = 0, 0, set(), 0, [], []
-                for at, words in words_of(text):
-                    base, held = at - min(len(held), longest), held[-longest:] + words
-                    end, todo, split = at + len(words), split, []
-                    while i < len(found) and found[i]["start"] < end:
-                        todo.append(found[i])
-                        i += 1
-                    for f in todo:
-                        s = f["start"] - base
-                        if f["start"] + f["size"] > end:
-                            split.append(f)  # the next piece holds its other words
-                        elif b" ".join(held[s : s + f["size"]]) == f["words"]:
-                            windows.add(f["window"])
-                            hits += max(0, f["start"] + f["size"] - max(covered, f["start"]))
-                            covered = max(covered, f["start"] + f["size"])
-                if windows:
-                    out.append((t1, t2, hits, sorted(windows)))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["t1", "t2", "n_hit", "windows"])
-
-    return texts.mapInArrow(run, "t1 long, t2 long, n_hit long, windows array<long>")
+def covered(found: DataFrame) -> DataFrame:
+    """found: (t1, t2, start, size).  (t1, t2, n_hit): the words in any of a text's windows, each once."""
+    w = Window.partitionBy(*KEY).orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.greatest(F.col("start"), F.coalesce(F.max(F.col("start") + F.col("size")).over(w), F.lit(0)))
+    new = F.greatest(F.lit(0), F.col("start") + F.col("size") - ahead)
+    return found.withColumn("new", new).groupBy(*KEY).agg(F.sum("new").cast("long").alias("n_hit"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 10) -> DataFrame:
@@ -228,11 +236,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         stats = stats if stats is not None else counted
         counts = Counter(dict(counted.where("term is not null").groupBy("term").agg(F.sum("n")).collect()))
         seeds = block.seeds(counts)
-        rare = {t for s in seeds for t in s[2]}
-        index = ws.save(postings(rows, {w: t for w, t in block.vocabulary.items() if t in rare}), f"postings{k}")
-        seeds_df = spark.createDataFrame(seeds, "window long, size long, terms array<long>, offsets array<long>")
-        texts = spark.createDataFrame(block.text(), "window long, words binary")
-        hit = ws.save(intersect(index, seeds_df).join(texts, "window").select(*KEY, "start", "size", "words", (F.col("window") + (k << 40)).alias("window")), f"found{k}")
+        rare, first = {t for x in seeds for t in x[2]}, {x[2][0] for x in seeds}
+        index = ws.save(postings(one_per_text(rows), block.vocabulary, rare, first, n - 1), f"postings{k}")
+        seeds_df = spark.createDataFrame(seeds, "window long, size long, terms array<long>, offsets array<long>, ids array<int>")
+        hit = intersect(index, seeds_df, n - 1, any(len(x[2]) < RARE for x in seeds))
+        hit = ws.save(hit.select(*KEY, "start", "size", (F.col("window") + (k << 40)).alias("window")), f"found{k}")
         ws.drop(f"postings{k}")
         found.append(hit)
         of.append(spark.createDataFrame([(w + (k << 40), str(i)) for w, i in block.items], "window long, item string"))
@@ -242,11 +250,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     all_found, all_items = found[0], of[0]
     for f, i in zip(found[1:], of[1:], strict=True):
         all_found, all_items = all_found.unionAll(f), all_items.unionAll(i)
-    per_text = ws.save(all_found.groupBy(*KEY).agg(F.collect_list(F.struct("start", "size", "words", "window")).alias("found")), "candidates")
-    texts = rows.select(*KEY, "text").join(per_text, KEY).select(*KEY, "text", "found")
-    hits = ws.save(verify(texts).dropDuplicates(KEY), "hits")
-    items = hits.select(*KEY, F.explode("windows").alias("window")).join(all_items, "window").groupBy(*KEY).agg(F.sort_array(F.collect_set("item")).alias("items"))
-    result = ws.save(hits.select(*KEY, "n_hit").join(items, KEY), "result")
+    items = all_found.select(*KEY, "window").distinct().join(all_items, "window").groupBy(*KEY).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    result = ws.save(covered(all_found.select(*KEY, "start", "size").distinct()).join(items, KEY), "result")
     out = stats.where("term is null").select("doc", *KEY, "n_words").join(result, KEY, "left")
     return out.select("doc", *KEY, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 

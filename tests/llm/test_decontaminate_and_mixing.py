@@ -70,10 +70,23 @@ def test_words_in_pieces(monkeypatch):
     assert all(b == sum(len(p) for _, p in parts[:i]) for i, (b, _) in enumerate(parts))
 
 
+def test_postings_in_pieces(spark):
+    filler = ("z" * 200 + " ") * 40
+    texts = ["a b x a c b a " * 9, "a", "", "b a", ("b a c a b " + filler) * 700]
+    assert len(texts[-1]) > 2 * decontaminate.CHUNK
+    rows = decontaminate._rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    got = decontaminate.postings(rows, {b"a": 0, b"b": 1, b"c": 2}, {0, 1}, {0}, 3).join(rows.drop("text"), ["t1", "t2"]).collect()
+    ids, expected = {"a": 0, "b": 1, "c": 2}, []
+    for d, t in enumerate(texts):
+        w = [-1] * 3 + [ids.get(x, -1) for x in t.split()] + [-1] * 3
+        expected += [(d, i - 3, w[i], w[i - 3 : i + 4] if w[i] == 0 else None) for i in range(3, len(w) - 3) if w[i] in (0, 1)]
+    assert sorted((x["doc"], x["pos"], x["term"], x["around"]) for x in got) == sorted(expected)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "alpha " + "x " * 20 + "beta"), (3, "beta alpha")], "doc_id long, text string")
     rows = decontaminate._rows(docs, "doc_id", "text")
-    index = decontaminate.postings(rows, {b"alpha": 0, b"beta": 1})
+    index = decontaminate.postings(rows, {b"alpha": 0, b"beta": 1}, {0, 1}, {0}, 2)
     seeds = spark.createDataFrame([(7, 2, [0, 1], [0, 1])], "window long, size long, terms array<long>, offsets array<long>")
     found = decontaminate.near(index, seeds, 5).join(rows, ["t1", "t2"])
     assert sorted(x["doc"] for x in found.collect()) == [1, 3]
