@@ -3,15 +3,18 @@
 1. Every page is parsed into blocks and a skeleton of its block elements.  What
    its own markup says is no article (menus, headers, footers, forms, notices,
    adverts, comments) has no weight.
-2. Per host and skeleton, each node's text hashes and lengths are aggregated:
-   a few rows a skeleton, however many pages a host has.
+2. Of pages with the same text on a host one counts.  Per host and skeleton,
+   each node's texts and lengths are aggregated: a few rows a skeleton, however
+   many pages a host has.  Texts that stand on one page alone count as a number.
 3. A host's skeletons are matched into one wrapper (``wrapper``); more than
    ``SKELETONS`` of them make further wrappers.
-4. Every page is read again; its blocks below the article's slot are the text.
+4. The text of a page is its blocks below the slot of its skeleton that are no
+   template.  A page without any block there gives all blocks that are none.
 
 Defined results.  Null and empty html give an empty text.  Null urls and urls
 without host are one host.  A host with one page has no template: the page's
-markup alone decides.  Copies of one page show no template either.  Repeated
+markup alone decides.  Copies of one page show no template either, and have no
+more weight than the page.  Repeated
 rows and ids get their row each.  Other columns are not read.
 """
 
@@ -21,64 +24,88 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Workspace, partitions
-from .dom import Page, parse
+from .dom import parse
 from .wrapper import induce
 
 SKELETONS = 256
+#: Distinct pages of a host that a text must stand on to be template.
+SEVERAL = 2
 
 
 def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
 
 
-def skeleton_id(page: Page) -> int:
-    return xxhash.xxh64_intdigest(page.skeleton().encode()) - (1 << 63)
+def digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-def statistics(rows: DataFrame) -> DataFrame:
-    """rows: (page, url, host, html).  (host, id, skeleton, node, pages, chars, low, high): summed over each batch."""
+#: Of a page's blocks: marks is 1 at the first of a text in its node, 3 at the first in the node.
+LISTS = {"nodes": pa.int64(), "hashes": pa.int64(), "chars": pa.int64(), "marks": pa.int64(), "texts": pa.string()}
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """rows: (page, url, host, html).  (page, url, host, id, skeleton, content, and the lists of its blocks that are no noise).
+
+    The skeleton stands at a host's first page of it in each batch alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sums: dict[tuple, list] = {}
-            text: dict[int, str] = {}
-            for name, source in zip(b.column(2), b.column(3), strict=True):
+            seen: set[tuple] = set()
+            ids, skeletons, contents, lists = [], [], [], {c: [] for c in LISTS}
+            for name, source in zip(b.column(2).to_pylist(), b.column(3), strict=True):
                 page = parse(source.as_py() or "")
-                sid = skeleton_id(page)
-                text[sid] = page.skeleton()
-                of: dict[int, list[str]] = {0: []}
-                for node, noise, t in page.blocks:
-                    if not noise:
-                        of.setdefault(node, []).append(t)
-                for node, parts in of.items():
-                    h = xxhash.xxh64_intdigest("\n".join(parts).encode("utf-8", "replace")) - (1 << 63)
-                    chars = sum(map(len, parts))
-                    s = sums.setdefault((name.as_py(), sid, node), [0, 0, h, h])
-                    sums[name.as_py(), sid, node] = [s[0] + 1, s[1] + chars, min(s[2], h), max(s[3], h)]
-            cols = list(zip(*((k[0], k[1], text[k[1]], k[2], *v) for k, v in sums.items()), strict=True)) or [[]] * 8
-            kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "id", "skeleton", "node", "pages", "chars", "low", "high"])
-
-    return rows.mapInArrow(run, "host string, id long, skeleton string, node long, pages long, chars long, low long, high long")
+                skeleton = page.skeleton()
+                ids.append(digest(skeleton))
+                skeletons.append(None if (name, ids[-1]) in seen else skeleton)
+                seen.add((name, ids[-1]))
+                blocks = [(node, digest(t), t) for node, noise, t in page.blocks if not noise]
+                contents.append(digest("\n".join(t for *_, t in blocks)))
+                marks, met = [], set()
+                for node, h, _ in blocks:
+                    marks.append(3 if node not in met else int((node, h) not in met))
+                    met |= {node, (node, h)}
+                for c, values in zip(LISTS, ([x[0] for x in blocks], [x[1] for x in blocks], [len(x[2]) for x in blocks], marks, [x[2] for x in blocks]), strict=True):
+                    lists[c].append(values)
+            own = [pa.array(ids, pa.int64()), pa.array(skeletons, pa.string()), pa.array(contents, pa.int64()), *(pa.array(lists[c], pa.list_(k)) for c, k in LISTS.items())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *own], [*b.schema.names[:3], "id", "skeleton", "content", *LISTS])
+
+    lists = [T.StructField(c, T.ArrayType(T.StringType() if k == pa.string() else T.LongType())) for c, k in LISTS.items()]
+    own = [T.StructField("id", T.LongType()), T.StructField("skeleton", T.StringType()), T.StructField("content", T.LongType())]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:3], *own, *lists]))
+
+
+def statistics(pages: DataFrame) -> DataFrame:
+    """pages: of ``parsed``.  (host, id, skeleton, weight, nodes): distinct pages, and per node its pages, characters, texts, and (hash, pages) of each text that several pages of the host have."""
+    one = pages.groupBy("host", "content").agg(F.min(F.struct("id", "nodes", "hashes", "chars", "marks")).alias("p")).select("host", "p.*")
+    # node -1 counts the pages
+    page = F.array(F.struct(*(F.lit(v).cast("long").alias(c) for c, v in (("nodes", -1), ("hashes", 0), ("chars", 0), ("marks", 3)))))
+    blocks = one.select("host", "id", F.explode(F.concat(page, F.arrays_zip("nodes", "hashes", "chars", "marks"))).alias("b"))
+    blocks = blocks.select("host", "id", F.col("b.nodes").alias("node"), F.col("b.hashes").alias("hash"), F.col("b.chars").alias("chars"), F.col("b.marks").alias("mark"))
+    text = blocks.groupBy("host", "id", "node", "hash").agg(F.sum((F.col("mark") > 0).cast("long")).alias("n"), F.sum((F.col("mark") == 3).cast("long")).alias("pages"), F.sum("chars").alias("chars"))
+    text = text.withColumn("held", F.sum("n").over(Window.partitionBy("host", "hash")))
+    node = text.groupBy("host", "id", "node").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("n").alias("every"), F.collect_list(F.when(F.col("held") >= SEVERAL, F.struct("hash", "n"))).alias("texts"))
+    tree = node.groupBy("host", "id").agg(F.max(F.when(F.col("node") < 0, F.col("pages"))).alias("weight"), F.collect_list(F.when(F.col("node") >= 0, F.struct("node", "pages", "chars", "every", "texts"))).alias("nodes"))
+    return pages.groupBy("host", "id").agg(F.max("skeleton").alias("skeleton")).join(tree, ["host", "id"], "left")
 
 
 def wrappers(stats: DataFrame) -> DataFrame:
-    """(host, id, nodes): the nodes of each host's skeleton whose text is content."""
+    """(host, id, slot, node, hash): the nodes of each host's skeleton in its slot, and its template texts, each with its node."""
     n = partitions(stats.sparkSession)
-    node = stats.groupBy("host", "id", "node").agg(F.first("skeleton").alias("skeleton"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.min("low").alias("low"), F.max("high").alias("high"))
-    tree = node.groupBy("host", "id").agg(F.first("skeleton").alias("skeleton"), F.max("pages").alias("weight"), F.collect_list(F.struct("node", "pages", "chars", "low", "high")).alias("nodes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def done() -> pa.RecordBatch:
-            kept = induce([(h[2], {x["node"]: (x["pages"], x["chars"], x["low"], x["high"]) for x in h[3]}) for h in held])
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held]), pa.array([h[1] for h in held]), pa.array([sorted(k) for k in kept], pa.list_(pa.int64()))], ["host", "id", "nodes"])
+            found = induce([(h[2], {x["node"]: (x["pages"], x["chars"], x["every"], [(t["hash"], t["n"]) for t in x["texts"]]) for x in h[3] or []}) for h in held])
+            lists = ([sorted(slot) for slot, _ in found], [[k for k, _ in drop] for _, drop in found], [[h for _, h in drop] for _, drop in found])
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held]), pa.array([h[1] for h in held]), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], ["host", "id", "slot", "node", "hash"])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -89,31 +116,27 @@ def wrappers(stats: DataFrame) -> DataFrame:
         if held:
             yield done()
 
-    ordered = tree.repartition(n, "host").sortWithinPartitions("host", F.desc("weight"), "id").select("host", "id", "skeleton", "nodes")
-    return ordered.mapInArrow(run, "host string, id long, nodes array<long>")
+    ordered = stats.repartition(n, "host").sortWithinPartitions("host", F.desc_nulls_last("weight"), "id").select("host", "id", "skeleton", "nodes")
+    return ordered.mapInArrow(run, "host string, id long, slot array<long>, node array<long>, hash array<long>")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page, url, text): one row a row of pages."""
     ws = Workspace(pages.sparkSession, "html")
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    table = ws.save(wrappers(statistics(rows)), "wrappers")
-
-    def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [skeleton_id(parse(source.as_py() or "")) for source in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.int64())], [*b.schema.names, "id"])
+    known = ws.save(parsed(rows), "parsed")
+    table = ws.save(wrappers(statistics(known)), "wrappers")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for source, nodes in zip(b.column(2), b.column(3), strict=True):
-                keep = set(nodes.as_py() or [])
-                out.append("\n".join(t for node, noise, t in parse(source.as_py() or "").blocks if not noise and node in keep))
+            for nodes, hashes, texts, slot, node, drop in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
+                inside, template = set(slot), set(zip(node, drop, strict=True))
+                inside = inside if inside.intersection(nodes) else set(nodes)
+                out.append("\n".join(t for k, h, t in zip(nodes, hashes, texts, strict=True) if k in inside and (k, h) not in template))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["page", "url", "text"])
 
-    known = rows.mapInArrow(identify, T.StructType([*rows.schema.fields, T.StructField("id", T.LongType())]))
-    joined = known.join(table, ["host", "id"], "left").select("page", "url", "html", "nodes")
+    joined = known.join(table, ["host", "id"], "left").select("page", "url", "nodes", "hashes", "texts", "slot", "node", "hash")
     kinds = [T.StructField("page", rows.schema["page"].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())]
     return joined.mapInArrow(read, T.StructType(kinds))
 

@@ -1,31 +1,41 @@
 """Wrapper induction for the pages of a host: simple tree matching over skeletons.
 
-Equal skeletons are one, with their number of pages and, per node, the smallest
-and largest hash of its text.  The most frequent skeleton starts the wrapper;
-each later one is matched with it (the largest order-keeping match of trees with
-equal root tags) and what has no match is inserted.  Nodes whose text is the
-same on every page are template, the others are slots.
+Equal skeletons are one, with each node's number of pages and characters and the
+texts that may be template.  The most frequent skeleton starts the wrapper; each
+later one is matched with it (the largest order-keeping match of trees with
+equal root tags) and what has no match is inserted.  The statistics meet in the
+wrapper; each skeleton gets its own slot by them, so layouts of one host don't
+lose their article to each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 CONTAINER = frozenset("html body article main section div td center table tbody tr blockquote".split())
 
 
 class Node:
-    __slots__ = ("chars", "children", "high", "low", "pages", "sig", "tag")
+    __slots__ = ("chars", "children", "every", "pages", "sig", "tag", "texts")
 
     def __init__(self, sig: str):
         self.sig, self.tag = sig, sig.split(".")[0]
         self.children: list[Node] = []
-        self.pages, self.chars, self.low, self.high = 0, 0, None, None
+        self.pages, self.chars, self.every = 0, 0, 0
+        self.texts: Counter[int] = Counter()
 
-    def add(self, pages: int, chars: int, low: int, high: int) -> None:
-        self.pages, self.chars = self.pages + pages, self.chars + chars
-        self.low = low if self.low is None else min(self.low, low)
-        self.high = high if self.high is None else max(self.high, high)
+    def add(self, pages: int, chars: int, every: int, texts: Iterable[tuple[int, int]]) -> None:
+        """every: the texts of all pages; texts: (hash, pages) of those that may be template."""
+        self.pages, self.chars, self.every = self.pages + pages, self.chars + chars, self.every + every
+        for h, n in texts:
+            self.texts[h] += n
+
+    def template(self) -> list[int]:
+        """Hashes of the texts that are no content."""
+        if self.pages < 2 or "." not in self.sig or self.tag.startswith("h") or sum(self.texts.values()) < self.every:
+            return []
+        return sorted(self.texts) if all(n == self.pages for n in self.texts.values()) else []
 
     def walk(self) -> Iterator[Node]:
         yield self
@@ -84,11 +94,43 @@ def merge(wrapper: Node, other: Node, into: dict[int, Node], memo: dict) -> None
                 into[id(n)] = n
 
 
-def induce(skeletons: list[tuple[str, dict[int, tuple[int, int, int, int]]]]) -> list[set[int]]:
-    """skeletons, the most frequent first: (skeleton, per node: pages, characters, smallest and largest text hash).
+def slot_of(skeleton: str, nodes: list[Node]) -> set[int]:
+    """The nodes of a skeleton at and below its slot, by the wrapper's statistics of the nodes it has.
 
-    Returns for each the nodes whose text is content: those below the article's
-    slot that aren't template.
+    The slot is as deep as one container holds most of the text, and no deeper
+    than the article element.  It must hold most of the text of all pages and of
+    an average page, so neither a frequent layout nor one long page decides alone.
+    """
+    parents = [int(line.split(" ", 1)[0]) for line in skeleton.split("\n")]
+    children: list[list[int]] = [[] for _ in parents]
+    total, mean = [n.chars for n in nodes], [n.chars / max(1, n.pages) for n in nodes]
+    own = [int(n.chars > 0) for n in nodes]
+    tags = [line.split(" ", 1)[1].split(".")[0] for line in skeleton.split("\n")]
+    for k in range(len(parents) - 1, 0, -1):
+        total[parents[k]] += total[k]
+        mean[parents[k]] += mean[k]
+        children[parents[k]].insert(0, k)
+    slot = 0
+
+    def most(k: int) -> bool:
+        return total[k] > 0 and total[k] >= 0.8 * total[slot] and mean[k] >= 0.8 * mean[slot]
+
+    while tags[slot] not in ("article", "main") or any(tags[k] == "article" and most(k) for k in children[slot]):
+        inner = [k for k in children[slot] if tags[k] in CONTAINER and most(k)]
+        if not inner or any(tags[k] in ("h1", "h2") and own[k] for k in children[slot]):
+            break
+        slot = inner[0]
+    below = {slot}
+    for k in range(slot + 1, len(parents)):
+        if parents[k] in below:
+            below.add(k)
+    return below
+
+
+def induce(skeletons: list[tuple[str, dict[int, tuple]]]) -> list[tuple[set[int], list[tuple[int, int]]]]:
+    """skeletons, the most frequent first: (skeleton, per node: what ``Node.add`` takes).
+
+    Returns for each the nodes of its slot, and (node, hash) of its template texts.
     """
     wrapper, maps = None, []
     for skeleton, stats in skeletons:
@@ -102,31 +144,11 @@ def induce(skeletons: list[tuple[str, dict[int, tuple[int, int, int, int]]]]) ->
         maps.append([into[id(n)] for n in nodes])
         for k, s in stats.items():
             maps[-1][k].add(*s)
-    mass: dict[int, int] = {}
-    varies: dict[int, bool] = {}
-
-    def weigh(n: Node) -> None:
-        for c in n.children:
-            weigh(c)
-        varies[id(n)] = n.low != n.high or any(varies[id(c)] for c in n.children)
-        mass[id(n)] = n.chars + sum(mass[id(c)] for c in n.children)
-
-    weigh(wrapper)
-    # the slot: as deep as one container holds most of the text, and no deeper than the article element
-    slot = wrapper
-    while slot.tag not in ("article", "main") or any(c.tag == "article" and mass[id(c)] >= 0.8 * mass[id(slot)] for c in slot.children):
-        inner = [c for c in slot.children if c.tag in CONTAINER and mass[id(c)] >= 0.8 * mass[id(slot)] and mass[id(c)]]
-        if not inner or any(c.tag in ("h1", "h2") and c.chars for c in slot.children):
-            break
-        slot = inner[0]
-    content: set[int] = set()
-
-    def keep(n: Node, top: bool) -> None:
-        constant = n.low == n.high and n.pages > 1
-        if top or not (constant and varies[id(slot)] and "." in n.sig and not n.tag.startswith("h")):
-            content.add(id(n))
-        for c in n.children:
-            keep(c, False)
-
-    keep(slot, True)
-    return [{k for k, n in enumerate(m) if id(n) in content} for m in maps]
+    known = {id(n): n.template() for n in wrapper.walk()} if wrapper else {}
+    out = []
+    for (skeleton, _), nodes in zip(skeletons, maps, strict=True):
+        slot = slot_of(skeleton, nodes)
+        # where all of a slot is the same on all pages, that is its content
+        varies = any(nodes[k].every > sum(nodes[k].texts[h] for h in known[id(nodes[k])]) for k in slot)
+        out.append((slot, [(k, h) for k, n in enumerate(nodes) for h in known[id(n)] if varies or k not in slot]))
+    return out

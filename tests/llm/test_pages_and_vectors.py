@@ -38,6 +38,23 @@ def test_copies_and_empty_table(spark):
     assert texts(spark, []) == {}
 
 
+def test_two_layouts_of_a_host(spark):
+    def long(i):
+        return f"<body><div class=menu>m</div><div class=a><p>{f'long {i} ' * 30}</p></div></body>"
+
+    def short(i):
+        return f"<body><div class=menu>m</div><article><p>short {i}</p></article></body>"
+
+    rows = [(i, "http://h.org/", long(i)) for i in range(9)] + [(i, "http://h.org/", short(i)) for i in range(9, 13)]
+    got = texts(spark, rows)
+    assert got == {i: f"long {i} " * 29 + f"long {i}" if i < 9 else f"short {i}" for i in range(13)}
+    # a page copied often does not choose the slot of the other pages
+    rows = [(i, "http://h.org/", "<body><div><p>copied</p></div></body>") for i in range(200)]
+    rows += [(i, "http://h.org/", f"<body><div></div><article><p>page {i}</p></article></body>") for i in range(200, 204)]
+    got = texts(spark, rows)
+    assert got == {i: "copied" if i < 200 else f"page {i}" for i in range(204)}
+
+
 def test_broken_html():
     for source in ("<", "</", "<a", "<p>a<p", "a<b>c</d></b>", "<!-- open", "<script>x", "<p title='a>b", "<" * 50, "<div>" * 3000 + "deep", "<p a=\"1\" b='>'>t"):
         page = dom.parse(source)
