@@ -4,8 +4,8 @@
 2. In each pass a node's key is the concatenation of 64 random one-bit hashes
    (signs of random projections).  All passes are range-partitioned and sorted
    in one shuffle; each vector is compared with its next ``WINDOW`` neighbours
-   in its pass, across partition borders too, and verified links are kept as a
-   forest.
+   in its pass by matrix products, across partition borders too, and verified
+   links are kept as a forest.
 3. Links of all passes are united into components.
 4. Windows are bounded, groups are not: inside a component links are counted
    exactly, in blocks of ``BLOCK`` vectors ordered by their angle to the
@@ -14,9 +14,12 @@
    angles are further apart not at all; only the others are multiplied out.  No
    pairs are written.
 
-The number of passes follows from the number of vectors: enough that a pair
-just at the threshold meets in some window with probability ``recall``.  What no
-pass brings together is missed; the tests and the README give measured recall.
+The number of passes is measured.  ``PROBES`` vectors get a partner just at the
+threshold, and one scan counts how many vectors lie between the two in each of
+``TRIALS`` passes.  The passes are enough that in the densest group of probes, too,
+a pair meets in some window with probability ``recall``, however unevenly the
+vectors are spread; there are 4095 at most.  What no pass brings together is missed; the tests and the
+README give measured recall.
 
 Defined results.  Vectors that are null, empty, zero or hold null or non-finite
 components link with nothing, and neither do rows without id (their component is
@@ -39,17 +42,13 @@ from pyspark.sql import types as T
 from .common import Workspace, partitions
 from .components import components
 
-WINDOW, BLOCK = 32, 1024
+WINDOW, BLOCK = 512, 1024
+#: Vectors that get a partner to measure by, how many of them are judged together, and the passes they are measured in.
+PROBES, GROUP, TRIALS = 512, 32, 32
 #: Angles this close to a bound are multiplied out.
 SLACK = 1e-6
 
 
-def passes_for(n: int, cosine: float, recall: float) -> int:
-    agree = 1 - math.acos(cosine) / math.pi
-    meet = agree ** max(0.0, math.log2(max(2, n) / WINDOW))
-    return max(4, math.ceil(math.log(1 - recall) / math.log(1 - min(meet, 0.999))))
-
-
 def clean(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec, data): the vector's bytes; null where it can't link."""
     single = vectors.schema[vec_col].dataType.elementType == T.FloatType()
@@ -78,6 +77,66 @@ def unit(data: list[bytes], kind: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def sort_keys(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """(row, pass): 64 signs of projections each, as numbers of their order."""
+    bits = (x @ planes > 0).reshape(len(x), -1, 64)
+    return (np.packbits(bits, axis=2).view(">u8")[:, :, 0].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def planes_of(seed: int, size: int, width: int, passes: int) -> np.ndarray:
+    return np.random.default_rng([seed, size]).normal(size=(width, passes * 64))
+
+
+def measured_passes(nodes: DataFrame, total: int, cosine: float, recall: float, kind: str, seed: int) -> int:
+    """Passes by what lies between probes and partners at the threshold; of several lengths of vectors, the most that one needs."""
+    if total <= WINDOW + 1:
+        return 1
+    held: dict[int, list[bytes]] = {}
+    for row in nodes.orderBy("key").limit(PROBES).collect():  # keys are hashes: a sample
+        held.setdefault(len(row["data"]), []).append(bytes(row["data"]))
+    ends: dict[int, np.ndarray] = {}
+    r = np.random.default_rng(seed)
+    for size, data in held.items():
+        x = unit(data, kind)
+        if x.shape[1] > 1:
+            # every other partner lies towards another vector, the rest anywhere
+            to = np.where(np.arange(len(x))[:, None] % 2, x[r.permutation(len(x))], 0) + r.normal(size=x.shape) * 1e-3
+            to -= (to * x).sum(1)[:, None] * x
+            y = cosine * x + (1 - cosine**2) ** 0.5 * to / np.linalg.norm(to, axis=1)[:, None]
+            ends[size] = np.stack([sort_keys(v, planes_of(seed + 1, size, x.shape[1], TRIALS)) for v in (x, y)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {size: np.zeros((TRIALS, 2 * e.shape[1] + 1), np.int64) for size, e in ends.items()}
+        for b in batches:
+            data = b.column(0).to_pylist()
+            sizes = np.array([len(d) for d in data])
+            for size in set(sizes.tolist()) & set(ends):
+                x = unit([d for d in data if len(d) == size], kind)
+                order = sort_keys(x, planes_of(seed + 1, size, x.shape[1], TRIALS))
+                for t in range(TRIALS):
+                    at = np.searchsorted(np.sort(ends[size][:, :, t].ravel()), order[:, t])
+                    counts[size][t] += np.bincount(at, minlength=counts[size].shape[1])
+        for size, c in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(c.size, size)), pa.array(np.arange(c.size)), pa.array(c.ravel())], ["size", "at", "n"])
+
+    needed = 1
+    sums: dict[int, np.ndarray] = {size: np.zeros(TRIALS * (2 * e.shape[1] + 1)) for size, e in ends.items()}
+    for row in nodes.select("data").mapInArrow(run, "size long, at long, n long").groupBy("size", "at").agg(F.sum("n").alias("n")).collect():
+        sums[row["size"]][row["at"]] = row["n"]
+    for size, e in ends.items():
+        below = sums[size].reshape(TRIALS, -1).cumsum(axis=1)
+        between = np.empty(e.shape[1:])
+        for t in range(TRIALS):
+            at = np.searchsorted(np.sort(e[:, :, t].ravel()), e[:, :, t])
+            between[:, t] = abs(below[t][at[0]] - below[t][at[1]])
+        # the first half of the passes ranks the probes by what is between, the other one measures
+        ranked = between[np.argsort(np.log1p(between[:, : TRIALS // 2]).mean(axis=1)), TRIALS // 2 :] < WINDOW
+        for group in np.array_split(ranked, max(1, len(ranked) // GROUP)):
+            meet = max(group.mean(), 0.5 / group.size)
+            needed = max(needed, math.ceil(math.log(1 - recall) / math.log(1 - min(meet, 0.999))))
+    return min(needed, 4095)
+
+
 def projected(nodes: DataFrame, passes: int, kind: str, seed: int) -> DataFrame:
     """nodes: (key, data).  (pass, order, key, data): the sort key of each node in each pass; vectors of one length stay together."""
 
@@ -90,19 +149,19 @@ def projected(nodes: DataFrame, passes: int, kind: str, seed: int) -> DataFrame:
                 of = np.flatnonzero(sizes == size)
                 x = unit([data[i] for i in of], kind)
                 if size not in planes:
-                    planes[size] = np.random.default_rng([seed, int(size)]).normal(size=(x.shape[1], passes * 64))
-                bits = (x @ planes[size] > 0).reshape(len(of), passes, 64)
-                order = np.packbits(bits, axis=2).view(">u8")[:, :, 0].astype(np.uint64) ^ np.uint64(1 << 63)
+                    planes[size] = planes_of(seed, int(size), x.shape[1], passes)
+                order = np.concatenate([sort_keys(x, planes[size][:, 64 * p : 64 * p + 1024]) for p in range(0, passes, 16)], axis=1)
                 part = b.take(pa.array(of))
                 for p in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), int(size) * 4096 + p)), pa.array(order[:, p].view(np.int64)), *part.columns], ["pass", "order", "key", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), int(size) * 4096 + p)), pa.array(order[:, p]), *part.columns], ["pass", "order", "key", "data"])
 
     return nodes.mapInArrow(run, "pass long, order long, key string, data binary")
 
 
 def near(keys: list[str], x: np.ndarray, group: np.ndarray, cosine: float, first: int = 0) -> tuple[list[str], list[str]]:
     """A forest of the links between vectors at most WINDOW apart in the same group; pairs of rows below first are known."""
-    parent = list(range(len(keys)))
+    n = len(keys)
+    parent = np.arange(n)
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -111,15 +170,29 @@ def near(keys: list[str], x: np.ndarray, group: np.ndarray, cosine: float, first
         return i
 
     left, right = [], []
-    for o in range(1, min(WINDOW, len(keys) - 1) + 1):
-        hit = (np.einsum("ij,ij->i", x[:-o], x[o:]) >= cosine) & (group[:-o] == group[o:])
-        hit[: max(0, first - o)] = False
-        for i in np.flatnonzero(hit):
-            a, b = root(i), root(i + o)
-            if a != b:
-                parent[b] = a
-                left.append(keys[i])
-                right.append(keys[i + o])
+    single = x.astype(np.float32)
+    for i in range(0, n, WINDOW):
+        j, end = min(n, i + WINDOW), min(n, i + 2 * WINDOW)
+        if end <= first:
+            continue
+        a, b = np.nonzero(single[i:j] @ single[i:end].T >= np.float32(cosine - 1e-5))
+        a, b = a + i, b + i
+        keep = (b > a) & (b - a <= WINDOW) & (b >= first) & (group[a] == group[b])
+        a, b = a[keep], b[keep]
+        while len(a):
+            # of the pairs still apart, the first of each row is tried
+            label = np.array([root(k) for k in range(i, end)])
+            apart = label[a - i] != label[b - i]
+            a, b = a[apart], b[apart]
+            rows = np.unique(a, return_index=True)[1]
+            hit = np.einsum("ij,ij->i", x[a[rows]], x[b[rows]]) >= cosine
+            for k in rows[hit]:
+                p, q = root(a[k]), root(b[k])
+                if p != q:
+                    parent[q] = p
+                    left.append(keys[a[k]])
+                    right.append(keys[b[k]])
+            a, b = np.delete(a, rows), np.delete(b, rows)
     return left, right
 
 
@@ -169,8 +242,10 @@ def scan(cosine: float, kind: str):
 
 def links(nodes: DataFrame, ws: Workspace, cosine: float, recall: float, kind: str, seed: int = 5) -> DataFrame:
     """(a, b): verified links between nodes (key, data), a forest of each window's."""
-    passes = passes_for(nodes.count(), cosine, recall)
-    n = partitions(nodes.sparkSession)
+    total = nodes.count()
+    passes = measured_passes(nodes, total, cosine, recall, kind, seed)
+    # a window must not reach beyond the next partition
+    n = max(1, min(partitions(nodes.sparkSession), total * passes // (8 * WINDOW)))
     run, over_border = scan(cosine, kind)
     ordered = projected(nodes, passes, kind, seed).repartitionByRange(n, "pass", "order", "key").sortWithinPartitions("pass", "order", "key")
     found = ws.save(ordered.mapInArrow(run, FOUND), "windows")

@@ -139,3 +139,23 @@ def test_recall_of_pairs_at_the_threshold(spark):
     rows = [(int(i), [float(v) for v in z]) for i, z in enumerate(np.concatenate([x, y]))]
     got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("n_links > 0").count()
     assert got / (2 * n) > 0.93
+
+
+def test_recall_in_a_dense_cone(spark):
+    r = np.random.default_rng(8)
+    n, d, mean, pairs = 8000, 64, 0.75, 500
+    x = r.normal(size=(n + pairs, d))
+    x[:, 0] = 0
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    q = (0.92 - mean) / (1 - mean)
+    v = x[n:] - (x[n:] * x[:pairs]).sum(1)[:, None] * x[:pairs]
+    x[n:] = q * x[:pairs] + (1 - q * q) ** 0.5 * v / np.linalg.norm(v, axis=1)[:, None]
+    x *= (1 - mean) ** 0.5
+    x[:, 0] = mean**0.5
+    x[n // 2 : n] = r.normal(size=(n - n // 2, d))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    links = int((unit @ unit.T >= 0.9).sum()) - len(x)
+    assert links >= 2 * pairs
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = embedding_dedup.near_duplicates(df).groupBy().sum("n_links").collect()[0][0]
+    assert 0.95 * links < got <= links
