@@ -30,11 +30,9 @@ from pyspark.sql import types as T
 
 from .common import Workspace, partitions
 from .dom import parse
-from .wrapper import induce
+from .wrapper import SEVERAL, induce
 
 SKELETONS = 256
-#: Distinct pages of a host that a text must stand on to be template.
-SEVERAL = 2
 
 
 def host(url):

@@ -15,6 +15,9 @@ from collections.abc import Iterable, Iterator
 
 CONTAINER = frozenset("html body article main section div td center table tbody tr blockquote".split())
 
+#: A text is template where it stands on this share of the pages that have its node, and on several distinct ones.
+CONSTANT, SEVERAL = 0.9, 2
+
 
 class Node:
     __slots__ = ("chars", "children", "every", "pages", "sig", "tag", "texts")
@@ -32,10 +35,8 @@ class Node:
             self.texts[h] += n
 
     def template(self) -> list[int]:
-        """Hashes of the texts that are no content."""
-        if self.pages < 2 or "." not in self.sig or self.tag.startswith("h") or sum(self.texts.values()) < self.every:
-            return []
-        return sorted(self.texts) if all(n == self.pages for n in self.texts.values()) else []
+        """Hashes of the texts that are no content: those of nearly every page that has the node, wherever among its siblings."""
+        return sorted(h for h, n in self.texts.items() if n >= max(SEVERAL, CONSTANT * self.pages))
 
     def walk(self) -> Iterator[Node]:
         yield self

@@ -55,6 +55,12 @@ def test_two_layouts_of_a_host(spark):
     assert got == {i: "copied" if i < 200 else f"page {i}" for i in range(204)}
 
 
+def test_constant_blocks_without_class(spark):
+    page = "<body><article><h1>T %d</h1>%s<p>Text %d</p><p>All rights reserved</p><div>Write to our letter</div><div id=box>Box</div><h3>More</h3></article></body>"
+    rows = [(i, "http://h.org/", page % (i, "<p>Own</p>" * (i % 3) + f"<p>New {i}</p>" * (i % 2), i)) for i in range(8)]
+    assert texts(spark, rows) == {i: "\n".join([f"T {i}", *["Own"] * (i % 3), *[f"New {i}"] * (i % 2), f"Text {i}"]) for i in range(8)}
+
+
 def test_broken_html():
     for source in ("<", "</", "<a", "<p>a<p", "a<b>c</d></b>", "<!-- open", "<script>x", "<p title='a>b", "<" * 50, "<div>" * 3000 + "deep", "<p a=\"1\" b='>'>t"):
         page = dom.parse(source)
