@@ -12,9 +12,9 @@
    template.  A page without any block there gives all blocks that are none.
 
 Defined results.  Null and empty html give an empty text.  Null urls and urls
-without host are one host.  A host with one page has no template: the page's
-markup alone decides.  Copies of one page show no template either, and have no
-more weight than the page.  Repeated
+without host are one host.  A host with one or two different pages has no
+template: their markup alone decides.  Copies of one page show no template
+either, and have no more weight than the page.  Repeated
 rows and ids get their row each.  Other columns are not read.
 """
 
@@ -80,7 +80,7 @@ def parsed(rows: DataFrame) -> DataFrame:
 
 
 def statistics(pages: DataFrame) -> DataFrame:
-    """pages: of ``parsed``.  (host, id, skeleton, weight, nodes): distinct pages, and per node its pages, characters, texts, and (hash, pages) of each text that several pages of the host have."""
+    """pages: of ``parsed``.  (host, id, skeleton, weight, nodes): distinct pages, and per node its pages, characters, texts, and (hash, pages) of each text that enough pages of the host have to be template."""
     one = pages.groupBy("host", "content").agg(F.min(F.struct("id", "nodes", "hashes", "chars", "marks")).alias("p")).select("host", "p.*")
     # node -1 counts the pages
     page = F.array(F.struct(*(F.lit(v).cast("long").alias(c) for c, v in (("nodes", -1), ("hashes", 0), ("chars", 0), ("marks", 3)))))

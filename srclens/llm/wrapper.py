@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 CONTAINER = frozenset("html body article main section div td center table tbody tr blockquote".split())
 
 #: A text is template where it stands on this share of the pages that have its node, and on several distinct ones.
-CONSTANT, SEVERAL = 0.9, 2
+CONSTANT, SEVERAL = 0.9, 3
 
 
 class Node:

@@ -55,6 +55,15 @@ def test_two_layouts_of_a_host(spark):
     assert got == {i: "copied" if i < 200 else f"page {i}" for i in range(204)}
 
 
+def test_copies_among_other_pages(spark):
+    page = "<body>%s<article><h1>T</h1><p class=lead>Lead</p><p>Text of some length, as articles have it</p><div class=quote>Quote</div></article><div>%s</div></body>"
+    rows = [(1, "http://h.org/a", page % ("", "")), (2, "http://h.org/a?b", page % ("", "")), (3, "http://h.org/c", page % ("<div class=ad>no</div>", "")), (4, "http://h.org/d", page % ("", "May"))]
+    rows += [(i, "http://h.org/", f"<body><article><h1>T {i}</h1><p>Text {i}</p></article></body>") for i in range(5, 9)]
+    got = texts(spark, rows)
+    assert [got[i] for i in range(1, 5)] == ["T\nLead\nText of some length, as articles have it\nQuote"] * 4
+    assert [got[i] for i in range(5, 9)] == [f"T {i}\nText {i}" for i in range(5, 9)]
+
+
 def test_constant_blocks_without_class(spark):
     page = "<body><article><h1>T %d</h1>%s<p>Text %d</p><p>All rights reserved</p><div>Write to our letter</div><div id=box>Box</div><h3>More</h3></article></body>"
     rows = [(i, "http://h.org/", page % (i, "<p>Own</p>" * (i % 3) + f"<p>New {i}</p>" * (i % 2), i)) for i in range(8)]
