@@ -6,8 +6,8 @@
 2. Of pages with the same text on a host one counts.  Per host and skeleton,
    each node's texts and lengths are aggregated: a few rows a skeleton, however
    many pages a host has.  Texts that stand on one page alone count as a number.
-3. A host's skeletons are matched into one wrapper (``wrapper``); more than
-   ``SKELETONS`` of them make further wrappers.
+3. All of a host's skeletons are matched into one wrapper (``wrapper``), one
+   after the other.
 4. The text of a page is its blocks below the slot of its skeleton that are no
    template.  A page without any block there gives all blocks that are none.
 
@@ -21,6 +21,7 @@ rows and ids get their row each.  Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import pyarrow as pa
 import xxhash
@@ -30,9 +31,10 @@ from pyspark.sql import types as T
 
 from .common import Workspace, partitions
 from .dom import parse
-from .wrapper import SEVERAL, induce
+from .wrapper import SEVERAL, Wrapper
 
-SKELETONS = 256
+#: Skeletons whose results are handed on together.
+BATCH = 256
 
 
 def host(url):
@@ -97,22 +99,21 @@ def wrappers(stats: DataFrame) -> DataFrame:
     """(host, id, slot, node, hash): the nodes of each host's skeleton in its slot, and its template texts, each with its node."""
     n = partitions(stats.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def done() -> pa.RecordBatch:
-            found = induce([(h[2], {x["node"]: (x["pages"], x["chars"], x["every"], [(t["hash"], t["n"]) for t in x["texts"]]) for x in h[3] or []}) for h in held])
-            lists = ([sorted(slot) for slot, _ in found], [[k for k, _ in drop] for _, drop in found], [[h for _, h in drop] for _, drop in found])
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held]), pa.array([h[1] for h in held]), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], ["host", "id", "slot", "node", "hash"])
+    def results(name: str, wrapper: Wrapper) -> Iterator[pa.RecordBatch]:
+        for some in batched(wrapper.found(), BATCH):
+            lists = ([sorted(slot) for _, slot, _ in some], [[k for k, _ in drop] for *_, drop in some], [[h for _, h in drop] for *_, drop in some])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array([x[0] for x in some]), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], ["host", "id", "slot", "node", "hash"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, wrapper = None, Wrapper()
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and (row[0] != held[0][0] or len(held) == SKELETONS):
-                    yield done()
-                    held.clear()
-                held.append(row)
-        if held:
-            yield done()
+            for name, key, skeleton, nodes in zip(*b.columns, strict=True):
+                if name.as_py() != at:
+                    yield from results(at, wrapper)
+                    at, wrapper = name.as_py(), Wrapper()
+                stats = {x["node"]: (x["pages"], x["chars"], x["every"], [(t["hash"], t["n"]) for t in x["texts"]]) for x in nodes.as_py() or []}
+                wrapper.add(key.as_py(), skeleton.as_py(), stats)
+        yield from results(at, wrapper)
 
     ordered = stats.repartition(n, "host").sortWithinPartitions("host", F.desc_nulls_last("weight"), "id").select("host", "id", "skeleton", "nodes")
     return ordered.mapInArrow(run, "host string, id long, slot array<long>, node array<long>, hash array<long>")

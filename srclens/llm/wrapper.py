@@ -10,6 +10,9 @@ lose their article to each other.
 
 from __future__ import annotations
 
+import pickle
+import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -128,28 +131,49 @@ def slot_of(skeleton: str, nodes: list[Node]) -> set[int]:
     return below
 
 
-def induce(skeletons: list[tuple[str, dict[int, tuple]]]) -> list[tuple[set[int], list[tuple[int, int]]]]:
-    """skeletons, the most frequent first: (skeleton, per node: what ``Node.add`` takes).
+class Wrapper:
+    """The wrapper of a host.  ``add`` takes its skeletons, the most frequent first; then ``found`` gives each one's result.
 
-    Returns for each the nodes of its slot, and (node, hash) of its template texts.
+    What is held is the wrapper alone; the skeletons wait in a file of the
+    worker, each with the wrapper's nodes that its own ones are.
     """
-    wrapper, maps = None, []
-    for skeleton, stats in skeletons:
+
+    def __init__(self):
+        self.root: Node | None = None
+        self.nodes: list[Node] = []
+        self.number: dict[int, int] = {}
+        self.waiting = tempfile.TemporaryFile()
+
+    def add(self, name: int, skeleton: str, stats: dict[int, tuple]) -> None:
+        """stats: per node of the skeleton what ``Node.add`` takes."""
         nodes = tree(skeleton)
         into: dict[int, Node] = {}
-        if wrapper is None:
-            wrapper = nodes[0]
+        if self.root is None:
+            self.root = nodes[0]
             into = {id(n): n for n in nodes}
         else:
-            merge(wrapper, nodes[0], into, {})
-        maps.append([into[id(n)] for n in nodes])
-        for k, s in stats.items():
-            maps[-1][k].add(*s)
-    known = {id(n): n.template() for n in wrapper.walk()} if wrapper else {}
-    out = []
-    for (skeleton, _), nodes in zip(skeletons, maps, strict=True):
-        slot = slot_of(skeleton, nodes)
-        # where all of a slot is the same on all pages, that is its content
-        varies = any(nodes[k].every > sum(nodes[k].texts[h] for h in known[id(nodes[k])]) for k in slot)
-        out.append((slot, [(k, h) for k, n in enumerate(nodes) for h in known[id(n)] if varies or k not in slot]))
-    return out
+            merge(self.root, nodes[0], into, {})
+        of = array("q")
+        for k, n in enumerate(nodes):
+            met = into[id(n)]
+            if id(met) not in self.number:
+                self.number[id(met)] = len(self.nodes)
+                self.nodes.append(met)
+            of.append(self.number[id(met)])
+            if k in stats:
+                met.add(*stats[k])
+        pickle.dump((name, skeleton, of), self.waiting)
+
+    def found(self) -> Iterator[tuple[int, set[int], list[tuple[int, int]]]]:
+        """(name, the nodes of the slot, (node, hash) of the template texts) of each skeleton."""
+        known = [n.template() for n in self.nodes]
+        own = [n.every > sum(n.texts[h] for h in drop) for n, drop in zip(self.nodes, known, strict=True)]
+        end = self.waiting.tell()
+        self.waiting.seek(0)
+        while self.waiting.tell() < end:
+            name, skeleton, of = pickle.load(self.waiting)
+            slot = slot_of(skeleton, [self.nodes[i] for i in of])
+            # where all of a slot is the same on all pages, that is its content
+            varies = any(own[of[k]] for k in slot)
+            yield name, slot, [(k, h) for k, i in enumerate(of) for h in known[i] if varies or k not in slot]
+        self.waiting.close()

@@ -64,6 +64,16 @@ def test_copies_among_other_pages(spark):
     assert [got[i] for i in range(5, 9)] == [f"T {i}\nText {i}" for i in range(5, 9)]
 
 
+def test_many_skeletons_of_a_host(spark):
+    def page(i):
+        shape = "".join(f"<{t}>x{i}</{t}>" for k, t in enumerate(("h2", "h3", "h4", "h5", "h6", "pre", "dl", "hgroup", "address")) if i >> k & 1)
+        return f"<body><div class=top>Site</div><article><h1>T {i}</h1><p class=note>Note of all</p>{shape}</article></body>"
+
+    rows = [(i, "http://h.org/", page(i)) for i in range(257)]
+    got = texts(spark, rows)
+    assert got == {i: "\n".join([f"T {i}"] + [f"x{i}"] * i.bit_count()) for i in range(257)}
+
+
 def test_constant_blocks_without_class(spark):
     page = "<body><article><h1>T %d</h1>%s<p>Text %d</p><p>All rights reserved</p><div>Write to our letter</div><div id=box>Box</div><h3>More</h3></article></body>"
     rows = [(i, "http://h.org/", page % (i, "<p>Own</p>" * (i % 3) + f"<p>New {i}</p>" * (i % 2), i)) for i in range(8)]
