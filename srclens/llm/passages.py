@@ -5,11 +5,11 @@ nodes are the runs of width - 1 words between neighbours.
 
 1. Each text's edges are compacted where no branch can be told from its own
    content: a run of edges with one anchor (``repeats``) is a path, named by the
-   hash of its words.
+   128-bit digest of its words.
 2. Spark joins equal paths over all texts.  A path that is the only one of its
    anchor does not branch; it stays whole.
 3. Where different paths meet in an anchor, the graph branches: their edges are
-   unpacked, joined by a 128-bit hash, and each learns the source of its words,
+   unpacked, joined by the 128-bit digest of their words, and each learns the source of its words,
    the coordinates (smallest id, text, position) where they stand first.
 4. Neighbouring edges whose sources are neighbours too are compacted again into
    spans (start, end, source); a span whose coordinates don't run on is cut.
@@ -32,55 +32,65 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Workspace
-from .repeats import KEY, RUN, contents, keyed, pieces, runs, shared, union_of, with_text, word_units
-from .rolling import windows
+from .repeats import KEY, NAME, RUN, contents, keyed, pieces, runs, shared, union_of, with_text, word_units
 
 WIDTH, GRAM = 50, 20
-_SECOND = 0xC2B2AE3D27D4EB4F | 1
+#: Edges, or bytes of texts, handed on together.
+FLUSH = 1 << 22
 
 
 def edges(texts: DataFrame, width: int) -> DataFrame:
-    """(t1, t2, text, wanted) to (anchor, content, one, two): the hashes of each wanted path's edges."""
+    """(t1, t2, text, wanted) to (anchor, c1, c2, place, i, one, two): the digest of each edge of the wanted paths, from the words at its source."""
+    names = [*RUN, "doc", "t1", "t2", "pos"]
+    doc = texts.schema["wanted"].dataType.elementType["doc"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, wanted in zip(b.column(2), b.column(3), strict=True):
+            kind = b.column(3).type.value_type.field("doc").type
+            for t1, t2, text, wanted in zip(*b.columns, strict=True):
                 data = np.frombuffer(text.as_py(), np.uint8)
-                values, _ = word_units(data, np.array([len(data)]))
-                one, two = windows(values, width).view(np.int64), windows(values, width, _SECOND).view(np.int64)
-                rows = wanted.as_py()
-                cols = [[r[c] for r in rows] for c in RUN]
-                cut = [[h[r["start"] : r["start"] + r["n"]] for r in rows] for h in (one, two)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), *(pa.array(c, pa.list_(pa.int64())) for c in cut)], [*RUN, "one", "two"])
+                units, rows = word_units(data, np.array([len(data)])), wanted.as_py()
+                n = np.array([r["n"] for r in rows])
+                i = np.concatenate([np.arange(r["n"]) for r in rows])
+                pos = i + np.repeat([r["start"] for r in rows], n)
+                digest = units.digests(pos, pos + width)
+                of = pa.array(np.repeat(np.arange(len(rows)), n))
+                cols = [pa.array([r[c] for r in rows], kind if c == "doc" else pa.int64()).take(of) for c in (*RUN, "doc")]
+                keys = [pa.repeat(t, len(i)) for t in (t1, t2)]
+                yield pa.RecordBatch.from_arrays([*cols, *keys, pa.array(pos), pa.array(i), *(pa.array(np.ascontiguousarray(digest[:, k])) for k in (0, 1))], [*names, "i", "one", "two"])
 
-    return texts.mapInArrow(run, "anchor long, content long, one array<long>, two array<long>")
+    longs = lambda *names: [T.StructField(c, T.LongType()) for c in names]
+    return texts.mapInArrow(run, T.StructType([*longs(*RUN), T.StructField("doc", doc), *longs("t1", "t2", "pos", "i", "one", "two")]))
 
 
 def sources(rows: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(t1, t2, spans array<struct<a, b, owner>>): edges [a, b) of a text stand in document owner, and in none of a smaller id."""
     ws = Workspace(rows.sparkSession, "passages")
     kept = ws.save(shared(runs(rows, width, gram, word_units)), "paths")
-    each = ws.save(contents(kept), "contents").where("doc is not null")
-    branch = each.where("kinds > 1").select(F.col("at.t1").alias("t1"), F.col("at.t2").alias("t2"), F.col("at.start").alias("start"), *RUN, "n")
-    unpacked = edges(with_text(rows, branch), width).dropDuplicates(RUN)
-    place = each.select(*RUN, F.struct("doc", "at").alias("place"))
-    unpacked = unpacked.join(place, RUN).select(*RUN, "place", F.posexplode(F.arrays_zip("one", "two")).alias("i", "h"))
-    unpacked = ws.save(unpacked.select(*RUN, F.col("i").cast("long").alias("i"), F.struct(F.col("place.doc").alias("doc"), F.col("place.at.t1").alias("t1"), F.col("place.at.t2").alias("t2"), (F.col("place.at.start") + F.col("i")).alias("pos")).alias("source"), "h.one", "h.two"), "edges")
-    first = unpacked.groupBy("one", "two").agg(F.min("source").alias("source"))
-    own = unpacked.drop("source").join(first, ["one", "two"])
-    path = Window.partitionBy(*RUN).orderBy("i")  # at most repeats.LONGEST edges
+    each = contents(kept, ws, "contents").where("doc is not null")
+    branch = each.where("kinds > 1").select(F.col("at.t1").alias("t1"), F.col("at.t2").alias("t2"), F.col("at.start").alias("start"), *RUN, "n", "doc")
+    unpacked = edges(with_text(rows, branch), width)
+    unpacked = ws.save(unpacked.select(*NAME, "i", F.struct("doc", "t1", "t2", "pos").alias("source"), "one", "two"), "edges")
+    first = ws.save(unpacked.groupBy("one", "two").agg(F.min("source").alias("source")), "first")
+    own = unpacked.drop("source").join(first, ["one", "two"])  # both are tables, so that AQE can split a hot edge
+    path = Window.partitionBy(*NAME).orderBy("i")  # at most repeats.LONGEST edges
     run_on = (F.lag("source.doc").over(path) == F.col("source.doc")) & (F.lag("source.t1").over(path) == F.col("source.t1")) & (F.lag("source.pos").over(path) + 1 == F.col("source.pos"))
     cut = own.withColumn("new", F.when(F.coalesce(run_on, F.lit(False)), 0).otherwise(1)).withColumn("span", F.sum("new").over(path))
-    spans = cut.groupBy(*RUN, "span").agg(F.min("i").alias("a"), (F.max("i") + 1).alias("b"), F.first("source.doc").alias("owner")).drop("span")
-    whole = each.where("kinds = 1").select(*RUN, F.lit(0).cast("long").alias("a"), F.col("n").alias("b"), F.col("doc").alias("owner"))
+    spans = cut.groupBy(*NAME, "span").agg(F.min("i").alias("a"), (F.max("i") + 1).alias("b"), F.first("source.doc").alias("owner"))
+    spans = spans.groupBy(*NAME).agg(F.collect_list(F.struct("a", "b", "owner")).alias("spans"))
+    whole = each.where("kinds = 1").select(*NAME, F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"), F.col("doc").alias("owner"))).alias("spans"))
     spans = ws.save(spans.unionAll(whole), "spans")
-    ws.drop("edges")
+    ws.drop("edges", "first")
     # a text without a copy of a smaller id keeps what it owns itself
     least = kept.groupBy(*KEY).agg(F.min("doc").alias("own"), F.sum("copies").alias("copies"), F.max("doc").alias("most"))
-    places = kept.select(*RUN, *KEY, "start").join(spans, RUN).join(least, KEY).where("owner < own or own < most or copies > 1")
-    out = places.groupBy(*KEY).agg(F.collect_set(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"), "owner")).alias("spans"))
+    foreign = F.filter("spans", lambda s: (s["owner"] < F.col("own")) | (F.col("own") < F.col("most")) | (F.col("copies") > 1))
+    shifted = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b"), s["owner"].alias("owner")))
+    # one row a place: AQE splits the places of a hot path, whose other side is one row
+    places = ws.save(kept.select(*NAME, *KEY, "start").join(spans, NAME).select(*KEY, shifted.alias("spans")), "places")
+    places = places.join(least, KEY).select(*KEY, foreign.alias("spans")).where(F.size("spans") > 0)
+    out = places.groupBy(*KEY).agg(F.flatten(F.collect_list("spans")).alias("spans"))
     out = ws.save(out, "sources")
-    ws.drop("paths", "contents", "spans")
+    ws.drop("paths", "contents", "spans", "places")
     return out
 
 
@@ -92,29 +102,36 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = keyed(docs, id_col, text_col)
     joined = rows.join(sources(rows, width, gram), KEY, "left").select("doc", "text", "spans")
 
+    names = ["doc", "n_words", "n_removed", "kept_sha256", "spans", "kept"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.string()]
+
+    def row(doc, text: bytes, sources: list[dict]) -> tuple:
+        data = np.frombuffer(text, np.uint8)
+        spans = union_of([(s["a"], s["b"] + width - 1) for s in sources if doc is not None and s["owner"] < doc])
+        total, gone, left, h, blank = 0, sum(e - a for a, e in spans), [], hashlib.sha256(), b""
+        for piece in pieces(data):
+            found = piece.tobytes().split()
+            at = 0
+            for a, e in [*((max(0, a - total), max(0, e - total)) for a, e in spans), (len(found), len(found))]:
+                if at < a and at < len(found):
+                    part = blank + b" ".join(found[at:a])
+                    h.update(part)
+                    left.append(part if texts else b"")
+                    blank = b" "
+                at = max(at, e)
+            total += len(found)
+        return total, gone, h.hexdigest(), [{"a": a, "b": e} for a, e in spans], b"".join(left).decode() if texts else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            first, size, out = 0, 0, []
             for i in range(b.num_rows):
-                doc, data = b.column(0)[i].as_py(), np.frombuffer(b.column(1)[i].as_py(), np.uint8)
-                spans = union_of([(s["a"], s["b"] + width - 1) for s in b.column(2)[i].as_py() or [] if doc is not None and s["owner"] < doc])
-                total, gone, left, h, blank = 0, sum(e - a for a, e in spans), [], hashlib.sha256(), b""
-                for piece in pieces(data):
-                    found = piece.tobytes().split()
-                    at = 0
-                    for a, e in [*((max(0, a - total), max(0, e - total)) for a, e in spans), (len(found), len(found))]:
-                        if at < a and at < len(found):
-                            part = blank + b" ".join(found[at:a])
-                            h.update(part)
-                            left.append(part if texts else b"")
-                            blank = b" "
-                        at = max(at, e)
-                    total += len(found)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, 1), pa.array([total]), pa.array([gone]), pa.array([h.hexdigest()])]
-                    + [pa.array([[{"a": a, "b": e} for a, e in spans]], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))]
-                    + [pa.array([b"".join(left).decode() if texts else None], pa.string())],
-                    ["doc", "n_words", "n_removed", "kept_sha256", "spans", "kept"],
-                )
+                text = b.column(1)[i].as_py()
+                out.append(row(b.column(0)[i].as_py(), text, b.column(2)[i].as_py() or []))
+                size += len(text) if texts else 0
+                if size > FLUSH or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(out)), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names)
+                    first, size, out = i + 1, 0, []
 
     span = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     fields = [T.StructField("doc", docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]

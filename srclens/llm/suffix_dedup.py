@@ -3,12 +3,16 @@
 The suffixes are dealt out by the anchor of their ``width``-byte window: equal
 windows have equal anchors, so what must become neighbours in suffix order is
 always dealt to the same sort.  Runs whose anchor stands once hold no repeat and
-are left out; equal runs are sorted once, with their number.  Each task then
-takes whole anchors, a bounded number of bytes at a time, sorts the sampled
-suffixes by triples, recurses on their names, merges the remaining suffixes and
-compares the first ``width`` bytes of neighbours, byte for byte.  An anchor with
-more than ``SORT_BYTES`` of different runs is not sorted in one task: its
-windows are dealt out one by one by a 128-bit hash of their bytes.
+are left out; equal runs (by a 128-bit digest of their bytes) are sorted once,
+with their number.  Each task then takes whole anchors, a bounded number of
+bytes at a time, sorts the sampled suffixes by triples, recurses on their names,
+merges the remaining suffixes and compares the first ``width`` bytes of
+neighbours, byte for byte.
+
+An anchor with more different bytes than a task sorts at a time is dealt anew
+first, by what its windows share: windows at one place relative to the anchor,
+``STEPS`` of them together, by a hash of the bytes that all of them hold.  What
+stands alone then falls away, and the rest is sorted in the same way.
 
 Defined results.  Null text is empty text.  A text under ``width`` bytes loses
 nothing.  Repeated rows are copies of each other whatever their ids, which may
@@ -28,39 +32,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Workspace, partitions
-from .repeats import KEY, RUN, byte_units, contents, keyed, runs, shared, union_of, with_text
+from .repeats import KEY, NAME, RUN, Units, byte_units, contents, keyed, run_rows, run_schema, runs, shared, union_of, with_text
 from .rolling import BYTE, windows
 from .suffix_sort import suffix_array
 
 WIDTH, GRAM = 400, 128
-#: Bytes sorted at a time, and in one anchor at most.
+#: Bytes sorted at a time; an anchor of more is dealt anew.
 SORT_BYTES = 1 << 20
-_SECOND = 0xC2B2AE3D27D4EB4F | 1
-RANGES = "anchor long, content long, ranges array<struct<a: long, b: long>>, one array<long>, two array<long>"
+#: Windows dealt together when an anchor is dealt anew, and when that was not enough.  Single windows leave nothing to tell apart.
+STEPS = (16, 1)
+#: Bytes of results handed on together.
+FLUSH = 1 << 22
+RANGES = "c1 long, c2 long, ranges array<struct<a: long, b: long>>"
+PAIRS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
 def repeated(texts: list[bytes], many: list[bool], width: int) -> list[np.ndarray]:
     """For each text, for each of its windows: whether the window also starts elsewhere in the texts, or the text has copies."""
     # symbol 0 parts the texts, so that no window of a text equals one that reaches over its end
-    joined = np.zeros(sum(map(len, texts)) + len(texts), np.uint16)
     at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    for t, a in zip(texts, at, strict=False):
-        joined[a : a + len(t)] = np.frombuffer(t, np.uint8).astype(np.uint16) + 1
+    raw = b"\0".join(texts) + bytes(9)
+    joined = np.frombuffer(raw, np.uint8)[: at[-1]].astype(np.uint16) + 1
+    joined[at[1:] - 1] = 0
     order = suffix_array(joined)
     starts = np.zeros(len(joined), bool)
     for t, a in zip(texts, at, strict=False):
         starts[a : a + len(t) - width + 1] = True
     order = order[starts[order]]
     x, y = order[:-1], order[1:]
-    for step in range(0, width, 16):  # adjacent prefixes; fewer pairs are left at every step
-        near = np.arange(step, min(step + 16, width))
-        same = np.ones(len(x), bool)
-        for k in (near[[0, -1]], near):
-            i = np.flatnonzero(same)
-            for part in range(0, len(i), 1 << 16):
-                j = i[part : part + (1 << 16)]
-                same[j] = (joined[x[j, None] + k] == joined[y[j, None] + k]).all(axis=1)
-        x, y = x[same], y[same]
+    # adjacent prefixes, eight bytes at a time; fewer pairs are left at every step, and the last bytes differ most often
+    size = 8 if width >= 8 else 1
+    read = np.ndarray((len(raw) - size + 1,), f"<u{size}", raw, 0, (1,))
+    for step in [width - size, *range(0, width - size, size)]:
+        same = read[x + step] == read[y + step]
+        if not same.all():
+            x, y = x[same], y[same]
     twice = np.zeros(len(joined), bool)
     twice[x] = twice[y] = True
     return [twice[a : a + len(t) - width + 1] | m for t, a, m in zip(texts, at, many, strict=False)]
@@ -72,82 +78,127 @@ def as_ranges(flags: np.ndarray) -> list[dict[str, int]]:
 
 
 def sort_anchors(width: int, limit: int):
-    """Over rows (anchor, content, copies, size, bytes) sorted by anchor, to RANGES; one and two are window hashes of anchors over the limit."""
+    """Over rows (anchor, c1, c2, copies, bytes) sorted by anchor, to RANGES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for b in batches:
-            rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
-            for anchor, content, copies, total, text in rows:
-                if total > limit:
-                    data = BYTE[np.frombuffer(text, np.uint8)]
-                    one, two = windows(data, width).view(np.int64), windows(data, width, _SECOND).view(np.int64)
-                    yield out([(anchor, content, None, one, two)])
-                    continue
-                if held and anchor != held[-1][0] and size > limit:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and row[0] != held[-1][0] and size > limit:
                     yield sorted_(held)
                     held, size = [], 0
-                if held and (anchor, content) == held[-1][:2]:
+                if held and row[:3] == held[-1][:3]:
                     continue
-                held.append((anchor, content, copies > 1, text))
-                size += len(text)
+                held.append(row)
+                size += len(row[4])
         if held:
             yield sorted_(held)
 
     def sorted_(held: list[tuple]) -> pa.RecordBatch:
-        flags = repeated([h[3] for h in held], [h[2] for h in held], width)
-        return out([(h[0], h[1], as_ranges(f), None, None) for h, f in zip(held, flags, strict=True)])
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
-        kinds = (pa.int64(), pa.int64(), pa.list_(pair), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["anchor", "content", "ranges", "one", "two"])
+        flags = repeated([h[4] for h in held], [h[3] > 1 for h in held], width)
+        return pa.RecordBatch.from_arrays([pa.array([h[1] for h in held]), pa.array([h[2] for h in held]), pa.array([as_ranges(f) for f in flags], PAIRS)], [*NAME, "ranges"])
 
     return run
 
 
 def cut_bytes(texts: DataFrame, width: int) -> DataFrame:
-    """(t1, t2, text, wanted) to (anchor, content, copies, size, bytes): the bytes of each wanted run."""
+    """(t1, t2, text, wanted) to (anchor, c1, c2, copies, bytes): the bytes of each wanted run."""
+    names = [*RUN, "copies"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols, cut, size = [[] for _ in names], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(cut, pa.binary())], [*names, "bytes"])
+
         for b in batches:
             for text, wanted in zip(b.column(2), b.column(3), strict=True):
-                whole, rows = text.as_py(), wanted.as_py()
-                cols = [[r[c] for r in rows] for c in ("anchor", "content", "copies", "size")]
-                cut = [whole[r["start"] : r["start"] + r["n"] + width - 1] for r in rows]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(cut, pa.binary())], ["anchor", "content", "copies", "size", "bytes"])
+                whole = text.as_py()
+                for r in wanted.as_py():
+                    for col, c in zip(cols, names, strict=True):
+                        col.append(r[c])
+                    cut.append(whole[r["start"] : r["start"] + r["n"] + width - 1])
+                    size += len(cut[-1])
+                    if size > FLUSH:
+                        yield out()
+                        cols, cut, size = [[] for _ in names], [], 0
+        yield out()
+
+    return texts.mapInArrow(run, "anchor long, c1 long, c2 long, copies long, bytes binary")
 
-    return texts.mapInArrow(run, "anchor long, content long, copies long, size long, bytes binary")
+
+def runs_anew(over: DataFrame, width: int, gram: int, step: int) -> DataFrame:
+    """over: (anchor, c1, c2, copies, bytes).  As ``repeats.runs``, of runs keyed by their own digest: ``step`` windows that stand alike relative to their anchor together.
+
+    The new anchor is a hash of the old one, of that place and of the bytes that any such windows share.
+    """
+    step = min(step, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, keys = [], []
+            for anchor, c1, c2, copies, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                data = np.frombuffer(text, np.uint8)
+                last = len(data) - width + 1
+                first = np.arange(last)
+                if step > 1:  # the anchor of the first dealing: where it stands in each window
+                    at = np.flatnonzero(windows(BYTE[data], gram).view(np.int64) == anchor)
+                    first = at[np.searchsorted(at, first)]
+                block = (first - np.arange(last)) // step
+                edge = np.flatnonzero(np.r_[True, (np.diff(first) != 0) | (np.diff(block) != 0)])
+                for s, e in zip(edge.tolist(), [*edge[1:].tolist(), last], strict=True):
+                    low = int(first[s]) - step * int(block[s])
+                    core = text[low : low + width - step + 1]
+                    new = hashlib.blake2b(core, digest_size=8, key=f"{anchor} {block[s]}".encode()).digest()
+                    name = hashlib.blake2b(text[s : e + width - 1], digest_size=16).digest()
+                    rows.append((int.from_bytes(new), np.frombuffer(name, np.int64), copies, s, e - s))
+                    keys.append((c1, c2))
+            if rows:
+                anchors, digests, copies, start, n = zip(*rows, strict=True)
+                t1, t2 = (pa.array(c, pa.int64()) for c in zip(*keys, strict=True))
+                yield run_rows(np.array(anchors, np.uint64), np.array(digests), [t1, t2], pa.nulls(len(rows), pa.int64()), np.array(copies), np.array(start), np.array(n), np.zeros(len(rows), bool))
+
+    return over.mapInArrow(run, run_schema(T.LongType()))
 
 
 def repeated_ranges(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, limit: int = SORT_BYTES) -> DataFrame:
     """(t1, t2, ranges): where the windows start that also start elsewhere, per text that has one."""
-    spark = rows.sparkSession
-    ws = Workspace(spark, "suffix-dedup")
-    n = partitions(spark)
-    kept = ws.save(shared(runs(rows, width, gram, byte_units)), "runs")
-    each = ws.save(contents(kept), "contents")
-    alone = "kinds = 1 and not twice"  # one content, in several places: its windows are repeated as a whole
+    return _ranges(rows, runs(rows, width, gram, byte_units), Workspace(rows.sparkSession, "suffix-dedup"), width, gram, limit, 0)
+
+
+def _ranges(rows: DataFrame, all_runs: DataFrame, ws: Workspace, width: int, gram: int, limit: int, level: int) -> DataFrame:
+    """rows: (doc, t1, t2, text), all_runs: their runs.  (t1, t2, ranges): see ``repeated_ranges``; level: how often the anchors were dealt anew."""
+    n, name = partitions(rows.sparkSession), lambda x: f"{x}{level}"
+    kept = ws.save(shared(all_runs), name("runs"))
+    each = contents(kept, ws, name("contents"))
+    alone = F.expr("kinds = 1 and not twice")  # one content, in several places: its windows are repeated as a whole
     size = F.col("size") + F.col("kinds") * (width - 1)
-    wanted = each.where(f"not ({alone})").select(F.col("at.t1").alias("t1"), F.col("at.t2").alias("t2"), F.col("at.start").alias("start"), *RUN, "copies", "n", size.alias("size"))
-    pieces = cut_bytes(with_text(rows, wanted), width)
-    done = pieces.repartition(n, "anchor").sortWithinPartitions(*RUN).mapInArrow(sort_anchors(width, limit), RANGES)
-    done = ws.save(done, "sorted")
-    found = done.where("ranges is not null").select(*RUN, F.explode("ranges").alias("r")).select(*RUN, "r.a", "r.b")
-    whole = each.where(alone).select(*RUN, F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))
-    over = done.where("ranges is null").select(*RUN, F.posexplode(F.arrays_zip("one", "two")).alias("a", "h")).select(*RUN, F.col("a").cast("long"), "h.one", "h.two")
-    over = over.join(each.select(*RUN, "copies"), RUN)
-    often = over.groupBy("one", "two").agg(F.sum("copies").alias("times")).where("times > 1").select("one", "two")
-    single = over.join(often, ["one", "two"], "left_semi").select(*RUN, "a", (F.col("a") + 1).alias("b"))
-    parts = found.unionAll(whole).unionAll(single)
-    places = kept.select(*RUN, *KEY, "start").join(parts, RUN)
-    out = places.groupBy(*KEY).agg(F.collect_set(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("ranges"))
-    out = ws.save(out, "ranges")
-    ws.drop("runs", "contents", "sorted")
+    large = (size > limit) if level < len(STEPS) else F.lit(False)
+    wanted = each.where(~alone).select(F.col("at.t1").alias("t1"), F.col("at.t2").alias("t2"), F.col("at.start").alias("start"), *RUN, F.least("copies", F.lit(2)).alias("copies"), "n", large.alias("large"))
+    pieces = cut_bytes(with_text(rows, wanted.where("not large")), width)
+    done = ws.save(pieces.repartition(n, "anchor").sortWithinPartitions(*RUN).mapInArrow(sort_anchors(width, limit), RANGES), name("sorted"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b"))).alias("ranges")
+    parts = done.where(F.size("ranges") > 0).unionAll(each.where(alone).select(*NAME, whole))
+    if level < len(STEPS) and not wanted.where("large").isEmpty():
+        over = ws.save(cut_bytes(with_text(rows, wanted.where("large")), width), name("over"))
+        texts = over.select(F.lit(None).cast("long").alias("doc"), F.col("c1").alias("t1"), F.col("c2").alias("t2"), F.col("bytes").alias("text"))
+        inner = _ranges(texts, _anew(over, width, gram, level), ws, width, gram, limit, level + 1)
+        parts = parts.unionAll(inner.select(F.col("t1").alias("c1"), F.col("t2").alias("c2"), "ranges"))
+    # one row a place: AQE splits the places of a hot content, whose other side is one row
+    places = kept.select(*NAME, *KEY, "start").join(parts, NAME)
+    shifted = F.transform("ranges", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))
+    out = places.groupBy(*KEY).agg(F.flatten(F.collect_list(shifted)).alias("ranges"))
+    out = ws.save(out, name("ranges"))
+    ws.drop(name("runs"), name("contents"), name("sorted"), name("over"))
     return out
 
 
+def _anew(over: DataFrame, width: int, gram: int, level: int) -> DataFrame:
+    """The runs of ``over``, dealt anew."""
+    return runs_anew(over.select(*RUN, "copies", "bytes"), width, gram, STEPS[level])
+
+
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, limit: int = SORT_BYTES, texts: bool = True) -> DataFrame:
     """(doc, n_bytes, n_removed, n_spans, kept_sha256, spans, kept): one row a row of docs.
 
@@ -156,23 +207,28 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = keyed(docs, id_col, text_col)
     joined = rows.join(repeated_ranges(rows, width, gram, limit), KEY, "left").select("doc", "text", "ranges")
 
+    names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), PAIRS, pa.binary()]
+
+    def row(text: bytes, ranges: list[dict]) -> tuple:
+        spans = union_of([(r["a"], r["b"] + width - 1) for r in ranges])
+        view, at, left, h = memoryview(text), 0, [], hashlib.sha256()
+        for a, e in [*spans, (len(text), len(text))]:
+            left.append(view[at:a])
+            h.update(view[at:a])
+            at = e
+        return len(text), sum(e - a for a, e in spans), len(spans), h.hexdigest(), [{"a": a, "b": e} for a, e in spans], b"".join(left) if texts else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            first, size, out = 0, 0, []
             for i in range(b.num_rows):
                 text = b.column(1)[i].as_py()
-                spans = union_of([(r["a"], r["b"] + width - 1) for r in b.column(2)[i].as_py() or []])
-                view, at, left, h = memoryview(text), 0, [], hashlib.sha256()
-                for a, e in [*spans, (len(text), len(text))]:
-                    left.append(view[at:a])
-                    h.update(view[at:a])
-                    at = e
-                gone = sum(e - a for a, e in spans)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, 1), pa.array([len(text)]), pa.array([gone]), pa.array([len(spans)]), pa.array([h.hexdigest()])]
-                    + [pa.array([[{"a": a, "b": e} for a, e in spans]], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))]
-                    + [pa.array([b"".join(left) if texts else None], pa.binary())],
-                    ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"],
-                )
+                out.append(row(text, b.column(2)[i].as_py() or []))
+                size += len(text) if texts else 0
+                if size > FLUSH or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(out)), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names)
+                    first, size, out = i + 1, 0, []
 
     longs = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
     span = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])

@@ -34,10 +34,12 @@ def test_sliding_min_and_spans():
 
 def test_long_texts_in_pieces(monkeypatch):
     text = np.frombuffer(b"  one two\tthree " * 50 + b"x" * 300 + b" end", np.uint8)
-    whole, _ = repeats.word_units(text, np.array([len(text)]))
+    whole = repeats.word_units(text, np.array([len(text)]))
     monkeypatch.setattr(repeats, "PIECE", 16)
-    parts, _ = repeats.word_units(text, np.array([len(text)]))
-    assert whole.tolist() == parts.tolist() and len(whole) == 152
+    parts = repeats.word_units(text, np.array([len(text)]))
+    assert whole.values.tolist() == parts.values.tolist() and len(whole.values) == 152
+    i = np.arange(150)
+    assert whole.digests(i, i + 2).tolist() == parts.digests(i, i + 2).tolist()
     assert b"".join(p.tobytes() for p in repeats.pieces(text)) == text.tobytes()
 
 
@@ -107,3 +109,26 @@ def test_passages(spark, seed):
 def test_empty_tables(spark):
     assert suffix_dedup.dedup_bytes(docs(spark, [])).collect() == []
     assert passages.dedup_passages(docs(spark, [])).collect() == []
+
+
+def test_anchors_dealt_anew_at_full_width(spark):
+    """One passage in many documents with other surroundings, exact copies of one text and near copies of another; small limits deal all of them anew."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage, base = " ".join(word() for _ in range(100)), [word() for _ in range(200)]
+    rows = [(d, " ".join([*(word() for _ in range(r.randint(0, 40))), passage, *(word() for _ in range(r.randint(0, 40)))])) for d in range(60)]
+    rows += [(100 + d, " ".join(base)) for d in range(30)]
+    rows += [(200 + d, " ".join(word() if i in (20 + d, 150) else w for i, w in enumerate(base))) for d in range(30)]
+    want = bytes_brute(rows, 400)
+    for limit in (1 << 20, 5000, 500):
+        got = suffix_dedup.dedup_bytes(docs(spark, rows), limit=limit).select("doc", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+        assert sorted(map(tuple, got), key=repr) == want
+    assert len({tuple(sorted(x.items())) for x in [{"removed": w[2]} for w in want]}) > 5
+
+
+def test_hot_anchor_sends_few_rows(spark):
+    """A batch sends one row of a hot anchor to the task that decides; the others are dealt out by text."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = repeats.keyed(docs(spark, [(d, f"{text} {d}") for d in range(500)]).coalesce(1), "doc_id", "text")
+    got = repeats.runs(rows, 100, 20, repeats.byte_units).where(f"known <> {repeats.SURE}").groupBy("anchor").count()
+    assert got.agg({"count": "max"}).collect()[0][0] == 1
