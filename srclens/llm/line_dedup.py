@@ -26,6 +26,8 @@ from .common import Workspace, ascii_lower, partitions
 
 WHITE = " \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
+#: Ids that the borders of batches are taken from.
+SAMPLE = 1000
 
 
 def line_key(line):
@@ -86,6 +88,18 @@ class LineIndex:
         self.levels = []
 
 
+def borders(ids: DataFrame, batches: int) -> list:
+    """ids: (doc), of any type that has an order.  Up to batches - 1 ids that cut them into batches of about equal size, from a sample of ``SAMPLE`` by hash."""
+    picked = ids.where("doc is not null").orderBy(F.xxhash64("doc"), "doc").limit(SAMPLE)
+    found = picked.agg(F.sort_array(F.collect_list("doc")).alias("ids")).first()["ids"]
+    out = []
+    for i in range(1, batches):
+        cut = found[len(found) * i // batches] if found else None
+        if cut is not None and (not out or cut != out[-1]):
+            out.append(cut)
+    return out
+
+
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
     """(doc, text64, drops): the positions of the lines that each document loses, as a flag for every line up to the last of them."""
     spark = docs.sparkSession
@@ -98,19 +112,20 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select("doc", "text64", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
     )
     lines = ws.save(lines, "lines")
-    cuts = lines.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
-    edges = [None, *sorted(set(cuts)), None]
+    edges = [None, *borders(docs.select(F.col(id_col).alias("doc")), batches), None]
     index = LineIndex(spark, fanout)
     drops = []
-    for i in range(len(edges) - 1):
-        low, high = edges[i], edges[i + 1]
-        inside = F.lit(True) if low is None else F.col("doc") > low
-        batch = lines.where(inside if high is None else inside & (F.col("doc") <= high))
-        owners = index.owners(batch.select("doc", *KEY), ws, f"owners{i}")
-        drops.append(ws.save(batch.join(owners, KEY).where("doc <> owner").select("doc", "text64", "pos"), f"drops{i}"))
-        ws.drop(f"owners{i}")
-    index.drop()
-    ws.drop("lines")
+    try:
+        for i in range(len(edges) - 1):
+            low, high = edges[i], edges[i + 1]
+            inside = F.lit(True) if low is None else F.col("doc") > low
+            batch = lines.where(inside if high is None else inside & (F.col("doc") <= high))
+            owners = index.owners(batch.select("doc", *KEY), ws, f"owners{i}")
+            drops.append(ws.save(batch.join(owners, KEY).where("doc <> owner").select("doc", "text64", "pos"), f"drops{i}"))
+            ws.drop(f"owners{i}")
+    finally:
+        index.drop()
+        ws.drop("lines")
     at = reduce(DataFrame.unionAll, drops).groupBy("doc", "text64").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     flags = F.expr("flatten(transform(at, (p, j) -> concat(array_repeat(false, p - if(j = 0, -1, at[j - 1]) - 1), array(true))))")
     return at.select("doc", "text64", flags.alias("drops"))

@@ -41,6 +41,22 @@ def test_lines(spark, batches, fanout):
     assert sorted(map(tuple, got), key=repr) == lines_brute(rows)
 
 
+def test_lines_of_string_ids(spark):
+    r = random.Random(8)
+    rows = [(r.choice("abcé日-") * r.randint(1, 3) + str(d), "\n".join(f"a line number {r.randint(0, 20)}" for _ in range(4))) for d in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id string, text string")
+    got = line_dedup.dedup_lines(frame, batches=4, fanout=2).select("doc", "n_lines", "n_dropped", "kept").collect()
+    assert sorted(map(tuple, got), key=repr) == lines_brute(rows)
+    assert len(line_dedup.borders(frame.selectExpr("doc_id as doc"), 4)) == 3
+
+
+def test_runs_are_dropped_when_a_batch_fails(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup.LineIndex, "compact", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        line_dedup.dedup_lines(docs(spark, [(1, "a line number 1"), (2, "a line number 1")]))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_runs_")]
+
+
 def test_lines_keep_other_columns(spark):
     got = line_dedup.without_repeated_lines(docs(spark, [(1, "the same line\nb"), (2, "the same line\nc"), (3, None)])).collect()
     assert sorted((x["doc_id"], x["text"], x["doc"], x["pos"]) for x in got if x["text"] is not None) == [(1, "the same line\nb", "x", 2), (2, "c", "x", 2)]
