@@ -6,7 +6,8 @@ Learns from a bounded, documented sample of labelled rows: of each label the
 never learned from.  Scoring reads every text to its end.
 
 Defined results.  Null text scores as empty text.  Labels other than 0 and 1,
-and labels without a text, teach nothing; without any labels the score is the
+labels that contradict each other, and labels without a text teach nothing; of
+texts that share an id the smallest teaches; without any labels the score is the
 untrained network's.  Rows without id score like any other and their held_out
 is null.  Repeated rows score alike.  Other columns are not read.
 """
@@ -34,7 +35,7 @@ def held_out(id_col):
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[list[np.ndarray], np.ndarray]:
     """The training rows, on the driver: at most sum(TRAIN_ROWS) * TRAIN_BYTES bytes."""
-    open_ = labels.where(~held_out(id_col)).select(F.col(id_col).alias("doc"), F.col(label_col).alias("label")).dropDuplicates(["doc"])
+    open_ = labels.where(~held_out(id_col)).groupBy(F.col(id_col).alias("doc")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("most")).where("label = most").drop("most")
     picked = [open_.where(F.col("label") == k).orderBy(F.xxhash64("doc"), "doc").limit(n) for k, n in TRAIN_ROWS.items()]
     ids = [r for part in picked for r in part.collect()]
     if not ids:
@@ -43,7 +44,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     wanted = spark.createDataFrame(ids, open_.schema)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc"), text.alias("text")).where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(wanted), "doc")
-    got = rows.dropDuplicates(["doc"]).select("doc", "text", "label").collect()
+    got = rows.groupBy("doc", "label").agg(F.min("text").alias("text")).collect()
     got.sort(key=lambda r: r["doc"])
     return [np.frombuffer(bytes(r["text"]), np.uint8) for r in got], np.array([r["label"] for r in got])
 
