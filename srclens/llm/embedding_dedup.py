@@ -74,6 +74,7 @@ def clean(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def unit(data: list[bytes], kind: str) -> np.ndarray:
     x = np.frombuffer(b"".join(data), kind).reshape(len(data), -1).astype(np.float64)
+    x = x / abs(x).max(axis=1, keepdims=True)  # squares of very large or small components are none
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
