@@ -15,6 +15,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 #: The header fields of ARC versions 1 and 2.
 FIELDS = {
@@ -66,7 +67,7 @@ def exactly(f: BinaryIO, n: int) -> bytes:
 
 def token(value: str | None) -> str:
     """A header field: white space and controls percent-encoded, '-' for none."""
-    return "".join(f"%{b:02X}" if b <= 32 or b == 127 else chr(b) for b in value.encode()).encode("latin-1").decode() if value else "-"
+    return "".join(f"%{ord(c):02X}" if c <= " " or c == "\x7f" else c for c in value) if value else "-"
 
 
 def arc_block(version: int, name: str, date: str) -> bytes:
@@ -103,8 +104,16 @@ def read_arc(f: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError("a record's checksum is not that of its bytes")
 
 
-def http_block(page: str, payload: bytes) -> bytes:
-    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {page}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+def http_block(page: str | None, payload: bytes) -> bytes:
+    """A page's HTTP response; its id is percent-encoded, and none has no field."""
+    own = "" if page is None else f"X-Page-Id: {quote(page, safe='')}\r\n"
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n".encode() + payload
+
+
+def page_of(fields: dict[str, str]) -> str | None:
+    """The id that ``http_block`` wrote."""
+    own = fields.get("x-page-id")
+    return None if own is None else unquote(own)
 
 
 def split_http(block: bytes) -> tuple[bytes, dict[str, str], bytes]:

@@ -70,7 +70,7 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
                         offset = len(block) + 1
                         n += 1
                         yield (block,)
-                    record = arc.arc_record(version, name, url.as_py(), date, arc.http_block(page.as_py() or "-", html.as_py() or b""), offset)
+                    record = arc.arc_record(version, name, url.as_py(), date, arc.http_block(page.as_py(), html.as_py() or b""), offset)
                     offset += len(record) + 1
                     n += 1
                     yield (record,)
@@ -92,13 +92,12 @@ def _files(spark: SparkSession, path: str, schema: str, names: list[str], kinds:
 
 
 def read_arc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """(page, url, date, head, payload, bytes, digest) of each record of the ARC archives below path; page is null for '-'."""
+    """(page, url, date, head, payload, bytes, digest) of each record of the ARC archives below path; page is null where the record names none."""
 
     def each(data: bytes) -> Iterator[tuple]:
         for head, content in arc.read_arc(arc.stream(data)):
             http, fields, body = arc.split_http(content)
-            page = fields.get("x-page-id", "-")
-            yield (None if page == "-" else page, head["URL"], head["Archive-date"], http, body if payload else None, len(body), hashlib.sha256(body).hexdigest())
+            yield (arc.page_of(fields), head["URL"], head["Archive-date"], http, body if payload else None, len(body), hashlib.sha256(body).hexdigest())
 
     names = ["page", "url", "date", "head", "payload", "bytes", "digest"]
     kinds = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.string()]
@@ -119,6 +118,9 @@ def convert(spark: SparkSession, source: str, target: str, id_type: str = "long"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
 
+        def own(page: str | None) -> str:
+            return "none" if page is None else f"page {page}"
+
         def records() -> Iterator[tuple[bytes]]:
             n = 0
             for b in batches:
@@ -129,12 +131,12 @@ def convert(spark: SparkSession, source: str, target: str, id_type: str = "long"
                         n += 1
                         yield (arc.warc("warcinfo", fields, b"software: srclens\r\nformat: WARC File Format 1.1\r\n"),)
                     d = digest.as_py()
-                    fields = [("WARC-Record-ID", arc.record_id(page.as_py() or "-", d)), ("WARC-Date", when), ("WARC-Target-URI", url.as_py()), ("WARC-Payload-Digest", f"sha256:{d}"), ("Content-Type", "application/http; msgtype=response")]
+                    fields = [("WARC-Record-ID", arc.record_id(own(page.as_py()), d)), ("WARC-Date", when), ("WARC-Target-URI", url.as_py()), ("WARC-Payload-Digest", f"sha256:{d}"), ("Content-Type", "application/http; msgtype=response")]
                     n += 1
                     if refers.as_py() is None:
                         yield (arc.warc("response", fields, head.as_py() + (payload.as_py() or b"")),)
                     else:
-                        fields += [("WARC-Profile", arc.REVISIT), ("WARC-Refers-To", arc.record_id(refers.as_py(), d)), ("WARC-Refers-To-Target-URI", first_url.as_py()), ("WARC-Refers-To-Date", when)]
+                        fields += [("WARC-Profile", arc.REVISIT), ("WARC-Refers-To", arc.record_id(own(refers.as_py()), d)), ("WARC-Refers-To-Target-URI", first_url.as_py()), ("WARC-Refers-To-Date", when)]
                         yield (arc.warc("revisit", fields, head.as_py()),)
 
         yield from _batches(records(), ["value"], [pa.binary()])
@@ -158,9 +160,8 @@ def read(spark: SparkSession, path: str, id_type: str = "long", html: bool = Fal
             stated = head["warc-payload-digest"].removeprefix("sha256:")
             if kind == "response" and hashlib.sha256(body).hexdigest() != stated:
                 raise ValueError("a payload's digest is not that of its bytes")
-            page = http.get("x-page-id", "-")
             size = len(body) if kind == "response" else int(http["content-length"])
-            yield (None if page == "-" else page, head["warc-target-uri"], head["warc-record-id"], kind, size, stated, head.get("warc-refers-to"), body if html else None)
+            yield (arc.page_of(http), head["warc-target-uri"], head["warc-record-id"], kind, size, stated, head.get("warc-refers-to"), body if html else None)
 
     names = ["page", "url", "record_id", "record_type", "bytes", "digest", "refers_id", "html"]
     kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.string(), pa.binary()]
