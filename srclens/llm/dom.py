@@ -10,7 +10,8 @@ from __future__ import annotations
 import html
 import re
 
-DEPTH = 60
+#: Far below the interpreter's limit of recursion.
+DEPTH = 250
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?/][^a-zA-Z][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*>?|<([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^<]*\Z""", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -22,13 +23,13 @@ BLOCK = frozenset(
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ENDS_P = BLOCK - {"title", "noscript", "html", "head", "body"}
 DROP = frozenset("script style noscript template nav aside footer form button select option input textarea iframe object embed svg canvas dialog menu head title search noembed noframes audio video map".split())
-#: Words of class and id that mark what is not the article.
+#: Words of class and id that mark what is not the article, where they are all that a name says.
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar rail nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup social share sharing related recommended recommendations trending comments comment commentlist disqus respond replies reactions pagination pager widget toolbar login search skip tags hidden copyright".split()
 )
+#: Words that say nothing beside those: what a box looks like or where it stands.
+PLACES = frozenset("area bar bottom box button buttons col column container fixed form global group header icon icons inner item items left link links list mobile module outer page panel primary right row secondary section site sticky top unit wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
-#: Words that mark a container of the article itself, whatever else its class says.
-BODY = frozenset("article story entry post content main".split())
 WHITE = re.compile(r"\s+")
 
 
@@ -48,14 +49,23 @@ def words_of(value: str) -> list[str]:
     return [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if w]
 
 
+def names_noise(value: str) -> bool:
+    """Whether one of the names in a class or id says that this is no article, and nothing else: ad-box does, alert-text does not."""
+    for name in value.split():
+        words = set(words_of(name))
+        if words & NOISE and words <= NOISE | PLACES:
+            return True
+    return False
+
+
 def _kind(tag: str, attrs: str, in_article: bool) -> tuple[str, bool]:
-    """Signature of a block element, and whether it is no part of an article."""
+    """Signature of a block element, and whether its own markup says that it is no part of an article."""
     noise, cls = tag in DROP or (tag == "header" and not in_article), ""
-    if attrs and "=" in attrs or "hidden" in attrs:
+    if attrs and ("=" in attrs or "hidden" in attrs):
         a = {k.lower(): v.strip("\"'") for k, v in ATTR.findall(attrs)}
         cls = " ".join(words_of(a.get("class", "")))
-        marks = set(words_of(a.get("class", "")) + words_of(a.get("id", "")))
-        noise = noise or (bool(marks & NOISE) and tag not in ("html", "body", "article", "main") and not marks & BODY - {"post", "content"}) or bool({"ad", "ads", "comments", "comment", "related", "sidebar"} & marks and tag not in ("html", "body", "article", "main"))
+        if tag not in ("html", "body", "article", "main"):
+            noise = noise or names_noise(a.get("class", "")) or names_noise(a.get("id", ""))
         noise = noise or a.get("role", "") in ROLES or a.get("aria-hidden") == "true" or "hidden" in a or "display:none" in a.get("style", "").replace(" ", "")
     return f"{tag}.{cls}" if cls else tag, noise
 

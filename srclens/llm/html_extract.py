@@ -1,8 +1,9 @@
 """HTML extraction (operator 3) by wrapper induction.
 
 1. Every page is parsed into blocks and a skeleton of its block elements.  What
-   its own markup says is no article (menus, headers, footers, forms, notices,
-   adverts, comments) has no weight.
+   its own markup says is no article and nothing else (elements such as nav and
+   form, names such as ad-box or comments) has no weight: adverts and reader
+   comments vary like an article, and no alignment tells them from it.
 2. Of pages with the same text on a host one counts.  Per host and skeleton,
    each node's texts and lengths are aggregated: a few rows a skeleton, however
    many pages a host has.  Texts that stand on one page alone count as a number.

@@ -1,5 +1,8 @@
 import gzip
 import io
+import os
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -80,6 +83,49 @@ def test_constant_blocks_without_class(spark):
     assert texts(spark, rows) == {i: "\n".join([f"T {i}", *["Own"] * (i % 3), *[f"New {i}"] * (i % 2), f"Text {i}"]) for i in range(8)}
 
 
+def boilerplate(i):
+    """A page whose menu, notice, sidebar and footer are plain boxes, and whose article has names that only mention such things."""
+    head = "<div><p>Home About Contact</p></div><div><div>We use cookies</div></div>"
+    text = f'<h1>T {i}</h1><p class="alert-text">Alert {i}</p><div class="tags-intro">Tags {i}</div><p id="comment-law">Law {i}</p><p>Long text of page {i} and more of it</p>'
+    return f"<body>{head}<article>{text}<p>Read our letter</p></article><div><ul><li>Latest</li><li>Oldest</li></ul></div><div>All rights</div></body>"
+
+
+def test_induction_takes_what_no_list_names(spark):
+    rows = [(i, "http://h.org/", boilerplate(i)) for i in range(20)]
+    want = {i: f"T {i}\nAlert {i}\nTags {i}\nLaw {i}\nLong text of page {i} and more of it" for i in range(20)}
+    assert texts(spark, rows) == want
+    alone = {i: "\n".join(t for _, noise, t in dom.parse(h).blocks if not noise) for i, _, h in rows}
+    assert all(len(alone[i]) > len(want[i]) for i in want)  # markup and names alone don't give it
+
+
+def test_lists_change_no_page_of_a_host_with_several(spark):
+    """On hosts of several pages the wrapper finds the same text of the test pages without any list of elements and names."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    pages = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{folder}/pages.parquet").collect()]
+    unnamed = [(i, u, re.sub(r"<(/?)(nav|footer|aside)\b", r"<\1div", h or "").replace('class="ad"', "")) for i, u, h in pages]
+    assert any("<nav" in h for *_, h in pages) and not any("<nav" in h or "<footer" in h for *_, h in unnamed)
+    of = {i: re.sub("^[a-z]+://([^/]*).*$", r"\1", u) for i, u, _ in pages}
+    size = Counter(of[i] for i in {h: i for i, _, h in pages}.values())
+    several = {i for i in of if size[of[i]] >= 5}
+    got, want = texts(spark, unnamed), texts(spark, pages)
+    assert len(several) > 90 and [i for i in several if got[i] != want[i]] == []
+
+
+def test_long_pages_ties_and_clashing_columns(spark):
+    long = "<body><article><h1>L</h1>" + "".join(f"<p>part {k} of a long page</p>" for k in range(20_000)) + "</article><div>foot</div></body>"
+    two = [f"<body><div><p>{w} one</p></div><div><p>{w} two</p></div></body>" for w in ("a", "b", "c")]  # equal masses
+    got = texts(spark, [(1, "http://l.org/", long), *((i + 2, "http://t.org/", h) for i, h in enumerate(two)), (2, "http://t.org/", two[0])])
+    assert got[1] == "\n".join(["L", *(f"part {k} of a long page" for k in range(20_000))])
+    assert [got[i] for i in (2, 3, 4)] == ["a one\na two", "b one\nb two", "c one\nc two"]
+
+
+def test_names_that_mention():
+    assert all(dom.names_noise(v) for v in ("ad", "ad-box", "x comments", "cookieNotice", "site-footer", "nav_menu top"))
+    assert not any(dom.names_noise(v) for v in ("", "alert-text", "tags-intro", "comment-law", "adage", "page-header", "post"))
+
+
 def test_broken_html():
     for source in ("<", "</", "<a", "<p>a<p", "a<b>c</d></b>", "<!-- open", "<script>x", "<p title='a>b", "<" * 50, "<div>" * 3000 + "deep", "<p a=\"1\" b='>'>t"):
         page = dom.parse(source)
@@ -98,7 +144,7 @@ def test_tree_matching():
 
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_and_warc_records(version):
-    content = [arc.http_block("7", b"x\r\n\r\nWARC/1.1\r\nfiledesc://"), arc.http_block("-", b"")]
+    content = [arc.http_block("7", b"x\r\n\r\nWARC/1.1\r\nfiledesc://"), arc.http_block(None, b"")]
     data = arc.arc_block(version, "a.arc", warc.DATE) + b"\n" + b"".join(arc.arc_record(version, "a.arc", "http://a b/é", warc.DATE, c, 0) + b"\n" for c in content)
     zipped = b"".join(gzip.compress(data[i : i + 50]) for i in range(0, len(data), 50))
     for raw in (data, zipped):
@@ -121,6 +167,26 @@ def test_round_trip(spark):
     assert warc.round_trip(df.limit(0)).collect() == []
 
 
+def test_round_trip_of_any_ids(spark):
+    """Ids outside ASCII, with white space, empty, and such as look like a mark of none."""
+    ids = ["é", "-", "", "a b", "x\ty\r\n", "日本", None, "%41", "A"]
+    rows = [(p, "http://é.org/ü ä", ("same payload " * 20) if i % 2 else f"own {i}") for i, p in enumerate(ids)]
+    got = {x["page"]: (x["payload_bytes"], x["record_type"], x["refers_to"]) for x in warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    least = min(p for i, p in enumerate(ids) if i % 2)
+    assert got == {p: (260, "response" if p == least else "revisit", None if p == least else least) if i % 2 else (5, "response", None) for i, p in enumerate(ids)}
+
+
+def test_more_records_than_an_archive_holds(spark):
+    df = spark.range(2500).selectExpr("id as page_id", "'u' as url", "concat('page ', id) as html").coalesce(1)
+    assert warc.round_trip(df).where("record_type = 'response'").count() == 2500
+
+
+def test_vectors_of_extreme_lengths(spark):
+    rows = [(1, [1e200, 1e200]), (2, [2e200, 2e200]), (3, [1e-200, 1e-200]), (4, [-1e200, 1e-200]), (5, [5e-324, 5e-324])]
+    got = {x["vec"]: (x["n_links"], x["component"]) for x in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
+
+
 def vectors_brute(rows, cosine):
     ok = {i: np.array(v, float) for i, (d, v) in enumerate(rows) if d is not None and v and None not in v and np.isfinite(v).all() and any(v)}
     links = {i: set() for i in range(len(rows))}
