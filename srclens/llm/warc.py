@@ -37,7 +37,7 @@ DATE = "20240101000000"
 
 def _archive(df: DataFrame, path: str) -> None:
     """Rows (value as bytes) one after the other, each closed by a line feed."""
-    df.select(F.col("value").cast("string")).write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", RECORDS).mode("overwrite").text(path)
+    df.select(F.col("value").cast("string")).write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").option("maxRecordsPerFile", RECORDS).mode("overwrite").text(path)
 
 
 def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
