@@ -7,6 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,34 @@ def bytes_total(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getLength()
 
 
+#: Bits of a filter at most, 8 MB: what a task holds and the driver sends, whatever the number of keys.
+FILTER_BITS = 1 << 26
+_LOW = (1 << 46) - 1
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of keys (t1, t2) as words of 64 bits, about ten bits a key up to ``FILTER_BITS``; beyond that it lets more through.
+
+    Only the words of the filter come to the driver, never the keys.
+    """
+    bits = min(FILTER_BITS, 1 << max(12, (10 * keys.count()).bit_length()))
+    at = F.explode(F.array(*(F.expr(f"((t1 & {_LOW}L) + {k} * shiftrightunsigned(t2, 18)) & {bits - 1}L") for k in range(4)))).alias("at")
+    words = keys.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy()] = words["set"].to_numpy()
+    return out
+
+
+def may_hold(words: np.ndarray, t1: np.ndarray, t2: np.ndarray) -> np.ndarray:
+    """Which keys ``key_filter`` may have seen: all that it has, and few others."""
+    bits, step = len(words) * 64, (t2.view(np.uint64) >> np.uint64(18)).view(np.int64)
+    out = np.ones(len(t1), bool)
+    for k in range(4):
+        at = ((t1 & _LOW) + k * step) & (bits - 1)
+        out &= (words[at >> 6] >> (at & 63)) & 1 == 1
+    return out
+
+
 def ascii_lower(c):
     """Lower-cases A-Z alone; plain lower() where all characters are ASCII."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

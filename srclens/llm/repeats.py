@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, partitions
+from .common import Workspace, key_filter, may_hold, partitions
 from .rolling import BYTE, PIECE, WHITE, blocks, prefix, sliding_min, spans, text_buffer, windows, words
 
 KEY = ["t1", "t2"]
@@ -228,12 +228,19 @@ def contents(some_runs: DataFrame, ws: Workspace, name: str) -> DataFrame:
     return out
 
 
-def one_per_text(rows: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """rows less the copies that a task has already sent: pre-aggregation before a shuffle by text."""
+def one_per_text(rows: DataFrame, wanted: DataFrame | None = None, most: int = 1 << 20) -> DataFrame:
+    """rows less the copies that a task has already sent: pre-aggregation before a shuffle by text.
+
+    wanted: a table of keys (t1, t2); rows that are surely none of them go too,
+    so that a join with it shuffles few texts in vain.
+    """
+    words = None if wanted is None else key_filter(wanted.select(*KEY))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for b in batches:
+            if words is not None:
+                b = b.filter(pa.array(may_hold(words, b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False))))
             new = []
             for k in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 new.append(k not in seen)
@@ -248,7 +255,7 @@ def one_per_text(rows: DataFrame, most: int = 1 << 20) -> DataFrame:
 def with_text(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(t1, t2, text, wanted): each text with a list of what is wanted of it, once but for copies that different tasks hold."""
     per_text = wanted.groupBy(*KEY).agg(F.collect_list(F.struct(*[c for c in wanted.columns if c not in KEY])).alias("wanted"))
-    return one_per_text(rows).select(*KEY, "text").join(per_text, KEY).dropDuplicates(KEY)
+    return one_per_text(rows, wanted).select(*KEY, "text").join(per_text, KEY).dropDuplicates(KEY)
 
 
 def union_of(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from srclens.llm import decontaminate, mixing
@@ -75,21 +77,62 @@ def test_postings_in_pieces(spark):
     texts = ["a b x a c b a " * 9, "a", "", "b a", ("b a c a b " + filler) * 700]
     assert len(texts[-1]) > 2 * decontaminate.CHUNK
     rows = decontaminate._rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
-    got = decontaminate.postings(rows, {b"a": 0, b"b": 1, b"c": 2}, {0, 1}, {0}, 3).join(rows.drop("text"), ["t1", "t2"]).collect()
-    ids, expected = {"a": 0, "b": 1, "c": 2}, []
-    for d, t in enumerate(texts):
-        w = [-1] * 3 + [ids.get(x, -1) for x in t.split()] + [-1] * 3
-        expected += [(d, i - 3, w[i], w[i - 3 : i + 4] if w[i] == 0 else None) for i in range(3, len(w) - 3) if w[i] in (0, 1)]
-    assert sorted((x["doc"], x["pos"], x["term"], x["around"]) for x in got) == sorted(expected)
+    got = decontaminate.postings(rows, {b"a": 0, b"b": 1, b"c": 2}, {0, 1}).join(rows.drop("text"), ["t1", "t2"]).collect()
+    ids = {"a": 0, "b": 1}
+    expected = [(d, i, ids[w]) for d, t in enumerate(texts) for i, w in enumerate(t.split()) if w in ids]
+    assert sorted((x["doc"], x["pos"], x["term"]) for x in got) == sorted(expected)
+
+
+def near_brute(rows, items, n, slop):
+    out = set()
+    for i, t in items:
+        w = words(t)
+        for k in range(max(1, len(w) - n + 1) if w else 0):
+            need = Counter(w[k : k + n])
+            size = sum(need.values())
+            for d, text in rows:
+                v = words(text)
+                for a in range(len(v)):
+                    for e in range(a + size, min(len(v), a + size + slop) + 1):
+                        if not need - Counter(v[a:e]):
+                            out.add((d, str(i)))
+    return out
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "alpha " + "x " * 20 + "beta"), (3, "beta alpha")], "doc_id long, text string")
-    rows = decontaminate._rows(docs, "doc_id", "text")
-    index = decontaminate.postings(rows, {b"alpha": 0, b"beta": 1}, {0, 1}, {0}, 2)
-    seeds = spark.createDataFrame([(7, 2, [0, 1], [0, 1])], "window long, size long, terms array<long>, offsets array<long>")
-    found = decontaminate.near(index, seeds, 5).join(rows, ["t1", "t2"])
-    assert sorted(x["doc"] for x in found.collect()) == [1, 3]
+    r = random.Random(2)
+    pool = [f"w{i}" for i in range(9)]
+    items = [(i, " ".join(r.choice(pool) for _ in range(r.choice([1, 2, 3, 5])))) for i in range(6)] + [(9, "alpha beta"), (10, "a a a")]
+    rows = [(d, " ".join(r.choice(pool + ["x"] * 6) for _ in range(r.randint(0, 25)))) for d in range(20)]
+    rows += [(30, "alpha x x beta"), (31, "alpha " + "x " * 20 + "beta"), (32, "beta alpha"), (33, "a x a"), (34, "a x a a"), (35, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.matches(docs, bench, slop=3, n=4).collect()
+    assert {(x["doc"], x["item"]) for x in got} == near_brute(rows, items, 4, 3)
+    exact = {(x["doc"], i) for x in decontaminate.contamination(docs, bench, n=4).collect() for i in x["items"]}
+    assert {(x["doc"], x["item"]) for x in got if x["exact"]} == exact
+    assert all(x["length"] <= 4 + 3 for x in got)
+    assert decontaminate.matches(docs, bench.limit(0), slop=3).collect() == []
+
+
+def test_rarest_term_with_many_places(spark):
+    """All terms stand in 100,000 places; the postings of the others decide."""
+    rows = [(d, "one two three four five " * 500 + ("two one three" if d == 7 else "")) for d in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "three four five one two three"), (2, "two one three"), (3, "five four")], "item_id long, text string")
+    got = {x["doc"]: (x["n_hit"], x["items"]) for x in decontaminate.contamination(docs, bench, n=6).collect()}
+    assert got == {d: (2499, ["1", "2"]) if d == 7 else (2496, ["1"]) for d, _ in rows}
+
+
+def test_the_postings_decide(spark):
+    """Without one term's postings no window that holds it is found."""
+    rows = decontaminate._rows(spark.createDataFrame([(1, "a b c d x a b c d")], "doc_id long, text string"), "doc_id", "text")
+    block = decontaminate.Windows([(1, b"a b c d")], 4)
+    seeds, terms = block.seeds(spark, np.array([2, 2, 2, 2]))
+    index = decontaminate.postings(rows, block.vocabulary, set(range(4)))
+    found = decontaminate.candidates(index, seeds)
+    assert sorted(x["start"] for x in decontaminate.intersect(found, seeds, index).collect()) == [0, 5]
+    for term in range(4):
+        assert decontaminate.intersect(found, seeds, index.where(f"term <> {term} or pos > 4")).count() == 1
 
 
 def fill(budget, caps, weights):

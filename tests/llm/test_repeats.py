@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from srclens.llm import passages, repeats, rolling, suffix_dedup
+from srclens.llm import common, passages, repeats, rolling, suffix_dedup
 from srclens.llm.suffix_sort import suffix_array
 
 SCHEMA = "doc_id long, text string, t1 long, anchor string, content long, start string, n long"
@@ -132,3 +132,16 @@ def test_hot_anchor_sends_few_rows(spark):
     rows = repeats.keyed(docs(spark, [(d, f"{text} {d}") for d in range(500)]).coalesce(1), "doc_id", "text")
     got = repeats.runs(rows, 100, 20, repeats.byte_units).where(f"known <> {repeats.SURE}").groupBy("anchor").count()
     assert got.agg({"count": "max"}).collect()[0][0] == 1
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 12])
+def test_key_filter(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    r = np.random.default_rng(1)
+    t1, t2 = r.integers(-(1 << 63), 1 << 63, (2, 4000), dtype=np.int64)
+    keys = spark.createDataFrame(list(zip(t1[:2000].tolist(), t2[:2000].tolist(), strict=True)), "t1 long, t2 long")
+    words = common.key_filter(keys)
+    got = common.may_hold(words, t1, t2)
+    assert got[:2000].all() and len(words) * 64 <= bits
+    assert got[2000:].mean() < (0.05 if bits > 1 << 12 else 0.9)
+    assert not common.may_hold(common.key_filter(keys.limit(0)), t1, t2).any()
