@@ -134,3 +134,30 @@ def comma_count(declaration: Column) -> Column:
         return F.struct(depth.alias("depth"), (acc.n + F.when((c == ",") & (acc.depth == 0), 1).otherwise(0)).alias("n"))
 
     return F.aggregate(F.split(declaration, ""), start, step, lambda acc: acc.n)
+
+
+def escape_inline(t: Column) -> Column:
+    """Control characters made visible: line feed, carriage return and tab by their letter, others by their number."""
+    shown = F.transform(F.split(t, ""), lambda c: F.when(c == "\n", "\\n").when(c == "\r", "\\r").when(c == "\t", "\\t").when(c.rlike(r"\p{Cc}"), F.concat(F.lit("\\u{"), F.lower(F.hex(F.ascii(c))), F.lit("}"))).otherwise(c))
+    return F.when(t.rlike(r"\p{Cc}"), F.array_join(shown, "")).otherwise(t)
+
+
+def duration(seconds: Column) -> Column:
+    """Micro- and milliseconds whole, seconds with two places, minutes with what is left."""
+    minutes = F.floor(seconds / 60)
+    return (
+        F.when(seconds < 0.001, F.format_string("%.0f µs", F.bround(seconds * 1e6)))
+        .when(seconds < 1, F.format_string("%.0f ms", F.bround(seconds * 1e3)))
+        .when(seconds < 60, F.format_string("%.2f s", seconds))
+        .otherwise(F.format_string("%d min %.1f s", minutes, seconds - minutes * 60))
+    )
+
+
+def offset_of(content: Column, line: Column, column: Column, visual: bool = True) -> Column:
+    """The byte offset of a line and column from 1, visual or in bytes; beyond a line's end its end, null beyond the text."""
+    rows = F.split(content, "\n", -1)
+    own = F.get(rows, line - 1)
+    before = F.octet_length(F.array_join(F.slice(rows, F.lit(1), F.greatest(line - 1, F.lit(0))), "\n")) + F.when(line > 1, 1).otherwise(0)
+    places = F.filter(F.sequence(F.lit(0), F.char_length(own)), lambda k: visual_width(F.substring(own, F.lit(1), k)) < column)
+    inside = F.octet_length(F.substring(own, F.lit(1), F.greatest(F.size(places) - 1, F.lit(0)))) if visual else F.least(column - 1, F.octet_length(own))
+    return F.when((line > 0) & own.isNotNull() & (column > 0), before + inside)

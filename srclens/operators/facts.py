@@ -2,18 +2,24 @@
 
 One pass a file gives tagged rows (path, fact, name, owner, start, end, line, n,
 flag, text); the functions below are views of them.  A file whose brackets don't
-match or that holds unknown bytes gives the fact ``unsafe`` and no others.
+match or that holds unknown bytes gives the fact ``unsafe``, a fact ``recovery``
+for each region that could not be read, and the facts of all others: of
+conditional arms the first is read, and a file that still doesn't match is read
+in parts that end with a brace at the margin.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shapes
 from .lexer import TRIVIA, Token, tokenize
 
 KEYWORDS = frozenset("auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while _Bool _Atomic _Noreturn".split())
@@ -58,6 +64,36 @@ def pairs(code: list[Token]) -> dict[int, int] | None:
     return None if stack else out
 
 
+def first_arms(tokens: list[Token]) -> tuple[list[Token], list[list[Token]]]:
+    """The tokens without the later arms of conditionals, and these arms."""
+    kept, dropped, open_, fresh = [], [], [], True
+    for i, t in enumerate(tokens):
+        if t.kind == "newline":
+            fresh = True
+        elif t.kind not in TRIVIA:
+            if fresh and t.text == "#":
+                word = next((x.text for x in tokens[i + 1 :] if x.kind not in ("space", "tab")), "")
+                if word in ("if", "ifdef", "ifndef"):
+                    open_.append(False)
+                elif word in ("else", "elif") and open_:
+                    open_[-1] = True
+                    dropped.append([])
+                elif word == "endif" and open_:
+                    open_.pop()
+            fresh = False
+        if any(open_) and dropped:
+            dropped[-1].append(t)
+        else:
+            kept.append(t)
+    return kept, [d for d in dropped if d]
+
+
+def margin(t: Token, tokens: list[Token]) -> bool:
+    """Whether a token begins its line."""
+    k = bisect_left(tokens, t.start, key=lambda x: x.start)
+    return k == 0 or tokens[k - 1].kind == "newline"
+
+
 def split(code: list[Token], ends: dict[int, int], a: int, b: int, by: str = ",") -> list[tuple[int, int]]:
     """[a, b) cut at ``by`` outside of brackets."""
     out, start, i = [], a, a
@@ -86,17 +122,43 @@ def declared(code: list[Token], ends: dict[int, int], a: int, b: int) -> str:
 
 
 class Scan:
-    def __init__(self, path: str, source: str):
-        self.path, self.rows = path, []
-        tokens = list(tokenize(source))
+    def __init__(self, path: str, source: str, tokens: list[Token] | None = None, with_shapes: bool = True):
+        self.path, self.rows, self.with_shapes = path, [], with_shapes
+        self.bodies: list[tuple[str, int, int, bool]] = []  # name, head, brace, whether it returns a pointer
+        self.heads: list[tuple[str, int, int]] = []  # fact, first token, name
+        tokens = list(tokenize(source)) if tokens is None else tokens
+        unknown = [t for t in tokens if t.kind == "unknown"]
         self.code, self.lines = directives(tokens)
         self.ends = pairs(self.code)
-        if self.ends is None or any(t.kind == "unknown" for t in tokens):
-            self.add("unsafe", None, None, 0, 0, 1)
-            return
+        self.safe = self.ends is not None and not unknown
+        self.uses = Counter(t.text for t in tokens if t.kind == "identifier")
+        self.notes = [(t.start, t.end) for t in tokens if t.kind.endswith("comment")] + [(d[0].start, d[-1].end) for d in self.lines]
         for d in self.lines:
             self.directive(d)
-        self.top(0, len(self.code))
+        if self.safe:
+            self.top(0, len(self.code))
+        else:
+            self.add("unsafe", None, None, 0, 0, 1)
+            self.recover(tokens, unknown)
+
+    def recover(self, tokens: list[Token], unknown: list[Token]) -> None:
+        """Reads what can be read, and says what can't."""
+        for t in unknown:
+            self.add("recovery", "unknown", None, t.start, t.end, t.line, text=t.text)
+        kept, dropped = first_arms(tokens)
+        for d in dropped if self.ends is None else ():
+            self.add("recovery", "conditional", None, d[0].start, d[-1].end, d[0].line)
+        self.code = [t for t in directives(tokens if self.ends is not None else kept)[0] if t.kind != "unknown"]
+        self.ends = {}
+        a = 0
+        for b in [*(i + 1 for i, t in enumerate(self.code) if t.text == "}" and margin(t, tokens)), len(self.code)]:
+            part = pairs(self.code[a:b])
+            if part is None:
+                self.add("recovery", "syntax", None, self.code[a].start, self.code[b - 1].end, self.code[a].line)
+            else:
+                self.ends |= {a + x: a + y for x, y in part.items()}
+                self.top(a, b)
+            a = b
 
     def add(self, fact, name, owner, start, end, line, n=None, flag=None, text=None) -> None:
         self.rows.append((self.path, fact, name, owner, start, end, line, n, flag, text))
@@ -175,9 +237,13 @@ class Scan:
         fact, end = ("definition", code[close].end) if close is not None else ("prototype", code[stop - 1].end)
         body = max(0, code[close].line - code[stop].line - 1) if close is not None else None
         self.add(fact, name, "static" if "static" in before else None, code[start].start, end, code[k - 1].line, n=len(given), flag=bool(before) and before[-1] == "*", text=None if body is None else str(body))
+        self.heads.append((fact, start, k - 1))
         for n in names:
             self.add("parameter", n, name, code[k].start, code[self.ends[k]].end, code[k].line)
         if close is not None:
+            self.bodies.append((name, start, stop, bool(before) and before[-1] == "*"))
+            for shape, own, a, b, text in () if not self.with_shapes else shapes.shapes(shapes.Statements(code, self.ends), stop, self.notes, self.uses):
+                self.add(shape, own, name, code[a].start, code[b - 1].end, code[a].line, text=text)
             if close == stop + 1:
                 self.add("empty", name, name, code[stop].start, code[close].end, code[stop].line)
             self.initial = True
@@ -218,9 +284,6 @@ class Scan:
                 i = end + 1
                 continue
             self.initial = False
-            if t.text == "return":
-                last = min(end, b)
-                self.add("return", None, owner, t.start, code[last - 1].end, t.line, text=self.of(i + 1, last))
             if t.text in ("while", "for") and i + 1 < b and code[i + 1].text == "(":
                 close = self.ends[i + 1]
                 inside = self.of(i + 2, close)
@@ -265,12 +328,24 @@ class Scan:
             self.add("reference", t.text, owner, t.start, t.end, t.line)
 
 
+#: Rows handed on together.
+MOST = 1 << 16
+
+
+def columns(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(FIELDS), SCHEMA, strict=True)], schema=SCHEMA)
+
+
 def facts(sources: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = Scan(path, content or "").rows
-                yield pa.RecordBatch.from_pylist([dict(zip(FIELDS, r, strict=True)) for r in rows], SCHEMA)
+            rows: list[tuple] = []
+            for path, content in zip(b.column(0), b.column(1), strict=True):
+                rows += Scan(path.as_py(), content.as_py() or "").rows
+                if len(rows) > MOST:
+                    yield columns(rows)
+                    rows = []
+            yield columns(rows)
 
     return sources.select("path", "content").mapInArrow(run, "path string, fact string, name string, owner string, start long, `end` long, line long, n long, flag boolean, text string")
 

@@ -54,10 +54,13 @@ def tokens(sources: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = [(path, i, t.start, t.end, t.line, "trivia" if t.kind in TRIVIA else "unknown" if t.kind == "unknown" else "token", t.kind, t.text) for i, t in enumerate(tokenize(content or ""))]
-                if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r, strict=True)) for r in rows], SCHEMA)
+            for path, content in zip(b.column(0), b.column(1), strict=True):
+                found = list(tokenize(content.as_py() or ""))
+                if found:
+                    kind, text, start, end, line = zip(*found, strict=True)
+                    classes = ["trivia" if k in TRIVIA else "unknown" if k == "unknown" else "token" for k in kind]
+                    cols = [pa.array([path.as_py()] * len(found), pa.string()), range(len(found)), start, end, line, classes, kind, text]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SCHEMA, strict=True)], schema=SCHEMA)
 
     return sources.select("path", "content").mapInArrow(run, "path string, ord long, start long, `end` long, line long, class string, kind string, text string")
 
@@ -77,3 +80,13 @@ def mask(source: str) -> str:
     """Comments and literals blanked; every line keeps its length."""
     hide = {"line_comment", "block_comment", "string", "char"}
     return "".join(re.sub(r"[^\n]", " ", t.text) if t.kind in hide else t.text for t in tokenize(source))
+
+
+def masked(sources: DataFrame) -> DataFrame:
+    """sources (path, content) with comments and literals blanked in the content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([mask(c.as_py() or "") for c in b.column(1)], pa.string())], ["path", "content"])
+
+    return sources.select("path", "content").mapInArrow(run, "path string, content string")

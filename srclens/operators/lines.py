@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +21,20 @@ def lines(sources: DataFrame, path: str = "path", content: str = "content") -> D
 
 def line_ranges(sources: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """(path, line, start, end): byte range of each line with its line feed."""
-    one = lines(sources, path, content).withColumn("bytes", F.octet_length("text"))
-    w = Window.partitionBy("path").orderBy("line")
-    last = F.lead("line").over(w).isNull()
-    size = F.col("bytes") + F.when(last, 0).otherwise(1)
-    end = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return one.withColumn("size", size).select("path", "line", (end - F.col("size")).alias("start"), end.alias("end"))
+
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [(p, np.frombuffer(c.as_buffer(), np.uint8)) for p, c in zip(b.column(0), b.column(1), strict=True) if c.is_valid]
+            ends = [np.append(np.flatnonzero(data == 10) + 1, len(data)) for _, data in texts]
+            n = np.array([len(e) for e in ends], np.int64)
+            end = np.concatenate([np.zeros(0, np.int64), *ends]).astype(np.int64)
+            start = np.concatenate([np.zeros(0, np.int64), *(np.append(0, e[:-1]) for e in ends)]).astype(np.int64)
+            line = np.concatenate([np.zeros(0, np.int64), *(np.arange(1, k + 1) for k in n)]).astype(np.int64)
+            paths = pa.array([p.as_py() for p, _ in texts], pa.string()).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            yield pa.RecordBatch.from_arrays([paths, pa.array(line), pa.array(start), pa.array(end)], ["path", "line", "start", "end"])
+
+    return sources.select(F.col(path).cast("string"), F.col(content).cast("binary")).mapInArrow(run, "path string, line long, start long, `end` long")
 
 
 def position(content: Column, offset: Column) -> Column:
@@ -58,11 +70,16 @@ def heading_jumps(headings: DataFrame) -> DataFrame:
 
 
 def headings(rows: DataFrame) -> DataFrame:
-    """ATX headings outside code fences: (path, line, level)."""
+    """Headings outside code fences, marked by signs before them or by a line below: (path, line, level)."""
     w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     fence = F.col("text").rlike(r"^ {0,3}(```|~~~)")
     inside = F.sum(fence.cast("int")).over(w) % 2 == 1
     level = F.length(F.regexp_extract("text", r"^ {0,3}(#{1,6})(?:[ \t]|$)", 1))
+    order = Window.partitionBy("path").orderBy("line")
+    below = F.lead("text").over(order)
+    # a line below makes a heading of one line of plain text; of several it is the last that stands here
+    plain = ~F.col("text").rlike(r"^\s*$|^ {0,3}([#>`~*+-]|\d+[.)])|^    ") & (level == 0)
+    level = F.when(level > 0, level).when(plain & below.rlike(r"^ {0,3}=+[ \t]*$"), 1).when(plain & below.rlike(r"^ {0,3}-+[ \t]*$"), 2).otherwise(0)
     return rows.withColumn("inside", inside).withColumn("level", level).where((F.col("level") > 0) & ~F.col("inside")).select("path", "line", "level")
 
 
@@ -97,4 +114,23 @@ def sort_includes(rows: DataFrame) -> DataFrame:
 
 
 def word_counts(sources: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    return sources.select(F.col(path).alias("path"), F.explode(X.word_list(F.col(content))).alias("word")).groupBy("path", "word").agg(F.count("*").alias("n"))
+    """(path, word, n): counted within each row, by runs of its sorted words, so that nothing is shuffled."""
+    rows = sources.select(F.col(path).alias("path"), F.array_sort(X.word_list(F.col(content))).alias("w")).where(F.size("w") > 0)
+    first = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    runs = rows.select("path", "w", first.alias("at"))
+    counted = F.transform("at", lambda i, k: F.struct(F.get("w", i).alias("word"), (F.coalesce(F.get("at", k + 1), F.size("w")) - i).cast("long").alias("n")))
+    return runs.select("path", F.inline(counted))
+
+
+def line_counts(sources: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, n_lines, n_bytes): lines, and bytes without their line feeds."""
+    n = F.size(F.split(content, "\n", -1))
+    return sources.where(F.col(content).isNotNull()).select(F.col(path).alias("path"), n.cast("long").alias("n_lines"), (F.octet_length(content) - n + 1).cast("long").alias("n_bytes"))
+
+
+def line_rules(sources: DataFrame, most: int = 80) -> DataFrame:
+    """Diagnostics of the rules on one line, in one pass over the lines."""
+    rows = lines(sources)
+    hit = lambda cond, severity, rule: F.when(cond, F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule_id"), F.lit("").alias("message")))
+    found = F.array(hit(X.visual_width(F.col("text")) > most, "error", "LINE_TOO_LONG"), hit(F.col("text").rlike(r"[ \t]\z"), "warning", "TRAILING_SPACE"))
+    return rows.select("path", "line", F.inline(F.filter(found, lambda x: x.isNotNull())))

@@ -42,8 +42,8 @@ def owner(points: DataFrame, ranges: DataFrame, at: str = "start", bin_size: int
 
 
 def overlaps(a: DataFrame, b: DataFrame, bin_size: int = 4096) -> DataFrame:
-    """(path, a_start, a_end, b_start, b_end) of ranges that share an offset."""
-    ends = lambda d, p: d.select("path", F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end")).where(f"{p}_end > {p}_start").withColumn("bin", F.explode(F.sequence(F.floor(F.col(f"{p}_start") / bin_size), F.floor((F.col(f"{p}_end") - 1) / bin_size))))
+    """(path, a_start, a_end, b_start, b_end) of ranges that share an offset; an empty range meets those that begin before and end behind it."""
+    ends = lambda d, p: d.select("path", F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end")).where(f"{p}_end >= {p}_start").withColumn("bin", F.explode(F.sequence(F.floor(F.col(f"{p}_start") / bin_size), F.floor(F.greatest(F.col(f"{p}_start"), F.col(f"{p}_end") - 1) / bin_size))))
     met = ends(a, "a").join(ends(b, "b"), ["path", "bin"]).where("a_start < b_end AND b_start < a_end")
     return met.drop("bin").distinct()
 

@@ -19,12 +19,20 @@ def rank(severity: Column) -> Column:
     return out
 
 
-def total_order() -> list:
-    return ["path", "start", "end", rank(F.col("severity")), "rule_id", "message"]
+#: What orders or groups diagnostics as well, where they have it.
+MORE = ("source", "notes", "help")
+
+
+def total_order(diagnostics: DataFrame | None = None) -> list:
+    """The order of diagnostics; with their table also by those of ``MORE`` that it has."""
+    more = [c for c in MORE if diagnostics is not None and c in diagnostics.columns]
+    return ["path", "start", "end", rank(F.col("severity")), "rule_id", "message", *more]
 
 
 def by_rule(diagnostics: DataFrame) -> DataFrame:
-    return diagnostics.groupBy("severity", "rule_id").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_paths"))
+    """Groups of a severity and rule, and of source and help where the rows have them."""
+    more = [c for c in ("source", "help") if c in diagnostics.columns]
+    return diagnostics.groupBy("severity", "rule_id", *more).agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_paths"))
 
 
 def first_of_each(diagnostics: DataFrame, k: int = 3) -> DataFrame:
@@ -45,8 +53,9 @@ def file_status(files: DataFrame, diagnostics: DataFrame) -> DataFrame:
 
 
 def summary(files: DataFrame, diagnostics: DataFrame) -> DataFrame:
-    """One row of counters, also over no rows."""
-    f = files.agg(F.count("*").alias("n_files"), F.count_if(F.col("failure").isNotNull()).alias("n_failed"), F.count_if(F.coalesce("changed", F.lit(False))).alias("n_changed"))
+    """One row of counters, also over no rows; fixes (rule to number) are counted where files have them."""
+    fixes = [F.coalesce(F.sum(F.aggregate(F.map_values("fixes"), F.lit(0).cast("long"), lambda a, n: a + n)), F.lit(0)).alias("n_fixes")] if "fixes" in files.columns else []
+    f = files.agg(*fixes, F.count("*").alias("n_files"), F.count_if(F.col("failure").isNotNull()).alias("n_failed"), F.count_if(F.coalesce("changed", F.lit(False))).alias("n_changed"))
     d = diagnostics.agg(*(F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in SEVERITY), F.countDistinct("path").alias("n_with_findings"))
     return f.crossJoin(d)  # one row each
 

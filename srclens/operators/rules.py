@@ -60,9 +60,11 @@ def not_allowed(rows: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def orphan_prototypes(rows: DataFrame) -> DataFrame:
+    """Prototypes of headers that no file defines; nothing at all if any file is unsafe."""
     public = functions(rows).where("kind = 'definition' AND NOT is_static").select("name").distinct()
     heads = functions(rows).where("kind = 'prototype' AND NOT is_static").where(F.col("path").endswith(".h"))
-    return diagnostics(heads.join(public, "name", "left_anti"), "ORPHAN_PROTOTYPE", "warning", F.col("name"))
+    gate = view(rows, "unsafe").agg((F.count("*") == 0).alias("complete"))
+    return diagnostics(heads.join(public, "name", "left_anti").crossJoin(F.broadcast(gate)).where("complete"), "ORPHAN_PROTOTYPE", "warning", F.col("name"))  # the gate is one row
 
 
 def empty_implementations(rows: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import rewrites
 from .facts import KEYWORDS, TYPES, Scan
-from .lexer import TRIVIA, Token, tokenize
+from .lexer import TRIVIA, Token
 
 BLANK = frozenset(["space", "tab"])
 CONTROL = frozenset(["if", "while", "for", "switch", "return"])
@@ -173,7 +174,7 @@ def no_args_void(tokens: list[Token]) -> list[str]:
 
 
 def empty_statements(tokens: list[Token]) -> list[str]:
-    """A ';' right behind ';', '{' or '}' goes, with the blanks before it; not in parentheses, not behind a directive or a type's end."""
+    """A ';' right behind ';' or '{' goes, with the blanks before it and its line if it has one to itself; not in parentheses, not behind a directive or a type's end."""
     out, skip, depth = [t.text for t in tokens], in_directive(tokens), 0
     for i, t in enumerate(tokens):
         if t.kind != "punct":
@@ -186,6 +187,8 @@ def empty_statements(tokens: list[Token]) -> list[str]:
             while j >= 0 and tokens[j].kind in BLANK:
                 out[j] = ""
                 j -= 1
+            if j >= 0 and tokens[j].kind == "newline" and edge(tokens, i, 1):  # alone on its line
+                out[j] = ""
     return out
 
 
@@ -194,29 +197,58 @@ REWRITES = {"REMOVE_EMPTY_STATEMENT": empty_statements, "NO_ARGS_VOID": no_args_
 
 
 def significant(source: str) -> list[tuple[str, str]]:
-    return [(t.kind, t.text) for t in tokenize(source) if t.kind not in TRIVIA or t.kind.endswith("comment")]
+    return [(t.kind, t.text) for t in rewrites.view(source).tokens if t.kind not in TRIVIA or t.kind.endswith("comment")]
 
 
 def safe(source: str) -> bool:
-    return not any(r[1] == "unsafe" for r in Scan("", source).rows)
+    return rewrites.view(source).scan.safe
+
+
+def _by_tokens(rewrite: Callable[[list[Token]], list[str]]) -> Callable[[str], str]:
+    return lambda source: "".join(rewrite(rewrites.view(source).tokens))
+
+
+#: Every rewrite in the order it is tried, as (source to source, whether white space alone may change).
+PHASES: dict[str, tuple[Callable[[str], str], bool]] = {k: (_by_tokens(f), False) for k, f in REWRITES.items()}
+PHASES |= {k: (lambda source, f=f: rewrites.rewritten(source, f), layout) for k, (f, layout) in rewrites.SCHEDULE.items() if not layout}
+PHASES |= {k: (_by_tokens(f), True) for k, f in LAYOUT.items()}
+PHASES |= {k: (lambda source, f=f: rewrites.rewritten(source, f), layout) for k, (f, layout) in rewrites.SCHEDULE.items() if layout}
+
+
+def proved(before: str, after: str, layout: bool) -> bool:
+    """Whether a candidate may take a source's place: it is safe, and a layout rewrite leaves the significant tokens and comments."""
+    return safe(after) and (not layout or significant(after) == significant(before))
+
 
+def fix(source: str, asked: tuple[str, ...] = (), only: frozenset[str] | None = None) -> tuple[str, dict[str, int]]:
+    """The source after all rewrites, repeated until none changes it, and how many lines each changed.
 
-def fix(source: str) -> tuple[str, dict[str, int]]:
-    """The source after all rewrites, repeated until none changes it, and how many lines each changed."""
+    asked: rewrites of ``rewrites.ASKED`` that are run as well.  A source that
+    comes back (by its digest) or doesn't settle in ``MAX_PASSES`` is left as it
+    was at the start.
+    """
     counts: dict[str, int] = {}
     if not safe(source):
         return source, counts
+    phases = {k: v for k, v in PHASES.items() if only is None or k in only}
+    own = {k: (lambda source, f=rewrites.ASKED[k]: rewrites.rewritten(source, f), k == "DECLARATION_ALIGNMENT") for k in asked}
+    # what is unused goes before it is taken apart; what is aligned comes last
+    phases = {k: v for k, v in own.items() if not v[1]} | phases | {k: v for k, v in own.items() if v[1]}
+    first, seen = source, {hash(source)}
     for _ in range(MAX_PASSES):
         before = source
-        for name, rewrite in {**REWRITES, **LAYOUT}.items():
-            new = "".join(rewrite(list(tokenize(source))))
-            if new == source or not safe(new) or (name in LAYOUT and significant(new) != significant(source)):
+        for name, (rewrite, layout) in phases.items():
+            new = rewrite(source)
+            if new == source or not proved(source, new, layout):
                 continue
             counts[name] = counts.get(name, 0) + sum(a != b for a, b in zip(source.split("\n"), new.split("\n"), strict=False)) + abs(source.count("\n") - new.count("\n"))
             source = new
         if source == before:
+            return source, counts
+        if hash(source) in seen:
             break
-    return source, counts
+        seen.add(hash(source))
+    return first, {}
 
 
 def pack(words: list[str], first: str, rest: str = "\t", most: int = 80) -> str | None:
@@ -224,7 +256,7 @@ def pack(words: list[str], first: str, rest: str = "\t", most: int = 80) -> str
     lines, line = [], first
     for k, w in enumerate(words):
         tail = 0 if k == len(words) - 1 else 2
-        joined = f"{line} {w}" if line not in (first, rest) or line == first and first else line + w
+        joined = line + w if line == "" or line.endswith((" ", "\t")) else f"{line} {w}"
         if len(joined.expandtabs(4)) + tail <= most:
             line = joined
             continue
@@ -246,14 +278,18 @@ def add_guard(source: str, guard: str) -> str:
     return source if has_guard(source, guard) else f"#ifndef {guard}\n# define {guard}\n\n{source.rstrip(chr(10))}\n\n#endif\n"
 
 
-def fixed(sources: DataFrame) -> DataFrame:
-    """(path, content, changed, fixes, diff) of sources (path, content)."""
+def fixed(sources: DataFrame, asked: tuple[str, ...] = (), only: frozenset[str] | None = None) -> DataFrame:
+    """(path, content, changed, fixes, diff) of sources (path, content); asked and only as of ``fix``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                new, counts = fix(content or "")
-                diff = "".join(difflib.unified_diff((content or "").splitlines(True), new.splitlines(True), f"a/{path}", f"b/{path}"))
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([new]), pa.array([new != (content or "")]), pa.array([sorted(counts.items())], pa.map_(pa.string(), pa.int64())), pa.array([diff])], ["path", "content", "changed", "fixes", "diff"])
+            rows = []
+            for path, content in zip(b.column(0), b.column(1), strict=True):
+                name, old = path.as_py(), content.as_py() or ""
+                new, counts = fix(old, asked, only)
+                diff = "" if new == old else "".join(difflib.unified_diff(old.splitlines(True), new.splitlines(True), f"a/{name}", f"b/{name}"))
+                rows.append((name, new, new != old, sorted(counts.items()), diff))
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.map_(pa.string(), pa.int64()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], ["path", "content", "changed", "fixes", "diff"])
 
     return sources.select("path", "content").mapInArrow(run, "path string, content string, changed boolean, fixes map<string, bigint>, diff string")

@@ -27,16 +27,17 @@ def longs(df: DataFrame, *names: str) -> DataFrame:
 
 
 def line_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    rows = lines.lines(messy(spark, d))
-    return lines.diagnostics(lines.too_long(rows), "LINE_TOO_LONG", "error").unionByName(lines.diagnostics(lines.trailing_space(rows), "TRAILING_SPACE", "warning"))
+    return lines.line_rules(messy(spark, d))
 
 
 def _saver(spark: SparkSession):
-    """Checkpoints to the shared folder, which cuts lineage and outlives executors."""
+    """Checkpoints to the shared folder, which cuts lineage and outlives executors; a folder of our own only where all is on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
+        if where is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="srclens-"))
     return lambda df: df.checkpoint()
 
@@ -46,7 +47,7 @@ def _c(spark: SparkSession) -> DataFrame:
 
 
 def q_line_index(spark, d):
-    return longs(lines.lines(documents(spark, d)).groupBy("path").agg(F.count("*").alias("n_lines"), F.sum(F.octet_length("text")).alias("n_bytes")), "n_bytes")
+    return lines.line_counts(documents(spark, d))
 
 
 def q_line_ranges(spark, d):
@@ -120,9 +121,10 @@ def q_regressions(spark, d):
 
 
 def q_multiset_difference(spark, d):
-    a = lines.lines(messy(spark, d)).where("text <> ''").select("path", "line", "text")
-    b = lines.lines(documents(spark, d)).select("path", "line", "text")
-    return relate.multiset_difference(a, b, ["path", "text"], ["line"]).groupBy("path").agg(F.count("*").alias("n"))
+    key = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2")]  # texts are not shuffled
+    a = lines.lines(messy(spark, d)).where("text <> ''").select("path", "line", *key)
+    b = lines.lines(documents(spark, d)).select("path", "line", *key)
+    return relate.multiset_difference(a, b, ["path", "h1", "h2"], ["line"]).groupBy("path").agg(F.count("*").alias("n"))
 
 
 def q_heading_jumps(spark, d):
@@ -138,11 +140,6 @@ def q_latest_before(spark, d):
     return relate.latest_before(points, marks, ["user_id"], "asked", "mark").select("user_id", "asked", "latest")
 
 
-def q_not_used(spark, d):
-    c, o = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "orders"))
-    return c.join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
-
-
 def q_c_functions(spark, d):
     return facts.functions(_c(spark)).select("path", "kind", "name", "is_static", "returns_pointer", "parameter_count", "body_lines")
 
@@ -251,7 +248,8 @@ def q_official_merge(spark, d):
 
 
 def q_c_rewrites(spark, d):
-    return transforms.fixed(fixtures.files(spark, fixtures.MESSY_C)).select("path", "content", "changed")
+    out = transforms.fixed(fixtures.files(spark, fixtures.MESSY_C))
+    return out.select("path", "content", "changed", F.size(F.filter(F.split("diff", "\n"), lambda x: x.rlike(r"^[-+](?![-+])"))).cast("long").alias("n_diff_lines"))
 
 
 def values(names: str, *rows: tuple) -> str:
@@ -267,6 +265,17 @@ _PLAIN = r"(length({0}) - len(regexp_extract_all({0}, '[\p{{Mn}}\p{{Me}}\p{{Cf}}
 WIDTH = "(list_sum(list_transform(string_split(text, chr(9))[:-2], lambda p: (" + _PLAIN.format("p") + " // 4 + 1) * 4)) + " + _PLAIN.format("string_split(text, chr(9))[-1]") + ")"
 WIDTH = WIDTH.replace("list_sum(list_transform", "coalesce(list_sum(list_transform").replace("* 4)) +", "* 4)), 0) +")
 DIAG = f"{M}, g AS (SELECT path, line, 'error' AS severity, 'LINE_TOO_LONG' AS rule_id FROM l WHERE {WIDTH} > 80 UNION ALL SELECT path, line, 'warning', 'TRAILING_SPACE' FROM l WHERE text[-1] IN (' ', chr(9)))"
+#: (path, name, static, pointer, parameters, lines, locals) of the definitions of ``fixtures.C_FILES``, counted by hand.
+_DEFINED = [
+    *(("src/main.c", n, True, False, 1, 1, 0) for n in ("spread", "fold", "next_of")),
+    ("src/main.c", "main", False, False, 0, 14, 3),
+    *(("src/lib.c", n, True, False, 1, 1, 0) for n in ("pong", "ping")),
+    ("src/lib.c", "helper", False, False, 1, 5, 0),
+    ("src/lib.c", "nothing", False, False, 0, 0, 0),
+    ("src/lib.c", "many", False, True, 5, 14, 6),
+    *(("src/six.c", f"f{i}", False, False, 0, 1, 0) for i in range(7)),
+]
+_DECLARED = [("src/lib.c", "ping", True, False, 1), ("src/lib.h", "helper", False, False, 1), ("src/lib.h", "orphan", False, False, 1), ("src/lib.h", "nothing", False, False, 0), ("src/lib.h", "many", False, True, 5)]
 _T = "content"
 STEPS = []
 for _f in (
@@ -300,21 +309,22 @@ ORACLE = {
     "multiset_difference": f"{M}, p AS ({DOCS}), pl AS ({LINES.replace('FROM d', 'FROM p')}), a AS (SELECT path, text, count(*) AS n FROM l WHERE text <> '' GROUP BY ALL), b AS (SELECT path, text, count(*) AS m FROM pl GROUP BY ALL) SELECT path, sum(greatest(0, n - coalesce(m, 0)))::BIGINT AS n FROM a LEFT JOIN b USING (path, text) GROUP BY path HAVING sum(greatest(0, n - coalesce(m, 0))) > 0",
     "heading_jumps": "WITH h AS (SELECT page_id AS path, unnest(regexp_extract_all(html, '<h([1-6])', 1))::INT AS level, unnest(range(len(regexp_extract_all(html, '<h([1-6])', 1)))) AS line FROM pages), j AS (SELECT *, level > lag(level) OVER (PARTITION BY path ORDER BY line) + 1 AS jump FROM h) SELECT path, count(*) AS n_headings, count(*) FILTER (WHERE jump) AS n_jumps FROM j GROUP BY path",
     "latest_before": "WITH p AS (SELECT DISTINCT user_id, ts AS asked FROM events WHERE event_type = 'purchase') SELECT user_id, asked, (SELECT max(ts) FROM events e WHERE e.user_id = p.user_id AND event_type = 'click' AND ts < asked) AS latest FROM p",
-    "not_used": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "range_owner": values("path, place, owner", ("a", 4, "f"), ("a", 5, "g"), ("a", 8999, "g"), ("a", 9000, None), ("b", 3, "h")),
-    "interval_overlap": values("path, a_start, a_end, b_start, b_end", ("a", 0, 5, 0, 2), ("a", 0, 5, 1, 3)),
+    "interval_overlap": values("path, a_start, a_end, b_start, b_end", ("a", 0, 5, 0, 2), ("a", 0, 5, 1, 3), ("a", 3, 9000, 5, 5)),
     "merged_ranges": values("path, first, last", ("a", 0, 9000), ("b", 2, 4)),
     "edit_conflicts": values("path, first, last", ("a", 1, 3), ("a", 5, 5)),
     "offset_remap": values("path, old, new", ("a", 2, 3), ("a", 4, 5), ("a", 9, 12), ("b", 8, 8)),
     "official_merge": values("path, rule_id, place, source", ("a", "R", 1, "official"), ("a", "R", 2, "native"), ("a", "S", 9, "official")),
-    "c_rewrites": "SELECT 'messy.c' AS path, '" + fixtures.CLEAN_C["messy.c"].replace("'", "''") + "' AS content, true AS changed",
+    "c_rewrites": "SELECT 'messy.c' AS path, '" + fixtures.CLEAN_C["messy.c"].replace("'", "''") + "' AS content, true AS changed, 14::BIGINT AS n_diff_lines",
     "c_tokens": values("path, md5, n_unknown", *((p, __import__("hashlib").md5(t.encode()).hexdigest(), 0) for p, t in fixtures.C_FILES.items())),
+    "c_functions": values("path, kind, name, is_static, returns_pointer, parameter_count, body_lines", *((p, "definition", n, s, q, k, b) for p, n, s, q, k, b, _ in _DEFINED), *((p, "prototype", n, s, q, k, None) for p, n, s, q, k in _DECLARED)),
+    "c_budget": values('path, "function", lines, lines_left, variables, variables_left, parameters, parameters_left', *((p, n, b, 25 - b, v, max(0, 5 - v), k, max(0, 4 - k)) for p, n, _, _, k, b, v in _DEFINED)),
     "c_too_many_functions": values("path, line, message", ("src/six.c", 26, "f5")),
     "c_function_limits": values("path, rule_id, message", ("src/lib.c", "TOO_MANY_ARGS", "many: 5 > 4"), ("src/lib.c", "TOO_MANY_VARS_FUNC", "many: 6 > 5")),
     "c_rules": values("path, line, severity, rule_id, message", ("src/main.c", 29, "error", "WRONG_SCOPE_VAR", "late"), ("src/lib.c", 4, "error", "TAG_PREFIX", "struct point"), ("src/lib.c", 23, "warning", "POSSIBLE_INFINITE_LOOP", "helper")),
     "c_not_allowed": values("path, line, message", ("src/main.c", 34, "printf")),
     "c_orphans": values("path, rule_id, message", ("src/lib.h", "ORPHAN_PROTOTYPE", "orphan"), ("src/lib.c", "EMPTY_IMPLEMENTATION", "nothing")),
-    "c_dead_statics": values("path, name", ("src/main.c", "dead_leaf"), ("src/main.c", "dead_root"), ("src/lib.c", "ping"), ("src/lib.c", "pong")),
+    "c_dead_statics": values("path, name", ("src/main.c", "spread"), ("src/main.c", "fold"), ("src/lib.c", "ping"), ("src/lib.c", "pong")),
     "c_include_blocks": values("path, first, last, sorted", ("src/main.c", 1, 2, True), ("src/lib.c", 1, 2, False)),
     "makefile_missing_targets": values("path, target", ("Makefile", "re")),
     "makefile_sources": values("path, ref, status", ("Makefile", "main.c", "exists"), ("Makefile", "lib.c", "empty"), ("Makefile", "gone.c", "missing")),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import ORACLE, QUERIES
+from . import corpus, more, queries
 
+QUERIES = queries.QUERIES | corpus.QUERIES | more.QUERIES
+ORACLE = queries.ORACLE | corpus.ORACLE | more.ORACLE
 FLAGSHIP = "rule_groups"
 __all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]

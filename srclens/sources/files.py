@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +32,13 @@ def gate(files: DataFrame) -> DataFrame:
     return rows.select("path", file_kind(F.col("path")).alias("kind"), F.octet_length("content").alias("bytes"), text.alias("content"), F.sha2("content", 256).alias("content_hash"), "failure")
 
 
+def classified(files: DataFrame) -> DataFrame:
+    """files of ``scan`` or ``gate`` with ``class``, in path order: error (it can't be read), control, processable or unexpected; a path that stands twice counts once."""
+    name = F.regexp_extract("path", "[^/]+$", 0)
+    known = F.when(F.col("failure").isNotNull(), "error").when(name.isin(*CONTROL) | F.col("path").rlike(PRUNED), "control").when(F.col("kind").isNotNull(), "processable").otherwise("unexpected")
+    return files.withColumn("class", known).dropDuplicates(["path"]).orderBy("path")
+
+
 def from_json(requests: DataFrame, column: str = "request") -> DataFrame:
     """(request_id, path, content, failure) of {"files": [{"path", "source"}]}; bounds and repeated paths fail the request."""
     kind = "struct<files: array<struct<path: string, source: string>>>"
@@ -49,23 +55,90 @@ def from_json(requests: DataFrame, column: str = "request") -> DataFrame:
     return files.withColumn("failure", failure).select("request_id", F.explode_outer(F.when(F.col("failure").isNull(), F.col("_r"))).alias("f"), "failure").select("request_id", "f.path", F.col("f.source").alias("content"), "failure")
 
 
-def ignored(path: Column, patterns: list[str]) -> Column:
-    """gitignore patterns as one expression: the last pattern that matches decides, '!' takes a path back."""
+def _segment(text: str) -> str:
+    """One part of a gitignore pattern as a regular expression: '*' and '?' don't cross a slash, a backslash takes the next character as it is."""
+    out, i = "", 0
+    while i < len(text):
+        c = text[i]
+        if c == "\\" and i + 1 < len(text):
+            i += 1
+            out += re.escape(text[i])
+        elif c == "[" and (end := text.find("]", i + 2)) > 0:
+            inside = text[i + 1 : end]
+            out += f"[{'^' + inside[1:] if inside[0] == '!' else inside}]"
+            i = end
+        else:
+            out += {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c))
+        i += 1
+    return out
+
+
+def _decided(path: Column, patterns: list[str], folder: bool) -> Column:
+    """What the last pattern that matches this very path says; false if none does."""
     out = F.lit(False)
     for line in patterns:
-        p = line.rstrip()
+        p = re.sub(r"(?<!\\)\s+$", "", line)
         if not p or p.startswith("#"):
             continue
-        back, p = p.startswith("!"), p.lstrip("!")
-        folder, p = p.endswith("/"), p.strip("/") if p.endswith("/") else p
-        anchored = "/" in p.lstrip("/") or p.startswith("/")
-        parts = [".*" if x == "**" else fnmatch.translate(x).removeprefix("(?s:").removesuffix(")\\z").removesuffix(")\\Z").replace(".*", "[^/]*") for x in p.strip("/").split("/")]
-        body = "/".join(parts).replace(".*/", "(?:.*/)?")
-        regex = f"^{'' if anchored else '(?:.*/)?'}{body}{'/.*' if folder else '(?:/.*)?'}$"
-        out = F.when(path.rlike(regex), F.lit(not back)).otherwise(out)
+        back = p.startswith("!")
+        p = p[back:]
+        only_folders, p = p.endswith("/"), p.removesuffix("/")
+        if only_folders and not folder:
+            continue
+        anchored, parts = "/" in p, p.strip("/").split("/")
+        body = "/".join("**" if x == "**" else _segment(x) for x in parts)
+        body = body.replace("**/", "(?:.*/)?").replace("/**", "/.*").replace("**", ".*")
+        out = F.when(path.rlike(f"^{'' if anchored else '(?:.*/)?'}{body}$"), F.lit(not back)).otherwise(out)
     return out
 
 
+def ignored(path: Column, patterns: list[str]) -> Column:
+    """gitignore patterns as one expression: the last pattern that matches decides, '!' takes a path back, but not out of a folder that is ignored."""
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    below_ignored = F.exists(above, lambda f: _decided(f, patterns, True))
+    return F.when((F.instr(path, "/") > 0) & below_ignored, F.lit(True)).otherwise(_decided(path, patterns, False))
+
+
+def nul_paths(output: bytes, most: int = 16 << 20) -> list[str]:
+    """The relative paths of a version control's NUL-delimited output; what is too long, no UTF-8 or leaves the tree is an error."""
+    if len(output) > most or (output and not output.endswith(b"\0")):
+        raise ValueError("the output is too long or cut off")
+    paths = [p.decode() for p in output.split(b"\0") if p]
+    for p in paths:
+        if p.startswith("/") or ".." in p.split("/"):
+            raise ValueError(f"{p} leaves the tree")
+    return sorted(set(paths))
+
+
+def scoped(sources: DataFrame, paths: list[str]) -> DataFrame:
+    """The sources that a version control names as changed or staged; names that are gone count nothing."""
+    return sources.join(sources.sparkSession.createDataFrame([(p,) for p in paths], "path string"), "path", "left_semi")
+
+
+def import_batch(found: DataFrame, depth: int, entries: int, most: int) -> DataFrame:
+    """found (path, content as bytes) with ``status``: taken, or why not (hidden, too deep, too large, no UTF-8 or too many entries)."""
+    hidden = F.col("path").rlike(r"(^|/)\.")
+    status = F.when(hidden, "hidden").when(F.size(F.split("path", "/")) - 1 > depth, "too deep").when(F.octet_length("content") > most, "too large").when(~F.is_valid_utf8(F.col("content").cast("string")), "no UTF-8").otherwise("taken")
+    rows = found.withColumn("status", status)
+    count = rows.agg((F.count_if(F.col("status") == "taken") > entries).alias("many"))
+    return rows.crossJoin(F.broadcast(count)).withColumn("status", F.when(F.col("many") & (F.col("status") == "taken"), "too many entries").otherwise(F.col("status"))).drop("many")  # one row
+
+
+STORED = "struct<files: array<struct<path: string, content: string>>>"
+
+
+def serialized(sources: DataFrame, most: int = 2 << 20) -> DataFrame:
+    """sources (project, path, content): (project, data), its files in path order as JSON; null where it takes more than ``most`` bytes."""
+    whole = sources.groupBy("project").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("path", "content"))).alias("files"))).alias("data"))
+    return whole.withColumn("data", F.when(F.octet_length("data") <= most, F.col("data")))
+
+
+def deserialized(stored: DataFrame) -> DataFrame:
+    """(project, path, content) of ``serialized``; what can't be read is absent."""
+    return stored.select("project", F.inline(F.from_json("data", STORED)["files"])).select("project", "path", "content")
+
+
 def cache_key(namespace: str, config: str, tool: str) -> Column:
     return F.sha2(F.concat_ws("\x00", F.lit(namespace), "path", "content_hash", F.lit(config), F.lit(tool)), 256)
 

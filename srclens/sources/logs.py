@@ -9,6 +9,9 @@ CHECK = r"^(Error|Notice): ([A-Z0-9_]+)\s+\(line:\s*(\d+), col:\s*(\d+)\):\s*(.*
 COMPILER = r"^([^:\n]+):(\d+):(\d+): (warning|error|fatal error|note): (.*?)(?: \[(-W[^\]]+|[a-z]+(?:[-.][A-Za-z0-9.-]+)+)\])?$"
 LOSS = r"^==\d+== ([\d,]+)(?: \(([\d,]+) direct, ([\d,]+) indirect\))? bytes in ([\d,]+) blocks are (definitely|indirectly|possibly) lost"
 FRAME = r"^==\d+==\s+(?:at|by) 0x[0-9A-F]+: ([^ ]+) \(([^:)]+)(?::(\d+))?\)"
+#: What begins a memory error.
+MEMORY = r"^==\d+== (Invalid (?:read|write) of size \d+|Conditional jump or move depends on uninitialised value\(s\)|Use of uninitialised value of size \d+|Invalid free\(\).*|Mismatched free\(\).*|Source and destination overlap in .*|Syscall param .* (?:points to|contains) .*)$"
+MISSING = r"fatal error: .*(?:No such file or directory|file not found)"
 INTERNAL = ("malloc", "calloc", "realloc", "free", "memalign", "strdup", "operator new")
 
 
@@ -52,3 +55,26 @@ def leaks(logs: DataFrame, text: str = "output") -> DataFrame:
     frames = rows.where(~F.col("ended") & F.col("line").rlike(FRAME)).select("path", "record", "pos", g(1).alias("function"), g(2).alias("file"), g(3).try_cast("int").alias("at")).where(~F.col("function").isin(*INTERNAL))
     first = frames.groupBy("path", "record").agg(F.min_by(F.struct("function", "file", "at"), "pos").alias("f"))
     return sizes.join(first, ["path", "record"], "left").select("path", "record", "bytes", "indirect", "f.function", "f.file", F.col("f.at").alias("line"))
+
+
+def compiler_report(logs: DataFrame, text: str = "output") -> DataFrame:
+    """logs (path, output, exit_code): as ``compiler``, but a file whose includes are missing gives one advisory alone, and one that was refused without a line that can be read gives one row that says so."""
+    known = compiler(logs, text)
+    lacking = logs.where(F.col(text).rlike(MISSING)).select("path")
+    row = lambda d, severity, rule, message: d.select("path", F.lit(0).alias("line"), F.lit(0).alias("column"), F.lit(severity).alias("severity"), F.lit(rule).alias("rule_id"), F.lit(message).alias("message"))
+    silent = logs.where("exit_code <> 0").select("path").join(known.select("path").distinct(), "path", "left_anti").join(lacking, "path", "left_anti")
+    out = known.join(lacking, "path", "left_anti").select("path", "line", "column", "severity", "rule_id", "message")
+    return out.unionByName(row(lacking, "info", "CC_CONFIGURATION_INCOMPLETE", "an include was not found")).unionByName(row(silent, "error", "CC_REJECTED", "refused without a reason that can be read"))
+
+
+def memory_errors(logs: DataFrame, text: str = "output") -> DataFrame:
+    """(path, what, function, file, line): each memory error with its first frame outside the allocator."""
+    w = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = _lines(logs, text).withColumn("head", F.col("line").rlike(MEMORY)).withColumn("record", F.sum(F.col("head").cast("int")).over(w))
+    blank = F.sum(F.col("line").rlike(r"^==\d+==\s*$").cast("int")).over(Window.partitionBy("path", "record").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.where("record > 0").withColumn("ended", blank > 0)
+    g = lambda k: F.regexp_extract("line", FRAME, k)
+    frames = rows.where(~F.col("ended") & F.col("line").rlike(FRAME)).select("path", "record", "pos", g(1).alias("function"), g(2).alias("file"), g(3).try_cast("int").alias("at")).where(~F.col("function").isin(*INTERNAL) & F.col("at").isNotNull())
+    first = frames.groupBy("path", "record").agg(F.min_by(F.struct("function", "file", "at"), "pos").alias("f"))
+    heads = rows.where("head").select("path", "record", F.regexp_extract("line", MEMORY, 1).alias("what"))
+    return heads.join(first, ["path", "record"], "left").select("path", "record", "what", "f.function", "f.file", F.col("f.at").alias("line"))

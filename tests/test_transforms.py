@@ -6,10 +6,15 @@ from srclens.operators import transforms as t
 MESSY = '#ifdef A\n#define X 1\n#endif\nint\tf()\n{\n\n\tint\ta[ 3 ];;\n\tchar * p;\n\n\tif(a[ 0 ] ,1)\n\t\treturn g(a ,b)+1;\n\tfor (;;)\n\t\t;\n\treturn(a[1]);\n\treturn ;\n\n}\n'
 CLEAN = '#ifdef A\n# define X 1\n#endif\nint\tf(void)\n{\n\tint\ta[3];\n\tchar *p;\n\n\tif (a[0], 1)\n\t\treturn (g(a, b)+1);\n\tfor (;;)\n\t\t;\n\treturn (a[1]);\n\treturn ;\n}\n'
 
+#: The rewrites that work on tokens alone.
+TOKENS = frozenset({**t.REWRITES, **t.LAYOUT})
+WHOLE = CLEAN.replace("\tchar *p", "\tchar\t*p").replace(")+1", ") + 1").replace("for (;;)", "while (1)")
+
 
 def test_fix():
-    got, counts = t.fix(MESSY)
-    assert got == CLEAN and t.fix(got) == (CLEAN, {})
+    got, counts = t.fix(MESSY, only=TOKENS)
+    assert got == CLEAN and t.fix(got, only=TOKENS) == (CLEAN, {})
+    assert t.fix(MESSY)[0] == WHOLE and t.fix(WHOLE) == (WHOLE, {})
     assert set(counts) == {"REMOVE_EMPTY_STATEMENT", "NO_ARGS_VOID", "RETURN_PARENTHESIS", "COMMA_SPACING", "CONTROL_KEYWORD_SPACING", "SUBSCRIPT_SPACING", "POINTER_SPACING", "PREPROCESSOR_SPACING", "BLOCK_EDGE_BLANK_LINE"}
     assert t.fix("int f( {") == ("int f( {", {})
 
@@ -18,8 +23,10 @@ def test_fix():
 @given(st.lists(st.sampled_from(["int", "x", " ", "\t", "\n", ",", ";", "{", "}", "(", ")", "[", "]", "*", "return", "if", "#", "define", "// c", "\n", '"s, "', "="]), max_size=40))
 def test_nothing_is_lost(parts):
     source = "".join(parts)
-    got, _ = t.fix(source)
-    assert t.fix(got)[0] == got
+    whole = t.fix(source)[0]
+    assert t.fix(whole)[0] == whole
+    got, _ = t.fix(source, only=TOKENS)
+    assert t.fix(got, only=TOKENS)[0] == got
     dropped = [k for k in t.significant(source) if k[1] not in ("(", ")", ";", "void")]
     assert [k for k in t.significant(got) if k[1] not in ("(", ")", ";", "void")] == dropped
 
@@ -32,5 +39,5 @@ def test_pack_and_guard():
 
 
 def test_fixed(spark):
-    rows = t.fixed(spark.createDataFrame([("a.c", MESSY), ("b.c", CLEAN), ("c.c", None)], "path string, content string")).collect()
+    rows = t.fixed(spark.createDataFrame([("a.c", MESSY), ("b.c", WHOLE), ("c.c", None)], "path string, content string")).collect()
     assert [(r["path"], r["changed"], bool(r["diff"])) for r in rows] == [("a.c", True, True), ("b.c", False, False), ("c.c", False, False)]
