@@ -3,7 +3,8 @@
 Every round lets each node point at the smallest of itself and its neighbours,
 shortens those pointers, and replaces the links by links between what they
 point at.  Links between the same nodes meet in one, so the table shrinks every
-round; what remains of a component in the end is its smallest node.
+round; what remains of a component in the end is its smallest node.  All joins
+are of tables, so that AQE can split a node that many others point at.
 """
 
 from __future__ import annotations

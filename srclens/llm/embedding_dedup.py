@@ -8,11 +8,11 @@
    links are kept as a forest.
 3. Links of all passes are united into components.
 4. Windows are bounded, groups are not: inside a component links are counted
-   exactly, in blocks of ``BLOCK`` vectors ordered by their angle to the
-   component's first vector.  By the triangle inequality two blocks whose angles
-   add up to less than the threshold's are linked throughout, and two whose
-   angles are further apart not at all; only the others are multiplied out.  No
-   pairs are written.
+   exactly, in blocks of at most about ``BLOCK`` vectors of one angle to the
+   component's first vector.  By the triangle inequality two bins of angles that
+   add up to less than the threshold's are linked throughout, and two that are
+   further apart not at all, whatever the number of vectors in them; only blocks
+   of the other bins are multiplied out.  No pairs are written.
 
 The number of passes is measured.  ``PROBES`` vectors get a partner just at the
 threshold, and one scan counts how many vectors lie between the two in each of
@@ -254,14 +254,18 @@ def links(nodes: DataFrame, ws: Workspace, cosine: float, recall: float, kind: s
     return found.where("a is not null").select("a", "b").unionAll(borders)
 
 
-def count_links(members: DataFrame, cosine: float, kind: str) -> DataFrame:
-    """members: (component, key, copies, data).  (key, n): copies of the other nodes of the component within the threshold."""
+def count_links(members: DataFrame, ws: Workspace, cosine: float, kind: str) -> DataFrame:
+    """members: a table (component, key, copies, data).  (key, n): copies of the other nodes of the component within the threshold.
+
+    Every join is of two tables or of their plain shuffles, so that AQE can
+    split a component that holds many of the vectors.
+    """
     limit = math.acos(cosine)
-    whole = members.groupBy("component").agg(F.count("*").alias("size"), F.sum("copies").alias("all"))
-    members = members.join(whole, "component")
-    pair = members.where("size = 2").select("key", (F.col("all") - F.col("copies")).alias("n"))  # what joined them is their link
-    members = members.where("size > 2")
-    pivot = members.where("key = component").select("component", F.col("data").alias("pivot"))
+    whole = ws.save(members.groupBy("component").agg(F.count("*").alias("size"), F.sum("copies").alias("all")), "whole")
+    sized = members.join(whole, "component")
+    pair = sized.where("size = 2").select("key", (F.col("all") - F.col("copies")).alias("n"))  # what joined them is their link
+    pivot = ws.save(members.where("key = component").select("component", F.col("data").alias("pivot")), "pivot")
+    many = ws.save(sized.where("size > 2").select("component", "key", "copies", "size", "data"), "many")
 
     def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -269,33 +273,38 @@ def count_links(members: DataFrame, cosine: float, kind: str) -> DataFrame:
             angle = np.arccos(np.einsum("ij,ij->i", x, p).clip(-1, 1)) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(angle, pa.float64())], ["component", "key", "copies", "size", "data", "angle"])
 
-    rows = members.select("component", "key", "copies", "size", "data").join(pivot, "component")
+    rows = many.join(pivot, "component")
     rows = rows.mapInArrow(angles, "component string, key string, copies long, size long, data binary, angle double")
-    # blocks by angle: bins of a thousandth of a radian, cut by the key's hash where a bin holds more than a block
-    rows = rows.withColumn("bin", F.when(F.col("size") > BLOCK, F.floor(F.col("angle") * 1000)).otherwise(0)).drop("size")
-    sizes = rows.groupBy("component", "bin").agg(F.count("*").alias("n"))
-    rows = rows.join(sizes, ["component", "bin"]).withColumn("cut", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / BLOCK)))
-    rows = rows.withColumn("block", F.col("bin") * 1_000_000 + F.col("cut")).drop("n", "cut", "bin")
-    blocks = rows.groupBy("component", "block").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.sum("copies").alias("copies"))
-    other = blocks.select("component", *(F.col(c).alias(f"{c}2") for c in ("block", "low", "high", "copies")))
-    met = blocks.join(other, "component").where((F.greatest("low", "low2") - F.least("high", "high2")) <= limit + SLACK)
+    # bins of a thousandth of a radian; what is sure of two bins is sure of all their vectors
+    rows = ws.save(rows.withColumn("bin", F.when(F.col("size") > BLOCK, F.floor(F.col("angle") * 1000)).otherwise(0)).drop("size"), "angles")
+    bins = ws.save(rows.groupBy("component", "bin").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.sum("copies").alias("copies"), F.ceil(F.count("*") / BLOCK).alias("cuts")), "bins")
+    other = bins.select("component", *(F.col(c).alias(f"{c}2") for c in ("bin", "low", "high", "copies", "cuts")))
+    met = bins.join(other, "component").where((F.greatest("low", "low2") - F.least("high", "high2")) <= limit + SLACK)  # at most 3,142 bins a component
     sure = F.col("high") + F.col("high2") <= limit - SLACK
-    all_of = met.where(sure).groupBy("component", "block").agg(F.sum("copies2").alias("n"), F.bool_or(F.col("block") == F.col("block2")).alias("own"))
-    certain = rows.join(all_of, ["component", "block"]).select("key", (F.col("n") - F.when(F.col("own"), F.col("copies")).otherwise(0)).alias("n"))
-    some = met.where(~sure).select("component", "block", "block2")
-    one = rows.join(some, ["component", "block"]).select("component", "block", "block2", F.lit(0).alias("side"), "key", "copies", "data")
-    two = rows.withColumnRenamed("block", "block2").join(some, ["component", "block2"]).select("component", "block", "block2", F.lit(1).alias("side"), "key", "copies", "data")
+    all_of = ws.save(met.where(sure).groupBy("component", "bin").agg(F.sum("copies2").alias("n"), F.bool_or(F.col("bin") == F.col("bin2")).alias("own")), "sure")
+    certain = rows.select("component", "bin", "key", "copies").join(all_of, ["component", "bin"]).select("key", (F.col("n") - F.when(F.col("own"), F.col("copies")).otherwise(0)).alias("n"))
+    # the others are multiplied out in blocks of a bin, cut by the key's hash
+    cut = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    some = met.where(~sure).select("component", "bin", "bin2", "cuts2", cut("cuts").alias("cut")).select("component", "bin", "bin2", "cut", cut("cuts2").alias("cut2"))
+    some = ws.save(some, "blocks")
+    dealt = rows.join(bins.select("component", "bin", "cuts"), ["component", "bin"]).withColumn("cut", F.pmod(F.xxhash64("key"), "cuts"))
+    dealt = ws.save(dealt.select("component", "bin", "cut", "key", "copies", "data"), "dealt")
+    place = ["component", "bin", "cut", "bin2", "cut2"]
+    one = dealt.join(some, ["component", "bin", "cut"]).select(*place, F.lit(0).alias("side"), "key", "copies", "data")
+    two = dealt.withColumnsRenamed({"bin": "bin2", "cut": "cut2"}).join(some, ["component", "bin2", "cut2"]).select(*place, F.lit(1).alias("side"), "key", "copies", "data")
 
     def multiply(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
         a, b = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
-        keys, x, y = a["key"].to_pylist(), unit(a["data"].to_pylist(), kind), unit(b["data"].to_pylist(), kind)
-        n = ((x @ y.T >= cosine) * b["copies"].to_numpy()[None, :]).sum(axis=1)
+        keys, y = a["key"].to_pylist(), unit(b["data"].to_pylist(), kind)
+        if not len(keys) or not len(y):
+            return pa.table({"key": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+        n = ((unit(a["data"].to_pylist(), kind) @ y.T >= cosine) * b["copies"].to_numpy()[None, :]).sum(axis=1)
         same = dict(zip(b["key"].to_pylist(), b["copies"].to_pylist(), strict=True))
         n -= np.array([same.get(k, 0) for k in keys])
         return pa.table({"key": keys, "n": pa.array(n, pa.int64())})
 
-    counted = one.unionAll(two).groupBy("component", "block", "block2").applyInArrow(multiply, "key string, n long")
+    counted = one.unionAll(two).groupBy(*place).applyInArrow(multiply, "key string, n long")
     return pair.unionAll(certain).unionAll(counted).groupBy("key").agg(F.sum("n").cast("long").alias("n"))
 
 
@@ -309,8 +318,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     nodes = ws.save(groups.join(data, "key"), "nodes")
     label = components(links(nodes.select("key", "data"), ws, cosine, recall, kind), ws).withColumnRenamed("node", "key")
     members = ws.save(nodes.join(label, "key"), "members")
-    counts = count_links(members, cosine, kind)
-    least = members.groupBy("component").agg(F.min("least").alias("first"))
+    counts = ws.save(count_links(members, ws, cosine, kind), "counts")
+    least = ws.save(members.groupBy("component").agg(F.min("least").alias("first")), "least")
     known = members.join(least, "component").select("key", "first")
     each = nodes.select("key", "least", "copies").join(known, "key", "left").join(counts, "key", "left")
     each = each.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "least").alias("component"))
