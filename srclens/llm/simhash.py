@@ -9,9 +9,9 @@ shuffle, and the bits are counted.
 
 Equal fingerprints are one node.  A variant's fingerprints are verified in
 bounded blocks and give a spanning forest, not all pairs.  A variant with more
-than ``LIMIT`` fingerprints is dealt anew by the four bytes of its other
-segment, of which three differing bits leave one untouched; there at most 2**25
-distinct fingerprints can meet, 256 MB.
+than ``LIMIT`` fingerprints is dealt anew by its other segment: three differing
+bits leave five of the eight half bytes untouched, so under one choice of five
+the fingerprints meet again, at most 2**13 distinct ones together.
 
 Defined results.  Null, empty and blank texts have fingerprint 0 and are linked
 like any other.  Repeated rows are linked through their equal fingerprints.  A
@@ -22,6 +22,7 @@ and null where no row with an id is in it.  Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from .fingerprint import fingerprint
 
 LIMIT = 4096
 BLOCK = 512
+#: All choices of five of a segment's eight half bytes.
+MASKS = [sum(15 << 4 * i for i in five) for five in combinations(range(8), 5)]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -133,8 +136,8 @@ def links(distinct: DataFrame, ws: Workspace, distance: int = 3) -> DataFrame:
     keyed = distinct.select("fp", variants).selectExpr(f"shiftleft(cast(v AS long), 32) | (({half}) & ~shiftleft(1L, v % 32)) AS key", "fp")
     found = ws.save(keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_verify(distance, LIMIT), schema), "variants")
     other = "CASE WHEN shiftright(a, 32) < 32 THEN b & 4294967295L ELSE shiftrightunsigned(b, 32) END"
-    parts = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("s")
-    over = found.where("over").select("a", "b", parts).selectExpr("a", "b", "s", f"shiftright({other}, 8 * s) & 255 AS byte").selectExpr("xxhash64(a, s, byte) AS key", "b AS fp")
+    masks = F.explode(F.array(*map(F.lit, MASKS))).alias("mask")
+    over = found.where("over").select("a", "b", masks).selectExpr(f"xxhash64(a, mask, ({other}) & mask) AS key", "b AS fp")
     again = over.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_verify(distance, None), schema)
     return found.where("not over").select("a", "b").unionAll(again.select("a", "b"))
 
