@@ -336,12 +336,21 @@ def columns(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(FIELDS), SCHEMA, strict=True)], schema=SCHEMA)
 
 
+def rows_of(path: str, source: str) -> list[tuple]:
+    """The rows of one file; one that is nested too deep for the scan is unsafe, and no harm to the others."""
+    try:
+        return Scan(path, source).rows
+    except RecursionError:
+        whole = (0, len(source.encode()), 1)
+        return [(path, "unsafe", None, None, 0, 0, 1, None, None, None), (path, "recovery", "too deep", None, *whole, None, None, None)]
+
+
 def facts(sources: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for path, content in zip(b.column(0), b.column(1), strict=True):
-                rows += Scan(path.as_py(), content.as_py() or "").rows
+                rows += rows_of(path.as_py(), content.as_py() or "")
                 if len(rows) > MOST:
                     yield columns(rows)
                     rows = []

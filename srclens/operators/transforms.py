@@ -279,17 +279,24 @@ def add_guard(source: str, guard: str) -> str:
 
 
 def fixed(sources: DataFrame, asked: tuple[str, ...] = (), only: frozenset[str] | None = None) -> DataFrame:
-    """(path, content, changed, fixes, diff) of sources (path, content); asked and only as of ``fix``."""
+    """(path, content, changed, fixes, diff, failure) of sources (path, content); asked and only as of ``fix``.
+
+    A file that can't be worked on keeps its content and says why; the others go on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for path, content in zip(b.column(0), b.column(1), strict=True):
                 name, old = path.as_py(), content.as_py() or ""
-                new, counts = fix(old, asked, only)
+                failure = None
+                try:
+                    new, counts = fix(old, asked, only)
+                except (RecursionError, ValueError) as e:
+                    new, counts, failure = old, {}, f"{type(e).__name__}: {e}"
                 diff = "" if new == old else "".join(difflib.unified_diff(old.splitlines(True), new.splitlines(True), f"a/{name}", f"b/{name}"))
-                rows.append((name, new, new != old, sorted(counts.items()), diff))
-            kinds = (pa.string(), pa.string(), pa.bool_(), pa.map_(pa.string(), pa.int64()), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], ["path", "content", "changed", "fixes", "diff"])
+                rows.append((name, new, new != old, sorted(counts.items()), diff, failure))
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.map_(pa.string(), pa.int64()), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], ["path", "content", "changed", "fixes", "diff", "failure"])
 
-    return sources.select("path", "content").mapInArrow(run, "path string, content string, changed boolean, fixes map<string, bigint>, diff string")
+    return sources.select("path", "content").mapInArrow(run, "path string, content string, changed boolean, fixes map<string, bigint>, diff string, failure string")

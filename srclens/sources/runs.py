@@ -1,0 +1,44 @@
+"""Runs that write: results go to a folder of their own, all or none, and can be taken back.
+
+A run is a folder with its new contents and a manifest, which is written last:
+a run without a manifest was broken off and counts nothing.  Sources are never
+written to.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .files import stale
+from .project import undo, undo_manifest
+
+
+def commit(plans: DataFrame, current: DataFrame, target: str, run_id: str) -> DataFrame:
+    """plans (path, content, content_hash as it was planned on), current (path, content, content_hash).  Writes the run unless a file has changed since; returns the files that have."""
+    changed = stale(plans, current)
+    if not changed.isEmpty():
+        return changed.select("path")
+    after = plans.select("path", "content", F.sha2("content", 256).alias("content_hash"))
+    after.write.mode("errorifexists").parquet(f"{target}/{run_id}/files")
+    written = plans.sparkSession.read.schema(after.schema).parquet(f"{target}/{run_id}/files")
+    undo_manifest(current, written, run_id).write.mode("errorifexists").parquet(f"{target}/{run_id}/manifest")
+    return changed.select("path")
+
+
+def _has(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def runs(spark: SparkSession, target: str) -> list[str]:
+    """The runs below target that are whole, by name."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in found if _has(spark, f"{target}/{n}/manifest/_SUCCESS"))
+
+
+def restored(spark: SparkSession, target: str, run_id: str, current: DataFrame) -> DataFrame:
+    """(path, content, status): what taking the run back makes of each file it changed."""
+    return undo(spark.read.parquet(f"{target}/{run_id}/manifest"), current)

@@ -156,3 +156,12 @@ def test_scopes_and_clock():
     assert project_rules.protected("/home/me", ("/home/me/",)) == "home" and project_rules.protected("/home/me/x") is None
     with pytest.raises(ValueError):
         headers.clock("soon")
+
+
+def test_a_deep_file_harms_no_other(spark):
+    deep = "int\tf(void)\n" + "{" * 3000 + "}" * 3000 + "\n"
+    src = fixtures.files(spark, {"deep.c": deep, "ok.c": "int\tf(void)\n{\n\treturn 1;\n}\n"})
+    got = {x["path"]: (x["content"], x["failure"]) for x in transforms.fixed(src).collect()}
+    assert got["deep.c"][0] == deep and got["deep.c"][1].startswith("RecursionError") and got["ok.c"] == ("int\tf(void)\n{\n\treturn (1);\n}\n", None)
+    rows = facts.facts(src)
+    assert {x["path"] for x in rows.where("fact = 'definition'").collect()} == {"ok.c"} and rows.where("fact = 'unsafe'").count() == 1
