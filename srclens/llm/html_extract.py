@@ -7,8 +7,8 @@
 2. Of pages with the same text on a host one counts.  Per host and skeleton,
    each node's texts and lengths are aggregated: a few rows a skeleton, however
    many pages a host has.  Texts that stand on one page alone count as a number.
-3. All of a host's skeletons are matched into one wrapper (``wrapper``), one
-   after the other.
+3. All of a host's skeletons are matched into one wrapper (``wrapper``): parts
+   of them one after the other by several tasks, then the parts' wrappers.
 4. The text of a page is its blocks below the slot of its skeleton that are no
    template.  A page without any block there gives all blocks that are none.
 
@@ -32,10 +32,10 @@ from pyspark.sql import types as T
 
 from .common import Workspace, partitions
 from .dom import parse
-from .wrapper import SEVERAL, Wrapper
+from .wrapper import SEVERAL, Wrapper, verdict
 
-#: Skeletons whose results are handed on together.
-BATCH = 256
+#: Skeletons that one task matches, and those whose results are handed on together.
+PART, BATCH = 1024, 256
 
 
 def host(url):
@@ -96,28 +96,91 @@ def statistics(pages: DataFrame) -> DataFrame:
     return pages.groupBy("host", "id").agg(F.max("skeleton").alias("skeleton")).join(tree, ["host", "id"], "left")
 
 
-def wrappers(stats: DataFrame) -> DataFrame:
-    """(host, id, slot, node, hash): the nodes of each host's skeleton in its slot, and its template texts, each with its node."""
-    n = partitions(stats.sparkSession)
+STATS = "array<struct<node: long, pages: long, chars: long, every: long, texts: array<struct<hash: long, n: long>>>>"
+_NODES = pa.list_(pa.struct([("node", pa.int64()), ("pages", pa.int64()), ("chars", pa.int64()), ("every", pa.int64()), ("texts", pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64())])))]))
+_LONGS, _HASHES = pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))
 
-    def results(name: str, wrapper: Wrapper) -> Iterator[pa.RecordBatch]:
-        for some in batched(wrapper.found(), BATCH):
-            lists = ([sorted(slot) for _, slot, _ in some], [[k for k, _ in drop] for *_, drop in some], [[h for _, h in drop] for *_, drop in some])
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array([x[0] for x in some]), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], ["host", "id", "slot", "node", "hash"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, wrapper = None, Wrapper()
-        for b in batches:
-            for name, key, skeleton, nodes in zip(*b.columns, strict=True):
-                if name.as_py() != at:
-                    yield from results(at, wrapper)
-                    at, wrapper = name.as_py(), Wrapper()
-                stats = {x["node"]: (x["pages"], x["chars"], x["every"], [(t["hash"], t["n"]) for t in x["texts"]]) for x in nodes.as_py() or []}
-                wrapper.add(key.as_py(), skeleton.as_py(), stats)
-        yield from results(at, wrapper)
+def _stats(nodes) -> dict[int, tuple]:
+    return {x["node"]: (x["pages"], x["chars"], x["every"], [(t["hash"], t["n"]) for t in x["texts"]]) for x in nodes.as_py() or []}
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int, done) -> Iterator[pa.RecordBatch]:
+    """Rows (the keys, id, skeleton, weight, nodes) sorted by keys: what done(keys, wrapper) gives for each wrapper of equal keys."""
+    at, wrapper = None, Wrapper()
+    for b in batches:
+        for row in zip(*b.columns, strict=True):
+            key = tuple(v.as_py() for v in row[:keys])
+            if key != at and at is not None:
+                yield from done(at, wrapper)
+                wrapper = Wrapper()
+            at = key
+            wrapper.add(row[keys].as_py(), row[keys + 1].as_py(), _stats(row[keys + 3]), row[keys + 2].as_py() or 0)
+    if at is not None:
+        yield from done(at, wrapper)
+
+
+def _part(key: tuple, wrapper: Wrapper) -> Iterator[pa.RecordBatch]:
+    """A part's wrapper (kind 0), and each of its skeletons with the places of its nodes in it (kind 1)."""
+    whole, place = wrapper.skeleton()
+    nodes = [{"node": k, "pages": n.pages, "chars": n.chars, "every": n.every, "texts": [{"hash": h, "n": c} for h, c in sorted(n.texts.items())]} for k, n in zip(place, wrapper.nodes, strict=True)]
+    yield _rows(key, [(0, None, whole, wrapper.weight, nodes, None)])
+    for some in batched(wrapper.added(), BATCH):
+        yield _rows(key, [(1, name, skeleton, 0, None, [place[i] for i in of]) for name, skeleton, of in some])
+
+
+def _rows(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), _NODES, _LONGS)
+    cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(rows), pa.string()), pa.array([key[1]] * len(rows), pa.int64()), *cols], ["host", "part", "kind", "id", "skeleton", "weight", "nodes", "of"])
 
-    ordered = stats.repartition(n, "host").sortWithinPartitions("host", F.desc_nulls_last("weight"), "id").select("host", "id", "skeleton", "nodes")
-    return ordered.mapInArrow(run, "host string, id long, slot array<long>, node array<long>, hash array<long>")
+
+def _whole(key: tuple, wrapper: Wrapper) -> Iterator[pa.RecordBatch]:
+    """For each part of a host what the host's wrapper knows of its nodes."""
+    known = [n.template() for n in wrapper.nodes]
+    own = [n.every > sum(n.texts[h] for h in drop) for n, drop in zip(wrapper.nodes, known, strict=True)]
+    for name, _, of in wrapper.added():
+        cols = [[wrapper.nodes[i].pages for i in of], [wrapper.nodes[i].chars for i in of], [int(own[i]) for i in of], [known[i] for i in of]]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([name], pa.int64()), *(pa.array([c], k) for c, k in zip(cols, (_LONGS, _LONGS, _LONGS, _HASHES), strict=True))], ["host", "part", "pages", "chars", "own", "known"])
+
+
+def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, part, kind, id, skeleton, of, pages, chars, own, known) by part, what the host knows first: each skeleton's slot and template."""
+    held = None
+    for b in batches:
+        out = []
+        for host_, _, kind, name, skeleton, of, *known in zip(*b.columns, strict=True):
+            if kind.as_py() == 0:
+                held = [x.as_py() for x in known]
+                continue
+            slot, drop = verdict(skeleton.as_py(), of.as_py(), *held)
+            out.append((host_.as_py(), name.as_py(), sorted(slot), [k for k, _ in drop], [h for _, h in drop]))
+        kinds = (pa.string(), pa.int64(), _LONGS, _LONGS, _LONGS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["host", "id", "slot", "node", "hash"])
+
+
+def wrappers(stats: DataFrame, ws: Workspace) -> DataFrame:
+    """(host, id, slot, node, hash): the nodes of each host's skeleton in its slot, and its template texts, each with its node.
+
+    A host's skeletons are dealt to parts of about ``PART``, each matched into
+    a wrapper by one task; the parts' wrappers are matched into the host's.
+    """
+    n = partitions(stats.sparkSession)
+    parts = ws.save(stats.groupBy("host").agg(F.ceil(F.count("*") / PART).alias("parts")), "parts")
+    dealt = stats.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    ordered = dealt.repartition(n, "host", "part").sortWithinPartitions("host", "part", F.desc_nulls_last("weight"), "id").select("host", "part", "id", "skeleton", "weight", "nodes")
+    kinds = f"host string, part long, kind long, id long, skeleton string, weight long, nodes {STATS}, of array<long>"
+    first = ws.save(ordered.mapInArrow(lambda batches: _grouped(batches, 2, _part), kinds), "part-wrappers")
+    of_host = first.where("kind = 0").select("host", F.col("part").alias("id"), "skeleton", "weight", "nodes")
+    of_host = of_host.repartition(n, "host").sortWithinPartitions("host", F.desc("weight"), "id")
+    known = of_host.mapInArrow(lambda batches: _grouped(batches, 1, _whole), "host string, part long, pages array<long>, chars array<long>, own array<long>, known array<array<long>>")
+    known = ws.save(known, "host-wrappers")
+    null = lambda *names: [F.lit(None).cast(k).alias(c) for c, k in names]
+    lists = [("pages", "array<long>"), ("chars", "array<long>"), ("own", "array<long>"), ("known", "array<array<long>>")]
+    asks = first.where("kind = 1").select("host", "part", "kind", "id", "skeleton", "of", *null(*lists))
+    tells = known.select("host", "part", F.lit(0).cast("long").alias("kind"), *null(("id", "long"), ("skeleton", "string"), ("of", "array<long>")), "pages", "chars", "own", "known")
+    both = tells.unionByName(asks).repartition(n, "host", "part").sortWithinPartitions("host", "part", "kind", "id")
+    return both.mapInArrow(_verdicts, "host string, id long, slot array<long>, node array<long>, hash array<long>")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -125,7 +188,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     ws = Workspace(pages.sparkSession, "html")
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     known = ws.save(parsed(rows), "parsed")
-    table = ws.save(wrappers(statistics(known)), "wrappers")
+    table = ws.save(wrappers(statistics(known), ws), "wrappers")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

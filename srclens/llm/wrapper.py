@@ -5,7 +5,8 @@ texts that may be template.  The most frequent skeleton starts the wrapper; each
 later one is matched with it (the largest order-keeping match of trees with
 equal root tags) and what has no match is inserted.  The statistics meet in the
 wrapper; each skeleton gets its own slot by them, so layouts of one host don't
-lose their article to each other.
+lose their article to each other.  A wrapper is a skeleton with statistics
+itself, so wrappers of parts of a host are matched into one in the same way.
 """
 
 from __future__ import annotations
@@ -132,7 +133,7 @@ def slot_of(skeleton: str, nodes: list[Node]) -> set[int]:
 
 
 class Wrapper:
-    """The wrapper of a host.  ``add`` takes its skeletons, the most frequent first; then ``found`` gives each one's result.
+    """A wrapper of skeletons of a host, or of such wrappers.  ``add`` takes them, the most frequent first.
 
     What is held is the wrapper alone; the skeletons wait in a file of the
     worker, each with the wrapper's nodes that its own ones are.
@@ -143,8 +144,9 @@ class Wrapper:
         self.nodes: list[Node] = []
         self.number: dict[int, int] = {}
         self.waiting = tempfile.TemporaryFile()
+        self.weight = 0
 
-    def add(self, name: int, skeleton: str, stats: dict[int, tuple]) -> None:
+    def add(self, name: int, skeleton: str, stats: dict[int, tuple], weight: int = 0) -> None:
         """stats: per node of the skeleton what ``Node.add`` takes."""
         nodes = tree(skeleton)
         into: dict[int, Node] = {}
@@ -162,18 +164,47 @@ class Wrapper:
             of.append(self.number[id(met)])
             if k in stats:
                 met.add(*stats[k])
+        self.weight += weight
         pickle.dump((name, skeleton, of), self.waiting)
 
-    def found(self) -> Iterator[tuple[int, set[int], list[tuple[int, int]]]]:
-        """(name, the nodes of the slot, (node, hash) of the template texts) of each skeleton."""
-        known = [n.template() for n in self.nodes]
-        own = [n.every > sum(n.texts[h] for h in drop) for n, drop in zip(self.nodes, known, strict=True)]
+    def added(self) -> Iterator[tuple[int, str, array]]:
+        """(name, skeleton, the number of the wrapper's node for each of its own) of all that was added."""
         end = self.waiting.tell()
         self.waiting.seek(0)
         while self.waiting.tell() < end:
-            name, skeleton, of = pickle.load(self.waiting)
-            slot = slot_of(skeleton, [self.nodes[i] for i in of])
-            # where all of a slot is the same on all pages, that is its content
-            varies = any(own[of[k]] for k in slot)
-            yield name, slot, [(k, h) for k, i in enumerate(of) for h in known[i] if varies or k not in slot]
+            yield pickle.load(self.waiting)
         self.waiting.close()
+
+    def skeleton(self) -> tuple[str, list[int]]:
+        """The wrapper as a skeleton, and the place in it of each of its nodes by number."""
+        lines: list[str] = []
+        place: dict[int, int] = {}
+
+        def visit(n: Node, parent: int) -> None:
+            place[id(n)] = len(lines)
+            lines.append(f"{parent} {n.sig}")
+            for c in n.children:
+                visit(c, place[id(n)])
+
+        visit(self.root, -1)
+        return "\n".join(lines), [place[id(n)] for n in self.nodes]
+
+
+class Held:
+    """What ``slot_of`` asks of a node."""
+
+    __slots__ = ("chars", "pages")
+
+    def __init__(self, pages: int, chars: int):
+        self.pages, self.chars = pages, chars
+
+
+def verdict(skeleton: str, of: list[int], pages: list[int], chars: list[int], own: list[bool], known: list[list[int]]) -> tuple[set[int], list[tuple[int, int]]]:
+    """(the nodes of the slot, (node, hash) of the template texts) of a skeleton whose nodes are those numbered of in lists of the host's statistics.
+
+    own: whether a node has texts that are no template; known: its template texts.
+    """
+    slot = slot_of(skeleton, [Held(pages[i], chars[i]) for i in of])
+    # where all of a slot is the same on all pages, that is its content
+    varies = any(own[of[k]] for k in slot)
+    return slot, [(k, h) for k, i in enumerate(of) for h in known[i] if varies or k not in slot]

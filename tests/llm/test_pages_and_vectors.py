@@ -67,7 +67,10 @@ def test_copies_among_other_pages(spark):
     assert [got[i] for i in range(5, 9)] == [f"T {i}\nText {i}" for i in range(5, 9)]
 
 
-def test_many_skeletons_of_a_host(spark):
+@pytest.mark.parametrize("part", [1024, 20])
+def test_many_skeletons_of_a_host(spark, monkeypatch, part):
+    monkeypatch.setattr(html_extract, "PART", part)
+
     def page(i):
         shape = "".join(f"<{t}>x{i}</{t}>" for k, t in enumerate(("h2", "h3", "h4", "h5", "h6", "pre", "dl", "hgroup", "address")) if i >> k & 1)
         return f"<body><div class=top>Site</div><article><h1>T {i}</h1><p class=note>Note of all</p>{shape}</article></body>"
@@ -133,6 +136,18 @@ def test_broken_html():
     assert dom.parse("<div>" * 3000 + "deep").blocks[0][2] == "deep" and dom.parse("1 < 2 & 3").blocks == [(0, False, "1 < 2 & 3")]
 
 
+def test_a_wrapper_is_a_skeleton():
+    whole = wrapper.Wrapper()
+    whole.add(1, "-1 html\n0 div\n1 p", {2: (3, 30, 3, [(7, 3)])}, 3)
+    whole.add(2, "-1 html\n0 h1\n0 div\n2 p\n2 ul", {3: (1, 5, 1, [(7, 1)])}, 1)
+    text, place = whole.skeleton()
+    assert [n.sig for n in wrapper.tree(text)] == ["html", "h1", "div", "p", "ul"] and whole.weight == 4
+    of = {name: [place[i] for i in of] for name, _, of in whole.added()}
+    assert of == {1: [0, 2, 3], 2: [0, 1, 2, 3, 4]}
+    p = whole.nodes[place.index(3)]
+    assert (p.pages, p.chars, p.texts[7]) == (4, 35, 4)
+
+
 def test_tree_matching():
     a = wrapper.tree("-1 html\n0 div\n1 p\n0 ul\n3 li")
     b = wrapper.tree("-1 html\n0 h1\n0 div\n2 p\n0 ul\n4 li")
