@@ -332,3 +332,18 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return out.select(F.col("vec").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+#: All pairs; for tables up to some thousand vectors.
+ORACLE = """
+WITH RECURSIVE ok AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e, len(embedding) AS n FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  unit AS (SELECT vec_id, n, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM ok),
+  pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.n = b.n AND a.vec_id <> b.vec_id WHERE list_dot_product(a.u, b.u) >= 0.9),
+  reach(a, b) AS (SELECT vec_id, vec_id FROM ok UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+  least AS (SELECT a, min(b) AS component FROM reach GROUP BY a),
+  links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN least ON least.a = vec_id LEFT JOIN links ON links.a = vec_id
+"""

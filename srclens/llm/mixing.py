@@ -10,7 +10,8 @@ siblings in order of capacity by weight, running sums, no iteration.
 A leaf with an allotment of more than its tokens gives whole epochs, then a
 prefix of the next: documents in the order of a hash of seed, epoch and id, as
 long as their tokens fit.  Prefix sums run over hash buckets first; only the one
-bucket that holds the border is ordered row by row, so no leaf meets in one task.
+bucket that holds the border is ordered row by row, so no leaf meets in one
+task; what does meet in one is a leaf's sums of buckets, 65,536 at most.
 
 All arithmetic is on integers.  Defined results.  Null text has no tokens; null
 language or source is ''.  Weights under 1 take nothing, unnamed nodes weigh 1.

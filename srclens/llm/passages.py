@@ -142,3 +142,16 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False)
     return out.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+#: All windows as hashes of their words.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  windows AS (SELECT doc_id, p, md5(array_to_string(w[p : p + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+  first AS (SELECT h, min(doc_id) AS least FROM windows GROUP BY h),
+  hit AS (SELECT doc_id, p FROM windows JOIN first USING (h) WHERE least < doc_id),
+  gone AS (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, unnest(range(p, p + 50)) AS q FROM hit)),
+  words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM d),
+  kept AS (SELECT doc_id, count(gone.q) AS n_removed, string_agg(word, ' ' ORDER BY q) FILTER (WHERE gone.q IS NULL) AS text FROM words LEFT JOIN gone USING (doc_id, q) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import decontaminate, embedding_dedup, html_extract, line_dedup, mixing, passages, quality, simhash, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +19,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": line_dedup.query,
     "op9_substring_dedup": passages.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
-    "pipeline": corpus_pipeline.run,
 }
-ORACLE: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op7_warc": warc.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+ORACLE: dict[str, str] = {"op2_embedding_near_dedup": embedding_dedup.ORACLE, "op9_substring_dedup": passages.ORACLE, "op10_suffix_array_dedup": suffix_dedup.ORACLE, "op4_mixing": mixing.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op7_warc": warc.ORACLE, "op8_line_dedup": line_dedup.ORACLE}

@@ -239,3 +239,20 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False)
     return out.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: All windows as hashes of their bytes, two hexadecimal digits a byte.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+  windows AS (SELECT doc_id, p, md5_number(substr(x, 2 * p - 1, 800)) AS h FROM (SELECT doc_id, x, unnest(range(1, n - 398)) AS p FROM d WHERE n >= 400)),
+  often AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+  hit AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island FROM windows JOIN often USING (h)),
+  runs AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM hit GROUP BY doc_id, island),
+  marked AS (SELECT *, coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS before FROM runs),
+  cut AS (SELECT *, a > before OR a = 1 AS fresh FROM marked),
+  spans AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM cut) GROUP BY doc_id, k),
+  edges AS (SELECT doc_id, b AS a, coalesce(lead(a) OVER w, n + 1) AS b FROM (SELECT doc_id, a, b, n FROM spans JOIN d USING (doc_id) UNION ALL SELECT doc_id, 0, 1, n FROM d) WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+  kept AS (SELECT doc_id, string_agg(substr(x, 2 * a - 1, 2 * (b - a)), '' ORDER BY a) AS x FROM edges JOIN d USING (doc_id) GROUP BY doc_id),
+  gone AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept.x)) AS kept_sha256 FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""

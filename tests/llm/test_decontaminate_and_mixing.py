@@ -182,7 +182,7 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("name", ["op4_mixing", "op5_decontaminate", "op7_warc", "op8_line_dedup"])
+@pytest.mark.parametrize("name", ["op2_embedding_near_dedup", "op4_mixing", "op5_decontaminate", "op7_warc", "op8_line_dedup", "op9_substring_dedup", "op10_suffix_array_dedup"])
 def test_against_sql(spark, name):
     from srclens.llm import registry
 

@@ -1,6 +1,7 @@
 import zlib
 from functools import partial
 
+import duckdb
 import numpy as np
 
 import corpus_pipeline
@@ -8,6 +9,7 @@ from srclens.llm import bytenet, fingerprint, mixing, quality
 from tests.llm.test_decontaminate_and_mixing import brute
 from tests.llm.test_lines_and_simhash import lines_brute
 from tests.oracle import DATA
+from tests.oracle import rows as rows_of
 
 
 def as_bytes(*texts):
@@ -87,3 +89,12 @@ def test_stages_against_brute_force(spark, monkeypatch):
     clean = {d for d, _, h, _ in brute([(r[0], r[1]) for r in table(bench[0])], items, 10) if not h}
     assert table(bench[1]) == [r for r in table(bench[0]) if r[0] in clean]
     assert mix[1].columns == ["doc_id", *mixing.LEVELS, "n_tokens", "epochs"] and 0 < mix[1].count() <= mix[0].count()
+    sql = duckdb.connect()
+    sql.register("documents", mix[0].toPandas())
+    assert rows_of(mix[1].toPandas(), mix[1].columns) == rows_of(sql.sql(mixing.ORACLE).df(), mix[1].columns)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    for table in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{DATA}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
