@@ -23,21 +23,26 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import arc
 from .common import Workspace
 
 SMALL = 100
-#: Records in an archive at most, with the one that begins it.
-RECORDS = 1024
+#: Records in an archive at most, with the one that begins it, and its bytes before compression but for a single record of more.
+RECORDS, ARCHIVE_BYTES = 1024, 1 << 28
 DATE = "20240101000000"
 
 
-def _archive(df: DataFrame, path: str) -> None:
+def _per_archive(most: int | None) -> int:
+    """How many records an archive takes when none has a payload of more than ``most`` bytes."""
+    return max(2, min(RECORDS, ARCHIVE_BYTES // ((most or 0) + 4096)))
+
+
+def _archive(df: DataFrame, path: str, records: int) -> None:
     """Rows (value as bytes) one after the other, each closed by a line feed."""
-    df.select(F.col("value").cast("string")).write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").option("maxRecordsPerFile", RECORDS).mode("overwrite").text(path)
+    df.select(F.col("value").cast("string")).write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").option("maxRecordsPerFile", records).mode("overwrite").text(path)
 
 
 def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
@@ -55,6 +60,7 @@ def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType],
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> None:
     rows = pages.select(F.col(id_col).cast("string").alias("page"), F.col(url_col).alias("url"), F.col(html_col).cast("binary").alias("html"))
+    per = _per_archive(rows.agg(F.max(F.octet_length("html"))).first()[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -64,8 +70,8 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
             n, offset, name = 0, 0, ""
             for b in batches:
                 for page, url, html in zip(*(b.column(i) for i in range(3)), strict=True):
-                    if n % RECORDS == 0:
-                        name = f"pages-{part:05d}-{n // RECORDS:05d}.arc"
+                    if n % per == 0:
+                        name = f"pages-{part:05d}-{n // per:05d}.arc"
                         block = arc.arc_block(version, name, date)
                         offset = len(block) + 1
                         n += 1
@@ -77,7 +83,7 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
 
         yield from _batches(records(), ["value"], [pa.binary()])
 
-    _archive(rows.mapInArrow(run, "value binary"), path)
+    _archive(rows.mapInArrow(run, "value binary"), path, per)
 
 
 def _files(spark: SparkSession, path: str, schema: str, names: list[str], kinds: list[pa.DataType], each) -> DataFrame:
@@ -108,9 +114,11 @@ def convert(spark: SparkSession, source: str, target: str, id_type: str = "long"
     """ARC archives below source to WARC archives below target."""
     ws = Workspace(spark, "warc-convert")
     page = F.col("page").cast(id_type)
-    known = read_arc(spark, source, payload=False).where(F.col("bytes") >= small).groupBy("digest")
+    seen = Observation()
+    known = read_arc(spark, source, payload=False).observe(seen, F.max("bytes").alias("most")).where(F.col("bytes") >= small).groupBy("digest")
     first = known.agg(F.min(page).alias("first"), F.min_by("url", page).alias("first_url"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
     first = ws.save(first, "first")
+    per = _per_archive(seen.get["most"])
     rows = read_arc(spark, source).join(first, "digest", "left")
     revisit = F.coalesce((F.col("bytes") >= small) & ~F.coalesce(page == F.col("first"), F.lit(False)) & F.col("first").isNotNull(), F.lit(False))
     rows = rows.select("page", "url", "date", "head", F.when(revisit, None).otherwise(F.col("payload")).alias("payload"), "digest", F.when(revisit, F.col("first").cast("string")).alias("refers"), "first_url")
@@ -126,7 +134,7 @@ def convert(spark: SparkSession, source: str, target: str, id_type: str = "long"
             for b in batches:
                 for page, url, date, head, payload, digest, refers, first_url in zip(*(c for c in b.columns), strict=True):
                     when = arc.iso(date.as_py())
-                    if n % RECORDS == 0:
+                    if n % per == 0:
                         fields = [("WARC-Record-ID", arc.record_id(f"warcinfo {part} {n}", target)), ("WARC-Date", when), ("Content-Type", "application/warc-fields")]
                         n += 1
                         yield (arc.warc("warcinfo", fields, b"software: srclens\r\nformat: WARC File Format 1.1\r\n"),)
@@ -141,7 +149,7 @@ def convert(spark: SparkSession, source: str, target: str, id_type: str = "long"
 
         yield from _batches(records(), ["value"], [pa.binary()])
 
-    _archive(rows.mapInArrow(run, "value binary"), target)
+    _archive(rows.mapInArrow(run, "value binary"), target, per)
     ws.close()
 
 

@@ -202,6 +202,25 @@ def test_vectors_of_extreme_lengths(spark):
     assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 40_000)
+    df = spark.range(50).selectExpr("id as page_id", "'u' as url", "repeat(cast(id as string), 4000) as html").coalesce(1)
+    warc.write_arc(df, f"file://{tmp_path}/arc")
+    warc.convert(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
+    for kind in ("arc", "warc"):
+        sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / kind).glob("part-*")]
+        assert len(sizes) > 10 and max(sizes) < 45_000
+    assert warc.read(spark, f"file://{tmp_path}/warc").count() == 50
+
+
+def test_very_long_vectors(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(3, 20_000))
+    rows = [(i, [float(v) for v in x[i % 3] + r.normal(size=20_000) * 0.1]) for i in range(6)]
+    got = {v["vec"]: (v["n_links"], v["component"]) for v in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (1, i % 3) for i in range(6)}
+
+
 def vectors_brute(rows, cosine):
     ok = {i: np.array(v, float) for i, (d, v) in enumerate(rows) if d is not None and v and None not in v and np.isfinite(v).all() and any(v)}
     links = {i: set() for i in range(len(rows))}

@@ -145,3 +145,18 @@ def test_key_filter(spark, monkeypatch, bits):
     assert got[:2000].all() and len(words) * 64 <= bits
     assert got[2000:].mean() < (0.05 if bits > 1 << 12 else 0.9)
     assert not common.may_hold(common.key_filter(keys.limit(0)), t1, t2).any()
+
+
+def test_texts_longer_than_a_piece(spark):
+    """A repeated stretch over the border of two pieces, in both operators."""
+    r = np.random.default_rng(7)
+    words = ["".join(w) for w in r.choice(list("abcdefghij"), (400_000, 6)).tolist()]
+    whole, part = " ".join(words), " ".join(words[280_000:320_000])
+    assert len(whole) > rolling.PIECE > len(" ".join(words[:285_000])) and len(" ".join(words[:315_000])) > rolling.PIECE
+    rows = [(1, whole), (2, part), (3, " ".join(words[:100]) + " other words")]
+    got = {x["doc"]: x for x in suffix_dedup.dedup_bytes(docs(spark, rows), texts=False).collect()}
+    at = len(" ".join(words[:280_000])) + 1
+    assert [(s["a"], s["b"]) for s in got[1]["spans"]] == [(0, 700), (at, at + len(part))]
+    assert (got[2]["n_removed"], got[3]["n_removed"]) == (len(part), 700)
+    got = {x["doc"]: x for x in passages.dedup_passages(docs(spark, rows), texts=False).collect()}
+    assert [(got[d]["n_words"], got[d]["n_removed"]) for d in (1, 2, 3)] == [(400_000, 0), (40_000, 40_000), (102, 100)]
