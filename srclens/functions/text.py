@@ -143,13 +143,13 @@ def escape_inline(t: Column) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    """Micro- and milliseconds whole, seconds with two places, minutes with what is left."""
+    """Micro- and milliseconds whole, seconds with two places, minutes with what is left; halves go to the even digit."""
     minutes = F.floor(seconds / 60)
     return (
         F.when(seconds < 0.001, F.format_string("%.0f µs", F.bround(seconds * 1e6)))
         .when(seconds < 1, F.format_string("%.0f ms", F.bround(seconds * 1e3)))
-        .when(seconds < 60, F.format_string("%.2f s", seconds))
-        .otherwise(F.format_string("%d min %.1f s", minutes, seconds - minutes * 60))
+        .when(seconds < 60, F.format_string("%.2f s", F.bround(seconds, 2)))
+        .otherwise(F.format_string("%d min %.1f s", minutes, F.bround(seconds - minutes * 60, 1)))
     )
 
 
