@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Workspace, partitions
-from .repeats import KEY, NAME, RUN, Units, byte_units, contents, keyed, run_rows, run_schema, runs, shared, union_of, with_text
+from .repeats import KEY, NAME, RUN, byte_units, contents, keyed, run_rows, run_schema, runs, shared, union_of, with_text
 from .rolling import BYTE, windows
 from .suffix_sort import suffix_array
 
