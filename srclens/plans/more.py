@@ -11,7 +11,7 @@ from ..operators.facts import facts, functions, view
 from ..operators.makefile import artifact, formatted, logical, source_refs, source_status, without_missing
 from ..sources import files, logs, project
 from . import fixtures
-from .queries import CHAIN, DIAG, D, FIXED, M, documents, line_diagnostics, longs, messy, values
+from .queries import DIAG, D, M, documents, line_diagnostics, longs, messy, values
 
 #: Both engines read this: pages as files of several kinds.
 PAGE_PATH = "CASE page_id % 7 WHEN 0 THEN 'src/page' || page_id || '.c' WHEN 1 THEN 'inc/page' || page_id || '.h' WHEN 2 THEN 'lib' || page_id || '/Makefile' WHEN 3 THEN 'doc' || page_id || '/README.md' WHEN 4 THEN 'build/page' || page_id || '.o' WHEN 5 THEN 'src/keep' || page_id || '.o' ELSE 'SRC/page' || (page_id - 6) || '.C' END"
@@ -609,4 +609,3 @@ ORACLE = {
     "stored_projects": f"{D} SELECT right(path, 1) AS project, count(*) AS n FROM d GROUP BY 1",
 }
 QUERIES = {k.removeprefix("q_"): v for k, v in list(globals().items()) if k.startswith("q_")}
-assert CHAIN and FIXED  # shared SQL of ``queries``
