@@ -114,12 +114,20 @@ def sort_includes(rows: DataFrame) -> DataFrame:
 
 
 def word_counts(sources: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """(path, word, n): counted within each row, by runs of its sorted words, so that nothing is shuffled."""
-    rows = sources.select(F.col(path).alias("path"), F.array_sort(X.word_list(F.col(content))).alias("w")).where(F.size("w") > 0)
-    first = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
-    runs = rows.select("path", "w", first.alias("at"))
-    counted = F.transform("at", lambda i, k: F.struct(F.get("w", i).alias("word"), (F.coalesce(F.get("at", k + 1), F.size("w")) - i).cast("long").alias("n")))
-    return runs.select("path", F.inline(counted))
+    """(path, word, n): counted within each row, so that nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            coded = lists.flatten().dictionary_encode()
+            n = len(coded.dictionary)
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+            keys, counts = np.unique(row * n + coded.indices.to_numpy(), return_counts=True)
+            of, word = (pa.array(keys // n), pa.array(keys % n)) if n else (pa.array([], pa.int64()),) * 2
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), coded.dictionary.take(word), pa.array(counts.astype(np.int64))], ["path", "word", "n"])
+
+    rows = sources.select(F.col(path).cast("string").alias("path"), X.word_list(F.col(content)).alias("w"))
+    return rows.mapInArrow(run, "path string, word string, n long")
 
 
 def line_counts(sources: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

@@ -64,7 +64,10 @@ WRITTEN, CLEAN = _source(0), _source(1)
 
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".c")).alias("path"), F.expr(WRITTEN).alias("content"))
+    """The files, dealt to all cores: the table is one small file, and to read C takes far longer than to move it."""
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".c")).alias("path"), F.expr(WRITTEN).alias("content"))
+    return rows.repartition(n, "path")
 
 
 def _facts(spark, d):
