@@ -85,6 +85,30 @@ def trivia_only(code: Column) -> Column:
     return code.rlike(r"\A(?:\s|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)*\z")
 
 
+def wrapped(t: Column, most: int = 80) -> Column:
+    """Words on lines of at most ``most`` characters, as many on each as fit; a longer word has a line of its own."""
+    words = F.trim(F.regexp_replace(t, r"[ \t\r\n]+", " "))
+    return F.regexp_replace(F.regexp_replace(words, rf"([^ ]{{{most + 1},}}|.{{1,{most}}})( |$)", "$1\n"), r"\n\z", "")
+
+
+def packed(words: Column, first: str, rest: str = "\t", most: int = 80) -> Column:
+    """Words (array<string>) on lines joined by ' \\', the first behind ``first``, the others behind ``rest``; null if one doesn't fit.
+
+    A tab counts four columns.  Only the last line needs no room for ' \\'.
+    """
+    room, later = most - len(first.expandtabs(4)), most - len(rest.expandtabs(4))
+    line = lambda n: rf"(?:.{{1,{n}}}$|.{{1,{n - 2}}}(?= ))" if n > 2 else r"(?!)"
+    text = F.array_join(words, " ")
+    head = F.regexp_extract(text, rf"\A{line(room)}", 0)
+    tail = F.substring(text, F.char_length(head) + F.when(head == "", 1).otherwise(2), F.char_length(text))
+    lines = F.regexp_extract_all(tail, F.lit(rf"({line(later)})(?: |$)"), F.lit(1))
+    # of what is left for later lines the last word needs no room behind it, the others do
+    left = F.split(tail, " ")
+    fits = (tail == "") | (F.forall(F.slice(left, 1, F.size(left) - 1), lambda w: F.char_length(w) <= later - 2) & (F.char_length(F.element_at(left, -1)) <= later))
+    body = F.array_join(F.concat(F.array(F.concat(F.lit(first), head)), F.transform(F.when(tail == "", F.array()).otherwise(lines), lambda x: F.concat(F.lit(rest), x))), " \\\n")
+    return F.when(fits, body)
+
+
 def strip_ansi(t: Column) -> Column:
     return F.regexp_replace(t, "\x1b\\[[0-9;?]*[ -/]*[@-~]", "")
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relate import merge_ranges
+from .scans import Save
 
 
 def applied(files: DataFrame, edits: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def granted(plans: DataFrame, grants: list[str]) -> DataFrame:
     return plans.where(F.col("capability").isNull() | F.col("capability").isin(*grants))
 
 
-def deletions(files: DataFrame, ranges: DataFrame) -> DataFrame:
+def deletions(files: DataFrame, ranges: DataFrame, save: Save) -> DataFrame:
     """Edits that take whole lines: ranges (path, start, end) widened to the lines they touch, with one blank line behind them, and merged."""
     data = F.encode("content", "UTF-8")
     both = ranges.join(files.select("path", "content"), "path")
@@ -56,15 +57,7 @@ def deletions(files: DataFrame, ranges: DataFrame) -> DataFrame:
     behind = F.decode(F.substring(data, (F.col("end") + 1).cast("int"), F.octet_length("content")), "UTF-8")
     left = F.octet_length(before) - F.octet_length(F.regexp_extract(before, r"[^\n]*\z", 0))
     right = F.col("end") + F.octet_length(F.regexp_extract(behind, r"\A[^\n]*(?:\n(?:[ \t]*\n)?)?", 0))
-    return merge_ranges(both.select("path", left.cast("long").alias("start"), right.cast("long").alias("end"))).withColumn("replacement", F.lit(""))
-
-
-def containing(ranges: DataFrame, candidates: DataFrame, bin_size: int = 4096) -> DataFrame:
-    """(path, start, end, name): every candidate (path, start, end, name) that holds a range whole; dealt to the bins of the candidates."""
-    c = candidates.select("path", F.col("start").alias("c_start"), F.col("end").alias("c_end"), "name")
-    c = c.where("c_end >= c_start").withColumn("bin", F.explode(F.sequence(F.floor(F.col("c_start") / bin_size), F.floor(F.col("c_end") / bin_size))))
-    r = ranges.select("path", "start", "end").distinct().withColumn("bin", F.floor(F.col("start") / bin_size))
-    return r.join(c, ["path", "bin"]).where("c_start <= start AND end <= c_end").select("path", "start", "end", "name").distinct()
+    return merge_ranges(both.select("path", left.cast("long").alias("start"), right.cast("long").alias("end")), save).withColumn("replacement", F.lit(""))
 
 
 def mentions(texts: DataFrame, names: DataFrame, identifiers) -> DataFrame:
@@ -77,20 +70,3 @@ def lookup(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
     """left (path, start, end) with the first value of right at just the same range."""
     first = right.groupBy("path", "start", "end").agg(F.min(value).alias(value))
     return left.join(first, ["path", "start", "end"], "left")
-
-
-def spent(rows: DataFrame, budget: int = 25) -> DataFrame:
-    """rows (path, function, ordinal, lines, used): in order, those whose lines still fit; one that does not is passed over and costs nothing.
-
-    A plain running sum would count what is passed over, so the rows of a
-    function are folded in order.
-    """
-    listed = rows.groupBy("path", "function").agg(F.first("used").alias("used"), F.sort_array(F.collect_list(F.struct("ordinal", "lines"))).alias("rows"))
-    start = F.struct(F.col("used").cast("long").alias("used"), F.array().cast("array<struct<ordinal: bigint, lines: bigint, accepted: boolean>>").alias("out"))
-
-    def step(acc, r):
-        fits = acc["used"] + r["lines"] <= budget
-        row = F.struct(r["ordinal"].cast("long").alias("ordinal"), r["lines"].cast("long").alias("lines"), fits.alias("accepted"))
-        return F.struct((acc["used"] + F.when(fits, r["lines"]).otherwise(0)).cast("long").alias("used"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return listed.select("path", "function", F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("r")).select("path", "function", "r.*")

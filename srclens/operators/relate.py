@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .closures import reachable
+from .scans import Save, running
+
 
 def official_merge(native: DataFrame, official: DataFrame, keys: tuple[str, ...] = ("path", "rule_id", "start")) -> DataFrame:
     """Native rows that an official one confirms are relabelled; official rows without a native one are added."""
@@ -27,70 +30,43 @@ def multiset_difference(after: DataFrame, before: DataFrame, keys: list[str], or
     return ranked.join(n, keys, "left").where(F.col("ordinal") > F.coalesce("n_before", F.lit(0))).drop("n_before", "ordinal")
 
 
-def owner(points: DataFrame, ranges: DataFrame, at: str = "start", bin_size: int = 4096) -> DataFrame:
-    """points with ``owner``: the name of the first range [start, end) of the same path that holds them.
+def latest_before(points: DataFrame, marks: DataFrame, by: list[str], at: str, mark_at: str, save: Save, out: str = "latest") -> DataFrame:
+    """points with the largest mark strictly before them: an as-of join as one sorted pass over both, a key of any size over many tasks."""
+    kind = marks.schema[mark_at].dataType
+    asks = points.select(*by, F.col(at).alias("_at"), F.lit(0).alias("_is_mark"), F.lit(None).cast(kind).alias("_mark")).distinct()
+    told = marks.select(*by, F.col(mark_at).alias("_at"), F.lit(1).alias("_is_mark"), F.col(mark_at).alias("_mark")).where("_mark is not null").distinct()
+    # at equal places the point comes first: a mark there is not before it
+    seen = running(asks.unionByName(told), by, ["_at", "_is_mark"], save, lasts={out: "_mark"})
+    got = seen.where("_is_mark = 0").select(*by, F.col("_at").alias(at), out)
+    return points.join(got, [*by, at], "left")
 
-    Ranges are dealt to the bins they touch, so that the join is on (path, bin)
-    and a path with many ranges is no product of all with all.
-    """
-    r = ranges.select("path", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("name").alias("owner")).where("r_end > r_start")
-    r = r.withColumn("bin", F.explode(F.sequence(F.floor(F.col("r_start") / bin_size), F.floor((F.col("r_end") - 1) / bin_size))))
-    p = points.withColumn("bin", F.floor(F.col(at) / bin_size))
-    hit = p.select("path", at, "bin").distinct().join(r, ["path", "bin"]).where(F.col(at).between(F.col("r_start"), F.col("r_end") - 1))
-    first = hit.groupBy("path", at).agg(F.min_by("owner", F.struct("r_start", "r_end")).alias("owner"))
-    return points.join(first, ["path", at], "left")
 
+def merge_ranges(ranges: DataFrame, save: Save) -> DataFrame:
+    """(path, start, end): ranges that overlap or touch become one."""
+    ahead = running(ranges.select("path", "start", "end"), ["path"], ["start", "end"], save, maxima={"ahead": "end"}, own=False)
+    fresh = ahead.withColumn("fresh", F.when(F.col("ahead").isNull() | (F.col("start") > F.col("ahead")), 1).otherwise(0))
+    parts = running(fresh.drop("ahead"), ["path"], ["start", "end"], save, sums={"part": "fresh"})
+    return parts.groupBy("path", "part").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("part")
 
-def overlaps(a: DataFrame, b: DataFrame, bin_size: int = 4096) -> DataFrame:
-    """(path, a_start, a_end, b_start, b_end) of ranges that share an offset; an empty range meets those that begin before and end behind it."""
-    ends = lambda d, p: d.select("path", F.col("start").alias(f"{p}_start"), F.col("end").alias(f"{p}_end")).where(f"{p}_end >= {p}_start").withColumn("bin", F.explode(F.sequence(F.floor(F.col(f"{p}_start") / bin_size), F.floor(F.greatest(F.col(f"{p}_start"), F.col(f"{p}_end") - 1) / bin_size))))
-    met = ends(a, "a").join(ends(b, "b"), ["path", "bin"]).where("a_start < b_end AND b_start < a_end")
-    return met.drop("bin").distinct()
 
+def edit_conflicts(edits: DataFrame, save: Save) -> DataFrame:
+    """Edits (path, start, end) that overlap one before them in (start, end) order, or insert at the same place."""
+    seen = running(edits, ["path"], ["start", "end"], save, maxima={"behind": "end", "latest": "start"}, own=False)
+    clash = (F.col("start") < F.col("behind")) | ((F.col("start") == F.col("latest")) & (F.col("start") == F.col("end")))
+    return seen.where(clash).drop("behind", "latest")
 
-def latest_before(points: DataFrame, marks: DataFrame, by: list[str], at: str, mark_at: str, out: str = "latest") -> DataFrame:
-    """points with the largest mark strictly before them: an as-of join as one sorted pass over both."""
-    both = points.select(*by, F.col(at).alias("_at"), F.lit(None).cast(marks.schema[mark_at].dataType).alias("_mark")).distinct().unionByName(marks.select(*by, F.col(mark_at).alias("_at"), F.col(mark_at).alias("_mark")))
-    # at equal places the point comes first: a mark there is not before it
-    seen = F.last("_mark", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_at", F.col("_mark").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    got = both.withColumn(out, seen).where("_mark is null").select(*by, F.col("_at").alias(at), out)
-    return points.join(got, [*by, at], "left")
 
+def remap(offsets: DataFrame, edits: DataFrame, save: Save) -> DataFrame:
+    """offsets (path, offset) with ``new``: where they stand once the edits (path, start, end, replacement) before them are made.
 
-def merge_ranges(ranges: DataFrame) -> DataFrame:
-    """(path, start, end): ranges that overlap or touch become one."""
-    w = Window.partitionBy("path").orderBy("start", "end")
-    ahead = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(ahead.isNull() | (F.col("start") > ahead), 1).otherwise(0)
-    grouped = ranges.withColumn("fresh", fresh).withColumn("part", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy("path", "part").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("part")
-
-
-def edit_conflicts(edits: DataFrame) -> DataFrame:
-    """Edits (path, start, end) that overlap the one before them in (start, end) order, or insert at the same place."""
-    w = Window.partitionBy("path").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    last, place = F.max("end").over(w), F.max("start").over(w)
-    clash = (F.col("start") < last) | ((F.col("start") == place) & (F.col("start") == F.col("end")))
-    return edits.withColumn("clash", F.coalesce(clash, F.lit(False))).where("clash").drop("clash")
-
-
-def remap(offsets: DataFrame, edits: DataFrame) -> DataFrame:
-    """offsets (path, offset) with ``new``: where they stand once the edits (path, start, end, replacement) before them are made."""
-    shift = edits.select("path", F.col("end").alias("at"), (F.octet_length("replacement") - (F.col("end") - F.col("start"))).alias("delta"))
-    both = offsets.select("path", F.col("offset").alias("at"), F.lit(0).alias("delta"), F.lit(1).alias("asks")).unionByName(shift.withColumn("asks", F.lit(0)))
-    w = Window.partitionBy("path").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("new", F.col("at") + F.sum("delta").over(w)).where("asks = 1").select("path", F.col("at").alias("offset"), "new").distinct()
-
-
-def reachable(roots: DataFrame, edges: DataFrame, save) -> DataFrame:
-    """(node) reached from roots (node) over edges (src, dst): breadth first, every frontier written by ``save`` so that it outlives executors."""
-    seen = save(roots.select("node").distinct())
-    frontier = seen
-    while not frontier.isEmpty():
-        new = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = save(new.join(seen, "node", "left_anti"))
-        seen = save(seen.unionByName(frontier))
-    return seen
+    A sum over the edits before each offset, in two levels: inside the pieces
+    of a path, and over the pieces.  A null replacement deletes.
+    """
+    size = F.coalesce(F.octet_length("replacement"), F.lit(0))
+    shift = edits.groupBy("path", F.col("end").cast("long").alias("at")).agg(F.sum(size - (F.col("end") - F.col("start"))).cast("long").alias("delta"))
+    asked = offsets.select("path", F.col("offset").cast("long").alias("at")).distinct().withColumns({"delta": F.lit(0).cast("long"), "asks": F.lit(1)})
+    moved = running(asked.unionByName(shift.withColumn("asks", F.lit(0))), ["path"], ["at", "asks"], save, sums={"moved": "delta"})
+    return moved.where("asks = 1").select("path", F.col("at").alias("offset"), (F.col("at") + F.col("moved")).alias("new"))
 
 
 def dead_statics(functions: DataFrame, references: DataFrame, save, blocked: DataFrame | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .facts import functions, view
 from .lines import diagnostics
-from .relate import owner
+from .intervals import owner
 
 LIMIT = 10**38
 NUMBER = re.compile(r"(0[xX][0-9a-fA-F]+|0[bB][01]+|[0-9]+)[uUlL]*\Z")

@@ -27,9 +27,6 @@ LEAKS = {
 
 MESSY_C = {"messy.c": "int\tf()\n{\n\n\tint\ta[ 3 ];;\n\tchar * p;\n\n\tif(a[ 0 ] ,1)\n\t\treturn g(a ,b);\n\treturn(a[1]);\n\n}\n"}
 CLEAN_C = {"messy.c": "int\tf(void)\n{\n\tint\ta[3];\n\tchar\t*p;\n\n\tif (a[0], 1)\n\t\treturn (g(a, b));\n\treturn (a[1]);\n}\n"}
-RANGES = [("a", 0, 5, "f"), ("a", 3, 9000, "g"), ("b", 2, 4, "h")]
-POINTS = [("a", 4), ("a", 5), ("a", 8999), ("a", 9000), ("b", 3)]
-EDITS = [("a", 0, 2, "xyz"), ("a", 1, 3, ""), ("a", 5, 5, "q"), ("a", 5, 5, "r"), ("b", 7, 9, "")]
 NATIVE, OFFICIAL = [("a", "R", 1), ("a", "R", 2)], [("a", "R", 1), ("a", "S", 9)]
 
 

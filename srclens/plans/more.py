@@ -10,6 +10,7 @@ from ..operators import edits, headers, lexer, lines, project_rules, relate, rep
 from ..operators.facts import facts, functions, view
 from ..operators.makefile import artifact, formatted, logical, source_refs, source_status, without_missing
 from ..sources import files, logs, project
+from ..tables import saver
 from . import fixtures
 from .queries import DIAG, D, M, documents, line_diagnostics, longs, messy, values
 
@@ -163,11 +164,6 @@ def q_trivia_sources(spark, d):
     return spark.createDataFrame(rows, "id long, code string").select("id", X.trivia_only(F.col("code")).alias("trivia"))
 
 
-def q_packed_words(spark, d):
-    text = transforms.pack([f"file_{i}.c" for i in range(30)], "SRCS = ")
-    return spark.createDataFrame([(i, x) for i, x in enumerate(text.split("\n"))], "line long, text string").select("line", F.char_length("text").cast("long").alias("width"), F.endswith("text", F.lit("\\")).alias("goes_on"))
-
-
 # reports
 
 
@@ -317,13 +313,6 @@ def q_granted_plans(spark, d):
     return edits.granted(plans, ["quarantine"]).select("path")
 
 
-def q_containing(spark, d):
-    n = spark.read.parquet(f"{d}/lineitem.parquet").select(F.concat(F.lit("o"), (F.col("l_orderkey") % 100).cast("string")).alias("path"), (F.col("l_partkey") * 7).alias("start"), "l_quantity", F.col("l_linenumber").cast("string").alias("name"), "l_orderkey")
-    candidates = n.where("l_orderkey % 3 = 0").select("path", "start", (F.col("start") + F.col("l_quantity") * 30).cast("long").alias("end"), F.concat_ws("-", F.col("l_orderkey").cast("string"), "name").alias("name"))
-    ranges = n.where("l_orderkey % 3 = 1").select("path", "start", (F.col("start") + F.col("l_quantity")).cast("long").alias("end"))
-    return edits.containing(ranges, candidates).groupBy("path").agg(F.count("*").alias("n"))
-
-
 def q_name_mentions(spark, d):
     names = spark.createDataFrame([("the",), ("de",), ("und",), ("que_",)], "name string")
     rows = documents(spark, d).select("path", F.lit(0).cast("long").alias("start"), F.col("content").alias("text"))
@@ -336,15 +325,10 @@ def q_range_lookup(spark, d):
     return edits.lookup(left, right, "value").select("path", F.col("start").alias("first"), "value")
 
 
-def q_spent_budget(spark, d):
-    rows = [("f", 1, 3, 20), ("f", 2, 4, 20), ("f", 3, 2, 20), ("f", 4, 1, 20), ("g", 1, 9, 0), ("g", 2, 17, 0), ("g", 3, 16, 0)]
-    return edits.spent(spark.createDataFrame([("p", *r) for r in rows], "path string, function string, ordinal long, lines long, used long")).select(F.col("function").alias("name"), "ordinal", "accepted")
-
-
 def q_deleted_ranges(spark, d):
     src = _named(spark, {"a.c": "int a;\n\nint b;\nint c;\n\nint d;\n", "b.c": "x\ny\n"})
     gone = spark.createDataFrame([("a.c", 0, 6), ("a.c", 15, 17), ("b.c", 2, 3)], "path string, start long, end long")
-    return edits.applied(src, edits.deletions(src, gone)).select("path", "content", "status")
+    return edits.applied(src, edits.deletions(src, gone, saver(spark))).select("path", "content", "status")
 
 
 # headers
@@ -553,7 +537,6 @@ ORACLE = {
     "messages": "WITH t AS (SELECT doc_id, n_chars % 3 AS n, CASE WHEN lower(lang) IN ('en', 'fr', 'es', 'de') THEN lower(lang) ELSE 'en' END AS locale FROM documents) SELECT doc_id, locale, n || ' ' || CASE WHEN n = 1 OR (n = 0 AND locale = 'fr') THEN 'one' ELSE 'other' END || ' in {path}' AS message FROM t",
     "declared_commas": "SELECT p_partkey, (p_size % 5 + 2)::BIGINT AS n FROM part",
     "trivia_sources": values("id, trivia", (1, True), (2, True), (3, False), (4, False), (5, True), (6, False)),
-    "packed_words": values("line, width, goes_on", (0, 80, True), (1, 70, True), (2, 72, True), (3, 72, True), (4, 10, False)),
     "scores": f"{DIAG}, s0 AS (SELECT path, content AS t0 FROM d), c AS (SELECT count(*) AS n_files, count(*) FILTER (WHERE contains(t0, chr(13))) AS n_failed FROM s0), e AS (SELECT count(*) FILTER (WHERE severity = 'error') AS n_error, count(*) FILTER (WHERE severity = 'warning') AS n_warning FROM g), t AS (SELECT n_files, greatest(0, 100 - least(8 * n_error, 45) - least(8 * n_failed, 30) - least(5 * n_warning, 25) - 20 - least(n_files, 10)) AS score FROM c, e) SELECT n_files, score::INT AS score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM t UNION ALL SELECT 0, 0, 'INCOMPLETE'",
     "total_order": f"{DIAG} SELECT path, line, severity, rule_id FROM g ORDER BY path, line, CASE severity WHEN 'error' THEN 0 ELSE 1 END, rule_id LIMIT 50",
     "distinct_rows": f"{DIAG} SELECT rule_id, count(*) AS n FROM g GROUP BY 1",
@@ -575,10 +558,8 @@ ORACLE = {
     "approved_plans": f"{D} SELECT path FROM d WHERE path LIKE '%2'",
     "refused_approvals": values("n", (0,)),
     "granted_plans": values("path", ("a",), ("b",)),
-    "containing": "WITH n AS (SELECT 'o' || (l_orderkey % 100) AS path, l_partkey * 7 AS a, l_quantity, l_linenumber, l_orderkey FROM lineitem), c AS (SELECT DISTINCT path, a, (a + l_quantity * 30)::BIGINT AS b, l_orderkey || '-' || l_linenumber AS name FROM n WHERE l_orderkey % 3 = 0), r AS (SELECT DISTINCT path, a, (a + l_quantity)::BIGINT AS b FROM n WHERE l_orderkey % 3 = 1) SELECT path, count(*) AS n FROM (SELECT DISTINCT r.path, r.a, r.b, c.name FROM r JOIN c ON r.path = c.path AND c.a <= r.a AND r.b <= c.b) GROUP BY path",
     "name_mentions": f"{D}, w AS (SELECT DISTINCT path, unnest(list_filter(regexp_split_to_array(content, '[^A-Za-z0-9_]+'), lambda x: x IN ('the', 'de', 'und', 'que_'))) AS name FROM d) SELECT name, count(*) AS n FROM w GROUP BY 1",
     "range_lookup": values("path, first, value", ("a", 1, "x"), ("a", 2, None), ("b", 1, None)),
-    "spent_budget": values("name, ordinal, accepted", ("f", 1, True), ("f", 2, False), ("f", 3, True), ("f", 4, False), ("g", 1, True), ("g", 2, False), ("g", 3, True)),
     "deleted_ranges": values("path, content, status", ("a.c", "int b;\nint d;\n", "applied"), ("b.c", "x\n", "applied")),
     "c_headers": _header("c"),
     "makefile_headers": _header("makefile"),

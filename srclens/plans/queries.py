@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import facts, lexer, lines, makefile, relate, report, rules, transforms
 from ..sources import files, logs
+from ..tables import saver
 from . import fixtures
 
 #: Both engines read this: documents with tabs, blanks at line ends, blank lines, carriage returns and a byte order mark put in.
@@ -30,18 +31,6 @@ def line_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return lines.line_rules(messy(spark, d))
 
 
-def _saver(spark: SparkSession):
-    """Checkpoints to the shared folder, which cuts lineage and outlives executors; a folder of our own only where all is on one machine."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        if where is None and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="srclens-"))
-    return lambda df: df.checkpoint()
-
-
 def _c(spark: SparkSession) -> DataFrame:
     return facts.facts(fixtures.files(spark, fixtures.C_FILES))
 
@@ -133,13 +122,6 @@ def q_heading_jumps(spark, d):
     return h.groupBy("path").agg(F.count("*").alias("n_headings")).join(lines.heading_jumps(h).groupBy("path").agg(F.count("*").alias("n_jumps")), "path", "left").select("path", "n_headings", F.coalesce("n_jumps", F.lit(0)).alias("n_jumps"))
 
 
-def q_latest_before(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
-    points = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("asked")).distinct()
-    marks = e.where("event_type = 'click'").select("user_id", F.col("ts").alias("mark"))
-    return relate.latest_before(points, marks, ["user_id"], "asked", "mark").select("user_id", "asked", "latest")
-
-
 def q_c_functions(spark, d):
     return facts.functions(_c(spark)).select("path", "kind", "name", "is_static", "returns_pointer", "parameter_count", "body_lines")
 
@@ -171,7 +153,7 @@ def q_c_orphans(spark, d):
 
 def q_c_dead_statics(spark, d):
     f = _c(spark)
-    return relate.dead_statics(facts.functions(f).where("kind = 'definition'"), rules.references(f), _saver(spark), rules.blocked(f))
+    return relate.dead_statics(facts.functions(f).where("kind = 'definition'"), rules.references(f), saver(spark), rules.blocked(f))
 
 
 def q_c_include_blocks(spark, d):
@@ -214,34 +196,6 @@ def q_folders(spark, d):
     return files.folders(spark.read.parquet(f"{d}/pages.parquet").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path")))
 
 
-def _ranges(spark):
-    return spark.createDataFrame(fixtures.RANGES, "path string, start long, end long, name string")
-
-
-def _edits(spark):
-    return spark.createDataFrame(fixtures.EDITS, "path string, start long, end long, replacement string")
-
-
-def q_range_owner(spark, d):
-    return relate.owner(spark.createDataFrame(fixtures.POINTS, "path string, start long"), _ranges(spark)).withColumnRenamed("start", "place")
-
-
-def q_interval_overlap(spark, d):
-    return relate.overlaps(_ranges(spark).select("path", "start", "end"), _edits(spark).select("path", "start", "end"))
-
-
-def q_merged_ranges(spark, d):
-    return relate.merge_ranges(_ranges(spark).select("path", "start", "end")).withColumnsRenamed({"start": "first", "end": "last"})
-
-
-def q_edit_conflicts(spark, d):
-    return relate.edit_conflicts(_edits(spark)).select("path", F.col("start").alias("first"), F.col("end").alias("last"))
-
-
-def q_offset_remap(spark, d):
-    return relate.remap(spark.createDataFrame([("a", 2), ("a", 4), ("a", 9), ("b", 8)], "path string, offset long"), _edits(spark).where("start <> 1")).withColumnsRenamed({"offset": "old"})
-
-
 def q_official_merge(spark, d):
     n, o = (spark.createDataFrame(x, "path string, rule_id string, start long") for x in (fixtures.NATIVE, fixtures.OFFICIAL))
     return relate.official_merge(n, o).select("path", "rule_id", F.col("start").alias("place"), "source")
@@ -308,12 +262,6 @@ ORACLE = {
     "regressions": f"{DIAG}, p AS ({DOCS}), pl AS ({LINES.replace('FROM d', 'FROM p')}), bc AS (SELECT 'LINE_TOO_LONG' AS rule_id, count(*) AS n_before FROM pl WHERE {WIDTH} > 80), ac AS (SELECT rule_id, count(*) AS n_after FROM g GROUP BY 1) SELECT rule_id, coalesce(n_before, 0) AS n_before, n_after FROM ac LEFT JOIN bc USING (rule_id) WHERE n_after > coalesce(n_before, 0)",
     "multiset_difference": f"{M}, p AS ({DOCS}), pl AS ({LINES.replace('FROM d', 'FROM p')}), a AS (SELECT path, text, count(*) AS n FROM l WHERE text <> '' GROUP BY ALL), b AS (SELECT path, text, count(*) AS m FROM pl GROUP BY ALL) SELECT path, sum(greatest(0, n - coalesce(m, 0)))::BIGINT AS n FROM a LEFT JOIN b USING (path, text) GROUP BY path HAVING sum(greatest(0, n - coalesce(m, 0))) > 0",
     "heading_jumps": "WITH h AS (SELECT page_id AS path, unnest(regexp_extract_all(html, '<h([1-6])', 1))::INT AS level, unnest(range(len(regexp_extract_all(html, '<h([1-6])', 1)))) AS line FROM pages), j AS (SELECT *, level > lag(level) OVER (PARTITION BY path ORDER BY line) + 1 AS jump FROM h) SELECT path, count(*) AS n_headings, count(*) FILTER (WHERE jump) AS n_jumps FROM j GROUP BY path",
-    "latest_before": "WITH p AS (SELECT DISTINCT user_id, ts AS asked FROM events WHERE event_type = 'purchase') SELECT user_id, asked, (SELECT max(ts) FROM events e WHERE e.user_id = p.user_id AND event_type = 'click' AND ts < asked) AS latest FROM p",
-    "range_owner": values("path, place, owner", ("a", 4, "f"), ("a", 5, "g"), ("a", 8999, "g"), ("a", 9000, None), ("b", 3, "h")),
-    "interval_overlap": values("path, a_start, a_end, b_start, b_end", ("a", 0, 5, 0, 2), ("a", 0, 5, 1, 3), ("a", 3, 9000, 5, 5)),
-    "merged_ranges": values("path, first, last", ("a", 0, 9000), ("b", 2, 4)),
-    "edit_conflicts": values("path, first, last", ("a", 1, 3), ("a", 5, 5)),
-    "offset_remap": values("path, old, new", ("a", 2, 3), ("a", 4, 5), ("a", 9, 12), ("b", 8, 8)),
     "official_merge": values("path, rule_id, place, source", ("a", "R", 1, "official"), ("a", "R", 2, "native"), ("a", "S", 9, "official")),
     "c_rewrites": "SELECT 'messy.c' AS path, '" + fixtures.CLEAN_C["messy.c"].replace("'", "''") + "' AS content, true AS changed, 14::BIGINT AS n_diff_lines",
     "c_tokens": values("path, md5, n_unknown", *((p, __import__("hashlib").md5(t.encode()).hexdigest(), 0) for p, t in fixtures.C_FILES.items())),

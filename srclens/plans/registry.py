@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, more, queries
+from . import corpus, more, queries, relations
 
-QUERIES = queries.QUERIES | corpus.QUERIES | more.QUERIES
-ORACLE = queries.ORACLE | corpus.ORACLE | more.ORACLE
+QUERIES = queries.QUERIES | corpus.QUERIES | more.QUERIES | relations.QUERIES
+ORACLE = queries.ORACLE | corpus.ORACLE | more.ORACLE | relations.ORACLE
 FLAGSHIP = "rule_groups"
 __all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]

@@ -2,9 +2,10 @@ import hypothesis.strategies as st
 from hypothesis import given, settings
 from pyspark.sql import functions as F
 
-from srclens.operators import facts, lexer, lines, relate, report
+from srclens.operators import facts, intervals, lexer, lines, relate, report
 from srclens.sources import files, logs
 from srclens.streaming import ingest
+from srclens.tables import saver
 
 
 def test_scan(spark, tmp_path):
@@ -51,13 +52,13 @@ def test_facts_of_anything(source):
 def test_ranges(spark):
     r = spark.createDataFrame([("a", 0, 5, "f"), ("a", 3, 9000, "g"), ("a", 9000, 9000, "none")], "path string, start long, end long, name string")
     p = spark.createDataFrame([("a", 4), ("a", 5), ("a", 8999), ("a", 9000), ("b", 1)], "path string, start long")
-    assert {(x["path"], x["start"], x["owner"]) for x in relate.owner(p, r).collect()} == {("a", 4, "f"), ("a", 5, "g"), ("a", 8999, "g"), ("a", 9000, None), ("b", 1, None)}
-    assert [tuple(x) for x in relate.merge_ranges(spark.createDataFrame([("a", 0, 2), ("a", 2, 4), ("a", 6, 7), ("a", 1, 3)], "path string, start long, end long")).collect()] == [("a", 0, 4), ("a", 6, 7)]
-    both = relate.overlaps(r.select("path", "start", "end"), r.select("path", "start", "end")).collect()
+    assert {(x["path"], x["start"], x["owner"]) for x in intervals.owner(p, r).collect()} == {("a", 4, "f"), ("a", 5, "g"), ("a", 8999, "g"), ("a", 9000, None), ("b", 1, None)}
+    assert [tuple(x) for x in relate.merge_ranges(spark.createDataFrame([("a", 0, 2), ("a", 2, 4), ("a", 6, 7), ("a", 1, 3)], "path string, start long, end long"), saver(spark)).collect()] == [("a", 0, 4), ("a", 6, 7)]
+    both = intervals.overlaps(r.select("path", "start", "end"), r.select("path", "start", "end")).collect()
     assert len(both) == 4
     edits = spark.createDataFrame([("a", 0, 2, "xyz"), ("a", 1, 3, ""), ("a", 5, 5, "q"), ("a", 5, 5, "r")], "path string, start long, end long, replacement string")
-    assert sorted((x["start"], x["end"]) for x in relate.edit_conflicts(edits).collect()) == [(1, 3), (5, 5)]
-    new = relate.remap(spark.createDataFrame([("a", 2), ("a", 4), ("a", 9)], "path string, offset long"), edits.where("start <> 1"))
+    assert sorted((x["start"], x["end"]) for x in relate.edit_conflicts(edits, saver(spark)).collect()) == [(1, 3), (5, 5)]
+    new = relate.remap(spark.createDataFrame([("a", 2), ("a", 4), ("a", 9)], "path string, offset long"), edits.where("start <> 1"), saver(spark))
     assert {(x["offset"], x["new"]) for x in new.collect()} == {(2, 3), (4, 5), (9, 12)}
 
 
