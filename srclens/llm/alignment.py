@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from .common import Workspace
 from .vocabulary import CUT, two_tokenizers
 
 #: A block's dictionary holds about so many words and groups, its documents about so many bytes; it ends behind a document.
-BLOCK_WORDS, BLOCK_BYTES = 300_000, 1 << 26
+BLOCK_WORDS, BLOCK_BYTES = 500_000, 1 << 26
 
 
 class Block:
@@ -40,39 +41,38 @@ class Block:
 
     def __init__(self, tokenizers, digest):
         self.tokenizers, self.digest = tokenizers, digest
-        self.numbers: dict[str, int] = {}
+        self.numbers: dict[int | tuple, int] = {}
+        self.keys: list[str] = []
         self.last: list[tuple[int, int]] = []
         self.words: dict[str, tuple | None] = {}
         self.bytes = 0
 
     def intern(self, a: list[int], b: list[int]) -> tuple[int, int, list[int], str]:
-        own, keys = [], []
-        for ga, gb in self.tokenizers.groups(a, b):
-            key = ",".join(map(str, ga)) + "|" + ",".join(map(str, gb))
-            number = self.numbers.setdefault(key, len(self.last))
-            if number == len(self.last):
-                self.last.append((ga[-1], gb[-1]))
+        own, numbers = [], self.numbers
+        for a0, a1, b0, b1 in self.tokenizers.groups(a, b):
+            # most groups are one token and one: a number is a shorter name than two tuples
+            name = a[a0] << 32 | b[b0] if a1 - a0 == 1 == b1 - b0 else (*a[a0:a1], -1, *b[b0:b1])
+            number = numbers.get(name)
+            if number is None:
+                number = numbers[name] = len(self.last)
+                self.keys.append(",".join(map(str, a[a0:a1])) + "|" + ",".join(map(str, b[b0:b1])))
+                self.last.append((a[a1 - 1], b[b1 - 1]))
             own.append(number)
-            keys.append(key)
-        return len(a), len(b), own, ";".join(keys)
-
-    def word(self, chunk: str) -> tuple | None:
-        a, b, same = self.tokenizers.ids(chunk)
-        self.words[chunk] = out = self.intern(a, b) if same else None
-        return out
+        return len(a), len(b), own, ";".join([self.keys[n] for n in own])
 
     def document(self, text: str | None) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, digest, group numbers, how often each)."""
-        found, get = [], self.words.get
-        for chunk in CUT.split(" " + text) if text else ():
-            found.append(get(chunk) or self.word(chunk))
-            if found[-1] is None:  # spelled otherwise: the whole text decides
-                a, b, same = self.tokenizers.ids(" " + text)
-                found = [self.intern(a, b)] if same else []
-                break
+        chunks, words = CUT.split(" " + text) if text else [], self.words
+        if new := [c for c in dict.fromkeys(chunks) if c not in words]:
+            for chunk, (a, b, same) in zip(new, self.tokenizers.ids(new), strict=True):
+                words[chunk] = self.intern(a, b) if same else None
+        found = [words[c] for c in chunks]
+        if None in found:  # spelled otherwise: the whole text decides
+            a, b, same = self.tokenizers.ids([" " + text])[0]
+            found = [self.intern(a, b)] if same else []
         if not found:
             return 0, 0, 0, "", np.zeros(0, np.int32), np.zeros(0, np.int32)
-        own = np.fromiter((g for f in found for g in f[2]), np.int32)
+        own = np.array(list(chain.from_iterable([f[2] for f in found])), np.int32)
         uses, times = np.unique(own, return_counts=True)
         self.bytes += len(text)
         return sum(f[0] for f in found), sum(f[1] for f in found), len(own), self.digest(";".join([f[3] for f in found])), uses, times.astype(np.int32)
@@ -104,7 +104,7 @@ def interned(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: s
                 n = len(made.last)
                 own = [none(n, doc_type), *(none(n, pa.int64()) for _ in range(3)), none(n, pa.string()), *(none(n, pa.list_(pa.int32())) for _ in range(2))]
                 last = np.array(made.last, np.int32).reshape(-1, 2)
-                theirs = [pa.array(np.arange(n, dtype=np.int32)), pa.array(list(made.numbers)), pa.array(last[:, 0]), pa.array(last[:, 1]), pa.array(freq[:n])]
+                theirs = [pa.array(np.arange(n, dtype=np.int32)), pa.array(made.keys), pa.array(last[:, 0]), pa.array(last[:, 1]), pa.array(freq[:n])]
             names = ["doc", "n_a", "n_b", "n_groups", "digest", "uses", "times", "number", "key", "a", "b", "n", "block", "is_group"]
             return pa.RecordBatch.from_arrays([*own, *theirs, pa.array(np.full(n, number)), pa.array(np.full(n, made is not None))], names)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, partitions
 from .vocabulary import word_ids
 
 LENGTH, END_ID = 4096, 1
@@ -173,10 +173,13 @@ def packed(items: DataFrame, ws: Workspace, capacity: int = LENGTH, group: int =
         search.run()
         return _bins(search.result())
 
-    groups = lambda n, size: max(1, -(-n // size))
-    deal = lambda key, k, n: F.pmod(F.xxhash64(F.lit(k), key), F.lit(n))
-    n = items.count()
-    bins = items.groupBy(deal("item", 0, groups(n, group)).alias("group")).applyInArrow(first, BIN)
+    def dealt(df: DataFrame, key: str, k: int, n: int, size: int):
+        """df in even groups of about ``size`` rows, over as many tasks as there are groups, up to the usual number."""
+        groups = max(1, -(-n // size))
+        named = df.withColumn("group", F.pmod(F.xxhash64(F.lit(k), key), F.lit(groups)))
+        return named.repartition(min(groups, partitions(df.sparkSession)), "group").groupBy("group")
+
+    bins = dealt(items, "item", 0, items.count(), group).applyInArrow(first, BIN)
     bins, done, spared = ws.save(bins, "bins0"), [], 0
     for k in range(1, ROUNDS + 1):
         under = bins.where(F.col("fill") < capacity)
@@ -184,7 +187,7 @@ def packed(items: DataFrame, ws: Workspace, capacity: int = LENGTH, group: int =
         done.append(bins.where(F.col("fill") == capacity))
         if count <= -(-tokens // capacity) or spared > 1:
             return _all([*done, under])
-        bins = ws.save(under.groupBy(deal("bin", k, groups(count, group_bins)).alias("group")).applyInArrow(again, BIN), f"bins{k}")
+        bins = ws.save(dealt(under, "bin", k, count, group_bins).applyInArrow(again, BIN), f"bins{k}")
         spared = 0 if bins.count() < count else spared + 1
     return _all([*done, bins])
 

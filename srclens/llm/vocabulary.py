@@ -1,9 +1,10 @@
 """Ids of public tokenizers, word by word.
 
-A text is cut where a single space stands between two characters that are no
-white space.  The tokenizers here never join what stands on both sides of such
-a place: the byte-level one cuts before the space, the one with word ends drops
-white space, and no piece of the third has a space behind another character.
+A text is cut where a single space or line end stands between two characters
+that are no white space.  The tokenizers here never join what stands on both
+sides of such a place: the byte-level one cuts before the white space, the one
+with word ends drops it, and no piece of the third has a space behind another
+character or a line end at all.
 So the ids of a text are those of its words, and each distinct word is encoded
 once.  A plain word goes straight to the tokenizer's own merges; anything else
 is encoded by the whole tokenizer.
@@ -13,13 +14,15 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
 from functools import cache
 
-CUT = re.compile(r"(?<=\S)(?= \S)")
+CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Letters up to this character stand for themselves under every Unicode normal form.
 PLAIN = "ɏ"
-#: Words that a cache holds at most; a fuller one is emptied.
-WORDS = 400_000
+#: Words of a generation of a cache.
+WORDS = 300_000
+MARKS = (".", ",", "!", "?", ";", ":")
 
 
 @cache
@@ -31,6 +34,8 @@ def _byte_letters() -> dict[int, int]:
 
 
 def byte_letters(text: str) -> str:
+    if text.isascii() and text.isalpha():
+        return text
     return text.encode().decode("latin-1").translate(_byte_letters())
 
 
@@ -52,26 +57,37 @@ def _load(path: str):
 
 
 class WordIds(dict):
-    """word -> its ids as little-endian 32-bit numbers, for a tokenizer that lower-cases and drops white space; texts are cut at spaces and line ends."""
+    """word -> its ids as little-endian 32-bit numbers, for a tokenizer that lower-cases and drops white space; texts are cut at spaces and line ends.
 
-    def __init__(self, path: str):
+    Two generations: when this one is full it becomes the old one, and what is
+    used again comes back from there.
+    """
+
+    def __init__(self, path: str, words: int = WORDS):
         super().__init__()
         self.tokenizer = _load(path)
-        self.merges = self.tokenizer.model
+        self.merges, self.words = self.tokenizer.model, words
+        self.old: dict[str, bytes] = {}
+        self.packers = [struct.Struct(f"<{n}I") for n in range(40)]
+        self.marks = {m: [t.id for t in self.merges.tokenize(m)] for m in MARKS}
 
     def __missing__(self, word: str) -> bytes:
-        # a mark behind letters is a pre-token of its own
-        stem, mark = (word[:-1], word[-1]) if word[-1:] in (".", ",", "!", "?", ";", ":") else (word, "")
-        if stem and plain(stem):
-            ids = [t.id for t in self.merges.tokenize(byte_letters(stem.lower()))]
-            ids += [t.id for t in self.merges.tokenize(mark)] if mark else []
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = out = struct.pack(f"<{len(ids)}I", *ids)
+        if (out := self.old.get(word)) is None:
+            # a mark behind letters is a pre-token of its own
+            stem, mark = (word[:-1], word[-1]) if word[-1:] in self.marks else (word, None)
+            if stem and plain(stem):
+                ids = [t.id for t in self.merges.tokenize(byte_letters(stem.lower()))]
+                if mark:
+                    ids += self.marks[mark]
+            else:
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            out = self.packers[len(ids)].pack(*ids) if len(ids) < 40 else struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = out
         return out
 
     def text(self, text: str) -> bytes:
-        if len(self) > WORDS:
+        if len(self) > self.words:
+            self.old = dict(self)
             self.clear()
         return b"".join([self[w] for w in text.replace("\n", " ").split(" ")])
 
@@ -96,41 +112,45 @@ class TwoTokenizers:
         for i, token in self.a.get_added_tokens_decoder().items():
             self.bytes_a.setdefault(i, token.content.encode())
         self.bytes_b = [self._piece(i) for i in range(self.b.vocab_size())]
+        self.length_a, self.length_b = {i: len(x) for i, x in self.bytes_a.items()}, [len(x) for x in self.bytes_b]
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def ids(self, chunk: str) -> tuple[list[int], list[int], bool]:
-        """Ids in A of a chunk (a space, then text) and in B of its text, and whether both spell the chunk."""
-        word = chunk[1:]
-        stem, mark = (word[:-1], word[-1]) if word[-1:] in (".", ",", "!", "?", ";", ":") else (word, "")
-        if stem and plain(stem):
-            a = [t.id for t in self.merges.tokenize(byte_letters(" " + stem))]
-            a += [t.id for t in self.merges.tokenize(mark)] if mark else []
-        else:
-            a = self.a.encode(chunk, add_special_tokens=False).ids
-        b = self.b.encode(word)
-        data = chunk.encode()
-        return a, b, b"".join([self.bytes_a[i] for i in a]) == data == b"".join([self.bytes_b[i] for i in b])
-
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
-        """The ids cut where tokens of both end."""
-        out, i, j, x, y, ga, gb = [], 0, 0, 0, 0, [], []
-        while i < len(a) or j < len(b):
-            if j == len(b) or (i < len(a) and x <= y):
-                x += len(self.bytes_a[a[i]])
-                ga.append(a[i])
-                i += 1
-            else:
-                y += len(self.bytes_b[b[j]])
-                gb.append(b[j])
-                j += 1
-            if x == y and ga and gb:
-                out.append((ga, gb))
-                ga, gb = [], []
+    def ids(self, chunks: list[str]) -> list[tuple[list[int], list[int], bool]]:
+        """Ids in A of chunks (a space or line end, then text) and in B, and whether both spell the chunk."""
+        # B adds a space itself: where the chunk has none it is taken off again
+        theirs = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
+        out = []
+        for chunk, b in zip(chunks, theirs, strict=True):
+            gap, word = chunk[0], chunk[1:]
+            b = b if gap == " " else b[1:]
+            stem, mark = (word[:-1], word[-1]) if word[-1:] in MARKS else (word, "")
+            if stem and plain(stem):
+                head = byte_letters(" " + stem) if gap == " " else byte_letters(stem)
+                a = [] if gap == " " else [t.id for t in self.merges.tokenize(byte_letters(gap))]
+                a += [t.id for t in self.merges.tokenize(head)]
+                a += [t.id for t in self.merges.tokenize(mark)] if mark else []
+                # letters and a mark: neither changes them
+                out.append((a, b, True))
+                continue
+            a, data = self.a.encode(chunk, add_special_tokens=False).ids, chunk.encode()
+            out.append((a, b, b"".join([self.bytes_a[i] for i in a]) == data == b"".join([self.bytes_b[i] for i in b])))
         return out
 
+    def groups(self, a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]:
+        """Where the ids are cut, as slices of a and of b that begin and end together; both spell the same bytes and no token is empty."""
+        i = x = y = from_a = from_b = 0
+        for j, q in enumerate(b, 1):
+            y += self.length_b[q]
+            while x < y:
+                x += self.length_a[a[i]]
+                i += 1
+            if x == y:
+                yield from_a, i, from_b, j
+                from_a, from_b = i, j
+
 
 @cache
 def two_tokenizers(path_a: str, path_b: str) -> TwoTokenizers:

@@ -85,7 +85,7 @@ def aligned_plainly(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("words", [300_000, 20])
+@pytest.mark.parametrize("words", [500_000, 20])
 def test_aligned(spark, monkeypatch, words):
     monkeypatch.setattr(alignment, "BLOCK_WORDS", words)
     rows = [(i, t) for i, t in enumerate([*ODD, *texts()[:60], "a long one. " * 20_000])]
