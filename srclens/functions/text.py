@@ -80,9 +80,25 @@ def remove_splices(t: Column) -> Column:
     return F.regexp_replace(t, r"(\\|[?][?]/)\r?\n", "")
 
 
+#: A closed block comment, matched without going back.
+BLOCK_COMMENT = r"/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
+#: What C code is cut into where only comments and literals matter: these, then words and numbers, then what begins none of them, then any character.
+LINE_COMMENT = r"//[^\\\n]*+(?:\\(?:\r?\n)?[^\\\n]*+)*+"
+STRING = r'(?:u8|[uUL])?"[^"\\\n]*+(?:\\(?:\r\n|(?s:.))[^"\\\n]*+)*+"'
+CHARACTER = r"[uUL]?'(?:[^'\\\n]++|\\(?:\r\n|(?s:.)))++'"
+CODE = "|".join([LINE_COMMENT, BLOCK_COMMENT, STRING, CHARACTER, r"\.?[0-9](?:[eEpP][+-]|[A-Za-z0-9_.])*+", r"[A-Za-z_][A-Za-z0-9_]*+", r"""[^A-Za-z0-9_"'/.]++""", r"(?s:.)"])
+
+
 def trivia_only(code: Column) -> Column:
     """White space and comments alone; an open block comment is not."""
-    return code.rlike(r"\A(?:\s|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)*\z")
+    return code.rlike(rf"\A(?:\s++|//[^\n]*+|{BLOCK_COMMENT})*+\z")
+
+
+def masked(code: Column) -> Column:
+    """C code with comments and literals blanked; every line keeps its length.  What is not closed stays."""
+    hidden = r"""\A(?://|/\*|(?:u8|[uUL])?"(?s:.)|[uUL]?'(?s:.))"""
+    parts = F.regexp_extract_all(code, F.lit(CODE), F.lit(0))
+    return F.array_join(F.transform(parts, lambda t: F.when(t.rlike(hidden), F.regexp_replace(t, "[^\n]", " ")).otherwise(t)), "")
 
 
 def wrapped(t: Column, most: int = 80) -> Column:

@@ -80,13 +80,3 @@ def mask(source: str) -> str:
     """Comments and literals blanked; every line keeps its length."""
     hide = {"line_comment", "block_comment", "string", "char"}
     return "".join(re.sub(r"[^\n]", " ", t.text) if t.kind in hide else t.text for t in tokenize(source))
-
-
-def masked(sources: DataFrame) -> DataFrame:
-    """sources (path, content) with comments and literals blanked in the content."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([mask(c.as_py() or "") for c in b.column(1)], pa.string())], ["path", "content"])
-
-    return sources.select("path", "content").mapInArrow(run, "path string, content string")

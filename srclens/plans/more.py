@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import edits, headers, lexer, lines, project_rules, relate, report, semantics, transforms
+from ..operators import edits, headers, lines, project_rules, relate, report, semantics, transforms
 from ..operators.facts import facts, functions, view
 from ..operators.makefile import artifact, formatted, logical, source_refs, source_status, without_missing
 from ..sources import files, logs, project
@@ -83,24 +83,11 @@ def q_cache_misses(spark, d):
     return files.misses(src, cache, key).select("path", "key")
 
 
-def q_compiler_log(spark, d):
+def q_compiler_report(spark, d):
     log = {"src/a.c": "src/a.c:3:7: warning: unused variable 'x' [-Wunused-variable]\nsrc/a.c:9:1: note: here\n", "src/b.c": "inc/b.h:4:2: error: unknown type name 'q'\n", "src/c.c": "src/c.c:5:1: warning: leak [-Wanalyzer-malloc-leak]\n", "src/d.c": "./src/d.c:2:4: warning: do not use this [bugprone-branch-clone]\n", "src/e.c": "src/e.c:1:10: fatal error: q.h: No such file or directory\n", "src/f.c": "cc1: internal trouble\n"}
     return longs(logs.compiler_report(_named(spark, log).withColumnRenamed("content", "output").withColumn("exit_code", F.lit(1))).select("path", "line", "column", "severity", "rule_id"), "line", "column").withColumnRenamed("column", "col")
 
 
-def q_checker_rows(spark, d):
-    return longs(logs.checker(fixtures.files(spark, fixtures.CHECKER, "output"))[0].select("path", "advisory", "line", F.col("column").alias("col"), "rule_id"), "line", "col")
-
-
-def q_memory_errors(spark, d):
-    return longs(logs.memory_errors(fixtures.files(spark, fixtures.MEMORY, "output")).select("path", "what", "function", "file", "line"), "line")
-
-
-def q_leak_diagnostics(spark, d):
-    rows = project_rules.leak_rows(logs.leaks(fixtures.files(spark, fixtures.LEAKS, "output")), logs.memory_errors(fixtures.files(spark, fixtures.MEMORY, "output")))
-    return longs(rows.select("path", "line", "rule_id", "message"), "line")
-
-
 def q_identities(spark, d):
     rows = [("a", 1, None, "x"), ("a", 2, " Ann@student.42Town.fr ", None), ("b", 1, "bob@example.com", "bob"), ("b", 2, "bob@42.fr", "bob"), ("c", 1, "cy@42.fr", "di"), ("d", 1, "", None), ("e", 1, "ed@42.fr", "ED")]
     return headers.identity(spark.createDataFrame(rows, "who string, priority int, email string, login string"))
@@ -127,8 +114,19 @@ def q_column_offsets(spark, d):
     return rows.select("path", *back)
 
 
+#: Both engines read this: a part as C code, piece by piece, as it is and with what is hidden blanked.
+PIECES = [("int\tx;\t", False), ("// {name} \\\n more \" of it", True), ("\nchar\t*s = ", False), ('"{type} \\" // {brand}"', True), (" + u8(", False), ("L'\\''", True), (" , ", False), ("/* {name} * / \n\t'{type} **/", True), (" x\" unclosed\nu'\n", False)]
+
+
+def _code(masked: bool) -> str:
+    own = [p for p in PIECES]
+    sql = lambda t: "concat('" + t.replace("'", "''").replace("{name}", "', p_name, '").replace("{type}", "', p_type, '").replace("{brand}", "', p_brand, '").replace("\\", "', chr(92), '").replace("\n", "', chr(10), '").replace("\t", "', chr(9), '") + "')"
+    return "concat(" + ", ".join(f"regexp_replace({sql(t)}, '[^' || chr(10) || ']', ' ', 'g')" if hidden and masked else sql(t) for t, hidden in own) + ")"
+
+
 def q_masked_sources(spark, d):
-    return lexer.masked(fixtures.files(spark, {"m.c": 'int\ta; // x "y"\nchar\t*b = "/* \\" */";\n/* one\n two */ char c = \'"\';\n'})).select("path", "content")
+    code = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.expr(_code(False)).alias("code"))
+    return code.select("p_partkey", X.masked(F.col("code")).alias("code"))
 
 
 def q_splices(spark, d):
@@ -159,9 +157,12 @@ def q_declared_commas(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", X.comma_count(text).cast("long").alias("n"))
 
 
+#: Both engines read this: a part as code of one of six kinds, of which every second is trivia.
+TRIVIAL = "CASE p_size % 6 WHEN 0 THEN '' WHEN 1 THEN concat('/* ', p_name, ' open') WHEN 2 THEN concat('/* ', p_name, ' **/ // ', p_type, chr(10)) WHEN 3 THEN concat('int a; // ', p_name) WHEN 4 THEN concat(chr(9), '//', chr(10), '/**/', chr(10), '/* // */') ELSE concat('/ * ', p_name, ' */') END"
+
+
 def q_trivia_sources(spark, d):
-    rows = [(1, ""), (2, "/* a */ // b\n"), (3, "/* open"), (4, "int a;"), (5, "//\n/**/\n\t"), (6, "/ * /")]
-    return spark.createDataFrame(rows, "id long, code string").select("id", X.trivia_only(F.col("code")).alias("trivia"))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", X.trivia_only(F.expr(TRIVIAL)).alias("trivia"))
 
 
 # reports
@@ -521,22 +522,19 @@ ORACLE = {
     "policy_allowed": values("name", ("free",), ("malloc",), ("write",)),
     "vcs_scope": f"{_PAGES} SELECT page_id, path FROM p WHERE page_id % 14 = 0 AND page_id < 400",
     "cache_misses": f"{D} SELECT path, sha256('lint' || chr(0) || path || chr(0) || sha256(content) || chr(0) || 'cfg' || chr(0) || 'tool 1') AS key FROM d WHERE path NOT LIKE '%5'",
-    "compiler_log": values("path, line, col, severity, rule_id", ("src/a.c", 3, 7, "warning", "CC_UNUSED_VARIABLE"), ("src/b.c", 0, 0, "error", "CC_STRICT"), ("src/c.c", 5, 1, "warning", "CC_ANALYZER_MALLOC_LEAK"), ("src/d.c", 2, 4, "warning", "TIDY_BUGPRONE_BRANCH_CLONE"), ("src/e.c", 0, 0, "info", "CC_CONFIGURATION_INCOMPLETE"), ("src/f.c", 0, 0, "error", "CC_REJECTED")),
-    "checker_rows": values("path, advisory, line, col, rule_id", ("a.c", False, 3, 4, "SPACE_BEFORE_FUNC"), ("a.c", True, 1, 1, "GLOBAL_VAR_DETECTED"), ("c.c", True, 1, 1, "GLOBAL_VAR_DETECTED")),
-    "memory_errors": values('path, what, "function", file, line', ("run2", "Invalid read of size 4", "walk", "walk.c", 9), ("run2", "Conditional jump or move depends on uninitialised value(s)", "main", "main.c", 3)),
-    "leak_diagnostics": values("path, line, rule_id, message", ("list.c", 12, "MEMORY_LEAK", "1024 bytes"), ("copy.c", 30, "MEMORY_LEAK", "8 bytes"), ("walk.c", 9, "MEMORY_ERROR", "Invalid read of size 4"), ("main.c", 3, "MEMORY_ERROR", "Conditional jump or move depends on uninitialised value(s)")),
+    "compiler_report": values("path, line, col, severity, rule_id", ("src/a.c", 3, 7, "warning", "CC_UNUSED_VARIABLE"), ("src/b.c", 0, 0, "error", "CC_STRICT"), ("src/c.c", 5, 1, "warning", "CC_ANALYZER_MALLOC_LEAK"), ("src/d.c", 2, 4, "warning", "TIDY_BUGPRONE_BRANCH_CLONE"), ("src/e.c", 0, 0, "info", "CC_CONFIGURATION_INCOMPLETE"), ("src/f.c", 0, 0, "error", "CC_REJECTED")),
     "identities": values("who, login, email, problem", ("a", "ann", "ann@student.42town.fr", None), ("b", None, None, "IDENTITY_INVALID_EMAIL"), ("c", None, None, "IDENTITY_LOGIN_MISMATCH"), ("d", None, None, "IDENTITY_UNAVAILABLE"), ("e", "ed", "ed@42.fr", None)),
     "run_clock": values("epoch, stamp", ("0", "1970/01/01 00:00:00"), ("1700000000", "2023/11/14 22:13:20"), ("86399", "1970/01/01 23:59:59")),
     "positions": f"{_HALF} SELECT path, len(string_split(head, chr(10)))::BIGINT AS line, (length({_LAST}) + 1)::BIGINT AS byte_col, ({_WIDTH} + 1)::BIGINT AS visual_col FROM h",
     "column_offsets": f"{_HALF} SELECT path, length(head)::BIGINT AS by_width, length(head)::BIGINT AS by_byte FROM h",
-    "masked_sources": values("path, content", ("m.c", "int\ta;         \nchar\t*b =           ;\n      \n        char c =    ;\n")),
+    "masked_sources": f"SELECT p_partkey, {_code(True)} AS code FROM part",
     "splices": rf"{M} SELECT path, md5(regexp_replace(replace(content, 'e ', 'e' || chr(92) || chr(10)), '(\\|\?\?/)\r?\n', '', 'g')) AS md5 FROM d",
     "ansi": f"{D} SELECT path, md5(content) AS md5 FROM d",
     "escaped": f"{M} SELECT path, md5(replace(replace(replace(content, chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || chr(92) || 'u{{1b}}' || chr(92) || 'u{{7}}' || chr(92) || 'u{{85}}') AS md5 FROM d".replace("{{", "{").replace("}}", "}"),
     "durations": "WITH t AS (SELECT p_partkey, (p_partkey * p_partkey)::DOUBLE * 0.0001 AS s FROM part) SELECT p_partkey, CASE WHEN s < 0.001 THEN printf('%.0f µs', s * 1e6) WHEN s < 1 THEN printf('%.0f ms', s * 1e3) WHEN s < 60 THEN printf('%.2f s', s) ELSE printf('%d min %.1f s', floor(s / 60)::BIGINT, s - floor(s / 60) * 60) END AS took FROM t",
     "messages": "WITH t AS (SELECT doc_id, n_chars % 3 AS n, CASE WHEN lower(lang) IN ('en', 'fr', 'es', 'de') THEN lower(lang) ELSE 'en' END AS locale FROM documents) SELECT doc_id, locale, n || ' ' || CASE WHEN n = 1 OR (n = 0 AND locale = 'fr') THEN 'one' ELSE 'other' END || ' in {path}' AS message FROM t",
     "declared_commas": "SELECT p_partkey, (p_size % 5 + 2)::BIGINT AS n FROM part",
-    "trivia_sources": values("id, trivia", (1, True), (2, True), (3, False), (4, False), (5, True), (6, False)),
+    "trivia_sources": "SELECT p_partkey, p_size % 2 = 0 AS trivia FROM part",
     "scores": f"{DIAG}, s0 AS (SELECT path, content AS t0 FROM d), c AS (SELECT count(*) AS n_files, count(*) FILTER (WHERE contains(t0, chr(13))) AS n_failed FROM s0), e AS (SELECT count(*) FILTER (WHERE severity = 'error') AS n_error, count(*) FILTER (WHERE severity = 'warning') AS n_warning FROM g), t AS (SELECT n_files, greatest(0, 100 - least(8 * n_error, 45) - least(8 * n_failed, 30) - least(5 * n_warning, 25) - 20 - least(n_files, 10)) AS score FROM c, e) SELECT n_files, score::INT AS score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM t UNION ALL SELECT 0, 0, 'INCOMPLETE'",
     "total_order": f"{DIAG} SELECT path, line, severity, rule_id FROM g ORDER BY path, line, CASE severity WHEN 'error' THEN 0 ELSE 1 END, rule_id LIMIT 50",
     "distinct_rows": f"{DIAG} SELECT rule_id, count(*) AS n FROM g GROUP BY 1",

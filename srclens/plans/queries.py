@@ -184,14 +184,6 @@ def q_makefile_rules(spark, d):
     return longs(wild.unionByName(makefile.space_recipes(m).select("path", F.lit("SPACE_RECIPE").alias("rule_id"), "line")), "line")
 
 
-def q_checker_log(spark, d):
-    return logs.checker(fixtures.files(spark, fixtures.CHECKER, "output"))[1]
-
-
-def q_leak_records(spark, d):
-    return longs(logs.leaks(fixtures.files(spark, fixtures.LEAKS, "output")), "record", "line").select("path", "record", "bytes", "indirect", "function", "file", "line")
-
-
 def q_folders(spark, d):
     return files.folders(spark.read.parquet(f"{d}/pages.parquet").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path")))
 
@@ -277,8 +269,6 @@ ORACLE = {
     "makefile_missing_targets": values("path, target", ("Makefile", "re")),
     "makefile_sources": values("path, ref, status", ("Makefile", "main.c", "exists"), ("Makefile", "lib.c", "empty"), ("Makefile", "gone.c", "missing")),
     "makefile_rules": values("path, rule_id, line", ("lib/Makefile", "WILDCARD_SOURCE", 2), ("Makefile", "SPACE_RECIPE", 12)),
-    "checker_log": values("path, status", ("a.c", "findings"), ("b.c", "clean"), ("c.c", "clean"), ("d.c", "failure")),
-    "leak_records": values('path, record, bytes, indirect, "function", file, line', ("run1", 1, 1024, 1000, "make_list", "list.c", 12), ("run1", 2, 8, 0, "copy", "copy.c", 30)),
     "folders": "WITH p AS (SELECT string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS parts FROM pages) SELECT array_to_string(parts[:n], '/') AS folder, count(*) AS n_files FROM (SELECT parts, unnest(range(1, len(parts))) AS n FROM p) GROUP BY 1",
 }
 QUERIES = {k.removeprefix("q_"): v for k, v in list(globals().items()) if k.startswith("q_")}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from srclens.functions import text as X
 from srclens.operators import budgets, closures, intervals, relate, scans
 from srclens.operators.transforms import pack
+from srclens.sources import logs
 from srclens.tables import saver
 
 RANGE = "path string, start long, end long"
@@ -172,3 +173,39 @@ def test_packed_and_wrapped(spark):
 
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.wrapped(F.col("t")).alias("w")).collect()
     assert {x["i"]: x["w"] for x in got} == {i: wrap(t) for i, t in enumerate(texts)}
+
+
+def test_masked_like_the_tokens(spark):
+    from srclens.operators import lexer
+
+    r = random.Random(6)
+    parts = ["int a;", "//", "/*", "*/", '"', "'", "\\", "\n", "\r\n", "u8", "L", "x1", "0x1e+3", " ", "\t", "é", "😀", "/", "*", ".5", "#", '"s"', "'c'", "// c \\\n d\n", "/* b\n */", "﻿"]
+    codes = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(1500)]
+    codes += ["/*" + "* " * 50_000 + "*/x", "//" + "\\ " * 20_000, '"' + "a" * 200_000 + '"', "/*" * 20_000, '"' * 20_001, "'\\''" * 5000]
+    got = spark.createDataFrame(list(enumerate(codes)), "i int, code string").select("i", X.masked(F.col("code")).alias("m"), X.trivia_only(F.col("code")).alias("t")).collect()
+    for row in got:
+        code = codes[row["i"]]
+        tokens = list(lexer.tokenize(code))
+        assert row["m"] == lexer.mask(code), repr(code[:99])
+        if "\\" not in code and "\ufeff" not in code:
+            assert row["t"] == all(t.kind in lexer.TRIVIA for t in tokens), repr(code[:99])
+
+
+def test_a_log_larger_than_a_split(spark, tmp_path):
+    records = [(f"f{i}", 10 + i, i % 3) for i in range(4000)]
+    text = "preamble\n"
+    for f, n, extra in records:
+        text += f"==9== {n:,} bytes in 1 blocks are definitely lost in loss record 1 of 1\n" + "==9==    at 0x1: malloc (in /x.so)\n" * (1 + extra) + f"==9==    by 0x2: {f} (é{f}.c:{n})\r\n==9== \n==9==    by 0x3: other (o.c:1)\n"
+    (tmp_path / "run.log").write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert spark.read.option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions() > 10
+        lines = logs.read(spark, str(tmp_path), saver(spark))
+        places = [(x["at"], x["line"]) for x in lines.orderBy("at").collect()]
+        data = text.encode()
+        assert [data[at : at + len(line.encode())] for at, line in places] == [line.encode() for _, line in places] and len(places) == text.count("\n")
+        got = logs.leaks(lines, saver(spark)).orderBy("record").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(x["record"], x["bytes"], x["function"], x["file"], x["line"]) for x in got] == [(i, n, f, f"é{f}.c", n) for i, (f, n, _) in enumerate(records, 1)]

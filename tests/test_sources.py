@@ -30,7 +30,7 @@ def test_ignored(spark):
 
 def test_compiler_log(spark):
     text = "a.c:3:7: warning: unused variable 'x' [-Wunused-variable]\n/usr/include/x.h:9:1: error: bad\na.c:1:1: note: here\nx/a.c:2:2: warning: w [bugprone-foo.Bar]\n"
-    got = sorted(logs.compiler(spark.createDataFrame([("a.c", text)], "path string, output string")).select("line", "column", "severity", "rule_id").collect())
+    got = sorted(logs.compiler(logs.numbered(spark.createDataFrame([("a.c", text)], "path string, output string"))).select("line", "column", "severity", "rule_id").collect())
     assert [tuple(r) for r in got] == [(0, 0, "error", "CC_STRICT"), (0, 0, "warning", "TIDY_BUGPRONE_FOO_BAR"), (3, 7, "warning", "CC_UNUSED_VARIABLE")]
 
 
