@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import budgets, closures, intervals, relate
-from ..tables import saver
-from .queries import documents
+from ..operators import budgets, closures, intervals, lines, relate
+from ..sources.cache import ResultCache, refreshed
+from ..sources.versions import Versions
+from ..tables import fresh_folder, saver
+from .queries import MESSY, WIDTH, documents, messy
 
 #: Both engines read these: line items as ranges, short ranges, places and edits of a supplier's file.
 PATH = "concat('s', cast(l_suppkey as varchar(20)))"
@@ -93,6 +95,58 @@ def q_packed_words(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", X.packed(words, "SRCS = ").alias("packed"))
 
 
+def _committed(spark: SparkSession, d: str) -> Versions:
+    """Documents as version 1; in version 2 some are in their messy form and some are gone; in version 3 those are back."""
+    log = Versions(spark, fresh_folder(spark, "versions"))
+    log.commit(documents(spark, d), 0)
+    log.commit(messy(spark, d).where("path like '%3'").unionByName(documents(spark, d).where("path like '%7'").withColumn("content", F.lit(None).cast("string"))), 1)
+    log.commit(documents(spark, d).where("path like '%7'"), 2)
+    return log
+
+
+def q_files_as_of(spark, d):
+    return _committed(spark, d).as_of(2).select("path", "version", F.md5(F.col("content").cast("binary")).alias("md5"))
+
+
+def q_reverted_files(spark, d):
+    """A commit that later ones built upon is refused whole; the last one is taken back."""
+    log = _committed(spark, d)
+    number, clash = log.revert(2)
+    taken, _ = log.revert(3)
+    last = log.as_of().groupBy("version").agg(F.count("*").alias("n"))
+    refused = clash.agg(F.lit(-1).cast("long").alias("version"), F.count("*").alias("n"))
+    return last.unionByName(refused).withColumn("taken", F.lit(taken if number is None else number).cast("long"))
+
+
+def q_late_writer(spark, d):
+    """Two writers plan on version 1: the second may write what the first left alone, and nothing else."""
+    log = Versions(spark, fresh_folder(spark, "versions"))
+    log.commit(documents(spark, d), 0)
+    log.commit(messy(spark, d).where("path like '%3'"), 1)
+    _, refused = log.commit(messy(spark, d).where("path like '%3' or path like '%4'"), 1)
+    log.commit(messy(spark, d).where("path like '%4'"), 1)
+    return refused.select("path", F.lit("refused").alias("status")).unionByName(log.as_of().where("version > 1").select("path", F.concat(F.lit("version "), F.col("version").cast("string")).alias("status")))
+
+
+def _counts(files: DataFrame) -> DataFrame:
+    """(key, counts) of files (key, content): the rules of lines."""
+    found = lines.line_rules(files.select(F.col("key").alias("path"), "content")).groupBy("path", "rule_id").agg(F.count("*").alias("n"))
+    each = found.groupBy(F.col("path").alias("key")).agg(F.sort_array(F.collect_list(F.struct("rule_id", "n"))).alias("counts"))
+    return files.select("key").join(each, "key", "left").select("key", F.coalesce("counts", F.array().cast("array<struct<rule_id: string, n: bigint>>")).alias("counts"))
+
+
+def q_cached_counts(spark, d):
+    """Counts by rule, first of the documents, then kept up to date as some take their messy form and some go."""
+    keyed = lambda f: f.withColumn("key", F.sha2("content", 256))
+    before = keyed(documents(spark, d))
+    after = keyed(messy(spark, d).where("path like '%3' or path like '%4'").unionByName(documents(spark, d).where("path not like '%3' and path not like '%4' and path not like '%5'")))
+    cache = ResultCache(spark, fresh_folder(spark, "cache"))
+    none = spark.createDataFrame([], "rule_id string, n long")
+    nothing = before.limit(0)
+    totals = saver(spark)(refreshed(cache, none, nothing, before, _counts))
+    return refreshed(cache, totals, before, after, _counts)
+
+
 QUERIES = {k.removeprefix("q_"): v for k, v in list(globals().items()) if k.startswith("q_")}
 _BY_START = "WINDOW w AS (PARTITION BY path ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 _PACK = r"""list_reduce(list_prepend('SRCS = ', words), lambda acc, w, i: CASE
@@ -117,3 +171,10 @@ ORACLE["wrapped_texts"] = rf"""WITH RECURSIVE d AS (SELECT 'doc' || doc_id AS pa
   s AS (SELECT path, 0 AS i, ''::VARCHAR AS line, t AS rest FROM d UNION ALL SELECT path, i + 1, left(rest, {_CUT}), substr(rest, {_CUT} + 2) FROM s WHERE rest <> ''),
   l AS (SELECT path, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE i > 0), '') AS body FROM s GROUP BY path)
   SELECT path, md5(body) AS md5, len(string_split(body, chr(10))) AS n_lines FROM l"""
+_SIDES = f"d AS (SELECT 'doc' || doc_id AS path, text AS content, {MESSY} AS messy FROM documents)"
+ORACLE |= {
+    "files_as_of": f"WITH {_SIDES} SELECT path, CASE WHEN path LIKE '%3' THEN 2 ELSE 1 END AS version, md5(CASE WHEN path LIKE '%3' THEN messy ELSE content END) AS md5 FROM d WHERE path NOT LIKE '%7'",
+    "reverted_files": f"WITH {_SIDES}, v AS (SELECT CASE WHEN path LIKE '%3' THEN 2 ELSE 1 END AS version, count(*) AS n FROM d WHERE path NOT LIKE '%7' GROUP BY 1 UNION ALL SELECT -1, count(*) FROM d WHERE path LIKE '%7') SELECT version, n, 4::BIGINT AS taken FROM v",
+    "late_writer": f"WITH {_SIDES} SELECT path, 'refused' AS status FROM d WHERE path LIKE '%3' UNION ALL SELECT path, CASE WHEN path LIKE '%3' THEN 'version 2' ELSE 'version 3' END FROM d WHERE path LIKE '%3' OR path LIKE '%4'",
+    "cached_counts": f"WITH {_SIDES}, f AS (SELECT path, CASE WHEN path LIKE '%3' OR path LIKE '%4' THEN messy ELSE content END AS content FROM d WHERE path NOT LIKE '%5'), l AS (SELECT path, unnest(string_split(content, chr(10))) AS text FROM f) SELECT 'LINE_TOO_LONG' AS rule_id, count(*) AS n FROM l WHERE {WIDTH} > 80 HAVING count(*) > 0 UNION ALL SELECT 'TRAILING_SPACE', count(*) FROM l WHERE text[-1] IN (' ', chr(9)) HAVING count(*) > 0",
+}

@@ -26,20 +26,26 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; what is written there goes when the process ends."""
+    root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+    def close() -> None:
+        with contextlib.suppress(Exception):
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    atexit.register(close)
+    return root
+
+
 def saver(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
     """A function that writes a table and reads it back; what it wrote goes when the process ends."""
-    root = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex[:12]}"
-    count = iter(range(1 << 62))
+    root, count = fresh_folder(spark, "tables"), iter(range(1 << 62))
 
     def save(df: DataFrame) -> DataFrame:
         path = f"{root}/{next(count)}"
         df.write.option("compression", "zstd").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    def close() -> None:
-        with contextlib.suppress(Exception):
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-    atexit.register(close)
     return save

@@ -93,20 +93,3 @@ def test_streamed_findings(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.sql("SELECT rule_id, n FROM found").collect()} == {("LINE_TOO_LONG", 1), ("TRAILING_SPACE", 1)}
-
-
-def test_runs_are_whole_or_nothing(spark, tmp_path):
-    from pyspark.sql import functions as F
-
-    from srclens.sources import runs
-
-    hashed = lambda rows: spark.createDataFrame(rows, "path string, content string").withColumn("content_hash", F.sha2("content", 256))
-    now = hashed([("a", "1"), ("b", "2"), ("c", "3")])
-    plans = now.select("path", F.concat("content", F.lit("!")).alias("content"), "content_hash").where("path < 'c'")
-    target = f"file://{tmp_path}/runs"
-    assert runs.runs(spark, target) == []
-    moved = hashed([("a", "1"), ("b", "other"), ("c", "3")])
-    assert [x["path"] for x in runs.commit(plans, moved, target, "r0").collect()] == ["b"] and runs.runs(spark, target) == []
-    assert runs.commit(plans, now, target, "r1").collect() == [] and runs.runs(spark, target) == ["r1"]
-    after = hashed([("a", "1!"), ("b", "changed again"), ("c", "3")])
-    assert sorted(map(tuple, runs.restored(spark, target, "r1", after).collect())) == [("a", "1", "restored"), ("b", None, "conflict")]
