@@ -180,15 +180,21 @@ def packed(items: DataFrame, ws: Workspace, capacity: int = LENGTH, group: int =
         return named.repartition(min(groups, partitions(df.sparkSession)), "group").groupBy("group")
 
     bins = dealt(items, "item", 0, items.count(), group).applyInArrow(first, BIN)
+    def told(bins: DataFrame) -> tuple[int, int, int]:
+        """How many bins there are, how many are not full, and their tokens."""
+        open_ = F.col("fill") < capacity
+        return tuple(bins.agg(F.count("*"), F.count_if(open_), F.coalesce(F.sum(F.when(open_, F.col("fill"))), F.lit(0))).first())
+
     bins, done, spared = ws.save(bins, "bins0"), [], 0
+    _, count, tokens = told(bins)
     for k in range(1, ROUNDS + 1):
-        under = bins.where(F.col("fill") < capacity)
-        count, tokens = under.agg(F.count("*"), F.coalesce(F.sum("fill"), F.lit(0))).first()
-        done.append(bins.where(F.col("fill") == capacity))
         if count <= -(-tokens // capacity) or spared > 1:
-            return _all([*done, under])
-        bins = ws.save(dealt(under, "bin", k, count, group_bins).applyInArrow(again, BIN), f"bins{k}")
-        spared = 0 if bins.count() < count else spared + 1
+            break
+        done.append(bins.where(F.col("fill") == capacity))
+        bins = ws.save(dealt(bins.where(F.col("fill") < capacity), "bin", k, count, group_bins).applyInArrow(again, BIN), f"bins{k}")
+        made, left, tokens = told(bins)
+        spared = 0 if made < count else spared + 1
+        count = left
     return _all([*done, bins])
 
 

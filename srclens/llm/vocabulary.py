@@ -69,22 +69,29 @@ class WordIds(dict):
         self.merges, self.words = self.tokenizer.model, words
         self.old: dict[str, bytes] = {}
         self.packers = [struct.Struct(f"<{n}I") for n in range(40)]
-        self.marks = {m: [t.id for t in self.merges.tokenize(m)] for m in MARKS}
+        self.marks = {m: self.packed([t.id for t in self.merges.tokenize(m)]) for m in MARKS}
 
     def __missing__(self, word: str) -> bytes:
         if (out := self.old.get(word)) is None:
             # a mark behind letters is a pre-token of its own
             stem, mark = (word[:-1], word[-1]) if word[-1:] in self.marks else (word, None)
-            if stem and plain(stem):
-                ids = [t.id for t in self.merges.tokenize(byte_letters(stem.lower()))]
-                if mark:
-                    ids += self.marks[mark]
+            if not (stem and plain(stem)):
+                out = self.packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
             else:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            out = self.packers[len(ids)].pack(*ids) if len(ids) < 40 else struct.pack(f"<{len(ids)}I", *ids)
+                low = stem.lower()
+                out = (self.get(low) or self.old.get(low)) if low != word else None
+                if out is None:
+                    out = self.packed([t.id for t in self.merges.tokenize(byte_letters(low))])
+                    if low != word:
+                        self[low] = out
+                if mark:
+                    out += self.marks[mark]
         self[word] = out
         return out
 
+    def packed(self, ids: list[int]) -> bytes:
+        return self.packers[len(ids)].pack(*ids) if len(ids) < 40 else struct.pack(f"<{len(ids)}I", *ids)
+
     def text(self, text: str) -> bytes:
         if len(self) > self.words:
             self.old = dict(self)
