@@ -107,24 +107,48 @@ def wrapped(t: Column, most: int = 80) -> Column:
     return F.regexp_replace(F.regexp_replace(words, rf"([^ ]{{{most + 1},}}|.{{1,{most}}})( |$)", "$1\n"), r"\n\z", "")
 
 
-def packed(words: Column, first: str, rest: str = "\t", most: int = 80) -> Column:
+def packed(words: Column, first: Column | str, rest: str = "\t", most: int = 80) -> Column:
     """Words (array<string>) on lines joined by ' \\', the first behind ``first``, the others behind ``rest``; null if one doesn't fit.
 
-    A tab counts four columns.  Only the last line needs no room for ' \\'.
+    Tabs go to the next stop of four.  Only the last line needs no room for ' \\'.
     """
-    room, later = most - len(first.expandtabs(4)), most - len(rest.expandtabs(4))
-    line = lambda n: rf"(?:.{{1,{n}}}$|.{{1,{n - 2}}}(?= ))" if n > 2 else r"(?!)"
+    first = F.lit(first) if isinstance(first, str) else first
+    room = F.lit(most) - visual_width(first)
+    later = most - len(rest.expandtabs(4))
+    line = lambda n: rf"(?:.{{1,{n}}}$|.{{1,{n - 2}}}(?= ))"
+    # as ``line``, with as much room as ``first`` leaves
+    begin = F.when(room > 2, F.concat(F.lit(r"\A(?:.{1,"), room.cast("string"), F.lit("}$|.{1,"), (room - 2).cast("string"), F.lit("}(?= ))"))).otherwise(r"(?!)")
     text = F.array_join(words, " ")
-    head = F.regexp_extract(text, rf"\A{line(room)}", 0)
+    head = F.regexp_substr(text, begin)
+    head = F.coalesce(head, F.lit(""))
     tail = F.substring(text, F.char_length(head) + F.when(head == "", 1).otherwise(2), F.char_length(text))
     lines = F.regexp_extract_all(tail, F.lit(rf"({line(later)})(?: |$)"), F.lit(1))
     # of what is left for later lines the last word needs no room behind it, the others do
     left = F.split(tail, " ")
     fits = (tail == "") | (F.forall(F.slice(left, 1, F.size(left) - 1), lambda w: F.char_length(w) <= later - 2) & (F.char_length(F.element_at(left, -1)) <= later))
-    body = F.array_join(F.concat(F.array(F.concat(F.lit(first), head)), F.transform(F.when(tail == "", F.array()).otherwise(lines), lambda x: F.concat(F.lit(rest), x))), " \\\n")
+    body = F.array_join(F.concat(F.array(F.concat(first, head)), F.transform(F.when(tail == "", F.array()).otherwise(lines), lambda x: F.concat(F.lit(rest), x))), " \\\n")
     return F.when(fits, body)
 
 
+#: White space and comments.
+_GAP = rf"(?:\s++|//[^\n]*+|{BLOCK_COMMENT})*+"
+
+
+def guarded(code: Column, guard: Column) -> Column:
+    """Whether the whole of a header stands between the canonical guard's lines."""
+    lines = F.regexp_extract_all(masked(code), F.lit(r"(?m)^[ \t]*+#[ \t]*+([^\n]*+)$"), F.lit(1))
+    one = lambda t: F.regexp_replace(F.trim(F.regexp_replace(t, r"\s+", " ")), r" $", "")
+    return (F.size(lines) >= 3) & (one(F.get(lines, F.lit(0))) == F.concat(F.lit("ifndef "), guard)) & (one(F.get(lines, F.lit(1))) == F.concat(F.lit("define "), guard)) & F.coalesce(one(F.try_element_at(lines, F.lit(-1))) == "endif", F.lit(False))
+
+
+def with_guard(code: Column, guard: Column) -> Column:
+    """A header with its canonical guard: as it is if it has it, renamed if the whole stands in another, else put round it."""
+    other = F.regexp_extract(code, rf"\A{_GAP}#[ \t]*+ifndef[ \t]++(\w++)", 1)
+    renamed = F.regexp_replace(code, F.lit(rf"\A({_GAP}#[ \t]*+ifndef[ \t]++)(\w++)({_GAP}#[ \t]*+define[ \t]++)\2(?=\s)"), F.concat(F.lit("$1"), guard, F.lit("$3"), guard))
+    added = F.concat(F.lit("#ifndef "), guard, F.lit("\n# define "), guard, F.lit("\n\n"), F.regexp_replace(code, r"\n+\z", ""), F.lit("\n\n#endif\n"))
+    return F.when(guarded(code, guard), code).when((other != "") & guarded(code, other), renamed).otherwise(added)
+
+
 def strip_ansi(t: Column) -> Column:
     return F.regexp_replace(t, "\x1b\\[[0-9;?]*[ -/]*[@-~]", "")
 

@@ -32,6 +32,12 @@ def clock(epoch: str | None, now: datetime | None = None) -> str:
     return datetime.fromtimestamp(int(epoch), UTC).strftime(STAMP)
 
 
+def stamp(epoch: Column) -> Column:
+    """``clock`` by column: the time stamp of a number of seconds, in UTC whatever the session's zone; null of anything else."""
+    at = F.to_utc_timestamp(F.timestamp_seconds(epoch.try_cast("long")), F.current_timezone())
+    return F.when(epoch.rlike(r"^[+-]?\d+$"), F.date_format(at, "yyyy/MM/dd HH:mm:ss"))
+
+
 def email(value: Column) -> Column:
     """The address in lower case, null if it is not accepted."""
     clean = F.trim(value)

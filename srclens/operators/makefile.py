@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import final_newline, normalize_eol, remove_bom
+from ..functions.text import final_newline, normalize_eol, packed, remove_bom
 from .lines import lines
-from .transforms import pack
 
 ASSIGN = r"^\s*(?:export\s+|override\s+)*([A-Za-z0-9_.]+)\s*(:::=|::=|:=|\+=|\?=|!=|=)\s*(.*)$"
 RULE = r"^([^\s#:=][^#:=]*?)\s*::?(?!=)(.*)$"
 MANDATORY = ("all", "clean", "fclean", "re")
+LIST = r"^([A-Za-z0-9_.]+)([ \t]*)(:::=|::=|:=|\+=|\?=|=)[ \t]*(.*)$"
 SOURCES = r"(?i)^(SRCS?|SOURCES?|.*_SRCS?)$"
 
 
@@ -86,50 +82,33 @@ def space_recipes(sources: DataFrame) -> DataFrame:
     return rows.withColumn("mark", mark).withColumn("in_rule", F.last("mark", True).over(w)).where(F.col("in_rule") & F.col("text").rlike(r"^ +\S")).select("path", "line", "text")
 
 
-def _assignment_blocks(source: str) -> list[list[str]]:
-    """The lines of a Makefile, those joined by a backslash together."""
-    out, open_ = [], False
-    for line in source.split("\n"):
-        if open_:
-            out[-1].append(line)
-        else:
-            out.append([line])
-        open_ = line.endswith("\\")
-    return out
-
-
-def compacted(source: str, gone: frozenset[str] = frozenset()) -> str:
-    """Explicit lists of .c files packed into as few lines as 80 columns take, without the files that are gone; a list with anything else stays."""
-    out = []
-    for block in _assignment_blocks(source):
-        text = " ".join(x.removesuffix("\\").strip() if k else x.removesuffix("\\").rstrip() for k, x in enumerate(block))
-        m = re.match(r"([A-Za-z0-9_.]+)([ \t]*)(:::=|::=|:=|\+=|\?=|=)[ \t]*(.*)$", text)
-        words = m[4].split() if m else []
-        plain = bool(words) and re.fullmatch(SOURCES.removeprefix("(?i)"), m[1], re.I) and all(re.fullmatch(r"[^$%*()\s#]+\.c", w) for w in words)
-        kept = [w for w in words if w not in gone] if plain else words
-        packed = pack(kept, f"{m[1]}{m[2]}{m[3]} ") if plain and kept and (kept != words or len(block) > 1) else None
-        out += packed.split("\n") if packed is not None and (kept != words or len(packed.split("\n")) < len(block)) else block
-    return "\n".join(out)
+def _compacted(block: Column, gone: Column) -> Column:
+    """A block of lines joined by backslashes: an explicit list of .c files in as few lines as 80 columns take, without those that are gone; anything else stays."""
+    text = F.regexp_replace(block, r"[ \t]*\\\n[ \t]*", " ")
+    part = lambda k: F.regexp_extract(text, LIST, k)
+    words = F.filter(F.split(part(4), r"\s+"), lambda w: w != "")
+    plain = text.rlike(LIST) & (F.size(words) > 0) & part(1).rlike(SOURCES) & F.forall(words, lambda w: w.rlike(r"^[^$%*()\s#]+\.c$"))
+    kept = F.filter(words, lambda w: ~F.array_contains(gone, w))
+    fewer = F.size(kept) < F.size(words)
+    height = lambda t: F.size(F.split(t, "\n"))
+    new = packed(kept, F.concat(part(1), part(2), part(3), F.lit(" ")))
+    return F.when(plain & (F.size(kept) > 0) & new.isNotNull() & (fewer | (height(new) < height(block))), new).otherwise(block)
 
 
-def formatted(sources: DataFrame) -> DataFrame:
-    """sources (path, content): without mark and carriage returns, lists packed, one line feed at the end."""
+def compacted(content: Column, gone: Column) -> Column:
+    """A Makefile with its lists of sources packed; a line feed behind a backslash does not end a block."""
+    blocks = F.split(content, r"(?<!\\)\n", -1)
+    return F.array_join(F.transform(blocks, lambda b: _compacted(b, gone)), "\n")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([compacted(c.as_py() or "") for c in b.column(1)], pa.string())], ["path", "content"])
 
-    clean = sources.select("path", normalize_eol(remove_bom(F.col("content"))).alias("content"))
-    return clean.mapInArrow(run, "path string, content string").select("path", final_newline(F.col("content")).alias("content"))
+def formatted(sources: DataFrame) -> DataFrame:
+    """sources (path, content): without mark and carriage returns, lists packed, one line feed at the end."""
+    clean = normalize_eol(remove_bom(F.coalesce("content", F.lit(""))))
+    return sources.select("path", final_newline(compacted(clean, F.array().cast("array<string>"))).alias("content"))
 
 
 def without_missing(sources: DataFrame, status: DataFrame) -> DataFrame:
     """sources (path, content) without the references that ``source_status`` calls missing; lists are packed again."""
     gone = status.where("status = 'missing'").groupBy("path").agg(F.collect_set("ref").alias("gone"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            new = [compacted(c.as_py() or "", frozenset(g.as_py() or ())) for c, g in zip(b.column(1), b.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string())], ["path", "content"])
-
-    return sources.join(gone, "path", "left").select("path", "content", "gone").mapInArrow(run, "path string, content string")
+    joined = sources.join(gone, "path", "left")
+    return joined.select("path", compacted(F.coalesce("content", F.lit("")), F.coalesce("gone", F.array().cast("array<string>"))).alias("content"))

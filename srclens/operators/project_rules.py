@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import posixpath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -100,17 +99,20 @@ def leak_rows(leaks: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     return out if errors is None else out.unionByName(at(errors, "MEMORY_ERROR", "error", F.col("what")))
 
 
-def protected(path: str, homes: tuple[str, ...] = ()) -> str | None:
-    """Why a folder may not be worked on without being asked: root, home, system or broad."""
-    path = posixpath.normpath(path)
-    path = "/" if set(path) == {"/"} else path
-    if path == "/":
-        return "root"
-    if path in {posixpath.normpath(h) for h in homes}:
-        return "home"
-    if any(path == s or path.startswith(s + "/") for s in SYSTEM) or path.startswith("/var/"):
-        return "system"
-    return "broad" if path in BROAD else None
+def normal_path(path: Column) -> Column:
+    """An absolute path without '.', '..' and repeated slashes."""
+    step = lambda acc, p: F.when(p.isin("", "."), acc).when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(parts, "/"))
+
+
+def protected(path: Column, homes: tuple[str, ...] = ()) -> Column:
+    """Why a folder (an absolute path) may not be worked on without being asked: root, home, system or broad; null if it may."""
+    p = normal_path(path)
+    system = F.lit(False)
+    for s in SYSTEM:
+        system = system | (p == s) | p.startswith(s + "/")
+    return F.when(p == "/", "root").when(p.isin(*(h.rstrip("/") or "/" for h in homes)), "home").when(system | p.startswith("/var/"), "system").when(p.isin(*BROAD), "broad")
 
 
 def articles(spark: SparkSession) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import Save, running
+
 #: Severities in rising order.
 SEVERITY = {"error": 0, "warning": 1, "info": 2}
 #: Fixed values: (weight, cap) of what lowers a score.
@@ -29,6 +31,13 @@ def total_order(diagnostics: DataFrame | None = None) -> list:
     return ["path", "start", "end", rank(F.col("severity")), "rule_id", "message", *more]
 
 
+def numbered(rows: DataFrame, save: Save) -> DataFrame:
+    """rows with ``ordinal``: their place in the total order, counted over all tasks."""
+    order = {f"key{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(total_order(rows))}
+    keys, keyed = list(order), rows.withColumns(order | {"one": F.lit(1)})
+    return running(keyed, [], keys, save, sums={"ordinal": "one"}).drop("one", *keys)
+
+
 def by_rule(diagnostics: DataFrame) -> DataFrame:
     """Groups of a severity and rule, and of source and help where the rows have them."""
     more = [c for c in ("source", "help") if c in diagnostics.columns]

@@ -251,33 +251,6 @@ def fix(source: str, asked: tuple[str, ...] = (), only: frozenset[str] | None =
     return first, {}
 
 
-def pack(words: list[str], first: str, rest: str = "\t", most: int = 80) -> str | None:
-    """Words on lines of at most ``most`` columns joined by ' \\\\'; None if one doesn't fit."""
-    lines, line = [], first
-    for k, w in enumerate(words):
-        tail = 0 if k == len(words) - 1 else 2
-        joined = line + w if line == "" or line.endswith((" ", "\t")) else f"{line} {w}"
-        if len(joined.expandtabs(4)) + tail <= most:
-            line = joined
-            continue
-        lines.append(line)
-        line = rest + w
-        if len(line.expandtabs(4)) + tail > most:
-            return None
-    return " \\\n".join([*lines, line])
-
-
-def has_guard(source: str, guard: str) -> bool:
-    """Whether the whole of a header stands between the canonical guard's lines."""
-    lines = [d for d in Scan("", source).lines]
-    words = [[t.text for t in d] for d in lines]
-    return len(words) >= 3 and words[0][1:] == ["ifndef", guard] and words[1][1:] == ["define", guard] and words[-1][1:] == ["endif"]
-
-
-def add_guard(source: str, guard: str) -> str:
-    return source if has_guard(source, guard) else f"#ifndef {guard}\n# define {guard}\n\n{source.rstrip(chr(10))}\n\n#endif\n"
-
-
 def fixed(sources: DataFrame, asked: tuple[str, ...] = (), only: frozenset[str] | None = None) -> DataFrame:
     """(path, content, changed, fixes, diff, failure) of sources (path, content); asked and only as of ``fix``.
 

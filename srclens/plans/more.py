@@ -62,15 +62,6 @@ def q_json_requests(spark, d):
     return files.from_json(sent).select("request_id", "path", F.md5(F.col("content").cast("binary")).alias("md5"), "failure")
 
 
-def q_refused_requests(spark, d):
-    sent = spark.createDataFrame([(1, "no json"), (2, '{"files": [{"path": "/a", "source": "x"}]}'), (3, '{"files": [{"path": "a", "source": "x"}, {"path": "a", "source": "y"}]}'), (4, '{"files": [{"path": "a/../b", "source": "x"}]}'), (5, '{"files": []}')], "request_id long, request string")
-    return files.from_json(sent).select("request_id", "failure")
-
-
-def q_policy_allowed(spark, d):
-    return project.allowed(spark, '[project]\nname = "p"\nallowed = ["write", "malloc", "free", "write"]\n')
-
-
 def q_vcs_scope(spark, d):
     names = [f"src/page{i}.c" for i in range(0, 400, 14)] + ["gone.c"]
     return files.scoped(_pages(spark, d), files.nul_paths("\x00".join(names).encode() + b"\x00")).select("page_id", "path")
@@ -88,15 +79,6 @@ def q_compiler_report(spark, d):
     return longs(logs.compiler_report(_named(spark, log).withColumnRenamed("content", "output").withColumn("exit_code", F.lit(1))).select("path", "line", "column", "severity", "rule_id"), "line", "column").withColumnRenamed("column", "col")
 
 
-def q_identities(spark, d):
-    rows = [("a", 1, None, "x"), ("a", 2, " Ann@student.42Town.fr ", None), ("b", 1, "bob@example.com", "bob"), ("b", 2, "bob@42.fr", "bob"), ("c", 1, "cy@42.fr", "di"), ("d", 1, "", None), ("e", 1, "ed@42.fr", "ED")]
-    return headers.identity(spark.createDataFrame(rows, "who string, priority int, email string, login string"))
-
-
-def q_run_clock(spark, d):
-    return spark.createDataFrame([(e, headers.clock(e)) for e in ("0", "1700000000", "86399")], "epoch string, stamp string")
-
-
 # text
 
 
@@ -174,12 +156,6 @@ def q_scores(spark, d):
     return report.score(counts.unionByName(counts.withColumns({"n_files": F.lit(0).cast("long"), "hard_fail": F.lit(True)}))).select("n_files", "score", "grade")
 
 
-def q_total_order(spark, d):
-    rows = line_diagnostics(spark, d).withColumns({"start": F.col("line"), "end": F.col("line")})
-    first = rows.orderBy(*report.total_order()).limit(50)
-    return longs(first.select("path", "line", "severity", "rule_id"), "line")
-
-
 def q_distinct_rows(spark, d):
     rows = line_diagnostics(spark, d)
     return report.distinct(rows.unionByName(rows)).groupBy("rule_id").agg(F.count("*").alias("n"))
@@ -281,15 +257,6 @@ def q_stored_projects(spark, d):
     return back.groupBy("project").agg(F.count("path").alias("n"))
 
 
-def q_archive(spark, d):
-    import zipfile
-    from io import BytesIO
-
-    data = project.archive({"b.c": "int b;\n", "a/a.c": "int a;\n"})
-    same = data == project.archive({"a/a.c": "int a;\n", "b.c": "int b;\n"})
-    return spark.createDataFrame([(i.filename, i.file_size, same) for i in zipfile.ZipFile(BytesIO(data)).infolist()], "path string, bytes long, same boolean")
-
-
 def q_edits_applied(spark, d):
     """Each document's first and sixth byte are replaced; every fifth has edits that conflict."""
     src = documents(spark, d).where(F.octet_length("content") == F.char_length("content")).where(F.char_length("content") > 10)
@@ -303,35 +270,12 @@ def q_approved_plans(spark, d):
     return edits.approved(plans, plans.where("path like '%2'")).select("path")
 
 
-def q_refused_approvals(spark, d):
-    plans = spark.createDataFrame([("a", "1", "2"), ("b", "3", "4")], "path string, original_hash string, replacement_hash string")
-    part = spark.createDataFrame([("a", "1", "2"), ("b", "3", "9")], plans.schema)
-    return edits.approved(plans, part).agg(F.count("*").alias("n"))
-
-
-def q_granted_plans(spark, d):
-    plans = spark.createDataFrame([("a", None), ("b", "quarantine"), ("c", "delete_dead_statics")], "path string, capability string")
-    return edits.granted(plans, ["quarantine"]).select("path")
-
-
 def q_name_mentions(spark, d):
     names = spark.createDataFrame([("the",), ("de",), ("und",), ("que_",)], "name string")
     rows = documents(spark, d).select("path", F.lit(0).cast("long").alias("start"), F.col("content").alias("text"))
     return edits.mentions(rows, names, X.identifiers).groupBy("name").agg(F.count("*").alias("n"))
 
 
-def q_range_lookup(spark, d):
-    left = spark.createDataFrame([("a", 1, 5), ("a", 2, 5), ("b", 1, 5)], "path string, start long, end long")
-    right = spark.createDataFrame([("a", 1, 5, "y"), ("a", 1, 5, "x"), ("b", 1, 6, "z")], "path string, start long, end long, value string")
-    return edits.lookup(left, right, "value").select("path", F.col("start").alias("first"), "value")
-
-
-def q_deleted_ranges(spark, d):
-    src = _named(spark, {"a.c": "int a;\n\nint b;\nint c;\n\nint d;\n", "b.c": "x\ny\n"})
-    gone = spark.createDataFrame([("a.c", 0, 6), ("a.c", 15, 17), ("b.c", 2, 3)], "path string, start long, end long")
-    return edits.applied(src, edits.deletions(src, gone, saver(spark))).select("path", "content", "status")
-
-
 # headers
 
 
@@ -434,51 +378,6 @@ def q_c_reported_rewrites(spark, d):
     return spark.createDataFrame(rows, "name string, content string")
 
 
-def q_c_sorted_includes(spark, d):
-    src = lines.lines(_named(spark, {"a.c": '#include "b.h"\n#include <stdio.h>\n#include "A.h"\nint a;\n#include <z.h>\n#include <y.h>\n'}))
-    return lines.sort_includes(src).select("path", F.col("line").cast("long").alias("line"), "text")
-
-
-def q_c_guards(spark, d):
-    rows = [("a.h", transforms.add_guard("int a;\n", "A_H")), ("b.h", transforms.add_guard(transforms.add_guard("int b;\n", "B_H"), "B_H"))]
-    return spark.createDataFrame([(p, t, transforms.has_guard(t, p.upper().replace(".", "_"))) for p, t in rows], "path string, content string, guarded boolean")
-
-
-def q_guard_proofs(spark, d):
-    src = {"a/x.h": "#ifndef X_H\n# define X_H\n#endif\n", "b/x.h": "int x;\n", "b/y.h": "int y;\n", "c/z.h": "int z;\n", "m.c": "int Z_H;\n"}
-    return project_rules.guard_proofs(_named(spark, src))
-
-
-def q_makefile_checks(spark, d):
-    m = _named(spark, {**fixtures.MAKEFILES, "x/Makefile": "X = 1\nbuild:\n\ttrue \\  \nall: build\n" + "#" * 81 + "\n"})
-    return longs(project_rules.makefile_rules(m, logical(m)), "line")
-
-
-def q_makefile_formatted(spark, d):
-    src = {"Makefile": "﻿NAME = a\r\nSRCS = a.c \\\n\tb.c \\\n\tc.c\nOBJS = $(SRCS:.c=.o) \\\n\tx.o\n\n\n"}
-    return formatted(_named(spark, src))
-
-
-def q_makefile_without_missing(spark, d):
-    src = _named(spark, {"Makefile": "SRCS = main.c gone.c \\\n\tlib.c\nall:\n"})
-    there = spark.createDataFrame([("main.c", "int a;"), ("lib.c", "int b;")], "path string, content string")
-    return without_missing(src, source_status(source_refs(logical(src)), there, X.trivia_only))
-
-
-def q_makefile_artifact(spark, d):
-    return artifact(logical(_named(spark, fixtures.MAKEFILES)))
-
-
-def q_trace_dedup(spark, d):
-    rows = [("a", 1, "m", None), ("a", 1, "m", "CWE-1"), ("a", 2, "m", None), ("b", 1, "m", None)]
-    return relate.trace_dedup(spark.createDataFrame(rows, "path string, start long, message string, tag string")).select("path", F.col("start").alias("place"), "tag")
-
-
-def q_protected_scopes(spark, d):
-    rows = ["/", "//", "/usr/lib/x", "/home", "/home/a", "/home/a/p", "/tmp", "/tmp/x", "/var/log", "/opt/../etc"]
-    return spark.createDataFrame([(p, project_rules.protected(p, ("/home/a",)) or "none") for p in rows], "path string, reason string")
-
-
 def q_markdown_headings(spark, d):
     text = F.concat(F.lit("# Title\n\n"), F.col("text"), F.lit("\n### Jump\n```\n# code\n```\n#### Next\n"))
     rows = lines.lines(_docs(spark, d).where("text not like '%#%' and text not like '%`%' and text not like '%~%'").select(F.col("doc_id").alias("path"), text.alias("content")))
@@ -518,13 +417,9 @@ ORACLE = {
     "underlined_headings": "SELECT doc_id AS path, '124' AS levels FROM documents WHERE regexp_matches(text, '^[A-Za-z]') AND NOT regexp_matches(text, '[#`~]')",
     "ignored_paths": f"{_PAGES} SELECT page_id, path FROM p WHERE NOT ({_IGNORED})",
     "json_requests": "SELECT conv_id AS request_id, 'turn' || turn || '.c' AS path, md5(text) AS md5, NULL::VARCHAR AS failure FROM conversations WHERE text IS NOT NULL",
-    "refused_requests": values("request_id, failure", (1, "not a request"), (2, "a path is not allowed"), (3, "a path is given twice"), (4, "a path is not allowed"), (5, None)),
-    "policy_allowed": values("name", ("free",), ("malloc",), ("write",)),
     "vcs_scope": f"{_PAGES} SELECT page_id, path FROM p WHERE page_id % 14 = 0 AND page_id < 400",
     "cache_misses": f"{D} SELECT path, sha256('lint' || chr(0) || path || chr(0) || sha256(content) || chr(0) || 'cfg' || chr(0) || 'tool 1') AS key FROM d WHERE path NOT LIKE '%5'",
     "compiler_report": values("path, line, col, severity, rule_id", ("src/a.c", 3, 7, "warning", "CC_UNUSED_VARIABLE"), ("src/b.c", 0, 0, "error", "CC_STRICT"), ("src/c.c", 5, 1, "warning", "CC_ANALYZER_MALLOC_LEAK"), ("src/d.c", 2, 4, "warning", "TIDY_BUGPRONE_BRANCH_CLONE"), ("src/e.c", 0, 0, "info", "CC_CONFIGURATION_INCOMPLETE"), ("src/f.c", 0, 0, "error", "CC_REJECTED")),
-    "identities": values("who, login, email, problem", ("a", "ann", "ann@student.42town.fr", None), ("b", None, None, "IDENTITY_INVALID_EMAIL"), ("c", None, None, "IDENTITY_LOGIN_MISMATCH"), ("d", None, None, "IDENTITY_UNAVAILABLE"), ("e", "ed", "ed@42.fr", None)),
-    "run_clock": values("epoch, stamp", ("0", "1970/01/01 00:00:00"), ("1700000000", "2023/11/14 22:13:20"), ("86399", "1970/01/01 23:59:59")),
     "positions": f"{_HALF} SELECT path, len(string_split(head, chr(10)))::BIGINT AS line, (length({_LAST}) + 1)::BIGINT AS byte_col, ({_WIDTH} + 1)::BIGINT AS visual_col FROM h",
     "column_offsets": f"{_HALF} SELECT path, length(head)::BIGINT AS by_width, length(head)::BIGINT AS by_byte FROM h",
     "masked_sources": f"SELECT p_partkey, {_code(True)} AS code FROM part",
@@ -536,7 +431,6 @@ ORACLE = {
     "declared_commas": "SELECT p_partkey, (p_size % 5 + 2)::BIGINT AS n FROM part",
     "trivia_sources": "SELECT p_partkey, p_size % 2 = 0 AS trivia FROM part",
     "scores": f"{DIAG}, s0 AS (SELECT path, content AS t0 FROM d), c AS (SELECT count(*) AS n_files, count(*) FILTER (WHERE contains(t0, chr(13))) AS n_failed FROM s0), e AS (SELECT count(*) FILTER (WHERE severity = 'error') AS n_error, count(*) FILTER (WHERE severity = 'warning') AS n_warning FROM g), t AS (SELECT n_files, greatest(0, 100 - least(8 * n_error, 45) - least(8 * n_failed, 30) - least(5 * n_warning, 25) - 20 - least(n_files, 10)) AS score FROM c, e) SELECT n_files, score::INT AS score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM t UNION ALL SELECT 0, 0, 'INCOMPLETE'",
-    "total_order": f"{DIAG} SELECT path, line, severity, rule_id FROM g ORDER BY path, line, CASE severity WHEN 'error' THEN 0 ELSE 1 END, rule_id LIMIT 50",
     "distinct_rows": f"{DIAG} SELECT rule_id, count(*) AS n FROM g GROUP BY 1",
     "json_reports": f"{DIAG} SELECT d.path, 2::BIGINT AS version, count(g.line) AS n, coalesce(sum(g.line), 0)::BIGINT AS lines FROM d LEFT JOIN g USING (path) GROUP BY d.path",
     "human_report": f"{DIAG} SELECT severity, rule_id, count(*) AS n, count(DISTINCT path) AS n_paths, severity || ' [' || rule_id || '] ' || count(*) || ' occurrences in ' || count(DISTINCT path) || ' files' AS title, 3::BIGINT AS shown FROM g GROUP BY severity, rule_id",
@@ -551,14 +445,9 @@ ORACLE = {
     "path_clashes": f"{_PAGES} SELECT lower(path) AS portable, count(*) AS n FROM p GROUP BY 1 HAVING count(*) > 1",
     "allowed_paths": "SELECT page_id, page_id % 3 = 2 AS allowed FROM pages",
     "import_batch": f"{_PAGES}, q AS (SELECT strlen(content) AS bytes, CASE WHEN page_id % 5 = 0 THEN '.hidden/' || path ELSE repeat('d/', (page_id % 11)::INT) || path END AS path FROM p) SELECT CASE WHEN path LIKE '.%' OR path LIKE '%/.%' THEN 'hidden' WHEN len(string_split(path, '/')) - 1 > 6 THEN 'too deep' WHEN bytes > 10000 THEN 'too large' ELSE 'taken' END AS status, count(*) AS n FROM q GROUP BY 1",
-    "archive": values("path, bytes, same", ("a/a.c", 7, True), ("b.c", 7, True)),
     "edits_applied": f"{D} SELECT path, CASE WHEN path LIKE '%5' THEN 'conflict' ELSE 'applied' END AS status, md5(CASE WHEN path LIKE '%5' THEN content ELSE '<<' || substr(content, 2, 4) || substr(content, 7) END) AS md5 FROM d WHERE strlen(content) = length(content) AND length(content) > 10",
     "approved_plans": f"{D} SELECT path FROM d WHERE path LIKE '%2'",
-    "refused_approvals": values("n", (0,)),
-    "granted_plans": values("path", ("a",), ("b",)),
     "name_mentions": f"{D}, w AS (SELECT DISTINCT path, unnest(list_filter(regexp_split_to_array(content, '[^A-Za-z0-9_]+'), lambda x: x IN ('the', 'de', 'und', 'que_'))) AS name FROM d) SELECT name, count(*) AS n FROM w GROUP BY 1",
-    "range_lookup": values("path, first, value", ("a", 1, "x"), ("a", 2, None), ("b", 1, None)),
-    "deleted_ranges": values("path, content, status", ("a.c", "int b;\nint d;\n", "applied"), ("b.c", "x\n", "applied")),
     "c_headers": _header("c"),
     "makefile_headers": _header("makefile"),
     "header_updates": f"SELECT doc_id, doc_id % 10 <> 9 AS valid, CASE WHEN doc_id % 10 <> 9 THEN '/*   new.c' ELSE rtrim(substr(string_split(text, chr(10))[4], 1, 40)) END AS name_line, CASE WHEN doc_id % 10 <> 9 THEN '/*   Updated: 2025/06/07 08:09:10 by other' ELSE rtrim(substr(string_split(text, chr(10))[9], 1, 50)) END AS update_line, true AS kept FROM documents",
@@ -575,15 +464,6 @@ ORACLE = {
     "c_recovered_functions": values("path, name", ("arms.c", "one"), ("arms.c", "two"), ("cut.c", "good"), ("odd.c", "f")),
     "c_rewrite_cases": values("path, content, changed", *((f"case{k}.c", after, True) for k, (_, _, after) in enumerate(fixtures.REWRITE_CASES))),
     "c_reported_rewrites": values("name, content", *fixtures.REPORTED),
-    "c_sorted_includes": values("path, line, text", ("a.c", 1, "#include <stdio.h>"), ("a.c", 2, '#include "A.h"'), ("a.c", 3, '#include "b.h"'), ("a.c", 4, "int a;"), ("a.c", 5, "#include <y.h>"), ("a.c", 6, "#include <z.h>"), ("a.c", 7, "")),
-    "c_guards": values("path, content, guarded", ("a.h", "#ifndef A_H\n# define A_H\n\nint a;\n\n#endif\n", True), ("b.h", "#ifndef B_H\n# define B_H\n\nint b;\n\n#endif\n", True)),
-    "guard_proofs": values("path, guard, status", ("a/x.h", "X_H", "duplicate"), ("b/x.h", "X_H", "duplicate"), ("b/y.h", "Y_H", "unique"), ("c/z.h", "Z_H", "shared")),
-    "makefile_checks": values("path, line, rule_id", ("lib/Makefile", 1, "MAKEFILE_NAME_RULE_MISSING"), ("x/Makefile", 1, "MAKEFILE_NAME_MISSING"), ("x/Makefile", 1, "MAKEFILE_NAME_RULE_MISSING"), ("x/Makefile", 2, "MAKEFILE_DEFAULT_RULE"), ("x/Makefile", 3, "MAKEFILE_TRAILING_AFTER_BACKSLASH"), ("x/Makefile", 5, "MAKEFILE_LINE_TOO_LONG")),
-    "makefile_formatted": values("path, content", ("Makefile", "NAME = a\nSRCS = a.c b.c c.c\nOBJS = $(SRCS:.c=.o) \\\n\tx.o\n")),
-    "makefile_without_missing": values("path, content", ("Makefile", "SRCS = main.c lib.c\nall:\n")),
-    "makefile_artifact": values("path, artifact", ("Makefile", "app")),
-    "trace_dedup": values("path, place, tag", ("a", 1, "CWE-1"), ("a", 2, None), ("b", 1, None)),
-    "protected_scopes": values("path, reason", ("/", "root"), ("//", "root"), ("/usr/lib/x", "system"), ("/home", "broad"), ("/home/a", "home"), ("/home/a/p", "none"), ("/tmp", "broad"), ("/tmp/x", "none"), ("/var/log", "system"), ("/opt/../etc", "system")),
     "markdown_headings": "SELECT doc_id AS path, 3::BIGINT AS n, 8::BIGINT AS levels, 1::BIGINT AS jumps FROM documents WHERE NOT contains(text, '#') AND NOT contains(text, '`') AND NOT contains(text, '~')",
     "stored_projects": f"{D} SELECT right(path, 1) AS project, count(*) AS n FROM d GROUP BY 1",
 }

@@ -156,43 +156,16 @@ def q_c_dead_statics(spark, d):
     return relate.dead_statics(facts.functions(f).where("kind = 'definition'"), rules.references(f), saver(spark), rules.blocked(f))
 
 
-def q_c_include_blocks(spark, d):
-    return longs(lines.include_blocks(lines.lines(fixtures.files(spark, fixtures.C_FILES))), "first", "last")
-
-
 def q_c_tokens(spark, d):
     t = lexer.tokens(fixtures.files(spark, fixtures.C_FILES))
     back = t.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x.text), "").alias("back"), F.count_if(F.col("class") == "unknown").alias("n_unknown"))
     return back.select("path", F.md5(F.col("back").cast("binary")).alias("md5"), "n_unknown")
 
 
-def q_makefile_missing_targets(spark, d):
-    m = fixtures.files(spark, fixtures.MAKEFILES)
-    return makefile.missing_targets(m, makefile.logical(m))
-
-
-def q_makefile_sources(spark, d):
-    there = spark.createDataFrame([("main.c", "int a;"), ("lib.c", "/* nothing */\n")], "path string, content string")
-    refs = makefile.source_refs(makefile.logical(fixtures.files(spark, fixtures.MAKEFILES)))
-    return makefile.source_status(refs, there, X.trivia_only)
-
-
-def q_makefile_rules(spark, d):
-    m = fixtures.files(spark, fixtures.MAKEFILES)
-    rows = makefile.logical(m)
-    wild = makefile.wildcard_sources(rows).select("path", F.lit("WILDCARD_SOURCE").alias("rule_id"), "line")
-    return longs(wild.unionByName(makefile.space_recipes(m).select("path", F.lit("SPACE_RECIPE").alias("rule_id"), "line")), "line")
-
-
 def q_folders(spark, d):
     return files.folders(spark.read.parquet(f"{d}/pages.parquet").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path")))
 
 
-def q_official_merge(spark, d):
-    n, o = (spark.createDataFrame(x, "path string, rule_id string, start long") for x in (fixtures.NATIVE, fixtures.OFFICIAL))
-    return relate.official_merge(n, o).select("path", "rule_id", F.col("start").alias("place"), "source")
-
-
 def q_c_rewrites(spark, d):
     out = transforms.fixed(fixtures.files(spark, fixtures.MESSY_C))
     return out.select("path", "content", "changed", F.size(F.filter(F.split("diff", "\n"), lambda x: x.rlike(r"^[-+](?![-+])"))).cast("long").alias("n_diff_lines"))
@@ -254,7 +227,6 @@ ORACLE = {
     "regressions": f"{DIAG}, p AS ({DOCS}), pl AS ({LINES.replace('FROM d', 'FROM p')}), bc AS (SELECT 'LINE_TOO_LONG' AS rule_id, count(*) AS n_before FROM pl WHERE {WIDTH} > 80), ac AS (SELECT rule_id, count(*) AS n_after FROM g GROUP BY 1) SELECT rule_id, coalesce(n_before, 0) AS n_before, n_after FROM ac LEFT JOIN bc USING (rule_id) WHERE n_after > coalesce(n_before, 0)",
     "multiset_difference": f"{M}, p AS ({DOCS}), pl AS ({LINES.replace('FROM d', 'FROM p')}), a AS (SELECT path, text, count(*) AS n FROM l WHERE text <> '' GROUP BY ALL), b AS (SELECT path, text, count(*) AS m FROM pl GROUP BY ALL) SELECT path, sum(greatest(0, n - coalesce(m, 0)))::BIGINT AS n FROM a LEFT JOIN b USING (path, text) GROUP BY path HAVING sum(greatest(0, n - coalesce(m, 0))) > 0",
     "heading_jumps": "WITH h AS (SELECT page_id AS path, unnest(regexp_extract_all(html, '<h([1-6])', 1))::INT AS level, unnest(range(len(regexp_extract_all(html, '<h([1-6])', 1)))) AS line FROM pages), j AS (SELECT *, level > lag(level) OVER (PARTITION BY path ORDER BY line) + 1 AS jump FROM h) SELECT path, count(*) AS n_headings, count(*) FILTER (WHERE jump) AS n_jumps FROM j GROUP BY path",
-    "official_merge": values("path, rule_id, place, source", ("a", "R", 1, "official"), ("a", "R", 2, "native"), ("a", "S", 9, "official")),
     "c_rewrites": "SELECT 'messy.c' AS path, '" + fixtures.CLEAN_C["messy.c"].replace("'", "''") + "' AS content, true AS changed, 14::BIGINT AS n_diff_lines",
     "c_tokens": values("path, md5, n_unknown", *((p, __import__("hashlib").md5(t.encode()).hexdigest(), 0) for p, t in fixtures.C_FILES.items())),
     "c_functions": values("path, kind, name, is_static, returns_pointer, parameter_count, body_lines", *((p, "definition", n, s, q, k, b) for p, n, s, q, k, b, _ in _DEFINED), *((p, "prototype", n, s, q, k, None) for p, n, s, q, k in _DECLARED)),
@@ -265,10 +237,6 @@ ORACLE = {
     "c_not_allowed": values("path, line, message", ("src/main.c", 34, "printf")),
     "c_orphans": values("path, rule_id, message", ("src/lib.h", "ORPHAN_PROTOTYPE", "orphan"), ("src/lib.c", "EMPTY_IMPLEMENTATION", "nothing")),
     "c_dead_statics": values("path, name", ("src/main.c", "spread"), ("src/main.c", "fold"), ("src/lib.c", "ping"), ("src/lib.c", "pong")),
-    "c_include_blocks": values("path, first, last, sorted", ("src/main.c", 1, 2, True), ("src/lib.c", 1, 2, False)),
-    "makefile_missing_targets": values("path, target", ("Makefile", "re")),
-    "makefile_sources": values("path, ref, status", ("Makefile", "main.c", "exists"), ("Makefile", "lib.c", "empty"), ("Makefile", "gone.c", "missing")),
-    "makefile_rules": values("path, rule_id, line", ("lib/Makefile", "WILDCARD_SOURCE", 2), ("Makefile", "SPACE_RECIPE", 12)),
     "folders": "WITH p AS (SELECT string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS parts FROM pages) SELECT array_to_string(parts[:n], '/') AS folder, count(*) AS n_files FROM (SELECT parts, unnest(range(1, len(parts))) AS n FROM p) GROUP BY 1",
 }
 QUERIES = {k.removeprefix("q_"): v for k, v in list(globals().items()) if k.startswith("q_")}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, more, queries, relations, tool_logs
+from . import corpus, more, queries, relations, rendered, tool_logs
 
-QUERIES = queries.QUERIES | corpus.QUERIES | more.QUERIES | relations.QUERIES | tool_logs.QUERIES
-ORACLE = queries.ORACLE | corpus.ORACLE | more.ORACLE | relations.ORACLE | tool_logs.ORACLE
+QUERIES = queries.QUERIES | corpus.QUERIES | more.QUERIES | relations.QUERIES | rendered.QUERIES | tool_logs.QUERIES
+ORACLE = queries.ORACLE | corpus.ORACLE | more.ORACLE | relations.ORACLE | rendered.ORACLE | tool_logs.ORACLE
 FLAGSHIP = "rule_groups"
 __all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]

@@ -5,8 +5,10 @@ from __future__ import annotations
 import io
 import tomllib
 import zipfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_POLICY = 64 << 10
@@ -28,8 +30,15 @@ def policy(text: str) -> tuple[str, list[str]]:
     return name, sorted(set(allowed))
 
 
-def allowed(spark: SparkSession, text: str) -> DataFrame:
-    return spark.createDataFrame([(a,) for a in policy(text)[1]], "name string")
+def allowed(policies: DataFrame) -> DataFrame:
+    """(path, name): the functions that the policies (path, content) allow, each once; a policy that can't be read is an error."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(p, a) for p, c in zip(f["path"], f["content"], strict=True) for a in policy(c)[1]]
+            yield pd.DataFrame(rows, columns=["path", "name"])
+
+    return policies.select("path", "content").mapInPandas(run, "path string, name string")
 
 
 def undo_manifest(before: DataFrame, after: DataFrame, run_id: str) -> DataFrame:
@@ -63,3 +72,21 @@ def archive(files: dict[str, str]) -> bytes:
         for path in sorted(files):
             z.writestr(zipfile.ZipInfo(path, EPOCH), files[path])
     return out.getvalue()
+
+
+def archives(files: DataFrame) -> DataFrame:
+    """(project, data): an archive of each project's files (project, path, content); a project is one archive, so it must fit a task."""
+    pack = lambda f: pd.DataFrame({"project": f["project"].iloc[:1], "data": [archive(dict(zip(f["path"], f["content"], strict=True)))]})
+    return files.select("project", "path", "content").groupBy("project").applyInPandas(pack, "project string, data binary")
+
+
+def opened(whole: DataFrame) -> DataFrame:
+    """(project, path, content) of archives (project, data)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for name, data in zip(f["project"], f["data"], strict=True):
+                z = zipfile.ZipFile(io.BytesIO(data))
+                yield pd.DataFrame([(name, n, z.read(n).decode()) for n in z.namelist()], columns=["project", "path", "content"])
+
+    return whole.select("project", "data").mapInPandas(run, "project string, path string, content string")

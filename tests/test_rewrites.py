@@ -150,10 +150,14 @@ def test_unsafe_files_prove_nothing(spark):
     assert rules.orphan_prototypes(facts.facts(fixtures.files(spark, {"a.h": src["a.h"]}))).count() == 1
 
 
-def test_scopes_and_clock():
+def test_scopes_and_clock(spark):
+    from pyspark.sql import functions as F
+
     from srclens.operators import headers
 
-    assert project_rules.protected("/home/me", ("/home/me/",)) == "home" and project_rules.protected("/home/me/x") is None
+    cases = {"/": "root", "//": "root", "/home/me": "home", "/home/me/x": None, "/home/me/x/..": "home", "/usr": "system", "/usr2": None, "/var/x": "system", "/var": "broad", "/a/../../tmp/.": "broad", "/tmp/x": None}
+    rows = spark.createDataFrame([(p,) for p in cases], "p string").select("p", project_rules.protected(F.col("p"), ("/home/me/",)).alias("r")).collect()
+    assert {r["p"]: r["r"] for r in rows} == cases
     with pytest.raises(ValueError):
         headers.clock("soon")
 

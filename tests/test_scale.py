@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from srclens.functions import text as X
 from srclens.operators import budgets, closures, intervals, relate, scans
-from srclens.operators.transforms import pack
 from srclens.sources import logs
 from srclens.tables import saver
 
@@ -153,6 +152,22 @@ def test_a_long_chain_takes_few_rounds(spark):
     assert rounds.n < 40
 
 
+def pack(words: list[str], first: str, rest: str = "\t", most: int = 80) -> str | None:
+    """Words on lines of at most ``most`` columns joined by ' \\\\'; None if one doesn't fit."""
+    lines, line = [], first
+    for k, w in enumerate(words):
+        tail = 0 if k == len(words) - 1 else 2
+        joined = line + w if line == "" or line.endswith((" ", "\t")) else f"{line} {w}"
+        if len(joined.expandtabs(4)) + tail <= most:
+            line = joined
+            continue
+        lines.append(line)
+        line = rest + w
+        if len(line.expandtabs(4)) + tail > most:
+            return None
+    return " \\\n".join([*lines, line])
+
+
 def test_packed_and_wrapped(spark):
     r = random.Random(2)
     cases = [[f"{'w' * r.randint(1, 30)}{i}.c" for i in range(r.randint(0, 40))] for _ in range(60)] + [["x" * 75], ["x" * 76], ["x" * 77], ["a", "y" * 76], ["a", "y" * 77], ["y" * 74, "b"], ["y" * 75, "b"], []]

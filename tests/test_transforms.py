@@ -1,6 +1,8 @@
 import hypothesis.strategies as st
 from hypothesis import given, settings
+from pyspark.sql import functions as F
 
+from srclens.functions import text as X
 from srclens.operators import transforms as t
 
 MESSY = '#ifdef A\n#define X 1\n#endif\nint\tf()\n{\n\n\tint\ta[ 3 ];;\n\tchar * p;\n\n\tif(a[ 0 ] ,1)\n\t\treturn g(a ,b)+1;\n\tfor (;;)\n\t\t;\n\treturn(a[1]);\n\treturn ;\n\n}\n'
@@ -31,11 +33,14 @@ def test_nothing_is_lost(parts):
     assert [k for k in t.significant(got) if k[1] not in ("(", ")", ";", "void")] == dropped
 
 
-def test_pack_and_guard():
-    assert t.pack(["a.c", "b.c", "c.c"], "SRCS =", most=14) == "SRCS = a.c \\\n\tb.c c.c"
-    assert t.pack(["x" * 90], "SRCS =") is None
-    once = t.add_guard("int\ta;\n", "A_H")
-    assert once == "#ifndef A_H\n# define A_H\n\nint\ta;\n\n#endif\n" and t.add_guard(once, "A_H") == once
+def test_guards(spark):
+    own, other = "#ifndef A_H\n# define A_H\n\nint\ta;\n\n#endif\n", "/* // */\n# ifndef B_H // once\n/* x */\n#\tdefine B_H\nint B_H;\n#endif /* B_H */\n"
+    cases = {"": "#ifndef A_H\n# define A_H\n\n\n\n#endif\n", "int\ta;\n": own, own: own, other: other.replace("ifndef B_H", "ifndef A_H").replace("define B_H", "define A_H"), own + "#define X\n": None, "#ifndef B_H\n#define C_H\n#endif\n": None}
+    for before, after in cases.items():
+        one = spark.createDataFrame([(before,)], "c string")
+        new = X.with_guard(F.col("c"), F.lit("A_H"))
+        got = one.select(new.alias("n"), X.guarded(new, F.lit("A_H")).alias("g"), X.with_guard(new, F.lit("A_H")).alias("again")).first()
+        assert got["n"] == (after or f"#ifndef A_H\n# define A_H\n\n{before.rstrip()}\n\n#endif\n") and got["again"] == got["n"] and got["g"]
 
 
 def test_fixed(spark):
