@@ -14,7 +14,8 @@ bits leave five of the eight half bytes untouched, so under one choice of five
 the fingerprints meet again, at most 2**13 distinct ones together.
 
 Defined results.  Null, empty and blank texts have fingerprint 0 and are linked
-like any other.  Repeated rows are linked through their equal fingerprints.  A
+like any other.  Repeated rows are linked through their equal fingerprints; an
+id that repeats with other texts has a fingerprint and a component each.  A
 row without id keeps its fingerprint; its component is that of its fingerprint,
 and null where no row with an id is in it.  Other columns are not read.
 """
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, partitions
 from .components import components
 from .fingerprint import fingerprint
+from .repeats import keyed
 
 LIMIT = 4096
 BLOCK = 512
@@ -40,16 +42,16 @@ MASKS = [sum(15 << 4 * i for i in five) for five in combinations(range(8), 5)]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc, fp): the fingerprint as a signed long."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("binary").alias("text"))
+    """(doc, t1, t2, fp): the text's 128-bit key, and its fingerprint as a signed long."""
+    rows = keyed(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1)
+            texts = b.column(3)
             fps = np.fromiter((fingerprint(texts[i].as_py() or b"", shingle) for i in range(len(texts))), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc", "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fps.view(np.int64))], ["doc", "t1", "t2", "fp"])
 
-    return rows.mapInArrow(run, f"doc {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"doc {docs.schema[id_col].dataType.simpleString()}, t1 long, t2 long, fp long")
 
 
 def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +145,7 @@ def links(distinct: DataFrame, ws: Workspace, distance: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
-    """(doc, fp, component): component is the smallest id reachable by links."""
+    """(doc, t1, t2, fp, component): component is the smallest id reachable by links; t1 and t2 key the text."""
     if not 0 <= distance <= 3:
         raise ValueError("two segments with one wildcard each find up to 3 differing bits")
     ws = Workspace(docs.sparkSession, "simhash")
@@ -154,13 +156,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("label"))
     least = label.groupBy("label").agg(F.min("least").alias("component"))
     of = ws.save(label.join(least, "label").select("fp", "component"), "labels")
-    return fps.join(of, "fp").select("doc", "fp", "component")
+    return fps.join(of, "fp").select("doc", "t1", "t2", "fp", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without those whose group holds a smaller id; rows without id stay."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("doc <> component").select(F.col("doc").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    """docs without the texts whose group holds a smaller id; rows without id stay, and so does another text of an id that goes."""
+    gone = near_duplicates(docs, id_col, text_col, **options).where("doc <> component").select("doc", "t1", "t2").distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), F.struct("*").alias("row"))
+    return rows.join(gone, ["doc", "t1", "t2"], "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

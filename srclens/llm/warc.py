@@ -23,11 +23,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arc
-from .common import Workspace
+from .common import Workspace, hadoop_path
 
 SMALL = 100
 #: Records in an archive at most, with the one that begins it, and its bytes before compression but for a single record of more.
@@ -35,9 +35,32 @@ RECORDS, ARCHIVE_BYTES = 1024, 1 << 28
 DATE = "20240101000000"
 
 
-def _per_archive(most: int | None) -> int:
-    """How many records an archive takes when none has a payload of more than ``most`` bytes."""
-    return max(2, min(RECORDS, ARCHIVE_BYTES // ((most or 0) + 4096)))
+def size_class(size: Column) -> Column:
+    """0 for payloads of which ``RECORDS`` fit an archive, then one more for each four times the size.
+
+    Each class has archives of its own, so that a long page takes records from
+    the archives of such pages alone.
+    """
+    least = F.lit(max(1, ARCHIVE_BYTES // RECORDS - 4096))
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1)) / least) / 2)).cast("int")
+
+
+def _per_archive(kind: int) -> int:
+    """How many records an archive of a size class takes."""
+    return max(2, RECORDS >> 2 * kind)
+
+
+def _classes(sizes: DataFrame) -> list[int]:
+    """The size classes of a column ``size``; at most some twenty numbers."""
+    return sorted(sizes.agg(F.collect_set(size_class(F.coalesce("size", F.lit(0))))).first()[0])
+
+
+def _folders(spark: SparkSession, path: str) -> dict[int, str]:
+    """By size class the folder of its archives below path; archives of other makers count as one class of the largest records."""
+    fs, p = hadoop_path(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    found = {int(n.removeprefix("class=")): f"{path}/{n}" for n in names if n.startswith("class=")}
+    return found or {99: path}
 
 
 def _archive(df: DataFrame, path: str, records: int) -> None:
@@ -59,9 +82,14 @@ def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType],
 
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> None:
+    """Archives of pages below path, a folder for each class of sizes."""
     rows = pages.select(F.col(id_col).cast("string").alias("page"), F.col(url_col).alias("url"), F.col(html_col).cast("binary").alias("html"))
-    per = _per_archive(rows.agg(F.max(F.octet_length("html"))).first()[0])
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    for kind in _classes(rows.select(size.alias("size"))) or [0]:
+        _write_class(rows.where(size_class(size) == kind), f"{path}/class={kind}", _per_archive(kind), date)
+
 
+def _write_class(rows: DataFrame, path: str, per: int, date: str) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         version = 1 + part % 2
@@ -94,7 +122,7 @@ def _files(spark: SparkSession, path: str, schema: str, names: list[str], kinds:
             for data in b.column(0):
                 yield from _batches(each(data.as_py()), names, kinds)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, schema)
 
 
 def read_arc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
@@ -114,12 +142,17 @@ def convert(spark: SparkSession, source: str, target: str, id_type: str = "long"
     """ARC archives below source to WARC archives below target."""
     ws = Workspace(spark, "warc-convert")
     page = F.col("page").cast(id_type)
-    seen = Observation()
-    known = read_arc(spark, source, payload=False).observe(seen, F.max("bytes").alias("most")).where(F.col("bytes") >= small).groupBy("digest")
+    known = read_arc(spark, source, payload=False).where(F.col("bytes") >= small).groupBy("digest")
     first = known.agg(F.min(page).alias("first"), F.min_by("url", page).alias("first_url"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
     first = ws.save(first, "first")
-    per = _per_archive(seen.get["most"])
-    rows = read_arc(spark, source).join(first, "digest", "left")
+    folders = _folders(spark, source)
+    for kind, folder in folders.items():
+        rows = read_arc(spark, folder).join(first, "digest", "left")
+        _convert_class(rows, page, f"{target}/class={kind}", _per_archive(kind), small)
+    ws.close()
+
+
+def _convert_class(rows: DataFrame, page: Column, target: str, per: int, small: int) -> None:
     revisit = F.coalesce((F.col("bytes") >= small) & ~F.coalesce(page == F.col("first"), F.lit(False)) & F.col("first").isNotNull(), F.lit(False))
     rows = rows.select("page", "url", "date", "head", F.when(revisit, None).otherwise(F.col("payload")).alias("payload"), "digest", F.when(revisit, F.col("first").cast("string")).alias("refers"), "first_url")
 
@@ -150,7 +183,6 @@ def convert(spark: SparkSession, source: str, target: str, id_type: str = "long"
         yield from _batches(records(), ["value"], [pa.binary()])
 
     _archive(rows.mapInArrow(run, "value binary"), target, per)
-    ws.close()
 
 
 def read(spark: SparkSession, path: str, id_type: str = "long", html: bool = False) -> DataFrame:

@@ -130,3 +130,10 @@ def test_near_duplicates(spark):
     kept = [x["doc_id"] for x in simhash.one_of_each(docs(spark, rows)).collect()]
     assert kept.count(4) == 2 and 9 not in kept and 3 in kept and 2 not in kept and kept.count(None) == 2
     assert simhash.near_duplicates(docs(spark, [])).collect() == []
+
+
+def test_another_text_of_an_id_stays(spark):
+    a, b = "one two three four five six", "something else that no other document says here"
+    rows = [(3, a), (5, a), (5, b), (None, a), (5, None), (6, None), (7, b)]
+    kept = [(x["doc_id"], x["text"]) for x in simhash.one_of_each(docs(spark, rows)).collect()]
+    assert sorted(kept, key=repr) == sorted([(3, a), (5, b), (None, a), (5, None)], key=repr)

@@ -208,11 +208,20 @@ def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     warc.write_arc(df, f"file://{tmp_path}/arc")
     warc.convert(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
     for kind in ("arc", "warc"):
-        sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / kind).glob("part-*")]
+        sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / kind).glob("*/part-*")]
         assert len(sizes) > 10 and max(sizes) < 45_000
     assert warc.read(spark, f"file://{tmp_path}/warc").count() == 50
 
 
+def test_one_long_page_leaves_the_others_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 8 << 20)
+    df = spark.range(61).selectExpr("id as page_id", "'u' as url", "if(id = 7, repeat('x', 9000000), concat('page ', id)) as html").coalesce(1)
+    warc.write_arc(df, f"file://{tmp_path}/arc")
+    warc.convert(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
+    assert [len(list((tmp_path / k).glob("*/part-*.gz"))) for k in ("arc", "warc")] == [2, 2]
+    assert warc.read(spark, f"file://{tmp_path}/warc").count() == 61
+
+
 def test_very_long_vectors(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(3, 20_000))
