@@ -27,6 +27,12 @@ DROP = frozenset("script style noscript template nav aside footer form button se
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar rail nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup social share sharing related recommended recommendations trending comments comment commentlist disqus respond replies reactions pagination pager widget toolbar login search skip tags hidden copyright".split()
 )
+#: Those of them whose text varies from page to page like an article's, so that no alignment tells them from it.
+VARYING = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion related recommended recommendations trending comments comment commentlist disqus respond replies reactions hidden".split())
+#: Elements that hold furniture of a page, for which induction is asked first.
+FURNITURE = frozenset("nav aside footer header menu dialog search".split())
+#: What is known of an element from its own markup: nothing, that it is furniture if its text stands still, that it is no article.
+OPEN, NAMED, OUT = 0, 1, 2
 #: Words that say nothing beside those: what a box looks like or where it stands.
 PLACES = frozenset("area bar bottom box button buttons col column container fixed form global group header icon icons inner item items left link links list mobile module outer page panel primary right row secondary section site sticky top unit wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
@@ -34,7 +40,7 @@ WHITE = re.compile(r"\s+")
 
 
 class Page:
-    """sig, parent: the skeleton in order of first appearance.  blocks: (node, noise, text) in page order."""
+    """sig, parent: the skeleton in order of first appearance; a named element's sig ends in '.!'.  blocks: (node, noise, text) in page order, noise as OPEN, NAMED or OUT."""
 
     __slots__ = ("blocks", "parent", "sig")
 
@@ -49,31 +55,35 @@ def words_of(value: str) -> list[str]:
     return [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if w]
 
 
-def names_noise(value: str) -> bool:
-    """Whether one of the names in a class or id says that this is no article, and nothing else: ad-box does, alert-text does not."""
+def names_noise(value: str) -> int:
+    """What the names in a class or id say outright, and nothing else beside it: ad-box says OUT, site-footer NAMED, alert-text nothing."""
+    out = OPEN
     for name in value.split():
         words = set(words_of(name))
         if words & NOISE and words <= NOISE | PLACES:
-            return True
-    return False
+            out = max(out, OUT if words & VARYING else NAMED)
+    return out
 
 
-def _kind(tag: str, attrs: str, in_article: bool) -> tuple[str, bool]:
-    """Signature of a block element, and whether its own markup says that it is no part of an article."""
-    noise, cls = tag in DROP or (tag == "header" and not in_article), ""
+def _kind(tag: str, attrs: str, in_article: bool) -> tuple[str, int]:
+    """Signature of a block element, and what its own markup says of it."""
+    noise, cls = NAMED if tag in FURNITURE and (tag != "header" or not in_article) else OUT if tag in DROP else OPEN, ""
     if attrs and ("=" in attrs or "hidden" in attrs):
         a = {k.lower(): v.strip("\"'") for k, v in ATTR.findall(attrs)}
         cls = " ".join(words_of(a.get("class", "")))
         if tag not in ("html", "body", "article", "main"):
-            noise = noise or names_noise(a.get("class", "")) or names_noise(a.get("id", ""))
-        noise = noise or a.get("role", "") in ROLES or a.get("aria-hidden") == "true" or "hidden" in a or "display:none" in a.get("style", "").replace(" ", "")
-    return f"{tag}.{cls}" if cls else tag, noise
+            noise = max(noise, names_noise(a.get("class", "")), names_noise(a.get("id", "")))
+        if a.get("role", "") in ROLES:
+            noise = max(noise, NAMED)
+        if a.get("aria-hidden") == "true" or "hidden" in a or "display:none" in a.get("style", "").replace(" ", ""):
+            noise = OUT
+    return (f"{tag}.{cls}" if cls else tag) + (".!" if noise == NAMED else ""), noise
 
 
 def parse(source: str) -> Page:
     page = Page()
     index: dict[tuple[int, str], int] = {}
-    stack: list[tuple[str, int, bool, bool, int]] = [("html", 0, False, False, 0)]  # tag, node, noise, in article, depth
+    stack: list[tuple[str, int, int, bool, int]] = [("html", 0, OPEN, False, 0)]  # tag, node, noise, in article, depth
     held: list[str] = []
     blocks, sigs, parents = page.blocks, page.sig, page.parent
 
@@ -139,6 +149,7 @@ def parse(source: str) -> Page:
         if tag in ("html", "body") and any(t[0] == tag for t in stack[1:]):
             continue
         sig, own = _kind(tag, attrs, inside)
+        own = max(own, noise)
         if tag in BLOCK:
             flush()
             if depth < DEPTH:
@@ -148,9 +159,10 @@ def parse(source: str) -> Page:
                     sigs.append(sig)
                     parents.append(node)
                 node = index[key]
-        elif own and not noise:
+        elif own > noise:
+            own = OUT  # it has no node of its own to be judged by
             flush()
-        stack.append((tag, node, noise or own, inside or tag in ("article", "main"), depth + (tag in BLOCK)))
+        stack.append((tag, node, own, inside or tag in ("article", "main"), depth + (tag in BLOCK)))
         if attrs.endswith("/") and tag in ("svg", "math", "path"):
             stack.pop()
     flush()

@@ -1,9 +1,9 @@
 """HTML extraction (operator 3) by wrapper induction.
 
 1. Every page is parsed into blocks and a skeleton of its block elements.  What
-   its own markup says is no article and nothing else (elements such as nav and
-   form, names such as ad-box or comments) has no weight: adverts and reader
-   comments vary like an article, and no alignment tells them from it.
+   no alignment can tell from an article goes at once: scripts, forms, hidden
+   elements, and names that say adverts or reader comments, which vary like it.
+   Elements such as nav and footer, and names such as sidebar, are only marked.
 2. Of pages with the same text on a host one counts.  Per host and skeleton,
    each node's texts and lengths are aggregated: a few rows a skeleton, however
    many pages a host has.  Texts that stand on one page alone count as a number.
@@ -11,6 +11,8 @@
    of them one after the other by several tasks, then the parts' wrappers.
 4. The text of a page is its blocks below the slot of its skeleton that are no
    template.  A page without any block there gives all blocks that are none.
+   Marked elements are template like any other where their text stands still;
+   only where it varies, or a host has too few pages, their names decide.
 
 Defined results.  Null and empty html give an empty text.  Null urls and urls
 without host are one host.  A host with one or two different pages has no
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Workspace, partitions
-from .dom import parse
+from .dom import OUT, parse
 from .wrapper import SEVERAL, Wrapper, verdict
 
 #: Skeletons that one task matches, and those whose results are handed on together.
@@ -47,11 +49,11 @@ def digest(text: str) -> int:
 
 
 #: Of a page's blocks: marks is 1 at the first of a text in its node, 3 at the first in the node.
-LISTS = {"nodes": pa.int64(), "hashes": pa.int64(), "chars": pa.int64(), "marks": pa.int64(), "texts": pa.string()}
+LISTS = {"nodes": pa.int64(), "hashes": pa.int64(), "chars": pa.int64(), "marks": pa.int64(), "named": pa.int64(), "texts": pa.string()}
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """rows: (page, url, host, html).  (page, url, host, id, skeleton, content, and the lists of its blocks that are no noise).
+    """rows: (page, url, host, html).  (page, url, host, id, skeleton, content, and the lists of its blocks that may be article).
 
     The skeleton stands at a host's first page of it in each batch alone.
     """
@@ -66,13 +68,13 @@ def parsed(rows: DataFrame) -> DataFrame:
                 ids.append(digest(skeleton))
                 skeletons.append(None if (name, ids[-1]) in seen else skeleton)
                 seen.add((name, ids[-1]))
-                blocks = [(node, digest(t), t) for node, noise, t in page.blocks if not noise]
-                contents.append(digest("\n".join(t for *_, t in blocks)))
+                blocks = [(node, digest(t), t, noise) for node, noise, t in page.blocks if noise < OUT]
+                contents.append(digest("\n".join(t for *_, t, noise in blocks if not noise)))
                 marks, met = [], set()
-                for node, h, _ in blocks:
+                for node, h, *_ in blocks:
                     marks.append(3 if node not in met else int((node, h) not in met))
                     met |= {node, (node, h)}
-                for c, values in zip(LISTS, ([x[0] for x in blocks], [x[1] for x in blocks], [len(x[2]) for x in blocks], marks, [x[2] for x in blocks]), strict=True):
+                for c, values in zip(LISTS, ([x[0] for x in blocks], [x[1] for x in blocks], [0 if x[3] else len(x[2]) for x in blocks], marks, [x[3] for x in blocks], [x[2] for x in blocks]), strict=True):
                     lists[c].append(values)
             own = [pa.array(ids, pa.int64()), pa.array(skeletons, pa.string()), pa.array(contents, pa.int64()), *(pa.array(lists[c], pa.list_(k)) for c, k in LISTS.items())]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *own], [*b.schema.names[:3], "id", "skeleton", "content", *LISTS])
@@ -153,14 +155,14 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind.as_py() == 0:
                 held = [x.as_py() for x in known]
                 continue
-            slot, drop = verdict(skeleton.as_py(), of.as_py(), *held)
-            out.append((host_.as_py(), name.as_py(), sorted(slot), [k for k, _ in drop], [h for _, h in drop]))
-        kinds = (pa.string(), pa.int64(), _LONGS, _LONGS, _LONGS)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["host", "id", "slot", "node", "hash"])
+            slot, drop, listed = verdict(skeleton.as_py(), of.as_py(), *held)
+            out.append((host_.as_py(), name.as_py(), sorted(slot), [k for k, _ in drop], [h for _, h in drop], listed))
+        kinds = (pa.string(), pa.int64(), _LONGS, _LONGS, _LONGS, _LONGS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], ["host", "id", "slot", "node", "hash", "listed"])
 
 
 def wrappers(stats: DataFrame, ws: Workspace) -> DataFrame:
-    """(host, id, slot, node, hash): the nodes of each host's skeleton in its slot, and its template texts, each with its node.
+    """(host, id, slot, node, hash, listed): the nodes of each host's skeleton in its slot, its template texts, each with its node, and the nodes whose names decide.
 
     A host's skeletons are dealt to parts of about ``PART``, each matched into
     a wrapper by one task; the parts' wrappers are matched into the host's.
@@ -180,7 +182,7 @@ def wrappers(stats: DataFrame, ws: Workspace) -> DataFrame:
     asks = first.where("kind = 1").select("host", "part", "kind", "id", "skeleton", "of", *null(*lists))
     tells = known.select("host", "part", F.lit(0).cast("long").alias("kind"), *null(("id", "long"), ("skeleton", "string"), ("of", "array<long>")), "pages", "chars", "own", "known")
     both = tells.unionByName(asks).repartition(n, "host", "part").sortWithinPartitions("host", "part", "kind", "id")
-    return both.mapInArrow(_verdicts, "host string, id long, slot array<long>, node array<long>, hash array<long>")
+    return both.mapInArrow(_verdicts, "host string, id long, slot array<long>, node array<long>, hash array<long>, listed array<long>")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -193,13 +195,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for nodes, hashes, texts, slot, node, drop in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
-                inside, template = set(slot), set(zip(node, drop, strict=True))
-                inside = inside if inside.intersection(nodes) else set(nodes)
-                out.append("\n".join(t for k, h, t in zip(nodes, hashes, texts, strict=True) if k in inside and (k, h) not in template))
+            for nodes, hashes, named, texts, slot, node, drop, listed in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True):
+                inside, template, listed = set(slot or ()), set(zip(node or (), drop or (), strict=True)), set(listed or ())
+                if inside.isdisjoint(k for k, n in zip(nodes, named, strict=True) if not n):
+                    inside = set(nodes)
+                kept = (t for k, h, n, t in zip(nodes, hashes, named, texts, strict=True) if k in inside and (k, h) not in template and not (n and k in listed))
+                out.append("\n".join(kept))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["page", "url", "text"])
 
-    joined = known.join(table, ["host", "id"], "left").select("page", "url", "nodes", "hashes", "texts", "slot", "node", "hash")
+    joined = known.join(table, ["host", "id"], "left").select("page", "url", "nodes", "hashes", "named", "texts", "slot", "node", "hash", "listed")
     kinds = [T.StructField("page", rows.schema["page"].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())]
     return joined.mapInArrow(read, T.StructType(kinds))
 

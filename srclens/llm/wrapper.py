@@ -199,12 +199,19 @@ class Held:
         self.pages, self.chars = pages, chars
 
 
-def verdict(skeleton: str, of: list[int], pages: list[int], chars: list[int], own: list[bool], known: list[list[int]]) -> tuple[set[int], list[tuple[int, int]]]:
-    """(the nodes of the slot, (node, hash) of the template texts) of a skeleton whose nodes are those numbered of in lists of the host's statistics.
+def verdict(skeleton: str, of: list[int], pages: list[int], chars: list[int], own: list[bool], known: list[list[int]]) -> tuple[set[int], list[tuple[int, int]], list[int]]:
+    """(the nodes of the slot, (node, hash) of the template texts, the nodes whose names decide) of a skeleton whose nodes are those numbered of in lists of the host's statistics.
 
-    own: whether a node has texts that are no template; known: its template texts.
+    own: whether a node has texts that are no template; known: its template
+    texts.  Names decide in named nodes where induction sees no template.
     """
     slot = slot_of(skeleton, [Held(pages[i], chars[i]) for i in of])
+    named: list[bool] = []
+    for line in skeleton.split("\n"):
+        parent, sig = line.split(" ", 1)
+        named.append(sig.endswith(".!") or (int(parent) >= 0 and named[int(parent)]))
     # where all of a slot is the same on all pages, that is its content
-    varies = any(own[of[k]] for k in slot)
-    return slot, [(k, h) for k, i in enumerate(of) for h in known[i] if varies or k not in slot]
+    varies = any(own[of[k]] for k in slot if not named[k])
+    drop = [(k, h) for k, i in enumerate(of) for h in known[i] if varies or k not in slot]
+    judged = {k for k, _ in drop}
+    return slot, drop, [k for k, i in enumerate(of) if named[k] and (own[i] or k not in judged)]

@@ -116,6 +116,27 @@ def test_lists_change_no_page_of_a_host_with_several(spark):
     assert len(several) > 90 and [i for i in several if got[i] != want[i]] == []
 
 
+def test_without_the_wrapper_most_pages_change(spark, monkeypatch):
+    """What induction says of a host's menus, sidebars and footers takes them out, not the lists."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    pages = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{folder}/pages.parquet").collect()]
+    want, whole = texts(spark, pages), html_extract.wrappers
+    monkeypatch.setattr(html_extract, "wrappers", lambda stats, ws: whole(stats, ws).where("false"))
+    got = texts(spark, pages)
+    of = {i: re.sub("^[a-z]+://([^/]*).*$", r"\1", u) for i, u, _ in pages}
+    size = Counter(of[i] for i in {h: i for i, _, h in pages}.values())
+    several = [i for i in of if size[of[i]] >= 3]
+    assert len(several) > 90 and sum(got[i] != want[i] for i in several) > 0.9 * len(several)
+
+
+def test_names_decide_where_a_named_text_varies(spark):
+    page = "<body><nav>Home About</nav><article><h1>T %d</h1><p>Text %d</p><aside>See also %d</aside><div class='sidebar'>Own %d</div><footer>Same on all</footer></article><footer>(c) all</footer></body>"
+    rows = [(i, "http://h.org/", page % (i, i, i, i)) for i in range(6)] + [(9, "http://one.org/", page % (9, 9, 9, 9))]
+    assert texts(spark, rows) == {i: f"T {i}\nText {i}" for i in (*range(6), 9)}
+
+
 def test_long_pages_ties_and_clashing_columns(spark):
     long = "<body><article><h1>L</h1>" + "".join(f"<p>part {k} of a long page</p>" for k in range(20_000)) + "</article><div>foot</div></body>"
     two = [f"<body><div><p>{w} one</p></div><div><p>{w} two</p></div></body>" for w in ("a", "b", "c")]  # equal masses
