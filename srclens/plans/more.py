@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from ..operators.makefile import artifact, formatted, logical, source_refs, sour
 from ..sources import files, logs, project
 from ..tables import saver
 from . import fixtures
-from .queries import DIAG, D, M, documents, line_diagnostics, longs, messy, values
+from .queries import DIAG, D, M, documents, line_diagnostics, longs, messy, of_suppliers, per_supplier, values
 
 #: Both engines read this: pages as files of several kinds.
 PAGE_PATH = "CASE page_id % 7 WHEN 0 THEN 'src/page' || page_id || '.c' WHEN 1 THEN 'inc/page' || page_id || '.h' WHEN 2 THEN 'lib' || page_id || '/Makefile' WHEN 3 THEN 'doc' || page_id || '/README.md' WHEN 4 THEN 'build/page' || page_id || '.o' WHEN 5 THEN 'src/keep' || page_id || '.o' ELSE 'SRC/page' || (page_id - 6) || '.C' END"
@@ -27,8 +28,8 @@ def _docs(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
-def _named(spark, table: dict[str, str]) -> DataFrame:
-    return fixtures.files(spark, table)
+def _named(spark, d, table: dict[str, str]) -> DataFrame:
+    return per_supplier(spark, d, table)
 
 
 # sources
@@ -76,7 +77,7 @@ def q_cache_misses(spark, d):
 
 def q_compiler_report(spark, d):
     log = {"src/a.c": "src/a.c:3:7: warning: unused variable 'x' [-Wunused-variable]\nsrc/a.c:9:1: note: here\n", "src/b.c": "inc/b.h:4:2: error: unknown type name 'q'\n", "src/c.c": "src/c.c:5:1: warning: leak [-Wanalyzer-malloc-leak]\n", "src/d.c": "./src/d.c:2:4: warning: do not use this [bugprone-branch-clone]\n", "src/e.c": "src/e.c:1:10: fatal error: q.h: No such file or directory\n", "src/f.c": "cc1: internal trouble\n"}
-    return longs(logs.compiler_report(_named(spark, log).withColumnRenamed("content", "output").withColumn("exit_code", F.lit(1))).select("path", "line", "column", "severity", "rule_id"), "line", "column").withColumnRenamed("column", "col")
+    return longs(logs.compiler_report(_named(spark, d, log).withColumnRenamed("content", "output").withColumn("exit_code", F.lit(1))).select("path", "line", "column", "severity", "rule_id"), "line", "column").withColumnRenamed("column", "col")
 
 
 # text
@@ -306,38 +307,38 @@ def q_header_diagnostics(spark, d):
 # C and Makefiles over small sources
 
 
-def _shapes(spark):
-    return facts(_named(spark, fixtures.SHAPES_C))
+def _shapes(spark, d):
+    return saver(spark)(facts(_named(spark, d, fixtures.SHAPES_C)))
 
 
 def q_c_macros(spark, d):
-    return view(_shapes(spark), "macro").select("path", "name", F.col("flag").alias("called"), "text")
+    return view(_shapes(spark, d), "macro").select("path", "name", F.col("flag").alias("called"), "text")
 
 
 def q_c_enums_and_arrays(spark, d):
-    return semantics.constants_and_arrays(_shapes(spark)).select("path", "fact", "name", F.col("value").cast("long").alias("value"), "class")
+    return semantics.constants_and_arrays(_shapes(spark, d)).select("path", "fact", "name", F.col("value").cast("long").alias("value"), "class")
 
 
 def q_c_returns(spark, d):
-    f = _shapes(spark)
+    f = _shapes(spark, d)
     own = functions(f).where("kind = 'definition'").select("path", F.col("name").alias("owner"), "returns_pointer")
     return view(f, "return").select("path", "owner", "text").join(own, ["path", "owner"])
 
 
 def q_c_null_directives(spark, d):
-    return semantics.null_state(_shapes(spark)).groupBy("path", "provides").agg(F.count("*").alias("n"))
+    return semantics.null_state(_shapes(spark, d)).groupBy("path", "provides").agg(F.count("*").alias("n"))
 
 
 def q_c_pointer_returns(spark, d):
-    return semantics.pointer_returns(_shapes(spark)).select("path", F.col("function").alias("name"), "null_known")
+    return semantics.pointer_returns(_shapes(spark, d)).select("path", F.col("function").alias("name"), "null_known")
 
 
 def q_c_zero_returns(spark, d):
-    return semantics.zero_returns(_shapes(spark)).select("path", "rule_id", "message")
+    return semantics.zero_returns(_shapes(spark, d)).select("path", "rule_id", "message")
 
 
 def q_c_vla_corrections(spark, d):
-    arrays = semantics.constants_and_arrays(_shapes(spark))
+    arrays = semantics.constants_and_arrays(_shapes(spark, d))
     reported = arrays.where("fact = 'array'").select("path", "start")
     kept, wrong = semantics.vla_corrections(reported, arrays)
     return kept.select("path", F.lit("kept").alias("rule_id")).unionByName(wrong.select("path", "rule_id")).groupBy("path", "rule_id").agg(F.count("*").alias("n"))
@@ -345,16 +346,16 @@ def q_c_vla_corrections(spark, d):
 
 def q_c_declaration_facts(spark, d):
     kinds = ["declaration_split", "shared_declaration", "inert_local", "pointer_star", "initial_block"]
-    return _shapes(spark).where(F.col("fact").isin(kinds)).groupBy("path", "owner", "fact").agg(F.count("*").alias("n"), F.concat_ws(",", F.sort_array(F.collect_list("name"))).alias("names"))
+    return _shapes(spark, d).where(F.col("fact").isin(kinds)).groupBy("path", "owner", "fact").agg(F.count("*").alias("n"), F.concat_ws(",", F.sort_array(F.collect_list("name"))).alias("names"))
 
 
 def q_c_recovery(spark, d):
-    f = facts(_named(spark, fixtures.BROKEN_C))
+    f = facts(_named(spark, d, fixtures.BROKEN_C))
     return longs(project_rules.recovery_rows(f).select("path", "line", "severity", "message"), "line")
 
 
 def q_c_recovered_functions(spark, d):
-    return functions(facts(_named(spark, fixtures.BROKEN_C))).where("kind = 'definition'").select("path", "name")
+    return functions(facts(_named(spark, d, fixtures.BROKEN_C))).where("kind = 'definition'").select("path", "name")
 
 
 def q_c_rewrite_cases(spark, d):
@@ -363,7 +364,7 @@ def q_c_rewrite_cases(spark, d):
     for k, (rule, before, _) in enumerate(fixtures.REWRITE_CASES):
         asked = (rule,) if rule not in transforms.PHASES else ()
         only = frozenset() if asked else frozenset([rule])
-        rows.append(transforms.fixed(_named(spark, {f"case{k}.c": before}), asked, only).select("path", "content", "changed"))
+        rows.append(transforms.fixed(_named(spark, d, {f"case{k}.c": before}), asked, only).select("path", "content", "changed"))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -374,8 +375,13 @@ def q_c_reported_rewrites(spark, d):
     """Rewrites at places that a checker names."""
     from ..operators import rewrites as R
 
-    rows = [(name, R.apply_edits(src, edit(R.View(src)))) for name, src, edit in fixtures.reported_cases(R)]
-    return spark.createDataFrame(rows, "name string, content string")
+    def run(frames):
+        cases = fixtures.reported_cases(R)
+        for f in frames:
+            for key in f["s_suppkey"]:
+                yield pd.DataFrame([(key, name, R.apply_edits(src, edit(R.View(src)))) for name, src, edit in cases], columns=["s_suppkey", "name", "content"])
+
+    return spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey").mapInPandas(run, "s_suppkey long, name string, content string")
 
 
 def q_markdown_headings(spark, d):
@@ -419,7 +425,7 @@ ORACLE = {
     "json_requests": "SELECT conv_id AS request_id, 'turn' || turn || '.c' AS path, md5(text) AS md5, NULL::VARCHAR AS failure FROM conversations WHERE text IS NOT NULL",
     "vcs_scope": f"{_PAGES} SELECT page_id, path FROM p WHERE page_id % 14 = 0 AND page_id < 400",
     "cache_misses": f"{D} SELECT path, sha256('lint' || chr(0) || path || chr(0) || sha256(content) || chr(0) || 'cfg' || chr(0) || 'tool 1') AS key FROM d WHERE path NOT LIKE '%5'",
-    "compiler_report": values("path, line, col, severity, rule_id", ("src/a.c", 3, 7, "warning", "CC_UNUSED_VARIABLE"), ("src/b.c", 0, 0, "error", "CC_STRICT"), ("src/c.c", 5, 1, "warning", "CC_ANALYZER_MALLOC_LEAK"), ("src/d.c", 2, 4, "warning", "TIDY_BUGPRONE_BRANCH_CLONE"), ("src/e.c", 0, 0, "info", "CC_CONFIGURATION_INCOMPLETE"), ("src/f.c", 0, 0, "error", "CC_REJECTED")),
+    "compiler_report": of_suppliers(values("path, line, col, severity, rule_id", ("src/a.c", 3, 7, "warning", "CC_UNUSED_VARIABLE"), ("src/b.c", 0, 0, "error", "CC_STRICT"), ("src/c.c", 5, 1, "warning", "CC_ANALYZER_MALLOC_LEAK"), ("src/d.c", 2, 4, "warning", "TIDY_BUGPRONE_BRANCH_CLONE"), ("src/e.c", 0, 0, "info", "CC_CONFIGURATION_INCOMPLETE"), ("src/f.c", 0, 0, "error", "CC_REJECTED"))),
     "positions": f"{_HALF} SELECT path, len(string_split(head, chr(10)))::BIGINT AS line, (length({_LAST}) + 1)::BIGINT AS byte_col, ({_WIDTH} + 1)::BIGINT AS visual_col FROM h",
     "column_offsets": f"{_HALF} SELECT path, length(head)::BIGINT AS by_width, length(head)::BIGINT AS by_byte FROM h",
     "masked_sources": f"SELECT p_partkey, {_code(True)} AS code FROM part",
@@ -452,18 +458,18 @@ ORACLE = {
     "makefile_headers": _header("makefile"),
     "header_updates": f"SELECT doc_id, doc_id % 10 <> 9 AS valid, CASE WHEN doc_id % 10 <> 9 THEN '/*   new.c' ELSE rtrim(substr(string_split(text, chr(10))[4], 1, 40)) END AS name_line, CASE WHEN doc_id % 10 <> 9 THEN '/*   Updated: 2025/06/07 08:09:10 by other' ELSE rtrim(substr(string_split(text, chr(10))[9], 1, 50)) END AS update_line, true AS kept FROM documents",
     "header_diagnostics": f"SELECT {_DOC} || {_N} || '.c' AS path, 'INVALID_HEADER' AS rule_id FROM documents WHERE doc_id % 10 = 9",
-    "c_macros": values("path, name, called, text", ("shapes.c", "SIZE", False, "4"), ("shapes.c", "TWICE", True, "( x ) ( ( x ) + ( x ) )")),
-    "c_enums_and_arrays": values("path, fact, name, value, class", ("shapes.c", "enum_constant", "RED", 0, None), ("shapes.c", "enum_constant", "BLUE", 4, None), ("shapes.c", "enum_constant", "GREY", 5, None), ("shapes.c", "array", "table", 6, "constant"), ("shapes.c", "array", "free_size", None, "variable")),
-    "c_returns": values("path, owner, text, returns_pointer", ("shapes.c", "first", "( 0 )", True), ("shapes.c", "second", "( 0 )", True), ("shapes.c", "third", "( p == 0 )", False)),
-    "c_null_directives": values("path, provides, n", ("shapes.c", True, 1), ("shapes.c", False, 1)),
-    "c_pointer_returns": values("path, name, null_known", ("shapes.c", "first", True), ("shapes.c", "second", False)),
-    "c_zero_returns": values("path, rule_id, message", ("shapes.c", "POINTER_ZERO_WITHOUT_NULL", "second")),
-    "c_vla_corrections": values("path, rule_id, n", ("shapes.c", "VLA_FALSE_POSITIVE", 1), ("shapes.c", "kept", 1)),
-    "c_declaration_facts": values("path, owner, fact, n, names", ("shapes.c", "first", "initial_block", 1, ""), ("shapes.c", "third", "initial_block", 1, ""), ("shapes.c", "third", "declaration_split", 2, "kept,unused"), ("shapes.c", "third", "inert_local", 2, "free_size,unused"), ("shapes.c", "first", "pointer_star", 1, ""), ("shapes.c", "third", "shared_declaration", 1, ""), ("shapes.c", "third", "pointer_star", 1, "")),
-    "c_recovery": values("path, line, severity, message", ("arms.c", 5, "warning", "conditional"), ("cut.c", 1, "warning", "syntax"), ("odd.c", 3, "warning", "unknown")),
-    "c_recovered_functions": values("path, name", ("arms.c", "one"), ("arms.c", "two"), ("cut.c", "good"), ("odd.c", "f")),
-    "c_rewrite_cases": values("path, content, changed", *((f"case{k}.c", after, True) for k, (_, _, after) in enumerate(fixtures.REWRITE_CASES))),
-    "c_reported_rewrites": values("name, content", *fixtures.REPORTED),
+    "c_macros": of_suppliers(values("path, name, called, text", ("shapes.c", "SIZE", False, "4"), ("shapes.c", "TWICE", True, "( x ) ( ( x ) + ( x ) )"))),
+    "c_enums_and_arrays": of_suppliers(values("path, fact, name, value, class", ("shapes.c", "enum_constant", "RED", 0, None), ("shapes.c", "enum_constant", "BLUE", 4, None), ("shapes.c", "enum_constant", "GREY", 5, None), ("shapes.c", "array", "table", 6, "constant"), ("shapes.c", "array", "free_size", None, "variable"))),
+    "c_returns": of_suppliers(values("path, owner, text, returns_pointer", ("shapes.c", "first", "( 0 )", True), ("shapes.c", "second", "( 0 )", True), ("shapes.c", "third", "( p == 0 )", False))),
+    "c_null_directives": of_suppliers(values("path, provides, n", ("shapes.c", True, 1), ("shapes.c", False, 1))),
+    "c_pointer_returns": of_suppliers(values("path, name, null_known", ("shapes.c", "first", True), ("shapes.c", "second", False))),
+    "c_zero_returns": of_suppliers(values("path, rule_id, message", ("shapes.c", "POINTER_ZERO_WITHOUT_NULL", "second"))),
+    "c_vla_corrections": of_suppliers(values("path, rule_id, n", ("shapes.c", "VLA_FALSE_POSITIVE", 1), ("shapes.c", "kept", 1))),
+    "c_declaration_facts": of_suppliers(values("path, owner, fact, n, names", ("shapes.c", "first", "initial_block", 1, ""), ("shapes.c", "third", "initial_block", 1, ""), ("shapes.c", "third", "declaration_split", 2, "kept,unused"), ("shapes.c", "third", "inert_local", 2, "free_size,unused"), ("shapes.c", "first", "pointer_star", 1, ""), ("shapes.c", "third", "shared_declaration", 1, ""), ("shapes.c", "third", "pointer_star", 1, ""))),
+    "c_recovery": of_suppliers(values("path, line, severity, message", ("arms.c", 5, "warning", "conditional"), ("cut.c", 1, "warning", "syntax"), ("odd.c", 3, "warning", "unknown"))),
+    "c_recovered_functions": of_suppliers(values("path, name", ("arms.c", "one"), ("arms.c", "two"), ("cut.c", "good"), ("odd.c", "f"))),
+    "c_rewrite_cases": of_suppliers(values("path, content, changed", *((f"case{k}.c", after, True) for k, (_, _, after) in enumerate(fixtures.REWRITE_CASES)))),
+    "c_reported_rewrites": f"SELECT s_suppkey, v.* FROM supplier, ({values('name, content', *fixtures.REPORTED)}) v",
     "markdown_headings": "SELECT doc_id AS path, 3::BIGINT AS n, 8::BIGINT AS levels, 1::BIGINT AS jumps FROM documents WHERE NOT contains(text, '#') AND NOT contains(text, '`') AND NOT contains(text, '~')",
     "stored_projects": f"{D} SELECT right(path, 1) AS project, count(*) AS n FROM d GROUP BY 1",
 }

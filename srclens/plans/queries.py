@@ -31,8 +31,21 @@ def line_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return lines.line_rules(messy(spark, d))
 
 
-def _c(spark: SparkSession) -> DataFrame:
-    return facts.facts(fixtures.files(spark, fixtures.C_FILES))
+def per_supplier(spark: SparkSession, d: str, texts: dict[str, str], column: str = "content") -> DataFrame:
+    """(path, column): a project of these files for each supplier, in a folder of its own."""
+    listed = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(t).alias("text")) for p, t in texts.items()))
+    made = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("/")).alias("folder"), F.explode(listed).alias("f"))
+    return made.select(F.concat("folder", "f.path").alias("path"), F.col("f.text").alias(column))
+
+
+def of_suppliers(sql: str) -> str:
+    """SQL of what each of ``per_supplier``'s projects gives, from that of one."""
+    return f"SELECT 's' || s_suppkey || '/' || v.path AS path, v.* EXCLUDE (path) FROM supplier, ({sql}) v"
+
+
+def _c(spark: SparkSession, d: str) -> DataFrame:
+    """The facts of the projects, written once: several rules read them."""
+    return saver(spark)(facts.facts(per_supplier(spark, d, fixtures.C_FILES)))
 
 
 def q_line_index(spark, d):
@@ -123,41 +136,46 @@ def q_heading_jumps(spark, d):
 
 
 def q_c_functions(spark, d):
-    return facts.functions(_c(spark)).select("path", "kind", "name", "is_static", "returns_pointer", "parameter_count", "body_lines")
+    return facts.functions(_c(spark, d)).select("path", "kind", "name", "is_static", "returns_pointer", "parameter_count", "body_lines")
 
 
 def q_c_function_limits(spark, d):
-    return rules.function_limits(_c(spark)).select("path", "rule_id", "message")
+    return rules.function_limits(_c(spark, d)).select("path", "rule_id", "message")
 
 
 def q_c_too_many_functions(spark, d):
-    return rules.too_many_functions(_c(spark)).select("path", "line", "message")
+    return rules.too_many_functions(_c(spark, d)).select("path", "line", "message")
 
 
 def q_c_budget(spark, d):
-    return longs(report.budgets(facts.functions(_c(spark)), facts.locals_(_c(spark))), "lines", "lines_left", "variables", "variables_left", "parameters", "parameters_left")
+    f = _c(spark, d)
+    return longs(report.budgets(facts.functions(f), facts.locals_(f)), "lines", "lines_left", "variables", "variables_left", "parameters", "parameters_left")
 
 
 def q_c_rules(spark, d):
-    f = _c(spark)
+    f = _c(spark, d)
     return rules.late_declarations(f).unionByName(rules.tag_names(f)).unionByName(rules.endless_loops(f))
 
 
 def q_c_not_allowed(spark, d):
-    return rules.not_allowed(_c(spark), spark.createDataFrame([("write",), ("malloc",)], "name string")).select("path", "line", "message")
+    return rules.not_allowed(_c(spark, d), spark.createDataFrame([("write",), ("malloc",)], "name string")).select("path", "line", "message")
 
 
 def q_c_orphans(spark, d):
-    return rules.orphan_prototypes(_c(spark)).unionByName(rules.empty_implementations(_c(spark))).select("path", "rule_id", "message")
+    # names count across files: each project has its own
+    project = F.regexp_extract("path", "^s([0-9]+)/", 1)
+    src = per_supplier(spark, d, fixtures.C_FILES).withColumn("content", F.regexp_replace("content", F.lit(r"\b(helper|orphan|nothing|many)\b"), F.concat(F.lit("$1_"), project)))
+    f = saver(spark)(facts.facts(src))
+    return rules.orphan_prototypes(f).unionByName(rules.empty_implementations(f)).select("path", "rule_id", "message")
 
 
 def q_c_dead_statics(spark, d):
-    f = _c(spark)
+    f = _c(spark, d)
     return relate.dead_statics(facts.functions(f).where("kind = 'definition'"), rules.references(f), saver(spark), rules.blocked(f))
 
 
 def q_c_tokens(spark, d):
-    t = lexer.tokens(fixtures.files(spark, fixtures.C_FILES))
+    t = lexer.tokens(per_supplier(spark, d, fixtures.C_FILES))
     back = t.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x.text), "").alias("back"), F.count_if(F.col("class") == "unknown").alias("n_unknown"))
     return back.select("path", F.md5(F.col("back").cast("binary")).alias("md5"), "n_unknown")
 
@@ -167,7 +185,7 @@ def q_folders(spark, d):
 
 
 def q_c_rewrites(spark, d):
-    out = transforms.fixed(fixtures.files(spark, fixtures.MESSY_C))
+    out = transforms.fixed(per_supplier(spark, d, fixtures.MESSY_C))
     return out.select("path", "content", "changed", F.size(F.filter(F.split("diff", "\n"), lambda x: x.rlike(r"^[-+](?![-+])"))).cast("long").alias("n_diff_lines"))
 
 
@@ -227,16 +245,16 @@ ORACLE = {
     "regressions": f"{DIAG}, p AS ({DOCS}), pl AS ({LINES.replace('FROM d', 'FROM p')}), bc AS (SELECT 'LINE_TOO_LONG' AS rule_id, count(*) AS n_before FROM pl WHERE {WIDTH} > 80), ac AS (SELECT rule_id, count(*) AS n_after FROM g GROUP BY 1) SELECT rule_id, coalesce(n_before, 0) AS n_before, n_after FROM ac LEFT JOIN bc USING (rule_id) WHERE n_after > coalesce(n_before, 0)",
     "multiset_difference": f"{M}, p AS ({DOCS}), pl AS ({LINES.replace('FROM d', 'FROM p')}), a AS (SELECT path, text, count(*) AS n FROM l WHERE text <> '' GROUP BY ALL), b AS (SELECT path, text, count(*) AS m FROM pl GROUP BY ALL) SELECT path, sum(greatest(0, n - coalesce(m, 0)))::BIGINT AS n FROM a LEFT JOIN b USING (path, text) GROUP BY path HAVING sum(greatest(0, n - coalesce(m, 0))) > 0",
     "heading_jumps": "WITH h AS (SELECT page_id AS path, unnest(regexp_extract_all(html, '<h([1-6])', 1))::INT AS level, unnest(range(len(regexp_extract_all(html, '<h([1-6])', 1)))) AS line FROM pages), j AS (SELECT *, level > lag(level) OVER (PARTITION BY path ORDER BY line) + 1 AS jump FROM h) SELECT path, count(*) AS n_headings, count(*) FILTER (WHERE jump) AS n_jumps FROM j GROUP BY path",
-    "c_rewrites": "SELECT 'messy.c' AS path, '" + fixtures.CLEAN_C["messy.c"].replace("'", "''") + "' AS content, true AS changed, 14::BIGINT AS n_diff_lines",
-    "c_tokens": values("path, md5, n_unknown", *((p, __import__("hashlib").md5(t.encode()).hexdigest(), 0) for p, t in fixtures.C_FILES.items())),
-    "c_functions": values("path, kind, name, is_static, returns_pointer, parameter_count, body_lines", *((p, "definition", n, s, q, k, b) for p, n, s, q, k, b, _ in _DEFINED), *((p, "prototype", n, s, q, k, None) for p, n, s, q, k in _DECLARED)),
-    "c_budget": values('path, "function", lines, lines_left, variables, variables_left, parameters, parameters_left', *((p, n, b, 25 - b, v, max(0, 5 - v), k, max(0, 4 - k)) for p, n, _, _, k, b, v in _DEFINED)),
-    "c_too_many_functions": values("path, line, message", ("src/six.c", 26, "f5")),
-    "c_function_limits": values("path, rule_id, message", ("src/lib.c", "TOO_MANY_ARGS", "many: 5 > 4"), ("src/lib.c", "TOO_MANY_VARS_FUNC", "many: 6 > 5")),
-    "c_rules": values("path, line, severity, rule_id, message", ("src/main.c", 29, "error", "WRONG_SCOPE_VAR", "late"), ("src/lib.c", 4, "error", "TAG_PREFIX", "struct point"), ("src/lib.c", 23, "warning", "POSSIBLE_INFINITE_LOOP", "helper")),
-    "c_not_allowed": values("path, line, message", ("src/main.c", 34, "printf")),
-    "c_orphans": values("path, rule_id, message", ("src/lib.h", "ORPHAN_PROTOTYPE", "orphan"), ("src/lib.c", "EMPTY_IMPLEMENTATION", "nothing")),
-    "c_dead_statics": values("path, name", ("src/main.c", "spread"), ("src/main.c", "fold"), ("src/lib.c", "ping"), ("src/lib.c", "pong")),
+    "c_rewrites": of_suppliers("SELECT 'messy.c' AS path, '" + fixtures.CLEAN_C["messy.c"].replace("'", "''") + "' AS content, true AS changed, 14::BIGINT AS n_diff_lines"),
+    "c_tokens": of_suppliers(values("path, md5, n_unknown", *((p, __import__("hashlib").md5(t.encode()).hexdigest(), 0) for p, t in fixtures.C_FILES.items()))),
+    "c_functions": of_suppliers(values("path, kind, name, is_static, returns_pointer, parameter_count, body_lines", *((p, "definition", n, s, q, k, b) for p, n, s, q, k, b, _ in _DEFINED), *((p, "prototype", n, s, q, k, None) for p, n, s, q, k in _DECLARED))),
+    "c_budget": of_suppliers(values('path, "function", lines, lines_left, variables, variables_left, parameters, parameters_left', *((p, n, b, 25 - b, v, max(0, 5 - v), k, max(0, 4 - k)) for p, n, _, _, k, b, v in _DEFINED))),
+    "c_too_many_functions": of_suppliers(values("path, line, message", ("src/six.c", 26, "f5"))),
+    "c_function_limits": of_suppliers(values("path, rule_id, message", ("src/lib.c", "TOO_MANY_ARGS", "many: 5 > 4"), ("src/lib.c", "TOO_MANY_VARS_FUNC", "many: 6 > 5"))),
+    "c_rules": of_suppliers(values("path, line, severity, rule_id, message", ("src/main.c", 29, "error", "WRONG_SCOPE_VAR", "late"), ("src/lib.c", 4, "error", "TAG_PREFIX", "struct point"), ("src/lib.c", 23, "warning", "POSSIBLE_INFINITE_LOOP", "helper"))),
+    "c_not_allowed": of_suppliers(values("path, line, message", ("src/main.c", 34, "printf"))),
+    "c_orphans": "SELECT 's' || s_suppkey || '/' || path AS path, rule_id, name || '_' || s_suppkey AS message FROM supplier, (VALUES ('src/lib.h', 'ORPHAN_PROTOTYPE', 'orphan'), ('src/lib.c', 'EMPTY_IMPLEMENTATION', 'nothing')) v(path, rule_id, name)",
+    "c_dead_statics": of_suppliers(values("path, name", ("src/main.c", "spread"), ("src/main.c", "fold"), ("src/lib.c", "ping"), ("src/lib.c", "pong"))),
     "folders": "WITH p AS (SELECT string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS parts FROM pages) SELECT array_to_string(parts[:n], '/') AS folder, count(*) AS n_files FROM (SELECT parts, unnest(range(1, len(parts))) AS n FROM p) GROUP BY 1",
 }
 QUERIES = {k.removeprefix("q_"): v for k, v in list(globals().items()) if k.startswith("q_")}
