@@ -13,7 +13,7 @@ from ..operators.makefile import artifact, formatted, logical, source_refs, sour
 from ..sources import files, logs, project
 from ..tables import saver
 from . import fixtures
-from .queries import DIAG, D, M, documents, line_diagnostics, longs, messy, of_suppliers, per_supplier, values
+from .queries import DIAG, D, M, WIDTH, documents, line_diagnostics, longs, messy, of_suppliers, per_supplier, values
 
 #: Both engines read this: pages as files of several kinds.
 PAGE_PATH = "CASE page_id % 7 WHEN 0 THEN 'src/page' || page_id || '.c' WHEN 1 THEN 'inc/page' || page_id || '.h' WHEN 2 THEN 'lib' || page_id || '/Makefile' WHEN 3 THEN 'doc' || page_id || '/README.md' WHEN 4 THEN 'build/page' || page_id || '.o' WHEN 5 THEN 'src/keep' || page_id || '.o' ELSE 'SRC/page' || (page_id - 6) || '.C' END"
@@ -83,16 +83,18 @@ def q_compiler_report(spark, d):
 # text
 
 
+#: The byte behind the first half of a text's characters.
+HALFWAY = F.octet_length(F.left(F.col("content"), F.floor(F.char_length("content") / 2).cast("int")))
+
+
 def q_positions(spark, d):
-    at = F.char_length("content").cast("int") / 2
-    rows = messy(spark, d).where(F.octet_length("content") == F.char_length("content")).withColumn("p", lines.position(F.col("content"), F.floor(at).cast("int")))
+    rows = messy(spark, d).withColumn("p", lines.position(F.col("content"), HALFWAY))
     return rows.select("path", *(F.col(f"p.{c}").cast("long").alias(c) for c in ("line", "byte_col", "visual_col")))
 
 
 def q_column_offsets(spark, d):
     """There and back: the offset of a position's line and column is where it was taken."""
-    at = F.floor(F.char_length("content") / 2).cast("int")
-    rows = messy(spark, d).where(F.octet_length("content") == F.char_length("content")).withColumn("at", at).withColumn("p", lines.position(F.col("content"), F.col("at")))
+    rows = messy(spark, d).withColumn("p", lines.position(F.col("content"), HALFWAY))
     back = [X.offset_of(F.col("content"), F.col("p.line"), F.col(f"p.{c}"), v).cast("long").alias(n) for c, v, n in (("visual_col", True, "by_width"), ("byte_col", False, "by_byte"))]
     return rows.select("path", *back)
 
@@ -184,8 +186,8 @@ def q_groups_by_source(spark, d):
 
 
 def q_underlined_headings(spark, d):
-    text = F.concat(F.lit("Title\n===\n\n"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n\nPart\n---\n\n- item\n---\n#### Four\n"))
-    rows = lines.lines(_docs(spark, d).where("text rlike '^[A-Za-z]' and text not rlike '[#`~]'").select(F.col("doc_id").alias("path"), text.alias("content")))
+    text = F.concat(F.lit("Title\n===\n\nwords "), F.translate("text", "\n\r#`~", "     "), F.lit("\n\nPart\n---\n\n- item\n---\n#### Four\n"))
+    rows = lines.lines(_docs(spark, d).select(F.col("doc_id").alias("path"), text.alias("content")))
     return lines.headings(rows).groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "level"))), lambda h: h["level"].cast("string")), "").alias("levels"))
 
 
@@ -205,7 +207,7 @@ def q_unsupported_rules(spark, d):
 
 
 def q_preflight(spark, d):
-    src = _pages(spark, d).where("page_id % 7 <> 2").select("path", X.file_kind(F.col("path")).alias("kind"))
+    src = _pages(spark, d).select("path", X.file_kind(F.col("path")).alias("kind"))
     return project_rules.preflight(src, "3.3.59", "3.3.51").groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
 
 
@@ -259,10 +261,13 @@ def q_stored_projects(spark, d):
 
 
 def q_edits_applied(spark, d):
-    """Each document's first and sixth byte are replaced; every fifth has edits that conflict."""
-    src = documents(spark, d).where(F.octet_length("content") == F.char_length("content")).where(F.char_length("content") > 10)
-    one = lambda a, b, t: src.select("path", F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"), F.lit(t).alias("replacement"))
-    made = one(0, 1, "<<").unionByName(one(5, 6, "")).unionByName(one(0, 1, "<<")).unionByName(one(0, 4, "x").where("path like '%5'"))
+    """Each document's first and sixth character are replaced; every fifth has edits that conflict, short ones have none."""
+    src = documents(spark, d)
+    # where a character ends, in bytes
+    end = lambda n: F.octet_length(F.left(F.col("content"), F.lit(n))).cast("long")
+    long = src.where(F.char_length("content") > 10)
+    one = lambda a, b, t, rows=long: rows.select("path", end(a).alias("start"), end(b).alias("end"), F.lit(t).alias("replacement"))
+    made = one(0, 1, "<<").unionByName(one(5, 6, "")).unionByName(one(0, 1, "<<")).unionByName(one(0, 4, "x", long.where("path like '%5'")))
     return edits.applied(src, made).select("path", "status", F.md5(F.col("content").cast("binary")).alias("md5"))
 
 
@@ -385,8 +390,8 @@ def q_c_reported_rewrites(spark, d):
 
 
 def q_markdown_headings(spark, d):
-    text = F.concat(F.lit("# Title\n\n"), F.col("text"), F.lit("\n### Jump\n```\n# code\n```\n#### Next\n"))
-    rows = lines.lines(_docs(spark, d).where("text not like '%#%' and text not like '%`%' and text not like '%~%'").select(F.col("doc_id").alias("path"), text.alias("content")))
+    text = F.concat(F.lit("# Title\n\n"), F.translate("text", "#`~", "   "), F.lit("\n### Jump\n```\n# code\n```\n#### Next\n"))
+    rows = lines.lines(_docs(spark, d).select(F.col("doc_id").alias("path"), text.alias("content")))
     h = lines.headings(rows)
     return h.groupBy("path").agg(F.count("*").alias("n"), F.sum("level").cast("long").alias("levels")).join(lines.heading_jumps(h).groupBy("path").agg(F.count("*").alias("jumps")), "path")
 
@@ -411,23 +416,21 @@ def _header(kind: str) -> str:
     return f"WITH n AS ({name}), s AS (SELECT *, CASE WHEN doc_id % 10 = 9 THEN 'too_long' ELSE 'inserted' END AS status FROM n) SELECT doc_id, status, md5(CASE WHEN status = 'inserted' THEN {' || chr(10) || '.join(rows)} || chr(10) || chr(10) || text ELSE text END) AS md5 FROM s"
 
 
-_HALF = f"{M}, h AS (SELECT path, content, substr(content, 1, length(content) // 2) AS head FROM d WHERE strlen(content) = length(content))"
-_LAST = "string_split(head, chr(10))[-1]"
-_WIDTH = f"coalesce(list_sum(list_transform(string_split({_LAST}, chr(9))[:-2], lambda p: (length(p) // 4 + 1) * 4)), 0) + length(string_split({_LAST}, chr(9))[-1])"
+_HALF = f"{M}, h AS (SELECT path, substr(content, 1, length(content) // 2) AS head, string_split(substr(content, 1, length(content) // 2), chr(10))[-1] AS text FROM d)"
 ORACLE = {
     "file_kinds": f"{_PAGES} SELECT coalesce({_KIND}, 'none') AS kind, count(*) AS n FROM p GROUP BY 1",
     "bytes_gate": f"SELECT {_DOC} AS path, (strlen(text) + (doc_id % 7 < 2)::INT)::BIGINT AS bytes, CASE doc_id % 7 WHEN 0 THEN 'NUL byte' WHEN 1 THEN 'invalid UTF-8' END AS failure, CASE WHEN doc_id % 7 > 1 THEN sha256(text) END AS content_hash FROM documents",
     "classified_files": f"{_PAGES}, q AS (SELECT DISTINCT CASE WHEN page_id % 13 = 0 THEN 'a/.git/' || path ELSE path END AS path, page_id % 9 = 0 AS bad FROM p) SELECT CASE WHEN bad THEN 'error' WHEN contains(path, '/.git/') THEN 'control' WHEN {_KIND} IS NOT NULL THEN 'processable' ELSE 'unexpected' END AS class, count(*) AS n FROM q GROUP BY 1",
     "run_summary": f"{DIAG}, c AS (SELECT count(*) AS n_files, count(*) AS n_changed, sum(2 + length(path))::BIGINT AS n_fixes FROM d), e AS (SELECT count(*) FILTER (WHERE severity = 'error') AS n_error, count(*) FILTER (WHERE severity = 'warning') AS n_warning FROM g) SELECT * FROM c, e",
     "groups_by_source": f"{DIAG} SELECT severity, rule_id, CASE WHEN line % 2 = 0 THEN 'native' ELSE 'official' END AS source, count(*) AS n, count(DISTINCT path) AS n_paths FROM g GROUP BY ALL",
-    "underlined_headings": "SELECT doc_id AS path, '124' AS levels FROM documents WHERE regexp_matches(text, '^[A-Za-z]') AND NOT regexp_matches(text, '[#`~]')",
+    "underlined_headings": "SELECT doc_id AS path, '124' AS levels FROM documents",
     "ignored_paths": f"{_PAGES} SELECT page_id, path FROM p WHERE NOT ({_IGNORED})",
     "json_requests": "SELECT conv_id AS request_id, 'turn' || turn || '.c' AS path, md5(text) AS md5, NULL::VARCHAR AS failure FROM conversations WHERE text IS NOT NULL",
     "vcs_scope": f"{_PAGES} SELECT page_id, path FROM p WHERE page_id % 14 = 0 AND page_id < 400",
     "cache_misses": f"{D} SELECT path, sha256('lint' || chr(0) || path || chr(0) || sha256(content) || chr(0) || 'cfg' || chr(0) || 'tool 1') AS key FROM d WHERE path NOT LIKE '%5'",
     "compiler_report": of_suppliers(values("path, line, col, severity, rule_id", ("src/a.c", 3, 7, "warning", "CC_UNUSED_VARIABLE"), ("src/b.c", 0, 0, "error", "CC_STRICT"), ("src/c.c", 5, 1, "warning", "CC_ANALYZER_MALLOC_LEAK"), ("src/d.c", 2, 4, "warning", "TIDY_BUGPRONE_BRANCH_CLONE"), ("src/e.c", 0, 0, "info", "CC_CONFIGURATION_INCOMPLETE"), ("src/f.c", 0, 0, "error", "CC_REJECTED"))),
-    "positions": f"{_HALF} SELECT path, len(string_split(head, chr(10)))::BIGINT AS line, (length({_LAST}) + 1)::BIGINT AS byte_col, ({_WIDTH} + 1)::BIGINT AS visual_col FROM h",
-    "column_offsets": f"{_HALF} SELECT path, length(head)::BIGINT AS by_width, length(head)::BIGINT AS by_byte FROM h",
+    "positions": f"{_HALF} SELECT path, len(string_split(head, chr(10)))::BIGINT AS line, (strlen(text) + 1)::BIGINT AS byte_col, ({WIDTH} + 1)::BIGINT AS visual_col FROM h",
+    "column_offsets": f"{_HALF} SELECT path, strlen(head)::BIGINT AS by_width, strlen(head)::BIGINT AS by_byte FROM h",
     "masked_sources": f"SELECT p_partkey, {_code(True)} AS code FROM part",
     "splices": rf"{M} SELECT path, md5(regexp_replace(replace(content, 'e ', 'e' || chr(92) || chr(10)), '(\\|\?\?/)\r?\n', '', 'g')) AS md5 FROM d",
     "ansi": f"{D} SELECT path, md5(content) AS md5 FROM d",
@@ -443,7 +446,7 @@ ORACLE = {
     "markers": f"{DIAG} SELECT CASE severity WHEN 'error' THEN 8 ELSE 4 END::BIGINT AS severity, rule_id AS code, sum(line)::BIGINT AS total, 1::BIGINT AS most FROM g GROUP BY 1, 2",
     "articles": "SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN 'LINE_TOO_LONG' ELSE 'TOO_MANY_FUNCS' END AS rule_id, lang AS locale, true AS found, lang <> 'en' AS asked_other FROM documents",
     "unsupported_rules": f"{DIAG} SELECT rule_id, 'break the line' AS message, count(*) AS n FROM g WHERE rule_id = 'LINE_TOO_LONG' GROUP BY 1",
-    "preflight": f"{_PAGES} SELECT * FROM (VALUES ('MAKEFILE_ABSENT', 'info', 1::BIGINT), ('POLICY_ABSENT', 'info', 1), ('CHECKER_NOT_VERIFIED', 'warning', 1)) t(rule_id, severity, n) UNION ALL SELECT 'README_PRESENT', 'info', count(*) FROM p WHERE page_id % 7 = 3",
+    "preflight": f"{_PAGES} SELECT 'POLICY_ABSENT' AS rule_id, 'info' AS severity, 1::BIGINT AS n UNION ALL SELECT 'CHECKER_NOT_VERIFIED', 'warning', 1 UNION ALL SELECT 'README_PRESENT', 'info', count(*) FROM p WHERE page_id % 7 = 3",
     "stale_writes": f"{M}, o AS (SELECT {_DOC} AS path, text FROM documents) SELECT path FROM o JOIN d USING (path) WHERE text <> content",
     "undone": f"{M}, o AS (SELECT {_DOC} AS path, text FROM documents), c AS (SELECT path, text FROM o JOIN d USING (path) WHERE text <> content) SELECT path, CASE WHEN path LIKE '%3' THEN 'missing' WHEN path LIKE '%4' THEN 'conflict' ELSE 'restored' END AS status, CASE WHEN path NOT LIKE '%3' AND path NOT LIKE '%4' THEN md5(text) END AS md5 FROM c",
     "quarantine": f"{_PAGES} SELECT path, '.quarantine/' || substr(sha256(content), 1, 12) || '-' || regexp_extract(path, '[^/]+$') AS target FROM p WHERE {_KIND} IS NULL",
@@ -451,7 +454,7 @@ ORACLE = {
     "path_clashes": f"{_PAGES} SELECT lower(path) AS portable, count(*) AS n FROM p GROUP BY 1 HAVING count(*) > 1",
     "allowed_paths": "SELECT page_id, page_id % 3 = 2 AS allowed FROM pages",
     "import_batch": f"{_PAGES}, q AS (SELECT strlen(content) AS bytes, CASE WHEN page_id % 5 = 0 THEN '.hidden/' || path ELSE repeat('d/', (page_id % 11)::INT) || path END AS path FROM p) SELECT CASE WHEN path LIKE '.%' OR path LIKE '%/.%' THEN 'hidden' WHEN len(string_split(path, '/')) - 1 > 6 THEN 'too deep' WHEN bytes > 10000 THEN 'too large' ELSE 'taken' END AS status, count(*) AS n FROM q GROUP BY 1",
-    "edits_applied": f"{D} SELECT path, CASE WHEN path LIKE '%5' THEN 'conflict' ELSE 'applied' END AS status, md5(CASE WHEN path LIKE '%5' THEN content ELSE '<<' || substr(content, 2, 4) || substr(content, 7) END) AS md5 FROM d WHERE strlen(content) = length(content) AND length(content) > 10",
+    "edits_applied": f"{D} SELECT path, CASE WHEN length(content) <= 10 THEN 'unchanged' WHEN path LIKE '%5' THEN 'conflict' ELSE 'applied' END AS status, md5(CASE WHEN path LIKE '%5' OR length(content) <= 10 THEN content ELSE '<<' || substr(content, 2, 4) || substr(content, 7) END) AS md5 FROM d",
     "approved_plans": f"{D} SELECT path FROM d WHERE path LIKE '%2'",
     "name_mentions": f"{D}, w AS (SELECT DISTINCT path, unnest(list_filter(regexp_split_to_array(content, '[^A-Za-z0-9_]+'), lambda x: x IN ('the', 'de', 'und', 'que_'))) AS name FROM d) SELECT name, count(*) AS n FROM w GROUP BY 1",
     "c_headers": _header("c"),
@@ -470,7 +473,7 @@ ORACLE = {
     "c_recovered_functions": of_suppliers(values("path, name", ("arms.c", "one"), ("arms.c", "two"), ("cut.c", "good"), ("odd.c", "f"))),
     "c_rewrite_cases": of_suppliers(values("path, content, changed", *((f"case{k}.c", after, True) for k, (_, _, after) in enumerate(fixtures.REWRITE_CASES)))),
     "c_reported_rewrites": f"SELECT s_suppkey, v.* FROM supplier, ({values('name, content', *fixtures.REPORTED)}) v",
-    "markdown_headings": "SELECT doc_id AS path, 3::BIGINT AS n, 8::BIGINT AS levels, 1::BIGINT AS jumps FROM documents WHERE NOT contains(text, '#') AND NOT contains(text, '`') AND NOT contains(text, '~')",
+    "markdown_headings": "SELECT doc_id AS path, 3::BIGINT AS n, 8::BIGINT AS levels, 1::BIGINT AS jumps FROM documents",
     "stored_projects": f"{D} SELECT right(path, 1) AS project, count(*) AS n FROM d GROUP BY 1",
 }
 QUERIES = {k.removeprefix("q_"): v for k, v in list(globals().items()) if k.startswith("q_")}
