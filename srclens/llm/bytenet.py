@@ -105,10 +105,9 @@ def gradients(p: Params, texts: list[np.ndarray], y: np.ndarray, weight: np.ndar
     top = chunk == high[text]
     ties = np.add.reduceat(top, first[:-1], axis=0)[text]
     dchunk = (dchunk + df[text, :FILTERS] * top / ties) * (chunk > 0)
-    after = np.arange(1, len(m) + 1)
-    after[first[1:] - 1] -= 1
+    # a half that lost gives its share to the next one; a text's last half has none
     dm = np.where(won, 0, dchunk)
-    np.add.at(dm, after, np.where(won, dchunk, 0))
+    dm[1:] += np.where(won, dchunk, 0)[:-1]
     half, filt = np.nonzero(dm)
     d = dm[half, filt]
     step = half * SLOTS + best[half, filt]
@@ -117,7 +116,9 @@ def gradients(p: Params, texts: list[np.ndarray], y: np.ndarray, weight: np.ndar
     seen = unfold(p, data)[step]
     order = np.argsort(filt, kind="stable")
     dw = np.zeros((FILTERS, WIDTH * DIM), np.float32)
-    np.add.at(dw, filt[order], (seen * d[:, None])[order])
+    if len(filt):
+        own, begin = np.unique(filt[order], return_index=True)
+        dw[own] = np.add.reduceat((seen * d[:, None])[order], begin, axis=0)
     out |= {"w": dw.T, "b": dm.sum(0)}
     de = np.zeros((256, DIM), np.float32)
     back = (d[:, None] * p["w"].T[filt]).reshape(-1, WIDTH, DIM)

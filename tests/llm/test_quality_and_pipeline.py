@@ -41,6 +41,35 @@ def test_scores_do_not_depend_on_neighbours():
     assert np.allclose(alone, bytenet.score(p, texts), atol=1e-5)
 
 
+def plain_score(p, text):
+    """The network by plain loops over one text: every filter at every step, pooled over chunks of two halves."""
+    b = bytenet
+    halves = -(-(len(text) + b.STEP) // b.HALF)
+    padded = [*text.tolist(), *[0] * (halves * b.HALF + b.WIDTH - len(text))]
+    value = [[float(p["b"][f])] * (halves * b.SLOTS) for f in range(b.FILTERS)]
+    for f in range(b.FILTERS):
+        for s in range(halves * b.SLOTS - 1):  # the last step sees padding alone
+            for w in range(b.WIDTH):
+                for k in range(b.DIM):
+                    value[f][s] += float(p["e"][padded[s * b.STEP + w], k]) * float(p["w"][w * b.DIM + k, f])
+    chunks = [[max(0.0, max(value[f][h * b.SLOTS : (h + 2) * b.SLOTS])) for h in range(halves)] for f in range(b.FILTERS)]
+    pooled = [max(c) for c in chunks] + [sum(c) / halves for c in chunks]
+    hidden = [np.tanh(sum(v * float(p["h"][i, j]) for i, v in enumerate(pooled)) + float(p["c"][j])) for j in range(b.HIDDEN)]
+    return 1 / (1 + np.exp(-(sum(h * float(p["o"][j]) for j, h in enumerate(hidden)) + float(p["d"][0]))))
+
+
+def test_scores_by_plain_loops():
+    p = bytenet.train(as_bytes("good words here " * 20, "###junk### " * 30), np.array([1, 0]), steps=5)
+    texts = as_bytes("", "a", "x" * 123, "good words here " * 20, "é### " * 70, "y" * 124, "z" * 256)
+    assert np.allclose(bytenet.score(p, texts), [plain_score(p, t) for t in texts], atol=1e-5)
+
+
+def test_a_very_long_text():
+    p = bytenet.init(2)
+    long = as_bytes("words of all kinds " * 300_000)[0]
+    assert abs(bytenet.score(p, [long])[0] - bytenet.score(p, [long[: 19 * 128 * 60]])[0]) < 1e-3  # a text that repeats has the same pools
+
+
 def test_learns(spark, monkeypatch):
     monkeypatch.setattr(quality.bytenet, "train", partial(bytenet.train, steps=120))
     r = np.random.default_rng(0)
