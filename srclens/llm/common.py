@@ -52,7 +52,7 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         df.write.option("compression", "zstd").mode("overwrite").parquet(self.path(name), partitionBy=list(partition_by) or None)
-        return self.load(name, None if partition_by else df)
+        return self.load(name, df)
 
     def load(self, name: str, like: DataFrame | None = None) -> DataFrame:
         reader = self.spark.read if like is None else self.spark.read.schema(like.schema)

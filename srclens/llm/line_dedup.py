@@ -111,15 +111,17 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .where(F.char_length("key") >= min_chars)
         .select("doc", "text64", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
     )
-    lines = ws.save(lines, "lines")
-    edges = [None, *borders(docs.select(F.col(id_col).alias("doc")), batches), None]
+    edges = borders(docs.select(F.col(id_col).alias("doc")), batches)
+    number = F.lit(0)
+    for edge in edges:
+        number = number + (F.col("doc") > edge).cast("int")
+    # a folder a batch, so that each batch reads its own lines alone
+    lines = ws.save(lines.withColumn("batch", number), "lines", "batch")
     index = LineIndex(spark, fanout)
     drops = []
     try:
-        for i in range(len(edges) - 1):
-            low, high = edges[i], edges[i + 1]
-            inside = F.lit(True) if low is None else F.col("doc") > low
-            batch = lines.where(inside if high is None else inside & (F.col("doc") <= high))
+        for i in range(len(edges) + 1):
+            batch = lines.where(F.col("batch") == i)
             owners = index.owners(batch.select("doc", *KEY), ws, f"owners{i}")
             drops.append(ws.save(batch.join(owners, KEY).where("doc <> owner").select("doc", "text64", "pos"), f"drops{i}"))
             ws.drop(f"owners{i}")
