@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import budgets, closures, intervals, lines, relate
+from ..sources import tree
 from ..sources.cache import ResultCache, refreshed
 from ..sources.versions import Versions
 from ..tables import fresh_folder, saver
@@ -147,6 +148,16 @@ def q_cached_counts(spark, d):
     return refreshed(cache, totals, before, after, _counts)
 
 
+def q_project_scan(spark, d):
+    """Documents written as files in a folder for each language, and that folder read as a project, but for one language."""
+    root = fresh_folder(spark, "project")
+    text = spark.read.parquet(f"{d}/documents.parquet").select("lang", F.translate("text", "\r\n", "  ").alias("value"))
+    text.write.partitionBy("lang").text(root)
+    tree.register(spark)
+    found = spark.read.format("project_tree").load(root).where("path like 'lang=%' and path like '%.txt'").where(~F.col("path").startswith("lang=de/"))
+    return found.groupBy(F.substring_index("path", "/", 1).alias("folder")).agg(F.sum("bytes").alias("bytes"), F.sum(F.size(F.split(F.decode("content", "UTF-8"), "\n")) - 1).cast("long").alias("n_lines"))
+
+
 QUERIES = {k.removeprefix("q_"): v for k, v in list(globals().items()) if k.startswith("q_")}
 _BY_START = "WINDOW w AS (PARTITION BY path ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 _PACK = r"""list_reduce(list_prepend('SRCS = ', words), lambda acc, w, i: CASE
@@ -173,6 +184,7 @@ ORACLE["wrapped_texts"] = rf"""WITH RECURSIVE d AS (SELECT 'doc' || doc_id AS pa
   SELECT path, md5(body) AS md5, len(string_split(body, chr(10))) AS n_lines FROM l"""
 _SIDES = f"d AS (SELECT 'doc' || doc_id AS path, text AS content, {MESSY} AS messy FROM documents)"
 ORACLE |= {
+    "project_scan": "SELECT 'lang=' || lang AS folder, sum(strlen(text) + 1)::BIGINT AS bytes, count(*) AS n_lines FROM documents WHERE lang <> 'de' GROUP BY lang",
     "files_as_of": f"WITH {_SIDES} SELECT path, CASE WHEN path LIKE '%3' THEN 2 ELSE 1 END AS version, md5(CASE WHEN path LIKE '%3' THEN messy ELSE content END) AS md5 FROM d WHERE path NOT LIKE '%7'",
     "reverted_files": f"WITH {_SIDES}, v AS (SELECT CASE WHEN path LIKE '%3' THEN 2 ELSE 1 END AS version, count(*) AS n FROM d WHERE path NOT LIKE '%7' GROUP BY 1 UNION ALL SELECT -1, count(*) FROM d WHERE path LIKE '%7') SELECT version, n, 4::BIGINT AS taken FROM v",
     "late_writer": f"WITH {_SIDES} SELECT path, 'refused' AS status FROM d WHERE path LIKE '%3' UNION ALL SELECT path, CASE WHEN path LIKE '%3' THEN 'version 2' ELSE 'version 3' END FROM d WHERE path LIKE '%3' OR path LIKE '%4'",

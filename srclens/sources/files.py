@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_kind, valid_path
+from . import tree
 
 #: Names that are neither source nor unexpected, and folders that are not entered.
 CONTROL = (".gitignore", ".lintignore", "policy.toml")
@@ -15,12 +16,20 @@ PRUNED = r"(^|/)(\.git|\.svn|\.hg|node_modules|target)(/|$)"
 MAX_FILES, MAX_FILE_BYTES, MAX_BYTES = 128, 1 << 20, 4 << 20
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, kind, bytes, content, content_hash, failure) of all files below root; other kinds have kind null."""
-    base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    tail = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + re.escape(re.sub("^[a-z]+:/+", "/", base)) + "/", "")
-    return gate(files.select(tail.alias("path"), "content").where(~F.col("path").rlike(PRUNED) & ~F.regexp_extract("path", "[^/]+$", 0).isin(*CONTROL)))
+def scan(spark: SparkSession, root: str, most: int | None = None) -> DataFrame:
+    """(path, kind, bytes, content, content_hash, failure) of all files below root; other kinds have kind null.
+
+    Files of more than ``most`` bytes are not opened; they keep their row, with
+    their failure.  See ``tree`` for what is not entered.
+    """
+    tree.register(spark)
+    found = spark.read.format("project_tree").load(root)
+    files = found.where(~F.regexp_extract("path", "[^/]+$", 0).isin(*CONTROL))
+    if most is None:
+        return gate(files.select("path", "content"))
+    listed = spark.read.format("project_tree").option("content", "false").load(root).where(F.col("bytes") > most).where(~F.regexp_extract("path", "[^/]+$", 0).isin(*CONTROL))
+    large = listed.select("path", "kind", F.col("bytes").cast("int").alias("bytes"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("content_hash"), F.lit("too large").alias("failure"))
+    return gate(files.where(F.col("bytes") <= most).select("path", "content")).unionByName(large)
 
 
 def gate(files: DataFrame) -> DataFrame:

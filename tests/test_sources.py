@@ -16,6 +16,43 @@ def test_scan(spark, tmp_path):
     assert got == {"a.c": ("c_source", 7, "int a;\n", None), "b.h": ("c_header", 1, None, "invalid UTF-8"), "c.c": ("c_source", 3, None, "NUL byte"), "odd.txt": (None, 1, "t", None)}
 
 
+def test_tree(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, In, LessThanOrEqual, StringStartsWith
+
+    from srclens.functions import text as X
+    from srclens.sources import tree
+
+    root = tmp_path / "p"
+    made = {"a.c": 7, "src/b.h": 1, "src/deep/Makefile": 30, "src/deep/big.c": 5000, "lib/vendored/.git/HEAD": 3, "lib/vendored/x.c": 3, "lib/y.c": 3, ".git/z.c": 1, "node_modules/m/w.c": 1, "README.md": 4, "README": 2, "odd.C": 1, "é/ü.c": 2}
+    for name, size in made.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x" * size)
+    (root / "link.c").symlink_to(root / "a.c")
+    (root / "loop").symlink_to(root)
+    want = {n: s for n, s in made.items() if not n.startswith(("lib/vendored", ".git", "node_modules"))}
+    tree.register(spark)
+    found = spark.read.format("project_tree").load(str(root))
+    rows = found.select("path", "bytes", F.octet_length("content").alias("n"), F.col("kind").eqNullSafe(X.file_kind(F.col("path"))).alias("same")).collect()
+    assert {r["path"]: r["bytes"] for r in rows} == want and all(r["n"] == r["bytes"] and r["same"] for r in rows)
+    assert {r["path"] for r in spark.read.format("project_tree").load(f"file://{root}").where("kind = 'c_source' and bytes <= 100").collect()} == {"a.c", "lib/y.c", "é/ü.c"}
+    small = {r["path"]: (r["bytes"], r["failure"]) for r in files.scan(spark, str(root), most=1000).collect()}
+    assert small == {n: (s, "too large" if s > 1000 else None) for n, s in want.items()}
+
+    def entered(*filters):
+        reader = tree.TreeReader(str(root))
+        left = list(reader.pushFilters(list(filters)))
+        assert not left
+        return [p.path for p in reader.partitions()], sorted(r for p in reader.partitions() for b in reader.read(p) for r in b.column(0).to_pylist())
+
+    assert entered()[0] == ["", "lib/", "src/", "src/deep/", "é/"]
+    assert entered(StringStartsWith(("path",), "src/de")) == (["src/deep/"], ["src/deep/Makefile", "src/deep/big.c"])
+    assert entered(EqualTo(("path",), "lib/y.c")) == (["lib/"], ["lib/y.c"])
+    assert entered(In(("path",), ("lib/y.c", "é/ü.c"))) == (["lib/", "é/"], ["lib/y.c", "é/ü.c"])
+    assert entered(EqualTo(("kind",), "makefile"), LessThanOrEqual(("bytes",), 30)) == (["src/deep/"], ["src/deep/Makefile"])
+    plan = found.where("kind = 'c_source' and path like 'src/%' and bytes <= 10")._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan" in plan and "Filter (" not in plan
+
+
 def test_requests(spark):
     rows = [(1, '{"files": [{"path": "a.c", "source": "x"}]}'), (2, "nonsense"), (3, '{"files": [{"path": "a", "source": ""}, {"path": "a", "source": ""}]}'), (4, '{"files": [{"path": "../a", "source": ""}]}')]
     got = {(r["request_id"], r["path"], r["failure"]) for r in files.from_json(spark.createDataFrame(rows, "request_id int, request string")).collect()}
