@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -83,18 +83,19 @@ def q_compiler_report(spark, d):
 # text
 
 
-#: The byte behind the first half of a text's characters.
-HALFWAY = F.octet_length(F.left(F.col("content"), F.floor(F.char_length("content") / 2).cast("int")))
+def _halfway() -> Column:
+    """The byte behind the first half of a text's characters."""
+    return F.octet_length(F.left(F.col("content"), F.floor(F.char_length("content") / 2).cast("int")))
 
 
 def q_positions(spark, d):
-    rows = messy(spark, d).withColumn("p", lines.position(F.col("content"), HALFWAY))
+    rows = messy(spark, d).withColumn("p", lines.position(F.col("content"), _halfway()))
     return rows.select("path", *(F.col(f"p.{c}").cast("long").alias(c) for c in ("line", "byte_col", "visual_col")))
 
 
 def q_column_offsets(spark, d):
     """There and back: the offset of a position's line and column is where it was taken."""
-    rows = messy(spark, d).withColumn("p", lines.position(F.col("content"), HALFWAY))
+    rows = messy(spark, d).withColumn("p", lines.position(F.col("content"), _halfway()))
     back = [X.offset_of(F.col("content"), F.col("p.line"), F.col(f"p.{c}"), v).cast("long").alias(n) for c, v, n in (("visual_col", True, "by_width"), ("byte_col", False, "by_byte"))]
     return rows.select("path", *back)
 
