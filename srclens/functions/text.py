@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,6 +61,11 @@ def plain_width(t: Column) -> Column:
     return F.when(simple, F.char_length(t)).otherwise(F.char_length(t) - F.regexp_count(t, F.lit(COMBINING)) + F.regexp_count(t, F.lit(WIDE)))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def visual_width(line: Column) -> Column:
     """Columns of a line; every tab goes on to the next stop."""
     parts = F.split(line, "\t", -1)
@@ -118,16 +125,19 @@ def packed(words: Column, first: Column | str, rest: str = "\t", most: int = 80)
     line = lambda n: rf"(?:.{{1,{n}}}$|.{{1,{n - 2}}}(?= ))"
     # as ``line``, with as much room as ``first`` leaves
     begin = F.when(room > 2, F.concat(F.lit(r"\A(?:.{1,"), room.cast("string"), F.lit("}$|.{1,"), (room - 2).cast("string"), F.lit("}(?= ))"))).otherwise(r"(?!)")
-    text = F.array_join(words, " ")
-    head = F.regexp_substr(text, begin)
-    head = F.coalesce(head, F.lit(""))
-    tail = F.substring(text, F.char_length(head) + F.when(head == "", 1).otherwise(2), F.char_length(text))
-    lines = F.regexp_extract_all(tail, F.lit(rf"({line(later)})(?: |$)"), F.lit(1))
-    # of what is left for later lines the last word needs no room behind it, the others do
-    left = F.split(tail, " ")
-    fits = (tail == "") | (F.forall(F.slice(left, 1, F.size(left) - 1), lambda w: F.char_length(w) <= later - 2) & (F.char_length(F.element_at(left, -1)) <= later))
-    body = F.array_join(F.concat(F.array(F.concat(first, head)), F.transform(F.when(tail == "", F.array()).otherwise(lines), lambda x: F.concat(F.lit(rest), x))), " \\\n")
-    return F.when(fits, body)
+
+    def with_tail(tail: Column, head: Column) -> Column:
+        lines = F.regexp_extract_all(tail, F.lit(rf"({line(later)})(?: |$)"), F.lit(1))
+        # of what is left for later lines the last word needs no room behind it, the others do
+        fits = lambda left: F.forall(F.slice(left, 1, F.size(left) - 1), lambda w: F.char_length(w) <= later - 2) & (F.char_length(F.element_at(left, -1)) <= later)
+        rest_lines = F.transform(F.when(tail == "", F.array()).otherwise(lines), lambda x: F.concat(F.lit(rest), x))
+        return F.when((tail == "") | bound(F.split(tail, " "), fits), F.array_join(F.concat(F.array(F.concat(first, head)), rest_lines), " \\\n"))
+
+    def with_head(head: Column, text: Column) -> Column:
+        tail = F.substring(text, F.char_length(head) + F.when(head == "", 1).otherwise(2), F.char_length(text))
+        return bound(tail, lambda t: with_tail(t, head))
+
+    return bound(F.array_join(words, " "), lambda text: bound(F.coalesce(F.regexp_substr(text, begin), F.lit("")), lambda head: with_head(head, text)))
 
 
 #: White space and comments.
@@ -219,9 +229,15 @@ def duration(seconds: Column) -> Column:
 
 def offset_of(content: Column, line: Column, column: Column, visual: bool = True) -> Column:
     """The byte offset of a line and column from 1, visual or in bytes; beyond a line's end its end, null beyond the text."""
-    rows = F.split(content, "\n", -1)
-    own = F.get(rows, line - 1)
-    before = F.octet_length(F.array_join(F.slice(rows, F.lit(1), F.greatest(line - 1, F.lit(0))), "\n")) + F.when(line > 1, 1).otherwise(0)
-    places = F.filter(F.sequence(F.lit(0), F.char_length(own)), lambda k: visual_width(F.substring(own, F.lit(1), k)) < column)
-    inside = F.octet_length(F.substring(own, F.lit(1), F.greatest(F.size(places) - 1, F.lit(0)))) if visual else F.least(column - 1, F.octet_length(own))
-    return F.when((line > 0) & own.isNotNull() & (column > 0), before + inside)
+
+    def at(rows: Column) -> Column:
+        own = F.get(rows, line - 1)
+        before = F.octet_length(F.array_join(F.slice(rows, F.lit(1), F.greatest(line - 1, F.lit(0))), "\n")) + F.when(line > 1, 1).otherwise(0)
+        # one pass over the characters: the width up to each, and how many end before the column
+        width = lambda w, c: F.when(c == "\t", w + TAB_STOP - w % TAB_STOP).otherwise(w + plain_width(c)).cast("int")
+        step = lambda acc, c: F.struct(width(acc["w"], c).alias("w"), (acc["n"] + (width(acc["w"], c) < column).cast("int")).alias("n"))
+        places = F.aggregate(F.regexp_extract_all(own, F.lit("(?s)."), F.lit(0)), F.struct(F.lit(0).alias("w"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
+        inside = F.octet_length(F.substring(own, F.lit(1), places)) if visual else F.least(column - 1, F.octet_length(own))
+        return F.when((line > 0) & own.isNotNull() & (column > 0), before + inside)
+
+    return bound(F.split(content, "\n", -1), at)

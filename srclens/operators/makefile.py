@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import final_newline, normalize_eol, packed, remove_bom
+from ..functions.text import bound, final_newline, normalize_eol, packed, remove_bom
 from .lines import lines
 
 ASSIGN = r"^\s*(?:export\s+|override\s+)*([A-Za-z0-9_.]+)\s*(:::=|::=|:=|\+=|\?=|!=|=)\s*(.*)$"
@@ -84,15 +84,24 @@ def space_recipes(sources: DataFrame) -> DataFrame:
 
 def _compacted(block: Column, gone: Column) -> Column:
     """A block of lines joined by backslashes: an explicit list of .c files in as few lines as 80 columns take, without those that are gone; anything else stays."""
-    text = F.regexp_replace(block, r"[ \t]*\\\n[ \t]*", " ")
-    part = lambda k: F.regexp_extract(text, LIST, k)
-    words = F.filter(F.split(part(4), r"\s+"), lambda w: w != "")
-    plain = text.rlike(LIST) & (F.size(words) > 0) & part(1).rlike(SOURCES) & F.forall(words, lambda w: w.rlike(r"^[^$%*()\s#]+\.c$"))
-    kept = F.filter(words, lambda w: ~F.array_contains(gone, w))
-    fewer = F.size(kept) < F.size(words)
     height = lambda t: F.size(F.split(t, "\n"))
-    new = packed(kept, F.concat(part(1), part(2), part(3), F.lit(" ")))
-    return F.when(plain & (F.size(kept) > 0) & new.isNotNull() & (fewer | (height(new) < height(block))), new).otherwise(block)
+
+    def of_text(text: Column) -> Column:
+        part = lambda k: F.regexp_extract(text, LIST, k)
+
+        def of_words(words: Column) -> Column:
+            plain = (F.size(words) > 0) & part(1).rlike(SOURCES) & F.forall(words, lambda w: w.rlike(r"^[^$%*()\s#]+\.c$"))
+
+            def of_kept(kept: Column) -> Column:
+                fewer = F.size(kept) < F.size(words)
+                new = packed(kept, F.concat(part(1), part(2), part(3), F.lit(" ")))
+                return F.when(F.size(kept) > 0, bound(new, lambda n: F.when(n.isNotNull() & (fewer | (height(n) < height(block))), n).otherwise(block))).otherwise(block)
+
+            return F.when(plain, bound(F.filter(words, lambda w: ~F.array_contains(gone, w)), of_kept)).otherwise(block)
+
+        return F.when(text.rlike(LIST), bound(F.filter(F.split(part(4), r"\s+"), lambda w: w != ""), of_words)).otherwise(block)
+
+    return bound(F.regexp_replace(block, r"[ \t]*\\\n[ \t]*", " "), of_text)
 
 
 def compacted(content: Column, gone: Column) -> Column:
@@ -104,7 +113,7 @@ def compacted(content: Column, gone: Column) -> Column:
 def formatted(sources: DataFrame) -> DataFrame:
     """sources (path, content): without mark and carriage returns, lists packed, one line feed at the end."""
     clean = normalize_eol(remove_bom(F.coalesce("content", F.lit(""))))
-    return sources.select("path", final_newline(compacted(clean, F.array().cast("array<string>"))).alias("content"))
+    return sources.select("path", bound(compacted(clean, F.array().cast("array<string>")), final_newline).alias("content"))
 
 
 def without_missing(sources: DataFrame, status: DataFrame) -> DataFrame:
