@@ -42,8 +42,12 @@ def latest_before(points: DataFrame, marks: DataFrame, by: list[str], at: str, m
 
 
 def merge_ranges(ranges: DataFrame, save: Save) -> DataFrame:
-    """(path, start, end): ranges that overlap or touch become one."""
-    ahead = running(ranges.select("path", "start", "end"), ["path"], ["start", "end"], save, maxima={"ahead": "end"}, own=False)
+    """(path, start, end): ranges that overlap or touch become one.
+
+    Equal ranges are taken once: only the first of them could begin a part, and
+    a second pass over the same rows may put another one first.
+    """
+    ahead = running(ranges.select("path", "start", "end").distinct(), ["path"], ["start", "end"], save, maxima={"ahead": "end"}, own=False)
     fresh = ahead.withColumn("fresh", F.when(F.col("ahead").isNull() | (F.col("start") > F.col("ahead")), 1).otherwise(0))
     parts = running(fresh.drop("ahead"), ["path"], ["start", "end"], save, sums={"part": "fresh"})
     return parts.groupBy("path", "part").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("part")

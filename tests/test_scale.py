@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from srclens.functions import text as X
-from srclens.operators import budgets, closures, intervals, relate, scans
+from srclens.operators import budgets, closures, edits, intervals, relate, scans
 from srclens.sources import logs
 from srclens.tables import saver
 
@@ -102,6 +102,27 @@ def test_merge_and_conflicts(spark):
     assert rows_of(relate.edit_conflicts(x.distinct(), saver(spark))) == sorted(clashes, key=repr)
 
 
+def test_merged_ranges_of_many_equal_ones(spark):
+    """Equal ranges lie on both sides of a border between pieces."""
+    made = [(f"p{k}", s, s + 5) for k in range(12) for s in (0, 10, 20) for _ in range(100 + 37 * k)]
+    code = [(f"p{k}", "int a;\n\nint b;\nint c;\n\nint d;\n") for k in range(40)]
+    files = spark.createDataFrame(code, "path string, content string")
+    gone = spark.createDataFrame([(p, *r) for p, _ in code for r in [(0, 6), *[(15, 17)] * 40]], RANGE)
+    # as with large tables, whose partitions are not put together again
+    sizes = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        got = rows_of(relate.merge_ranges(spark.createDataFrame(made, RANGE), saver(spark)))
+        done = edits.applied(files, edits.deletions(files, gone, saver(spark))).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == sorted({*made}, key=repr)
+    assert {(r["content"], r["status"]) for r in done} == {("int b;\nint d;\n", "applied")} and len(done) == 40
+
+
 @pytest.mark.parametrize("block", [0, 3, 10])
 def test_budget(spark, block):
     r = random.Random(block)
