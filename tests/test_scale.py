@@ -35,6 +35,46 @@ def test_intervals(spark, low, high, longest):
     assert {(r["path"], r["start"]): r["owner"] for r in got.collect()} == first
 
 
+def test_intervals_over_borders_of_cells_and_batches(spark):
+    """Ranges that end, begin and lie across cell borders, at the longest that is short, in batches of five rows; names stand for several ranges."""
+    r = random.Random(8)
+    edge = 1 << intervals.CELL
+    place = lambda: r.choice([-edge, 0, edge, 5 * edge]) + r.choice([-2, -1, 0, 1, 2, r.randint(-300, 300)])
+    made = lambda: [(r.choice(["a", "b", None]), s := place(), s + r.choice([0, 1, 2, 300, intervals.SHORT - 1, intervals.SHORT, intervals.SHORT + 1])) for _ in range(90)]
+    a, b = made(), made()
+    named = [(*t, f"n{i % 20}") for i, t in enumerate(b)]
+    x, y = spark.createDataFrame([*a, *a[:9]], RANGE), spark.createDataFrame([*named, *named[:9]], f"{RANGE}, name string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        for short in (True, False):  # without long ranges nothing goes through the nodes
+            fits = f"end - start < {intervals.SHORT}" if short else "true"
+            x2, y2 = x.where(fits), y.where(fits)
+            a2, b2 = ([t for t in d if not short or t[2] - t[1] < intervals.SHORT] for d in (a, named))
+            met = sorted({(p, s, e, t, f) for p, s, e in a2 for q, t, f, _ in b2 if p == q and p and s < f and t < e})
+            assert rows_of(intervals.overlaps(x2, y2)) == sorted(met, key=repr)
+            held = {(p, s, e, n) for p, s, e in a2 for q, t, f, n in b2 if p == q and p and t <= s and e <= f}
+            assert rows_of(intervals.containing(x2, y2)) == sorted(held, key=repr)
+            asks = [(p, s, i) for i, (p, s, _) in enumerate(a2)] + [("a", None, -1)]
+            own = [(i, min(((t, f, n) for q, t, f, n in b2 if p == q and p and s is not None and t <= s < f), default=(None,))[-1]) for p, s, i in asks]
+            got = intervals.owner(spark.createDataFrame(asks, "path string, start long, i long"), y2)
+            assert rows_of(got.select("i", "owner")) == sorted(own, key=repr) and got.columns == ["path", "start", "i", "owner"]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_short_ranges_are_shuffled_about_once(spark):
+    """Under 80 bytes a range, compressed; with a row for each dyadic node it was several times as much."""
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    n = 20_000
+    r = spark.range(n).select(F.concat(F.lit("s"), F.col("id") % 20).alias("path"), F.pmod(F.xxhash64("id"), F.lit(140_000)).alias("start"), F.concat(F.lit("n"), "id").alias("name"))
+    r = r.select("path", "start", (F.col("start") + 30 + F.pmod(F.xxhash64("name"), F.lit(1470))).alias("end"), "name")
+    for made in (intervals.overlaps(r, r), intervals.owner(r.select("path", "start"), r), intervals.containing(r, r)):
+        before = written()
+        made.write.format("noop").mode("overwrite").save()
+        assert written() - before < 2 * n * 80
+
+
 def test_nodes_are_few_and_whole(spark):
     long = spark.createDataFrame([(0, 10**12), (12345, 10**12 + 99), (-(10**12), 10**12), (5, 5), (7, 6)], "s long, e long").withColumn("nodes", intervals.nodes("s", "e"))
     for r in long.collect():
