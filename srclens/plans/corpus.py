@@ -109,10 +109,10 @@ def q_corpus_initial_blocks(spark, d):
 def q_corpus_fingerprints(spark, d):
     """Layout rewrites of a file leave its fingerprint."""
     only = frozenset(k for k, (_, layout) in transforms.PHASES.items() if layout)
-    after = transforms.fixed(sources(spark, d), only=only)
-    both = [lexer.fingerprint(lexer.tokens(x), comments=True) for x in (sources(spark, d), after)]
+    after = transforms.fixed(sources(spark, d), only=only, diffs=False).select("path", "content", "changed")
+    both = [lexer.fingerprint(x, comments=True) for x in (sources(spark, d), after)]
     same = both[0].join(both[1].withColumnRenamed("fingerprint", "after"), "path")
-    return same.join(after.select("path", "changed"), "path").select("path", (F.col("fingerprint") == F.col("after")).alias("same"), "changed")
+    return same.select("path", (F.col("fingerprint") == F.col("after")).alias("same"), "changed")
 
 
 def q_corpus_inspection(spark, d):

@@ -3,6 +3,7 @@ from hypothesis import given, settings
 from pyspark.sql import functions as F
 
 from srclens.functions import text as X
+from srclens.operators import lexer
 from srclens.operators import transforms as t
 
 MESSY = '#ifdef A\n#define X 1\n#endif\nint\tf()\n{\n\n\tint\ta[ 3 ];;\n\tchar * p;\n\n\tif(a[ 0 ] ,1)\n\t\treturn g(a ,b)+1;\n\tfor (;;)\n\t\t;\n\treturn(a[1]);\n\treturn ;\n\n}\n'
@@ -46,3 +47,22 @@ def test_guards(spark):
 def test_fixed(spark):
     rows = t.fixed(spark.createDataFrame([("a.c", MESSY), ("b.c", WHOLE), ("c.c", None)], "path string, content string")).collect()
     assert [(r["path"], r["changed"], bool(r["diff"])) for r in rows] == [("a.c", True, True), ("b.c", False, False), ("c.c", False, False)]
+
+
+def test_fingerprints_of_all_files(spark):
+    """Layout and, unless asked for, comments don't count; a file without any token has a fingerprint too."""
+    code = {"a": "int\tx;\n", "b": "int  x ;// c\n", "c": "intx;", "d": "", "e": "\n/* c */", "f": "@ \ufffd", "g": "@\ufffd"}
+    files = spark.createDataFrame(list(code.items()), "path string, content string")
+    for comments, same in ((False, ["ab", "c", "de", "fg"]), (True, ["a", "b", "c", "d", "e", "fg"])):
+        by = {}
+        for r in lexer.fingerprint(files, comments).collect():
+            by.setdefault(r["fingerprint"], []).append(r["path"])
+        assert sorted("".join(sorted(p)) for p in by.values()) == same
+
+
+def test_rewrites_run_once_for_fingerprints(spark, tmp_path):
+    from srclens.plans import corpus
+
+    spark.sql("select id as p_partkey, cast(id % 9 as int) as p_size from range(4)").write.parquet(f"{tmp_path}/part.parquet")
+    plan = corpus.q_corpus_fingerprints(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3  # before, the rewrites, after
