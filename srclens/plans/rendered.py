@@ -183,7 +183,7 @@ def q_deleted_ranges(spark, d):
 
 def q_archive(spark, d):
     """Archives of projects, opened again."""
-    whole = project.archives(documents(spark, d).withColumn("project", F.substring("path", -1, 1)))
+    whole = project.archives(documents(spark, d).withColumn("project", F.substring("path", -1, 1)), saver(spark))
     return project.opened(whole).select("project", "path", F.octet_length("content").cast("long").alias("bytes"), F.md5(F.col("content").cast("binary")).alias("md5"))
 
 
