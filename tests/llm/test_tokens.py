@@ -49,6 +49,20 @@ def test_ids_word_by_word():
         assert w.text(text) + struct.pack("<I", 1) == struct.pack(f"<{len(x := word_ids_plain(t, text))}I", *x), text[:80]
 
 
+def test_marks_behind_letters():
+    """Runs of marks behind letters need no whole tokenizer, and give its ids."""
+    path, r = packing.default_path(), random.Random(5)
+    t, w = tokenizer(path), vocabulary.WordIds(path)
+    marks = lambda most: "".join(r.choice(vocabulary.TAIL) for _ in range(r.randint(1, most)))
+    words = [r.choice(["Schen", "été", "x", "THE", "ſtraße", "don"]) + marks(4) for _ in range(600)]
+    mixed = [r.choice([w_, marks(3) + w_, w_ + "'s", w_ + "a1", "'ll" + marks(2), w_ + "' "]) for w_ in words]
+    for text in (" ".join(words), " ".join(mixed)):
+        assert w.text(text) == struct.pack(f"<{len(x := word_ids_plain(t, text)) - 1}I", *x[:-1])
+    fresh = vocabulary.WordIds(path)
+    fresh.tokenizer = None
+    assert fresh.text(" ".join(words)) == w.text(" ".join(words))
+
+
 def aligned_plainly(rows):
     """Groups, links and counts from whole texts, token by token."""
     import sentencepiece
