@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .vocabulary import CUT, two_tokenizers
+from .vocabulary import chunks_of, two_tokenizers
 
 #: A block's dictionary holds about so many words and groups, its documents about so many bytes; it ends behind a document.
 BLOCK_WORDS, BLOCK_BYTES = 500_000, 1 << 26
@@ -45,6 +45,7 @@ class Block:
         self.keys: list[str] = []
         self.last: list[tuple[int, int]] = []
         self.words: dict[str, tuple | None] = {}
+        self.odd: set[str] = set()
         self.bytes = 0
 
     def intern(self, a: list[int], b: list[int]) -> tuple[int, int, list[int], str]:
@@ -62,7 +63,7 @@ class Block:
 
     def document(self, text: str | None) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, digest, group numbers, how often each)."""
-        chunks, words = CUT.split(" " + text) if text else [], self.words
+        chunks, words = chunks_of(" " + text, self.odd, self.words) if text else [], self.words
         if new := [c for c in dict.fromkeys(chunks) if c not in words]:
             for chunk, (a, b, same) in zip(new, self.tokenizers.ids(new), strict=True):
                 words[chunk] = self.intern(a, b) if same else None

@@ -63,6 +63,17 @@ def test_marks_behind_letters():
     assert fresh.text(" ".join(words)) == w.text(" ".join(words))
 
 
+def test_chunks_are_those_of_the_cut():
+    """Whatever was met before: white space at a chunk's edge, at the ends of a text, or several in a row."""
+    r = random.Random(6)
+    bits = ["a", "b.", "é", " ", " ", " ", "\n", "\t", "\0", "\u00a0", "\u3000", "\x1c"]
+    odd, known = set(), {}
+    for text in ["x\t", "\tb", "x\t b", "a \tb", "\u00a0", "a \u00a0", *ODD[2:], *("".join(r.choice(bits) for _ in range(r.randint(1, 12))) for _ in range(4000))]:
+        chunks = vocabulary.chunks_of(" " + text, odd, known)
+        assert chunks == vocabulary.CUT.split(" " + text), repr(text)
+        known |= dict.fromkeys(chunks)
+
+
 def aligned_plainly(rows):
     """Groups, links and counts from whole texts, token by token."""
     import sentencepiece
