@@ -1,7 +1,10 @@
+import collections
 import hashlib
 import random
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from srclens.llm import common, passages, repeats, rolling, suffix_dedup
@@ -160,3 +163,56 @@ def test_texts_longer_than_a_piece(spark):
     assert (got[2]["n_removed"], got[3]["n_removed"]) == (len(part), 700)
     got = {x["doc"]: x for x in passages.dedup_passages(docs(spark, rows), texts=False).collect()}
     assert [(got[d]["n_words"], got[d]["n_removed"]) for d in (1, 2, 3)] == [(400_000, 0), (40_000, 40_000), (102, 100)]
+
+
+def test_a_run_takes_few_calls():
+    """What Python does for each run is its digest; the rest is done for all runs of a block together."""
+    data = np.random.default_rng(3).integers(97, 123, 200_000).astype(np.uint8)
+    units, calls = repeats.byte_units(data, np.array([len(data)])), []
+    repeats.runs_of(units, 400, 128)  # tables of powers
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        n = len(repeats.runs_of(units, 400, 128)[0])
+    finally:
+        sys.setprofile(None)
+    assert n > 1000 and len(calls) < 3 * n
+
+
+def test_runs_against_plain_loops(monkeypatch):
+    monkeypatch.setattr(repeats, "LONGEST", 16)
+    r = np.random.default_rng(4)
+    for k in range(60):
+        texts = [r.integers(97, 98 + k % 4, r.integers(0, 90)).astype(np.uint8) for _ in range(r.integers(1, 6))]
+        data, ends = np.concatenate(texts), np.cumsum([len(t) for t in texts])
+        want = []
+        for i, t in enumerate(texts):
+            h = rolling.windows(rolling.BYTE[t], 5)
+            low, s = [int(h[p : p + 8].min()) for p in range(len(t) - 11)], 0
+            for e in range(1, len(low) + 1):
+                if e == len(low) or low[e] != low[s] or e - s == 16:
+                    want.append((i, s, e - s, low[s], e - s > 1 and int((h[s : e + 7] == low[s]).sum()) > 1))
+                    s = e
+        text, start, n, anchor, _, twice = repeats.runs_of(repeats.byte_units(data, ends), 12, 5)
+        assert list(zip(text.tolist(), start.tolist(), n.tolist(), anchor.tolist(), twice.tolist(), strict=True)) == want
+
+
+def test_repeated_against_all_windows():
+    """Stretches that are equal as a whole, in part and not at all; periodic texts."""
+    r = random.Random(6)
+    for width in (3, 12, 40):
+        for _ in range(30):
+            base = [r.choice(b"abc") for _ in range(150)]
+            texts = [bytes(r.choice(b"abc") if r.random() < 0.02 else c for c in base[r.randint(0, 30) :]) for _ in range(4)] + [b"ab" * 40, b"a" * 60]
+            seen = collections.Counter(t[i : i + width] for t in texts for i in range(len(t) - width + 1))
+            got = suffix_dedup.repeated(texts, [False] * 6, width)
+            assert [g.tolist() for g in got] == [[seen[t[i : i + width]] > 1 for i in range(len(t) - width + 1)] for t in texts]
+
+
+def test_spans_of_many_texts():
+    r = random.Random(8)
+    lengths = [r.choice([0, 5, 30, 200]) for _ in range(40)]
+    ranges = [None if n < 12 else [(a := r.randint(0, n - 12), r.randint(a + 1, n - 11)) for _ in range(r.randint(0, 6))] for n in lengths]
+    column = pa.array([x and [{"a": a, "b": b} for a, b in x] for x in [[(0, 9)], *ranges]], suffix_dedup.PAIRS).slice(1)
+    text, lo, hi = suffix_dedup.spans_of(column, np.array(lengths), 12)
+    want = [(i, a, b) for i, x in enumerate(ranges) for a, b in repeats.union_of([(a, b + 11) for a, b in x or []])]
+    assert list(zip(text.tolist(), lo.tolist(), hi.tolist(), strict=True)) == want
