@@ -129,6 +129,21 @@ def test_anchors_dealt_anew_at_full_width(spark):
     assert len({tuple(sorted(x.items())) for x in [{"removed": w[2]} for w in want]}) > 5
 
 
+def test_planted_passages_of_over_50_words(spark, tmp_path):
+    """In two documents each: one of 400 bytes goes from both, the first holder too, one of 399 stays, as do other documents; n_bytes is the input's length."""
+    r = random.Random(9)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    long, short = text(57) + "yy", text(57) + "y"
+    assert (len(long), len(short)) == (400, 399)
+    ends = {d: (f"{text(9)} {d}", f"{d} {text(9)}") for d in range(1, 6)}
+    planted = {1: long, 2: long, 3: short, 4: short, 5: text(57)}
+    docs(spark, [(d, a + planted[d] + b) for d, (a, b) in ends.items()]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: tuple(x)[1:] for x in suffix_dedup.query(spark, str(tmp_path)).collect()}
+    for d, (a, b) in ends.items():
+        gone = planted[d] == long
+        assert got[d] == (len(a + planted[d] + b), 400 * gone, int(gone), hashlib.sha256((a + planted[d] * (not gone) + b).encode()).hexdigest())
+
+
 def test_hot_anchor_sends_few_rows(spark):
     """A batch sends one row of a hot anchor to the task that decides; the others are dealt out by text."""
     text = " ".join(f"w{i}" for i in range(60))
